@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .packing import op9_pack
 from .pii import OP6_SQL, op6_pii
+from .warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
+    "op9_pack": op9_pack,
+    "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_pii": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_pii": OP6_SQL, "op10_warc": OP10_SQL}
