@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .language_id import op1_language
 from .packing import op9_pack
 from .pii import OP6_SQL, op6_pii
 from .warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
     "op9_pack": op9_pack,
