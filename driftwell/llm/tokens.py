@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words kept; the memo is emptied when it is full. Longer words are never kept.
-MEMO_WORDS, MEMO_CHARS = 600_000, 48
+MEMO_WORDS, MEMO_CHARS = 1_200_000, 48
 #: A special token that stands between the words of one call.
 BETWEEN = "<|startoftext|>"
 #: str.split() takes these for white space; the tokenizer doesn't.
