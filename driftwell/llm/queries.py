@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .knn import OP7_SQL, op7_top_k
 from .language_id import op1_language
 from .packing import op9_pack
 from .pii import OP6_SQL, op6_pii
+from .toxicity import op8_toxicity
 from .warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
+    "op7_top_k": op7_top_k,
+    "op8_toxicity": op8_toxicity,
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_pii": OP6_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_pii": OP6_SQL, "op7_top_k": OP7_SQL, "op10_warc": OP10_SQL}
