@@ -10,12 +10,14 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .knn import OP7_SQL, op7_top_k
 from .language_id import op1_language
 from .packing import op9_pack
+from .pieces import op4_sentencepiece
 from .pii import OP6_SQL, op6_pii
 from .toxicity import op8_toxicity
 from .warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
     "op7_top_k": op7_top_k,
