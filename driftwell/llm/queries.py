@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .jaccard_join import op3_jaccard_join
 from .knn import OP7_SQL, op7_top_k
 from .language_id import op1_language
 from .packing import op9_pack
@@ -17,6 +18,7 @@ from .warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
