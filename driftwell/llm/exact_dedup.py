@@ -156,8 +156,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns; repeated rows of one id and text leave one."""
-    verdicts = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(verdicts.distinct(), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    keys = ["__id", "__digest"]
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest"))
+    marked = docs.withColumns({"__id": F.col("doc_id"), "__digest": F.sha2(normalised(), 256)})
+    same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def update_index(live: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -191,5 +191,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each component the one with the smallest doc_id.
+
+    Rows without a doc_id or without words stay.
+    """
+    gone = jaccard_components(docs).filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")

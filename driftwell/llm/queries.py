@@ -13,11 +13,13 @@ from .language_id import op1_language
 from .packing import op9_pack
 from .pieces import op4_sentencepiece
 from .pii import OP6_SQL, op6_pii
+from .suffix_dedup import op2_suffix_dedup
 from .toxicity import op8_toxicity
 from .warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
