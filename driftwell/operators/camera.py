@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def project(df: DataFrame, fx: float, fy: float, cx: float, cy: float, near: float = 1e-3) -> DataFrame:
@@ -90,7 +91,7 @@ def flow(raster: DataFrame, least_eigenvalue: float = 1e-4) -> DataFrame:
 # -- masks ----------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def run_lengths(text: pd.Series) -> pd.Series:
     """The counts of a mask's run-length text: five bits a character from '0', 0x20 continues, 0x10 on the last one is the
     sign; from the fourth number on each is a difference to the one two before."""
