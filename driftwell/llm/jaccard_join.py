@@ -3,10 +3,11 @@
 1. Each text becomes its set of word shingles; texts with one set are one node from then on.
 2. A count sketch of all shingles orders them, rarest first. Two linked sets share a shingle among the rarest
    n - ceil(0.8 n) + 1 of each, so only those are matched.
-3. Sets are put in groups of similar ones: those that link with the leader of a shared rare shingle, cut in blocks.
-   The matrix says which rare shingles occur in which group.
-4. A set meets the groups that share a rare shingle and hold another component. A group's whole token union bounds the
-   overlap with any member; only groups that reach the bound are opened and their members compared exactly.
+3. Sets are put in groups of similar ones: in a few rounds each set is compared with a leader of its rare shingles, those
+   that link get one label, and labels are cut in blocks. The matrix says which rare shingles occur in which group.
+4. A set meets the groups of other labels. How many rare shingles it shares with the group bounds its overlap with any
+   member, then the group's whole token union does; only groups that reach both bounds are opened and their members
+   compared exactly.
 Components then come from the links, as distributed jobs.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise, skew_join
@@ -27,6 +28,10 @@ from .shingles import common, linked, set_id, shingle_sets
 #: Counters of the sketch (16 bits each in a task, 32 in the sum) and the parts in which it is summed.
 SKETCH_BITS, SKETCH_PARTS = 21, 16
 GROUP_SETS = 16
+#: Rounds of leaders before the matrix, and leaders for each set in one; they save comparisons and decide nothing.
+ROUNDS, LEADERS = 2, 8
+#: A rare shingle is hot with more than this share of all sets, by the sketch.
+HOT_SHINGLE = 1000
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,32 +69,55 @@ def _least_overlap(n: int) -> int:
     return -(-80 * n // 100)
 
 
-def _rare(sketch):
-    """(token, sid, n, few) of each set's rarest shingles, once per set and task. few: whether a set of the same size or
-    larger must share one of these."""
+def _rare(sketch, hot_from: int):
+    """(token, sid, hot) of each set's rarest shingles, once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, done = np.frombuffer(zlib.decompress(sketch.value), "<u4"), set()
         for batch in batches:
-            tokens, sids, sizes, few = [], [], [], []
+            tokens, sids, hot = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 if not len(s) or (sid := set_id(s)) in done:
                     continue
                 done.add(sid)
-                n = len(s)
-                keep = n - _least_overlap(n) + 1
+                keep = len(s) - _least_overlap(len(s)) + 1
                 weight = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((s, weight))[:keep]
                 tokens.append(s[order].view(np.int64))
                 sids.append(np.full(keep, sid))
-                sizes.append(np.full(keep, n))
-                few.append(np.arange(keep) <= n - -(-160 * n // 180))
+                hot.append(weight[order] > hot_from)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes, few)], ["token", "sid", "n", "few"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, hot)], ["token", "sid", "hot"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, sid) in that order, those whose token has another sid, each once."""
+    held = None  # the last token's rows may go on in the next batch: its first row, and whether it was given
+    for batch in batches:
+        token, sid = batch.column("token").to_numpy(), batch.column("sid").to_numpy()
+        if held is not None:
+            token, sid = np.append(held[0], token), np.append(held[1], sid)
+        if not len(token):
+            continue
+        same = token[1:] == token[:-1]
+        fresh = np.append(True, ~same | (sid[1:] != sid[:-1]))
+        other = same & (sid[1:] != sid[:-1])
+        first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(token)), 0))
+        several = np.zeros(len(token), bool)
+        several[first[1:][other]] = True
+        give = fresh & several[first]
+        if held is not None and held[2]:
+            give |= fresh & (first == 0)
+            give[0] = False
+        tail = first[-1]
+        given = bool(give[tail:].any() or (tail == 0 and held is not None and held[2]))
+        held = token[-1], sid[-1], given
+        # the tail's last sid stays held: if it was not given, a later row of the token will show that it is shared
+        yield pa.RecordBatch.from_arrays([pa.array(token[give]), pa.array(sid[give])], ["token", "sid"])
+
+
 def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of rows (a, text, group, members): a group is opened if its union can hold enough of the set."""
     last, sets, union = None, [], None
@@ -125,11 +153,57 @@ def _groups(labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
     n = labels.count()
     blocked = skew_join(labels, sizes.withColumn("size", F.col("weight")), "label", "sid", n)
+    # label and group of each set
     grouped = materialise(blocked.select("sid", "n", "label", F.xxhash64("label", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / GROUP_SETS))).alias("group")), "groups")
     members = grouped.join(texts, "sid").groupBy("group").agg(F.collect_list(F.struct("sid", "text")).alias("members"))
     return grouped, members
 
 
+def _fewest_shared(n, m):
+    """Rare shingles that linked sets of n and m share at least, n no more than 1.25 m or less than 0.8 m."""
+    overlap = F.ceil(80 * (n + m) / 180)
+    return F.greatest(overlap - F.ceil(0.8 * F.greatest(n, m) - 1e-9) + 1, F.lit(1))
+
+
+def _round(posted: DataFrame, labels: DataFrame, texts: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) after each set of `posted` (token, sid, n, label, score) is compared with some leaders.
+
+    A token's leaders are of its label with the highest score, so labels only move one way and no ring can form; which
+    member leads depends on the token, so a large group has several. A set takes those with which it shares most tokens.
+    """
+    best = posted.groupBy("label").agg(F.max("score").alias("best"), F.count("*").alias("weight"))
+    ranked = skew_join(posted, best, "label", "sid", posted.count())
+    spread = F.xxhash64("sid", F.pmod(F.xxhash64("token"), F.lit(LEADERS)), F.lit(number))
+    rank = F.struct((-F.col("best")).alias("s"), F.xxhash64("label").alias("h"), F.when(F.lit(number == 0), F.lit(0)).otherwise(spread).alias("k"), "sid", "n", "label")
+    lead = materialise(ranked.groupBy("token").agg(F.min(rank).alias("lead"), F.count("*").alias("weight")), "leads")
+    met = skew_join(posted, lead, "token", "sid", posted.count()).filter(F.col("label") != F.col("lead.label"))
+    near = F.least(F.col("n"), F.col("lead.n")) * 100 >= F.greatest(F.col("n"), F.col("lead.n")) * 80
+    lead_of = F.struct(F.col("lead.sid").alias("sid"), F.col("lead.label").alias("label"))
+    counted = met.filter(near).groupBy("sid", "n", lead_of.alias("lead"), F.col("lead.n").alias("m")).agg(F.count("*").alias("c")).filter(4 * LEADERS * F.col("c") >= _fewest_shared(F.col("n"), F.col("m")))
+    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("c"), "lead"))
+    pairs = materialise(counted.withColumn("place", place).filter(F.col("place") <= LEADERS).select(F.col("sid").alias("a"), F.col("lead.sid").alias("group")), f"pairs-{number}")
+    leaders = pairs.select(F.col("group").alias("sid")).distinct().join(texts, "sid").select(F.col("sid").alias("group"), F.array(F.struct("sid", "text")).alias("members"))
+    links = materialise(_verified(pairs, leaders, texts), f"links-{number}")
+    of = labels.select(F.col("sid").alias("b"), F.col("label").alias("to"))
+    # a set's leaders may be of several labels, all of higher scores than its own; any will do
+    targets = skew_join(links, of.join(links.groupBy("b").agg(F.count("*").alias("weight")), "b"), "b", "a", links.count())
+    parents = labels.select(F.col("sid").alias("a"), "label").join(targets, "a").groupBy("label").agg(F.min("to").alias("to"))
+    for _ in range(2):
+        parents = materialise(parents, "parents")
+        up = parents.select(F.col("label").alias("to"), F.col("to").alias("top")).join(parents.groupBy("to").agg(F.count("*").alias("weight")), "to")
+        parents = skew_join(parents, up, "to", "label", parents.count(), "left").select("label", F.coalesce("top", "to").alias("to"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
+    moved = skew_join(labels, parents.join(sizes, "label"), "label", "sid", labels.count(), "left")
+    return links, materialise(moved.select("sid", "n", F.coalesce("to", "label").alias("label")), f"labels-{number}")
+
+
+def _mixed(matched: DataFrame, labels: DataFrame) -> DataFrame:
+    """matched rows with n and label, of the tokens that occur under two labels."""
+    posted = matched.join(labels, "sid")
+    several = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("weight")).filter("lo <> hi").select("token", "weight")
+    return materialise(skew_join(posted, several, "token", "sid", matched.count()), "posted")
+
+
 def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of each row, and links (a, b) between sets that connect every pair of linked sets."""
     spark = docs.sparkSession
@@ -137,37 +211,44 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(docs.mapInArrow(_sets, "doc_id long, n long, sid long, part int, counts binary"), "shingle-sets")
     rows = found.filter("part IS NULL").select("doc_id", "n", "sid")
     parts = {r.part: bytes(r.counts) for r in found.filter("part IS NOT NULL").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()}
-    sketch = spark.sparkContext.broadcast(zlib.compress(b"".join(parts.get(k, bytes(4 << SKETCH_BITS) [: (4 << SKETCH_BITS) // SKETCH_PARTS]) for k in range(SKETCH_PARTS)), 1))
-
-    rare = docs.mapInArrow(_rare(sketch), "token long, sid long, n long, few boolean").repartition("token").dropDuplicates(["token", "sid"])
-    rare = materialise(rare, "rare")
-    shared = rare.groupBy("token").agg(F.count("*").alias("weight"), F.max("few").alias("any"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("lead")).filter("weight > 1 AND any")
-    shared = materialise(shared.select("token", "weight", "lead"), "shared")
-    matched = materialise(skew_join(rare, shared, "token", "sid", rare.count()), "matched")
-    active = matched.select("sid", "n").distinct()
-    owners = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(active, "sid")
-    texts = materialise(docs.join(owners.select("doc_id", "sid"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "texts")
+    nothing = bytes((4 << SKETCH_BITS) // SKETCH_PARTS)
+    packed = b"".join(parts.get(k, nothing) for k in range(SKETCH_PARTS))
+    sketch, noise = spark.sparkContext.broadcast(zlib.compress(packed, 1)), int(np.frombuffer(packed, "<u4").mean())
+    n_rows = rows.count()
 
-    near = F.least(F.col("n"), F.col("lead.n")) * 100 >= F.greatest(F.col("n"), F.col("lead.n")) * 80
-    stars = matched.filter((F.col("sid") != F.col("lead.sid")) & near).groupBy("sid").agg(F.min("lead").alias("lead"))
-    stars = materialise(stars.select(F.col("sid").alias("a"), F.col("lead.sid").alias("group")), "stars")
-    leaders = stars.select(F.col("group").alias("sid")).distinct().join(texts, "sid").select(F.col("sid").alias("group"), F.array(F.struct("sid", "text")).alias("members"))
-    star_links = materialise(_verified(stars, leaders, texts), "star-links")
-
-    up = star_links.select(F.col("a").alias("sid"), F.col("b").alias("up"))
-    tops = up.select(F.col("sid").alias("up"), F.col("up").alias("top"))
-    n_up = F.count("*").alias("weight")
-    jumped = skew_join(up, tops.join(up.groupBy("up").agg(n_up), "up"), "up", "sid", star_links.count(), "left")
-    labels = active.join(jumped, "sid", "left").select("sid", "n", F.coalesce("top", "up", "sid").alias("label"))
-    grouped, members = _groups(materialise(labels, "labels"), texts)
-
-    posted = matched.select("token", "sid", "few").join(grouped, "sid")
-    mixed_ = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("weight")).filter("lo <> hi").select("token", "weight")
-    posted = materialise(skew_join(posted, mixed_, "token", "sid", rare.count()), "posted")
-    matrix = posted.filter("few").groupBy("token", "group").agg(F.min("label").alias("of"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asked = posted.select("token", F.col("sid").alias("a"), "n", "label").join(matrix, "token").filter("of <> label AND lo <= n AND 100 * hi >= 80 * n").select("a", "group").distinct()
-    links = _verified(materialise(asked, "asked"), members, texts)
-    return rows, materialise(star_links.unionByName(links), "links")
+    rare = docs.mapInArrow(_rare(sketch, 2 * noise + 64 + n_rows // HOT_SHINGLE), "token long, sid long, hot boolean")
+    few = rare.filter("NOT hot").select("token", "sid").repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid long")
+    hot = rare.filter("hot").select("token", "sid").distinct()
+    matched = materialise(few.unionByName(hot), "matched")
+    owners = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    active = materialise(owners.join(matched.select("sid").distinct(), "sid"), "active")
+    texts = materialise(docs.join(active.select("doc_id", "sid"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "texts")
+
+    weights = matched.groupBy("token").agg(F.count("*").alias("weight"))
+    central = skew_join(matched, weights.withColumn("w", F.col("weight")), "token", "sid", matched.count()).groupBy("sid").agg(F.sum("w").alias("score"))
+    central = materialise(central, "central")
+
+    labels, links = active.select("sid", "n", F.col("sid").alias("label")), []
+    for number in range(ROUNDS):
+        posted = _mixed(matched, labels).join(central, "sid")
+        more, labels = _round(posted, labels, texts, number)
+        links.append(more)
+        if more.isEmpty():
+            break
+    grouped, members = _groups(labels, texts)
+    posted = _mixed(matched, grouped.select("sid", "n", "label"))
+    posted = materialise(posted.join(grouped.select("sid", "group"), "sid"), "grouped")
+    matrix = posted.groupBy("token", "group").agg(F.first("label").alias("of"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    n = F.col("n")
+    met = posted.select("token", F.col("sid").alias("a"), "n", "label").join(matrix, "token").filter((F.col("of") < F.col("label")) & (100 * F.col("hi") >= 80 * n) & (80 * F.col("lo") <= 100 * n))
+    spans = met.groupBy("a", "group", "n").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    low, high = F.greatest("lo", F.ceil(0.8 * n - 1e-9)), F.least("hi", F.floor(1.25 * n + 1e-9))
+    asked = spans.filter(F.col("c") >= F.least(_fewest_shared(n, low), _fewest_shared(n, high)))
+    links.append(_verified(materialise(asked.select("a", "group"), "asked"), members, texts))
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    return rows, materialise(every, "links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
