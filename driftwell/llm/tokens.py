@@ -27,6 +27,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.memo: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -38,18 +39,28 @@ class WordTokens:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def _core(word: str) -> tuple[str, str]:
+        """(core, tail) of a word whose ids are those of both: letters in lower case, and one full stop or comma."""
+        core, tail = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        return (core.lower(), tail) if core.isalpha() and (core.isascii() or max(core) <= "\xff") else (word, "")
+
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
+        cut = [self._core(w) for w in words]
+        new = [*{c for c, _ in cut}.difference(self.cores), *(t for t in ".," if t not in self.cores)]
+        plain = [w for w in new if "<|" not in w]
         for lo in range(0, len(plain), 500):
             part = plain[lo : lo + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([BETWEEN.join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.between)
             raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             for w, s, e in zip(part, starts, ends, strict=True):
-                self.memo[w] = raw[4 * s : 4 * e]
-        for w in words:
+                self.cores[w] = raw[4 * s : 4 * e]
+        for w in new:
             if "<|" in w:
-                self.memo[w] = self.whole(w)
+                self.cores[w] = self.whole(w)
+        for w, (core, tail) in zip(words, cut, strict=True):
+            self.memo[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of a batch of texts; null counts as empty."""
@@ -59,6 +70,7 @@ class WordTokens:
             seen.update(words or ())
         if len(self.memo) + len(seen) > MEMO_WORDS:
             self.memo.clear()
+            self.cores.clear()
         self._learn([w for w in seen.difference(self.memo) if len(w) <= MEMO_CHARS])
         long = {w: self.whole(w) for w in seen if len(w) > MEMO_CHARS}
         get = self.memo.__getitem__
