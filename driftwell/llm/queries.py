@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
-from .jaccard_join import op3_jaccard_join
+from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .knn import OP7_SQL, op7_top_k
 from .language_id import op1_language
 from .packing import op9_pack
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_pii": OP6_SQL, "op7_top_k": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_pii": OP6_SQL, "op7_top_k": OP7_SQL, "op10_warc": OP10_SQL}
