@@ -27,7 +27,7 @@ from .shingles import common, linked, set_id, shingle_sets
 
 #: Counters of the sketch (16 bits each in a task, 32 in the sum) and the parts in which it is summed.
 SKETCH_BITS, SKETCH_PARTS = 21, 16
-GROUP_SETS = 16
+GROUP_SETS = 32
 #: Rounds of leaders before the matrix, and leaders for each set in one; they save comparisons and decide nothing.
 ROUNDS, LEADERS = 2, 8
 #: A rare shingle is hot with more than this share of all sets, by the sketch.
@@ -140,23 +140,20 @@ def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of candidate pairs (a, group), with members (group, members)."""
+def _verified(pairs: DataFrame, grouping: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of candidate pairs (a, group), with the sets of groups (sid, group); texts go where they are asked for."""
     weights = pairs.groupBy("group").agg(F.count("*").alias("weight"))
+    members = grouping.join(weights, "group").join(texts, "sid").groupBy("group").agg(F.collect_list(F.struct("sid", "text")).alias("members"), F.first("weight").alias("weight"))
     asked = pairs.join(texts.withColumnRenamed("sid", "a"), "a")
-    opened = skew_join(asked, groups.join(weights, "group"), "group", "a", pairs.count())
-    return opened.select("a", "text", "group", "members").mapInArrow(_open_groups, "a long, b long")
+    return skew_join(asked, members, "group", "a", pairs.count()).select("a", "text", "group", "members").mapInArrow(_open_groups, "a long, b long")
 
 
-def _groups(labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sid, label, group) and (group, members) of sets cut in blocks of about GROUP_SETS of one label."""
+def _groups(labels: DataFrame) -> DataFrame:
+    """(sid, n, label, size, group): sets cut in blocks of about GROUP_SETS of one label, with the label's size."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
-    n = labels.count()
-    blocked = skew_join(labels, sizes.withColumn("size", F.col("weight")), "label", "sid", n)
-    # label and group of each set
-    grouped = materialise(blocked.select("sid", "n", "label", F.xxhash64("label", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / GROUP_SETS))).alias("group")), "groups")
-    members = grouped.join(texts, "sid").groupBy("group").agg(F.collect_list(F.struct("sid", "text")).alias("members"))
-    return grouped, members
+    blocked = skew_join(labels, sizes.withColumn("size", F.col("weight")), "label", "sid", labels.count())
+    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / GROUP_SETS))
+    return materialise(blocked.select("sid", "n", "label", "size", F.xxhash64("label", block).alias("group")), "groups")
 
 
 def _fewest_shared(n, m):
@@ -171,19 +168,24 @@ def _round(posted: DataFrame, labels: DataFrame, texts: DataFrame, number: int)
     A token's leaders are of its label with the highest score, so labels only move one way and no ring can form; which
     member leads depends on the token, so a large group has several. A set takes those with which it shares most tokens.
     """
+    leaders = LEADERS if number else 1
     best = posted.groupBy("label").agg(F.max("score").alias("best"), F.count("*").alias("weight"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    best = best.join(sizes, "label")
     ranked = skew_join(posted, best, "label", "sid", posted.count())
     spread = F.xxhash64("sid", F.pmod(F.xxhash64("token"), F.lit(LEADERS)), F.lit(number))
-    rank = F.struct((-F.col("best")).alias("s"), F.xxhash64("label").alias("h"), F.when(F.lit(number == 0), F.lit(0)).otherwise(spread).alias("k"), "sid", "n", "label")
+    rank = F.struct((-F.col("best")).alias("s"), F.xxhash64("label").alias("h"), F.when(F.lit(number == 0), F.lit(0)).otherwise(spread).alias("k"), "sid", "n", "label", "size")
     lead = materialise(ranked.groupBy("token").agg(F.min(rank).alias("lead"), F.count("*").alias("weight")), "leads")
     met = skew_join(posted, lead, "token", "sid", posted.count()).filter(F.col("label") != F.col("lead.label"))
+    if number:  # small groups are left to the matrix
+        met = met.filter(F.col("lead.size") >= 2 * LEADERS)
     near = F.least(F.col("n"), F.col("lead.n")) * 100 >= F.greatest(F.col("n"), F.col("lead.n")) * 80
     lead_of = F.struct(F.col("lead.sid").alias("sid"), F.col("lead.label").alias("label"))
-    counted = met.filter(near).groupBy("sid", "n", lead_of.alias("lead"), F.col("lead.n").alias("m")).agg(F.count("*").alias("c")).filter(4 * LEADERS * F.col("c") >= _fewest_shared(F.col("n"), F.col("m")))
+    counted = met.filter(near).groupBy("sid", "n", lead_of.alias("lead"), F.col("lead.n").alias("m")).agg(F.count("*").alias("c")).filter(4 * leaders * F.col("c") >= _fewest_shared(F.col("n"), F.col("m")))
     place = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("c"), "lead"))
-    pairs = materialise(counted.withColumn("place", place).filter(F.col("place") <= LEADERS).select(F.col("sid").alias("a"), F.col("lead.sid").alias("group")), f"pairs-{number}")
-    leaders = pairs.select(F.col("group").alias("sid")).distinct().join(texts, "sid").select(F.col("sid").alias("group"), F.array(F.struct("sid", "text")).alias("members"))
-    links = materialise(_verified(pairs, leaders, texts), f"links-{number}")
+    pairs = materialise(counted.withColumn("place", place).filter(F.col("place") <= leaders).select(F.col("sid").alias("a"), F.col("lead.sid").alias("group")), f"pairs-{number}")
+    chosen = pairs.select(F.col("group").alias("sid"), "group").distinct()
+    links = materialise(_verified(pairs, chosen, texts), f"links-{number}")
     of = labels.select(F.col("sid").alias("b"), F.col("label").alias("to"))
     # a set's leaders may be of several labels, all of higher scores than its own; any will do
     targets = skew_join(links, of.join(links.groupBy("b").agg(F.count("*").alias("weight")), "b"), "b", "a", links.count())
@@ -235,16 +237,18 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links.append(more)
         if more.isEmpty():
             break
-    grouped, members = _groups(labels, texts)
+    grouped = _groups(labels)
     posted = _mixed(matched, grouped.select("sid", "n", "label"))
-    posted = materialise(posted.join(grouped.select("sid", "group"), "sid"), "grouped")
-    matrix = posted.groupBy("token", "group").agg(F.first("label").alias("of"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    posted = materialise(posted.join(grouped.select("sid", "size", "group"), "sid"), "grouped")
+    matrix = posted.groupBy("token", "group").agg(F.first("label").alias("of"), F.first("size").alias("others"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     n = F.col("n")
-    met = posted.select("token", F.col("sid").alias("a"), "n", "label").join(matrix, "token").filter((F.col("of") < F.col("label")) & (100 * F.col("hi") >= 80 * n) & (80 * F.col("lo") <= 100 * n))
+    # of two labels the sets of the smaller one meet the groups of the larger
+    smaller = F.struct("size", "label") < F.struct(F.col("others").alias("size"), F.col("of").alias("label"))
+    met = posted.select("token", F.col("sid").alias("a"), "n", "label", "size").join(matrix, "token").filter(smaller & (100 * F.col("hi") >= 80 * n) & (80 * F.col("lo") <= 100 * n))
     spans = met.groupBy("a", "group", "n").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     low, high = F.greatest("lo", F.ceil(0.8 * n - 1e-9)), F.least("hi", F.floor(1.25 * n + 1e-9))
     asked = spans.filter(F.col("c") >= F.least(_fewest_shared(n, low), _fewest_shared(n, high)))
-    links.append(_verified(materialise(asked.select("a", "group"), "asked"), members, texts))
+    links.append(_verified(materialise(asked.select("a", "group"), "asked"), grouped.select("sid", "group"), texts))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
