@@ -28,6 +28,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Writes df as a table bucketed by key in the warehouse, so that joins on key don't shuffle it again."""
+    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(slices_of(spark), key).saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

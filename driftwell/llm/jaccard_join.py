@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, skew_join
+from .common import bucketed, components, materialise, skew_join
 from .shingles import common, linked, set_id, shingle_sets
 
 #: Counters of the sketch (16 bits each in a task, 32 in the sum) and the parts in which it is summed.
@@ -224,7 +224,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     matched = materialise(few.unionByName(hot), "matched")
     owners = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     active = materialise(owners.join(matched.select("sid").distinct(), "sid"), "active")
-    texts = materialise(docs.join(active.select("doc_id", "sid"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "texts")
+    texts = bucketed(docs.join(active.select("doc_id", "sid"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "sid", "texts")
 
     weights = matched.groupBy("token").agg(F.count("*").alias("weight"))
     central = skew_join(matched, weights.withColumn("w", F.col("weight")), "token", "sid", matched.count()).groupBy("sid").agg(F.sum("w").alias("score"))
