@@ -5,6 +5,8 @@ Cells truncate toward zero, so those that touch zero are double width; this defi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,30 +36,31 @@ def insert_spaced(df: DataFrame, size: float, capacity: int, least_distance: flo
     """Points that a map takes, cell by cell and in order: while the cell has under `capacity` points and none of them is
     within `least_distance`.
 
-    A cell is a group of its own. Its points are first thinned to one for each sub-cell of the spacing's size over the
-    square root of three, of which at most the first could be taken, so a crowded cell stays bounded.
+    Cells are sorted within partitions and streamed: a cell's state is the points it has taken, so a crowded one stays bounded.
     """
-    fine = least_distance / 3**0.5 * 0.999
-    sub = [F.floor(F.col(c) / fine).alias(f"__{c}") for c in "xyz"] if fine > 0 else []
-    cells = with_cells(df, size)
-    rest = [c for c in df.columns if c not in order]
-    if sub:
-        cells = cells.groupBy(*CELL, *sub).agg(F.min(F.struct(*order, *rest)).alias("__row")).select(*CELL, "__row.*").select(*CELL, *df.columns)
-    schema = cells.schema
-
-    def insert(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        taken, held = [], np.empty((capacity, 3))
-        for k, p in enumerate(rows[["x", "y", "z"]].to_numpy(float)):
-            n = len(taken)
-            if n >= capacity:
-                break
-            if not n or ((held[:n] - p) ** 2).sum(1).min() > least_distance**2:
-                held[n] = p
-                taken.append(k)
-        return rows.iloc[taken]
-
-    return cells.groupBy(*CELL).applyInPandas(insert, schema)
+    cells = with_cells(df, size).repartition(*CELL).sortWithinPartitions(*CELL, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for rows in batches:
+            keys = np.nan_to_num(rows[CELL].to_numpy(float), nan=np.inf)
+            points, taken = rows[["x", "y", "z"]].to_numpy(float), []
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(rows)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                if key is None or (keys[lo] != key).any():  # a cell may go on from the last batch
+                    key, held = keys[lo], []
+                free = np.arange(lo, hi)
+                for p in held:
+                    free = free[((points[free] - p) ** 2).sum(1) > least_distance**2]
+                while len(free) and len(held) < capacity:
+                    taken.append(free[0])
+                    held.append(points[free[0]].copy())
+                    free = free[1:][((points[free[1:]] - held[-1]) ** 2).sum(1) > least_distance**2]
+            yield rows.iloc[taken]
+
+    return cells.mapInPandas(run, cells.schema)
 
 
 def _offsets(reach: int) -> Column:

@@ -65,6 +65,25 @@ def test_spaced_insert(spark):
         assert not len(d) or d.min() > 0.3
 
 
+def test_spaced_insert_equals_a_plain_ordered_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, 0.1, 0.1, 0.1), (1, 0.1, 0.59, 0.1), (2, 0.1, 0.8, 0.1)]
+    rows += [(k, *map(float, p)) for k, p in enumerate(rng.uniform(-2, 2, (1500, 3)), 3)] + [(k, *map(float, p)) for k, p in enumerate(rng.uniform(2.1, 3.9, (1500, 3)), 2000)]
+    taken: dict = {}
+    for k, *p in rows:
+        held = taken.setdefault(tuple(int(c / 2.0) for c in p), [])
+        if len(held) < 20 and all(np.sum((np.array(p) - q) ** 2) > 0.25 for _, q in held):
+            held.append((k, np.array(p)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # cells go on over batches
+    try:
+        got = voxel.insert_spaced(spark.createDataFrame(rows, "id long, x double, y double, z double").repartition(3), 2.0, 20, 0.5, ["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {0, 2} <= {r.id for r in got}
+    assert sorted((r.id, (r.kx, r.ky, r.kz)) for r in got) == sorted((k, cell) for cell, held in taken.items() for k, _ in held)
+
+
 def test_neighbours_equal_brute_force_around_zero(spark):
     rows = [(k, float(x) / 2, float(y) / 2, float(z) / 2) for k, (x, y, z) in enumerate((x, y, z) for x in range(-3, 4) for y in range(-3, 4) for z in (-1, 0, 1))]
     df = spark.createDataFrame(rows, "id long, x double, y double, z double")
