@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input joins an embedding of the word and one of its character n-grams, both hashed. Every text is cut in
-overlapping windows of words; a text's score is that of its worst window. Training takes, in each step, the window of
+overlapping windows of words; a text's score is that of its worst window. A word that is too long goes on as overlapping
+pieces, so a text without spaces is read to its end. Training takes, in each step, the window of
 a document that scores highest now (so a clean document's best window must be clean, too).
 """
 
@@ -22,6 +23,8 @@ WORD_BITS, CHAR_BITS, CHAR_ORDERS = 14, 15, (3, 4, 5)
 DOCS_PER_CLASS, CHARS_PER_DOC = 1000, 8000
 #: Passes over the sample: EPOCHS, and as many more as a small one needs for LEAST_STEPS steps.
 EPOCHS, LEAST_STEPS, DOCS_AT_ONCE, RATE = 12, 150, 64, 0.03
+#: Characters of a word; a longer one is cut in pieces that overlap by the longest n-gram less one.
+WORD_CHARS = 64
 #: Documents that must share a word or n-gram before its log-odds count half.
 DOUBT = 8
 #: Steps of the embeddings against those of the network: large ones learn single documents by heart.
@@ -35,7 +38,7 @@ _MIX = np.uint32(0x9E3779B1)
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word bucket per word, n-gram buckets of all words, which word each of them belongs to)."""
-    plain = ["\x02" + (w.strip(EDGES) or w)[:64] + "\x03" for w in words]
+    plain = ["\x02" + w + "\x03" for w in words]
     codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(w) for w in plain])
     owner = np.repeat(np.arange(len(plain)), sizes)
@@ -55,12 +58,24 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return whole.astype(np.int64), np.concatenate(grams).astype(np.int64), np.concatenate(whose)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words; a word that follows itself over and over counts twice, or its run would fill windows."""
-    words = text.lower().split()
+def _unrepeated(words: list[str]) -> list[str]:
+    """A word that follows itself over and over counts twice, or its run would fill windows."""
     return words[:2] + [w for w, a, b in zip(words[2:], words[1:], words, strict=False) if w != a or a != b]
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words without their EDGES, runs of one word cut to two; longer ones than WORD_CHARS as their pieces."""
+    out = []
+    for w in _unrepeated(text.lower().split()):
+        w = w.strip(EDGES) or w
+        if len(w) <= WORD_CHARS:
+            out.append(w)
+        else:
+            overlap = CHAR_ORDERS[-1] - 1
+            out += _unrepeated([w[k : k + WORD_CHARS] for k in range(0, len(w) - overlap, WORD_CHARS - overlap)])
+    return out
+
+
 def windows(n: int) -> np.ndarray:
     """Where the windows of a text of n words start; the last one reaches its end."""
     return np.arange(max(1, -(-(n - LENGTH) // STRIDE) + 1)) * STRIDE

@@ -54,6 +54,22 @@ def test_toxic_words_are_found_wherever_they_stand():
     assert np.isfinite(scores).all() and scores[-1] >= 0.3
 
 
+def test_toxicity_reads_long_words_to_their_end():
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh.,") for _ in range(1000))
+    pieces = toxicity.words_of(f"It, {long} ends.")
+    assert pieces[0] == "it" and pieces[-1] == "ends" and max(map(len, pieces)) <= toxicity.WORD_CHARS
+    plain, order = long.strip(toxicity.EDGES), max(toxicity.CHAR_ORDERS)
+    assert all(any(plain[k : k + order] in p for p in pieces) for k in range(len(plain) - order + 1))
+    assert toxicity.words_of("x" * toxicity.WORD_CHARS) == ["x" * toxicity.WORD_CHARS]
+    assert 2 <= len(toxicity.words_of("x" * 100_000)) <= 4
+    network = toxicity.Network()
+    network.p["chars"][:] = np.random.default_rng(1).standard_normal(network.p["chars"].shape)
+    prefix, other = long[:200], long[:200].replace("a", "z")
+    scores = toxicity.Scorer(network).score([prefix + "z" * 40, prefix + "zqxabc" * 20, other + "z" * 40])
+    assert len(set(scores)) == 3
+
+
 def test_toxicity_gradients():
     network = toxicity.Network(3)
     names = ["\x00", *words(random.Random(1), 30).split()]
