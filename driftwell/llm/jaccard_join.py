@@ -162,6 +162,15 @@ def _fewest_shared(n, m):
     return F.greatest(overlap - F.ceil(0.8 * F.greatest(n, m) - 1e-9) + 1, F.lit(1))
 
 
+def _fewest_within(n, low, high):
+    """The least of _fewest_shared over all sizes from low to high.
+
+    Up to m = n it never falls. Above, its ceilings make it step back by one while it falls by 16/45 a size, so its least
+    is among the last three sizes.
+    """
+    return F.least(_fewest_shared(n, low), *(_fewest_shared(n, F.greatest(high - k, low)) for k in range(3)))
+
+
 def _round(posted: DataFrame, labels: DataFrame, texts: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     """(links, labels) after each set of `posted` (token, sid, n, label, score) is compared with some leaders.
 
@@ -247,7 +256,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = posted.select("token", F.col("sid").alias("a"), "n", "label", "size").join(matrix, "token").filter(smaller & (100 * F.col("hi") >= 80 * n) & (80 * F.col("lo") <= 100 * n))
     spans = met.groupBy("a", "group", "n").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     low, high = F.greatest("lo", F.ceil(0.8 * n - 1e-9)), F.least("hi", F.floor(1.25 * n + 1e-9))
-    asked = spans.filter(F.col("c") >= F.least(_fewest_shared(n, low), _fewest_shared(n, high)))
+    asked = spans.filter(F.col("c") >= _fewest_within(n, low, high))
     links.append(_verified(materialise(asked.select("a", "group"), "asked"), grouped.select("sid", "group"), texts))
     every = links[0]
     for more in links[1:]:

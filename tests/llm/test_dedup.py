@@ -5,7 +5,9 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from driftwell.llm import jaccard_join
 from driftwell.llm.exact_dedup import CuckooIndex, exact_dedup, keep_first, update_index
 from driftwell.llm.jaccard_join import jaccard_components, keep_one_of_each
 from driftwell.llm.suffix_dedup import remove_repeats
@@ -86,6 +88,29 @@ def test_jaccard_components_equal_brute_force(spark, seed):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_jaccard_link_at_the_edge_of_a_group(spark):
+    """A (100 shingles) links with B (104) alone, and shares the least number of rare ones with B's group (103 to 105)."""
+    found, groups = [], []
+    for k in range(12):
+        word = lambda name, n: [f"{name}{k}x{i}" for i in range(n)]  # noqa: B023, E731
+        same, tail = word("s", 95), word("t", 13)
+        texts = [word("a", 9) + same, same + tail, same[1:] + tail, same + tail + word("d", 1), word("e", 60) + same[:5] + word("f", 60)]
+        assert [len(_shingles(" ".join(t))) for t in texts[:4]] == [100, 104, 103, 105]
+        found += [(10 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+        groups += [(10 * k + i, 10 * k if i < 4 else 10 * k + 4) for i in range(5)]
+    got = [(r.doc_id, r.component_id) for r in jaccard_components(frame(spark, found)).collect()]
+    assert sorted(got) == groups
+
+
+def test_bound_of_groups_is_the_least_of_all_sizes(spark):
+    def fewest(n, m):
+        return max(1, -(-4 * (n + m) // 9) + (-4 * max(n, m) // 5) + 1)
+
+    cases = [(n, low, high) for n in (1, 7, 45, 100, 333) for low in range(-(-4 * n // 5), 5 * n // 4 + 1) for high in range(low, 5 * n // 4 + 1) if n < 300 or low % 7 == 0]
+    got = spark.createDataFrame(cases, "n long, low long, high long").select("n", "low", "high", jaccard_join._fewest_within(F.col("n"), F.col("low"), F.col("high")).alias("c")).collect()
+    assert all(r.c == min(fewest(r.n, m) for m in range(r.low, r.high + 1)) for r in got)
+
+
 def test_jaccard_of_nothing_and_what_stays(spark):
     empty = spark.createDataFrame([], COLUMNS)
     assert jaccard_components(empty).count() == 0
