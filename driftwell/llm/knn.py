@@ -2,13 +2,15 @@
 
 Vectors go to the cell of their nearest pivot; a cell's summary is its count, radius and largest squared norm. A query
 first meets its own cell and the best-placed others until k candidates are sure, which gives it a floor; then it is
-sent only to cells whose bound q.p + |q| r reaches that floor. Cells are cut in blocks, so a crowded cell is many tasks.
+sent only to cells whose bound q.p + |q| r reaches that floor. A cell's vectors and the queries sent to it are both cut in
+blocks, so a crowded cell is many tasks, each of two bounded blocks.
 All arithmetic is on integers below 2**53 in doubles, so scores are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: About so many pivots, picked by a hash of the id (never over twice as many); rows of a block.
-PIVOTS, BLOCK_ROWS = 64, 4096
+#: Least number of pivots, picked by a hash of the id; from its square on, about the square root of the number of vectors
+#: (never over twice as many). About so many vectors and queries of a block.
+PIVOTS, BLOCK_ROWS, BLOCK_QUERIES = 64, 4096, 4096
+#: Numbers in a matrix of vectors by pivots at a time.
+AT_ONCE = 1 << 21
 QUERY_EACH = 20
 TOP = 20
 SCALE = 64
@@ -68,6 +73,22 @@ def _solve(k: int, width: int):
     return run
 
 
+def _blocks(spark, at_once: int, sizes: dict[int, int]) -> DataFrame:
+    """(cell, n_blocks) of cells of these sizes; a row for each pivot at most."""
+    return F.broadcast(spark.createDataFrame([(c, -(-n // at_once)) for c, n in sizes.items()], "cell int, n_blocks int"))
+
+
+def _blocked(df: DataFrame, name: str, at_once: int, sizes: dict[int, int]) -> DataFrame:
+    """Rows (vec_id, v, cell) with the number of their block in the cell; blocks are of about at_once rows."""
+    block = F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")
+    return df.select("vec_id", "v", "cell").join(_blocks(df.sparkSession, at_once, sizes), "cell").withColumn(name, block).drop("n_blocks")
+
+
+def _repeated(df: DataFrame, name: str, at_once: int, sizes: dict[int, int]) -> DataFrame:
+    """Rows once for each of the cell's blocks of the other side; those of a cell without any are left out."""
+    return df.join(_blocks(df.sparkSession, at_once, sizes), "cell").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with all rows but its own id.
 
@@ -80,12 +101,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     if not total:
         return empty
     width = vectors.agg(F.max(F.size("v"))).first()[0]
-    picked = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(total)) < PIVOTS).limit(2 * PIVOTS).collect() or vectors.limit(1).collect()
+    n_pivots = max(PIVOTS, isqrt(total))
+    picked = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(total)) < n_pivots).limit(2 * n_pivots).collect() or vectors.limit(1).collect()
     pivots = np.unique(_matrix([r.v for r in picked], width), axis=0)
     square = (pivots * pivots).sum(1)
+    step = max(1, AT_ONCE // len(pivots))
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            for lo in range(0, len(rows), step):
+                yield rows.iloc[lo : lo + step]
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts(batches):
             x = _matrix(rows["v"].tolist(), width)
             away = (x * x).sum(1)[:, None] - 2 * (x @ pivots.T) + square
             cell = away.argmin(1)
@@ -95,15 +123,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     summary = {r.cell: r for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect()}
     cells = np.array(sorted(summary))
     sizes, radius = np.array([summary[c].n for c in cells]), np.sqrt([summary[c].far for c in cells]) * (1 + 1e-9)
-    blocks = {int(c): -(-int(n) // BLOCK_ROWS) for c, n in zip(cells, sizes, strict=True)}
-    n_blocks = F.element_at(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv)), F.col("cell"))
-    rows = celled.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
+    rows = _blocked(celled, "block", BLOCK_ROWS, {int(c): int(n) for c, n in zip(cells, sizes, strict=True)})
 
     def sent(first: bool):
         """Query rows for each cell that matters: those that surely hold the k best so far, or those that can beat the floor."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
+            for part in parts(batches):
                 q = _matrix(part["v"].tolist(), width)
                 norm = np.sqrt((q * q).sum(1))[:, None]
                 middle, reach = q @ pivots[cells].T, norm * radius
@@ -124,8 +150,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     sends = "vec_id long, v array<double>, cell int"
 
     def solved(asked: DataFrame) -> DataFrame:
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        return asked.groupBy("cell", "block").cogroup(rows.groupBy("cell", "block")).applyInPandas(_solve(k, width), "query_id long, vec_id long, score long")
+        asking = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+        asked = _blocked(asked, "part", BLOCK_QUERIES, asking)
+        left = _repeated(asked, "block", BLOCK_ROWS, {c: int(summary[c].n) for c in asking})
+        right = _repeated(rows, "part", BLOCK_QUERIES, asking)
+        by = ("cell", "block", "part")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_solve(k, width), "query_id long, vec_id long, score long")
 
     asked = materialise(queries.mapInPandas(sent(True), sends), "first-asked")
     near = materialise(solved(asked), "near")
@@ -133,7 +163,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     floors = near.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-(2.0**60))).cast("double").alias("floor"))
     tried = asked.groupBy("vec_id").agg(F.collect_set("cell").alias("tried"))
     more = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").drop("query_id").join(tried, "vec_id").select("vec_id", "v", F.coalesce("floor", F.lit(-(2.0**60))).alias("floor"), "tried")
-    far = solved(more.mapInPandas(sent(False), sends))
+    far = solved(materialise(more.mapInPandas(sent(False), sends), "then-asked"))
     ranked = near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

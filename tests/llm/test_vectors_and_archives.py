@@ -33,6 +33,37 @@ def test_top_k_equals_brute_force(spark):
     assert knn.top_k(vectors.filter("vec_id < 0"), vectors, 5).count() == 0
 
 
+def test_top_k_joins_bounded_blocks(spark, monkeypatch):
+    """One cell holds nearly all vectors and gets nearly all queries: no task may hold many of either."""
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 8, raising=False)
+    monkeypatch.setattr(knn, "PIVOTS", 2)
+    solve = knn._solve
+
+    def bounded(k, width):
+        run = solve(k, width)
+
+        def checked(key, queries, rows):
+            assert len(queries) <= 32 and len(rows) <= 128, f"{len(queries)} queries, {len(rows)} rows"
+            return run(key, queries, rows)
+
+        return checked
+
+    monkeypatch.setattr(knn, "_solve", bounded)
+    rng = np.random.default_rng(3)
+    whole = np.floor(np.vstack([rng.standard_normal((390, 6)), rng.standard_normal((10, 6)) + 50]) * 64)
+    whole[:300] = np.floor(whole[:300] / 640)
+    vectors = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(whole)], "vec_id long, v array<double>").repartition(3)
+    got = {}
+    for r in knn.top_k(vectors, vectors.filter("vec_id % 2 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(got) == 200
+    for q, ranks in got.items():
+        scores = whole @ whole[q]
+        order = [k for k in np.lexsort((np.arange(400), -scores)) if k != q][:5]
+        assert sorted(ranks) == [(n, k, int(scores[k])) for n, k in enumerate(order, 1)]
+
+
 PAGES = [(1, "http://a", "x" * 150), (2, "http://b\r\n", "x" * 150), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", "é😀" * 60), (9, "u", "é😀" * 60), (8, "u", "é😀" * 60), (None, "u", "x" * 150), (10, "u", "big" * 200_000), (10, "u", "big" * 200_000)]
 
 
