@@ -40,7 +40,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows."""
+    """Personal data of every score is replaced by its kind; n_chars follows."""
     return masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from driftwell.llm import language_id, packing, pieces, toxicity
-from driftwell.llm.pii import KINDS, masked, pii_spans
+from driftwell.llm.pii import CONTEXT, KINDS, masked, op6_pii, pii_spans
 
 from .data import COLUMNS, frame, rows, words
 
@@ -122,6 +122,15 @@ def test_pii_kinds_places_and_masks(spark):
     assert len(KINDS) == 5
 
 
+def test_pii_query_works_out_the_context_scores(spark, sf_dir):
+    got = op6_pii(spark, sf_dir)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(pattern in plan for pattern in CONTEXT.values())
+    found = {r.doc_id: [f"{s.kind}:{s.start}:{s.end}" for s in r.pii] for r in pii_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for r in got.collect():
+        assert r.spans == ",".join(found[r.doc_id]) and all(r[f"n_{k}"] == sum(s.startswith(f"{k}:") for s in found[r.doc_id]) for k in KINDS)
+
+
 def test_packing_is_whole_and_gapless(spark):
     found = rows() + [(900, "<|endoftext|> a<|startoftext|>b c\x1cd It's 42"), (901, words(random.Random(9), 3000))]
     tokenizer = Tokenizer.from_file(WORDS)
