@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ SCRATCH_KEY = "spark.checkpoint.dir"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the cluster's shared folder; a local folder only where the cluster names none."""
+    """A new path under the cluster's shared folder. Where none is named, a local folder serves a local master alone."""
     base = spark.conf.get(SCRATCH_KEY, None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{SCRATCH_KEY} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-driftwell-")
         spark.conf.set(SCRATCH_KEY, base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -28,11 +31,22 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
-    """Writes df as a table bucketed by key in the warehouse, so that joins on key don't shuffle it again."""
-    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(slices_of(spark), key).saveAsTable(name)
-    return spark.table(name)
+#: Texts go to Python in batches of so many rows, so that a worker holds a few MB of them.
+TEXTS_AT_ONCE = 2000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows per Arrow batch for operators whose rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_AT_ONCE)
+
+
+#: Rows of a few numbers that may be broadcast.
+SMALL_SIDE = 1 << 19
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table of few columns, to be broadcast if it has SMALL_SIDE rows at most; else Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL_SIDE else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +65,7 @@ HOT_LEAST = 64
 def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, n_rows: int, how: str = "inner", weight: str = "weight") -> DataFrame:
     """Equi-join of left with right, whose key is unique and whose `weight` says how many left rows have it.
 
-    Hot keys (at most HOT_SHARE of them, by the threshold) are broadcast with a salt count; their left rows are
+    n_rows: the rows of left. Hot keys (at most HOT_SHARE of them, by the threshold) are broadcast with a salt count; their left rows are
     spread by a hash of `spread` and their right row is repeated once per salt.
     """
     least = max(HOT_LEAST, n_rows // HOT_SHARE)
@@ -62,17 +76,19 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, n_rows:
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
-def components(edges: DataFrame, n_rows: int, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable from each node of `edges` (a, b long), by alternating stars.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable from each node of `edges` (a, b of one type), by alternating stars.
 
     Each round relinks the edges to smaller nodes (large star, then small star) and is written to the shared
-    folder, so the plan stays short; hub nodes are handled by partial minima and salted joins.
+    folder, so the plan stays short; hub nodes are handled by partial minima and salted joins. Rounds go on until one
+    changes nothing; each halves the depth of the trees or so, so there are few.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "edges")
-    before = None
-    for _ in range(rounds):
+    before, now = None, ()
+    while now != before:
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("o")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("o")))
+        n_rows = 2 * edges.count()
         low = both.groupBy("n").agg(F.min("o").alias("low"), F.count("*").alias("weight")).withColumn("low", F.least("low", "n"))
         large = skew_join(both.filter("o > n"), low, "n", "o", n_rows).select(F.col("o").alias("u"), F.col("low").alias("v"))
         large = large.filter("u <> v").distinct()
@@ -80,10 +96,8 @@ def components(edges: DataFrame, n_rows: int, rounds: int = 60) -> DataFrame:
         small = skew_join(large, small_low, "u", "v", n_rows)
         edges = small.select(F.greatest("v", "low").alias("u"), F.least("v", "low").alias("v")).unionByName(small_low.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
         edges = materialise(edges, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
-            break
-        before = now
+        pair = F.xxhash64("u", "v")
+        before, now = now, tuple(edges.agg(F.count("*"), F.sum(pair.cast("decimal(38,0)")), F.bit_xor(pair), F.bit_xor(F.xxhash64("v", "u"))).first())
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -2,13 +2,14 @@
 
 1. Each text becomes its set of word shingles; texts with one set are one node from then on.
 2. A count sketch of all shingles orders them, rarest first. Two linked sets share a shingle among the rarest
-   n - ceil(0.8 n) + 1 of each, so only those are matched.
-3. Sets are put in groups of similar ones: in a few rounds each set is compared with a leader of its rare shingles, those
-   that link get one label, and labels are cut in blocks. The matrix says which rare shingles occur in which group.
-4. A set meets the groups of other labels. How many rare shingles it shares with the group bounds its overlap with any
-   member, then the group's whole token union does; only groups that reach both bounds are opened and their members
-   compared exactly.
-Components then come from the links, as distributed jobs.
+   n - ceil(0.8 n) + 1 of each, so only those are matched, and only those that occur in two sets.
+3. Sets are put in groups of similar ones: each set is compared with one leader, the most central set among those of its
+   rare shingles; what links gets one label, and labels are cut in blocks, the groups. The matrix says which rare shingles
+   occur in which label and which group.
+4. A set meets the other labels, then the groups of those that can hold a link: how many rare shingles it shares bounds
+   its overlap with any member. A group that passes is given the set's shingles; its token union bounds the overlap again,
+   and only then is it opened and its members compared exactly.
+Components then come from the links, as distributed jobs. Shingles of a text are moved only for sets that are compared.
 """
 
 from __future__ import annotations
@@ -19,42 +20,50 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, materialise, skew_join
+from .common import components, in_small_batches, materialise, skew_join, slices_of, small_side
 from .shingles import common, linked, set_id, shingle_sets
 
 #: Counters of the sketch (16 bits each in a task, 32 in the sum) and the parts in which it is summed.
 SKETCH_BITS, SKETCH_PARTS = 21, 16
-GROUP_SETS = 32
-#: Rounds of leaders before the matrix, and leaders for each set in one; they save comparisons and decide nothing.
-ROUNDS, LEADERS = 2, 8
-#: A rare shingle is hot with more than this share of all sets, by the sketch.
-HOT_SHINGLE = 1000
+#: A group has about so many sets and shingles at most, a single larger set aside.
+GROUP_SETS, GROUP_SHINGLES = 32, 200_000
+#: A rare shingle is hot with more than this share of all sets, by the sketch; its rows are dealt out by so many salts.
+HOT_SHINGLE, SALTS = 1000, 64
+#: Sets that one copy of a group is compared with.
+ASKERS = 256
+#: Bits of the filter of sets that are to be compared: 8 for each of them, but no more than 2**MOST_BITS (32 MB).
+LEAST_BITS, MOST_BITS, FILTER_PARTS = 20, 28, 16
+
+SID = pa.binary(16)
+
+
+def _sketched(sketch: np.ndarray, sets: list[np.ndarray]) -> None:
+    np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, sid) of each row; at the end the task's part of the sketch (part, counts)."""
-    sketch, schema = np.zeros(1 << SKETCH_BITS, np.int64), pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    sketch, schema = np.zeros(1 << SKETCH_BITS, np.uint32), pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        sizes, ids = [], []
-        waiting, held = [], 0
+        sizes, ids, waiting, held = [], [], [], 0
         for s in shingle_sets(batch.column("text").to_pylist()):
             sizes.append(len(s))
             ids.append(set_id(s) if len(s) else None)
             waiting.append(s)
             held += len(s)
-            if held > 1 << 20:
-                sketch += np.bincount((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            if held > 1 << 18:
+                _sketched(sketch, waiting)
                 waiting, held = [], 0
         if waiting:
-            sketch += np.bincount((np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], schema=schema)
+            _sketched(sketch, waiting)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], schema=schema)
     parts = np.minimum(sketch, 0xFFFF).astype("<u2").reshape(SKETCH_PARTS, -1)
     packed = [zlib.compress(p.tobytes(), 1) for p in parts]
     none = pa.nulls(SKETCH_PARTS, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+    yield pa.RecordBatch.from_arrays([none, none, pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
 
 def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -69,13 +78,17 @@ def _least_overlap(n: int) -> int:
     return -(-80 * n // 100)
 
 
+def _id_column(raw: bytes, n: int) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(SID, n, [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def _rare(sketch, hot_from: int):
-    """(token, sid, hot) of each set's rarest shingles, once per set and task."""
+    """(token, sid, hot) of each set's rarest shingles, once per set and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, done = np.frombuffer(zlib.decompress(sketch.value), "<u4"), set()
+        counts = np.frombuffer(zlib.decompress(sketch.value), "<u4")
         for batch in batches:
-            tokens, sids, hot = [], [], []
+            tokens, sids, hot, done = [], [], [], set()
             for s in shingle_sets(batch.column("text").to_pylist()):
                 if not len(s) or (sid := set_id(s)) in done:
                     continue
@@ -84,76 +97,119 @@ def _rare(sketch, hot_from: int):
                 weight = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((s, weight))[:keep]
                 tokens.append(s[order].view(np.int64))
-                sids.append(np.full(keep, sid))
+                sids.append(sid * keep)
                 hot.append(weight[order] > hot_from)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, hot)], ["token", "sid", "hot"])
+                token = np.concatenate(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(token), _id_column(b"".join(sids), len(token)), pa.array(np.concatenate(hot))], ["token", "sid", "hot"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, sid) in that order, those whose token has another sid, each once."""
-    held = None  # the last token's rows may go on in the next batch: its first row, and whether it was given
+    """Of rows (token, sid, hot) in that order, those whose token is hot or has another sid, each once."""
+    held = None  # the last row so far, whose token may go on in the next batch, and whether it was given
     for batch in batches:
-        token, sid = batch.column("token").to_numpy(), batch.column("sid").to_numpy()
+        token, hot = batch.column("token").to_numpy(), batch.column("hot").to_numpy(zero_copy_only=False)
+        fixed = batch.column("sid").cast(SID)
+        raw = np.frombuffer(fixed.buffers()[1], "<u8")[2 * fixed.offset : 2 * (fixed.offset + len(fixed))].reshape(-1, 2)
         if held is not None:
-            token, sid = np.append(held[0], token), np.append(held[1], sid)
+            token, raw, hot = np.append(held[0], token), np.concatenate([held[1], raw]), np.append(held[2], hot)
         if not len(token):
             continue
         same = token[1:] == token[:-1]
-        fresh = np.append(True, ~same | (sid[1:] != sid[:-1]))
-        other = same & (sid[1:] != sid[:-1])
+        other = (raw[1:] != raw[:-1]).any(1)
+        fresh = np.append(True, ~same | other)
         first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(token)), 0))
         several = np.zeros(len(token), bool)
-        several[first[1:][other]] = True
-        give = fresh & several[first]
-        if held is not None and held[2]:
+        several[first[1:][same & other]] = True
+        give = fresh & (several[first] | hot)
+        if held is not None and held[3]:
             give |= fresh & (first == 0)
             give[0] = False
-        tail = first[-1]
-        given = bool(give[tail:].any() or (tail == 0 and held is not None and held[2]))
-        held = token[-1], sid[-1], given
-        # the tail's last sid stays held: if it was not given, a later row of the token will show that it is shared
-        yield pa.RecordBatch.from_arrays([pa.array(token[give]), pa.array(sid[give])], ["token", "sid"])
+        # the last row stays held: if it was not given, a later row of its token will show that it is shared
+        given = bool(give[first[-1] :].any() or (first[-1] == 0 and held is not None and held[3]))
+        held = token[-1:], raw[-1:], hot[-1:], given
+        yield pa.RecordBatch.from_arrays([pa.array(token[give]), _id_column(np.ascontiguousarray(raw[give]).tobytes(), int(give.sum()))], ["token", "sid"])
+
+
+def _filter_part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of bit numbers within one part of the filter: the part, packed."""
+    flags = np.zeros(int(rows["width"].iloc[0]), np.uint8)
+    flags[rows["bit"].to_numpy()] = 1
+    return pd.DataFrame({"part": [key[0]], "flags": [np.packbits(flags).tobytes()]})
+
+
+def _picked(flags, bits: int):
+    """(sid, shingles) of the rows (bit, text) that pass the filter, once per set and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(flags.value, np.uint8)
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            passed = np.flatnonzero(packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+            found = {set_id(s): s.tobytes() for s in shingle_sets(batch.column("text").take(pa.array(passed)).to_pylist()) if len(s)}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["sid", "shingles"])
+
+    return run
+
+
+def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, shingles) of the sets in `wanted` (sid, owner), and of some more; a set may come more than once.
+
+    The filter of their owners' ids is all that is broadcast; its size is bounded, and with too many owners it only
+    lets more rows pass.
+    """
+    spark = docs.sparkSession
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * wanted.count()).bit_length()))
+    width = bits // FILTER_PARTS
+    place = F.pmod(F.xxhash64("owner"), F.lit(bits))
+    rows = wanted.select(F.floor(place / width).cast("int").alias("part"), (place % width).cast("int").alias("bit"), F.lit(width).alias("width")).distinct()
+    parts = {r.part: bytes(r.flags) for r in rows.groupBy("part").applyInPandas(_filter_part, "part int, flags binary").collect()}
+    flags = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes(width // 8)) for k in range(FILTER_PARTS)))
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"), "text").mapInArrow(_picked(flags, bits), "sid binary, shingles binary")
 
 
 def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of rows (a, text, group, members): a group is opened if its union can hold enough of the set."""
-    last, sets, union = None, [], None
+    """Links (a, b) of rows (group, block, salt, kind, sid, shingles) in that order: of a group the members (kind 0) come
+    first, then the sets that ask. A group is opened if its union can hold enough of the set."""
+    last, members, union = None, {}, None
     for batch in batches:
         found_a, found_b = [], []
-        queries = shingle_sets(batch.column("text").to_pylist())
-        members, ids, groups = batch.column("members"), batch.column("a").to_pylist(), batch.column("group").to_pylist()
-        for k, query in enumerate(queries):
-            if groups[k] != last:
-                rows = members[k].as_py()
-                sets = list(zip([r["sid"] for r in rows], shingle_sets([r["text"] for r in rows]), strict=True))
-                union, last = np.unique(np.concatenate([s for _, s in sets])), groups[k]
-            if common(query, union) < _least_overlap(len(query)):
+        for group, block, salt, kind, sid, raw in zip(*(batch.column(c).to_pylist() for c in ("group", "block", "salt", "kind", "sid", "shingles")), strict=True):
+            if (group, block, salt) != last:
+                last, members, union = (group, block, salt), {}, None
+            shingles = np.frombuffer(raw, "<u8")
+            if kind == 0:
+                members[sid] = shingles
                 continue
-            for sid, s in sets:
-                if sid != ids[k] and linked(query, s):
-                    found_a.append(ids[k])
-                    found_b.append(sid)
+            if union is None:
+                union = np.unique(np.concatenate(list(members.values()))) if members else np.zeros(0, np.uint64)
+            if common(shingles, union) < _least_overlap(len(shingles)):
+                continue
+            for other, s in members.items():
+                if other != sid and linked(shingles, s):
+                    found_a.append(sid)
+                    found_b.append(other)
                     break  # members of a group are of one component: one link is enough
-        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
-
+        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], ["a", "b"])
 
-def _verified(pairs: DataFrame, grouping: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of candidate pairs (a, group), with the sets of groups (sid, group); texts go where they are asked for."""
-    weights = pairs.groupBy("group").agg(F.count("*").alias("weight"))
-    members = grouping.join(weights, "group").join(texts, "sid").groupBy("group").agg(F.collect_list(F.struct("sid", "text")).alias("members"), F.first("weight").alias("weight"))
-    asked = pairs.join(texts.withColumnRenamed("sid", "a"), "a")
-    return skew_join(asked, members, "group", "a", pairs.count()).select("a", "text", "group", "members").mapInArrow(_open_groups, "a long, b long")
 
+def _verified(docs: DataFrame, active: DataFrame, asked: DataFrame, members: DataFrame, tag: str) -> DataFrame:
+    """Links (a, b) of `asked` (a, group, block), with `members` (sid, group, block) of all groups.
 
-def _groups(labels: DataFrame) -> DataFrame:
-    """(sid, n, label, size, group): sets cut in blocks of about GROUP_SETS of one label, with the label's size."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
-    blocked = skew_join(labels, sizes.withColumn("size", F.col("weight")), "label", "sid", labels.count())
-    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / GROUP_SETS))
-    return materialise(blocked.select("sid", "n", "label", "size", F.xxhash64("label", block).alias("group")), "groups")
+    A group that many ask is repeated once for each ASKERS of them or so; shingles go only where they are asked for.
+    """
+    weights = materialise(asked.groupBy("group", "block").agg(F.count("*").alias("weight")).select(F.struct("group", "block").alias("at"), "weight", F.ceil(F.col("weight") / ASKERS).cast("int").alias("salts")), f"{tag}-weights")
+    of_group = members.select("sid", F.struct("group", "block").alias("at")).join(weights, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "sid")
+    asking = skew_join(asked.select("a", F.struct("group", "block").alias("at")), weights, "at", "a", asked.count())
+    asking = asking.select("at", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("a").alias("sid"))
+    uses = materialise(of_group.unionByName(asking), f"{tag}-uses")
+    wanted = materialise(uses.select("sid").distinct().join(active, "sid"), f"{tag}-wanted")
+    placed = uses.join(_shingles(docs, wanted), "sid").select("at.group", "at.block", "salt", "kind", "sid", "shingles")
+    dealt = placed.repartition(slices_of(docs.sparkSession), "group", "block", "salt").sortWithinPartitions("group", "block", "salt", "kind")
+    return materialise(dealt.mapInArrow(_open_groups, "a binary, b binary"), f"{tag}-links")
 
 
 def _fewest_shared(n, m):
@@ -171,131 +227,126 @@ def _fewest_within(n, low, high):
     return F.least(_fewest_shared(n, low), *(_fewest_shared(n, F.greatest(high - k, low)) for k in range(3)))
 
 
-def _round(posted: DataFrame, labels: DataFrame, texts: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) after each set of `posted` (token, sid, n, label, score) is compared with some leaders.
+def _size_of(sid: str):
+    """The number of shingles, which a sid starts with."""
+    return F.conv(F.hex(F.substring(sid, 1, 4)), 16, 10).cast("int")
+
 
-    A token's leaders are of its label with the highest score, so labels only move one way and no ring can form; which
-    member leads depends on the token, so a large group has several. A set takes those with which it shares most tokens.
+def _lead(matched: DataFrame, n_rows: int) -> DataFrame:
+    """(a, group, block 0): each set with the leader to compare it with, if there is one.
+
+    Of the sets with a rare shingle the one leads whose shingles have the most sets; a set takes the leader with which it
+    shares the most. In a group of near copies that is the one in the middle. Leaders save comparisons and decide nothing.
     """
-    leaders = LEADERS if number else 1
-    best = posted.groupBy("label").agg(F.max("score").alias("best"), F.count("*").alias("weight"))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    best = best.join(sizes, "label")
-    ranked = skew_join(posted, best, "label", "sid", posted.count())
-    spread = F.xxhash64("sid", F.pmod(F.xxhash64("token"), F.lit(LEADERS)), F.lit(number))
-    rank = F.struct((-F.col("best")).alias("s"), F.xxhash64("label").alias("h"), F.when(F.lit(number == 0), F.lit(0)).otherwise(spread).alias("k"), "sid", "n", "label", "size")
-    lead = materialise(ranked.groupBy("token").agg(F.min(rank).alias("lead"), F.count("*").alias("weight")), "leads")
-    met = skew_join(posted, lead, "token", "sid", posted.count()).filter(F.col("label") != F.col("lead.label"))
-    if number:  # small groups are left to the matrix
-        met = met.filter(F.col("lead.size") >= 2 * LEADERS)
-    near = F.least(F.col("n"), F.col("lead.n")) * 100 >= F.greatest(F.col("n"), F.col("lead.n")) * 80
-    lead_of = F.struct(F.col("lead.sid").alias("sid"), F.col("lead.label").alias("label"))
-    counted = met.filter(near).groupBy("sid", "n", lead_of.alias("lead"), F.col("lead.n").alias("m")).agg(F.count("*").alias("c")).filter(4 * leaders * F.col("c") >= _fewest_shared(F.col("n"), F.col("m")))
-    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("c"), "lead"))
-    pairs = materialise(counted.withColumn("place", place).filter(F.col("place") <= leaders).select(F.col("sid").alias("a"), F.col("lead.sid").alias("group")), f"pairs-{number}")
-    chosen = pairs.select(F.col("group").alias("sid"), "group").distinct()
-    links = materialise(_verified(pairs, chosen, texts), f"links-{number}")
-    of = labels.select(F.col("sid").alias("b"), F.col("label").alias("to"))
-    # a set's leaders may be of several labels, all of higher scores than its own; any will do
-    targets = skew_join(links, of.join(links.groupBy("b").agg(F.count("*").alias("weight")), "b"), "b", "a", links.count())
-    parents = labels.select(F.col("sid").alias("a"), "label").join(targets, "a").groupBy("label").agg(F.min("to").alias("to"))
-    for _ in range(2):
-        parents = materialise(parents, "parents")
-        up = parents.select(F.col("label").alias("to"), F.col("to").alias("top")).join(parents.groupBy("to").agg(F.count("*").alias("weight")), "to")
-        parents = skew_join(parents, up, "to", "label", parents.count(), "left").select("label", F.coalesce("top", "to").alias("to"))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
-    moved = skew_join(labels, parents.join(sizes, "label"), "label", "sid", labels.count(), "left")
-    return links, materialise(moved.select("sid", "n", F.coalesce("to", "label").alias("label")), f"labels-{number}")
-
-
-def _mixed(matched: DataFrame, labels: DataFrame) -> DataFrame:
-    """matched rows with n and label, of the tokens that occur under two labels."""
-    posted = matched.join(labels, "sid")
-    several = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("weight")).filter("lo <> hi").select("token", "weight")
-    return materialise(skew_join(posted, several, "token", "sid", matched.count()), "posted")
+    weights = matched.groupBy("token").agg(F.count("*").alias("weight"))
+    score = skew_join(matched, weights.withColumn("w", F.col("weight")), "token", "sid", n_rows).groupBy("sid").agg(F.sum("w").alias("score"))
+    posted = materialise(matched.join(score, "sid"), "posted")
+    lead = posted.groupBy("token").agg(F.max(F.struct("score", F.xxhash64("sid").alias("h"), "sid")).alias("lead"), F.count("*").alias("weight"))
+    met = skew_join(posted, lead, "token", "sid", n_rows).select("sid", F.col("lead.sid").alias("lead")).filter("sid <> lead")
+    counted = met.groupBy("sid", "lead").agg(F.count("*").alias("c")).withColumns({"n": _size_of("sid"), "m": _size_of("lead")})
+    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * 80) & (4 * F.col("c") >= _fewest_shared(F.col("n"), F.col("m")))
+    best = counted.filter(near).groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best"))
+    return materialise(best.select(F.col("sid").alias("a"), F.col("best.lead").alias("group"), F.lit(0).alias("block")), "pairs")
+
+
+def _labelled(active: DataFrame, links: DataFrame) -> DataFrame:
+    """(sid, label, size, block): the components so far, with their numbers of sets, cut in blocks."""
+    roots = components(links)
+    labels = active.select("sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("label"))
+    labels = materialise(labels, "labels")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.sum(_size_of("sid").cast("long")).alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / GROUP_SETS), F.ceil(F.col("shingles") / GROUP_SHINGLES)).alias("blocks")
+    sized = skew_join(labels, sizes.select("label", "size", blocks, F.col("size").alias("weight")), "label", "sid", labels.count())
+    return materialise(sized.select("sid", "label", "size", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")), "groups")
+
+
+def _asked(matched: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
+    """(a, group, block): the groups of other labels that can hold a link, by the rare shingles that they share."""
+    posted = matched.join(groups, "sid")
+    several = posted.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("weight")).filter("low <> high").select("token", "weight")
+    posted = materialise(skew_join(posted, several, "token", "sid", n_rows).withColumn("n", _size_of("sid")), "mixed")
+    span = (F.min("n").alias("lo"), F.max("n").alias("hi"))
+    n = F.col("n")
+    in_reach = (100 * F.col("hi") >= 80 * n) & (80 * F.col("lo") <= 100 * n)
+    # of two labels the sets of the smaller one meet those of the larger
+    smaller = F.struct("size", "label") < F.struct(F.col("others").alias("size"), F.col("of").alias("label"))
+
+    def reached(met: DataFrame, *at: str) -> DataFrame:
+        spans = met.groupBy("a", "n", *at).agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        low, high = F.greatest("lo", F.ceil(0.8 * n - 1e-9)), F.least("hi", F.floor(1.25 * n + 1e-9))
+        return spans.filter((low <= high) & (F.col("c") >= _fewest_within(n, low, high)))
+
+    asking = posted.select("token", F.col("sid").alias("a"), "n", "label", "size")
+    by_label = posted.groupBy("token", F.col("label").alias("of"), F.col("size").alias("others")).agg(*span)
+    near = materialise(reached(asking.join(by_label, "token").filter(smaller & in_reach), "of").select("a", "of"), "near-labels")
+    by_group = posted.groupBy("token", F.col("label").alias("of"), "block").agg(*span)
+    met = near.join(asking.select("a", "token", "n"), "a").join(by_group, ["token", "of"]).filter(in_reach)
+    return materialise(reached(met, "of", "block").select("a", F.col("of").alias("group"), "block"), "asked")
 
 
 def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of each row, and links (a, b) between sets that connect every pair of linked sets."""
     spark = docs.sparkSession
+    in_small_batches(spark)
     docs = docs.select("doc_id", "text")
-    found = materialise(docs.mapInArrow(_sets, "doc_id long, n long, sid long, part int, counts binary"), "shingle-sets")
+    found = materialise(docs.mapInArrow(_sets, "doc_id long, n long, sid binary, part int, counts binary"), "shingle-sets")
     rows = found.filter("part IS NULL").select("doc_id", "n", "sid")
     parts = {r.part: bytes(r.counts) for r in found.filter("part IS NOT NULL").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()}
     nothing = bytes((4 << SKETCH_BITS) // SKETCH_PARTS)
     packed = b"".join(parts.get(k, nothing) for k in range(SKETCH_PARTS))
     sketch, noise = spark.sparkContext.broadcast(zlib.compress(packed, 1)), int(np.frombuffer(packed, "<u4").mean())
-    n_rows = rows.count()
 
-    rare = docs.mapInArrow(_rare(sketch, 2 * noise + 64 + n_rows // HOT_SHINGLE), "token long, sid long, hot boolean")
-    few = rare.filter("NOT hot").select("token", "sid").repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid long")
-    hot = rare.filter("hot").select("token", "sid").distinct()
-    matched = materialise(few.unionByName(hot), "matched")
-    owners = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    rare = docs.mapInArrow(_rare(sketch, 2 * noise + 64 + rows.count() // HOT_SHINGLE), "token long, sid binary, hot boolean")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS)))
+    matched = rare.repartition(slices_of(spark), "token", salt).sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid binary")
+    matched = materialise(matched, "matched")
+    n_rows = matched.count()
+    owners = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("owner"))
     active = materialise(owners.join(matched.select("sid").distinct(), "sid"), "active")
-    texts = bucketed(docs.join(active.select("doc_id", "sid"), "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "sid", "texts")
 
-    weights = matched.groupBy("token").agg(F.count("*").alias("weight"))
-    central = skew_join(matched, weights.withColumn("w", F.col("weight")), "token", "sid", matched.count()).groupBy("sid").agg(F.sum("w").alias("score"))
-    central = materialise(central, "central")
-
-    labels, links = active.select("sid", "n", F.col("sid").alias("label")), []
-    for number in range(ROUNDS):
-        posted = _mixed(matched, labels).join(central, "sid")
-        more, labels = _round(posted, labels, texts, number)
-        links.append(more)
-        if more.isEmpty():
-            break
-    grouped = _groups(labels)
-    posted = _mixed(matched, grouped.select("sid", "n", "label"))
-    posted = materialise(posted.join(grouped.select("sid", "size", "group"), "sid"), "grouped")
-    matrix = posted.groupBy("token", "group").agg(F.first("label").alias("of"), F.first("size").alias("others"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    n = F.col("n")
-    # of two labels the sets of the smaller one meet the groups of the larger
-    smaller = F.struct("size", "label") < F.struct(F.col("others").alias("size"), F.col("of").alias("label"))
-    met = posted.select("token", F.col("sid").alias("a"), "n", "label", "size").join(matrix, "token").filter(smaller & (100 * F.col("hi") >= 80 * n) & (80 * F.col("lo") <= 100 * n))
-    spans = met.groupBy("a", "group", "n").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    low, high = F.greatest("lo", F.ceil(0.8 * n - 1e-9)), F.least("hi", F.floor(1.25 * n + 1e-9))
-    asked = spans.filter(F.col("c") >= _fewest_within(n, low, high))
-    links.append(_verified(materialise(asked.select("a", "group"), "asked"), grouped.select("sid", "group"), texts))
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return rows, materialise(every, "links")
+    pairs = _lead(matched, n_rows)
+    leaders = pairs.select(F.col("group").alias("sid"), "group", "block").distinct()
+    links = _verified(docs, active, pairs, leaders, "lead")
+    groups = _labelled(active, links)
+    asked = _asked(matched, groups, n_rows)
+    more = _verified(docs, active, asked, groups.select("sid", F.col("label").alias("group"), "block"), "group")
+    return rows, links.unionByName(more)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of each row of docs.
+    """(doc_id, n_shingles, component_id, n_connecting) of each row of docs.
 
     A row whose text is null or has no word has an empty set, links with nothing and is its own component. Rows with
-    the same set are linked. A null doc_id is never a component's id: such a row gets its set's, or null if it has
-    none. Only doc_id and text are read; an empty table gives an empty result. n_links counts the links found for the
-    document's set, which connect its component; pairs that these already connect aren't all listed.
+    the same set are linked. Rows that share a doc_id are told apart by their sets. A null doc_id is never a component's
+    id: such a row gets its set's, or null if it has none. Only doc_id and text are read; an empty table gives an empty
+    result. n_connecting counts the links of the document's set that the join needed to connect its component; pairs
+    that these already connect aren't counted.
     """
     rows, links = set_links(docs)
     n_rows = rows.count()
-    roots = components(links, n_rows)
-    sets = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
+    roots = components(links)
+    sets = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     rooted = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
-    rooted = skew_join(rooted.withColumnRenamed("weight", "copies"), least.withColumn("weight", F.col("sets")), "root", "sid", n_rows)
-    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-    by_set = materialise(rooted.join(degree, "sid", "left").select("sid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("weight")), "components")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
+    rooted = skew_join(rooted, least, "root", "sid", n_rows)
+    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_connecting"))
+    by_set = materialise(rooted.join(degree, "sid", "left").select("sid", "component_id", F.coalesce("n_connecting", F.lit(0)).alias("n_connecting"), F.col("copies").alias("weight")), "components")
     out = skew_join(rows, by_set, "sid", "doc_id", n_rows, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_connecting", F.lit(0)).cast("long").alias("n_connecting"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component the one with the smallest doc_id.
 
-    Rows without a doc_id or without words stay.
+    Rows without a doc_id or without words stay. Where several rows share a doc_id, all of them go if one of them does.
     """
     gone = jaccard_components(docs).filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(small_side(materialise(gone, "gone")), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")
+    """Components of all documents; see jaccard_components for nulls, empty texts and repeated rows."""
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_connecting")
 
 
 OP3_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 from .common import BYTE_CODES, mixed, prefix_hashes, span_hash
 
 WORDS = 5
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 19
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,11 +63,9 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                     yield np.zeros(0, np.uint64)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A 64-bit fingerprint of a set, as a signed number."""
-    with np.errstate(over="ignore"):
-        total = mixed(shingles + np.uint64(0x51ED270B)).sum() * np.uint64(3) ^ np.bitwise_xor.reduce(shingles * _PLACE[0]) ^ np.uint64(len(shingles))
-    return int(mixed(np.array([total], np.uint64)).view(np.int64)[0])
+def set_id(shingles: np.ndarray) -> bytes:
+    """16 bytes for a set: its size, big-endian, then 96 bits of a hash of its shingles."""
+    return len(shingles).to_bytes(4, "big") + xxhash.xxh3_128_digest(shingles.tobytes())[:12]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:

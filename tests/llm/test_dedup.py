@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -12,7 +13,7 @@ from driftwell.llm.exact_dedup import CuckooIndex, exact_dedup, keep_first, upda
 from driftwell.llm.jaccard_join import jaccard_components, keep_one_of_each
 from driftwell.llm.suffix_dedup import remove_repeats
 
-from .data import COLUMNS, frame, rows
+from .data import COLUMNS, frame, rows, words
 
 
 def test_cuckoo_index_inserts_deletes_and_grows():
@@ -63,9 +64,20 @@ def _shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def _repeated_ids() -> list[tuple]:
+    """Rows whose doc_id has another text, too, or none: every set links with the next, whatever its id."""
+    rng, found = random.Random(8), []
+    for k in range(20):
+        base = words(rng, 100).split()
+        for step in range(4):
+            found.append(([k, k, None, 1000 + k][step], " ".join(base)))
+            base[10 * step] = f"other{step}"
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, None])
 def test_jaccard_components_equal_brute_force(spark, seed):
-    found = rows(seed)
+    found = rows(seed) if seed else _repeated_ids()
     sets = [_shingles(t) for _, t in found]
     root = list(range(len(found)))
 
