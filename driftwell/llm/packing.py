@@ -3,7 +3,8 @@
 Each scan task tokenizes its documents and packs their pieces best-fit, longest first. Nearly full bins are done. What
 is underfull becomes an item of the next round, in groups of FAN_IN nodes, up to a single root. Two bins of at most
 half the capacity always fit together, so a node keeps one such bin at most and a merge above it needs another's: it
-is enough that each node passes on its smaller bin and the FAN_IN emptiest others. Rounds handle (bin, load) alone.
+is enough that each node passes on its smaller bin and the FAN_IN emptiest others, and the root gives as few sequences as
+if all were passed on (a test compares both trees). Rounds handle (bin, load) alone.
 """
 
 from __future__ import annotations
