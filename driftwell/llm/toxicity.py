@@ -27,6 +27,8 @@ EPOCHS, LEAST_STEPS, DOCS_AT_ONCE, RATE = 12, 150, 64, 0.03
 WORD_CHARS = 64
 #: Documents that must share a word or n-gram before its log-odds count half.
 DOUBT = 8
+#: Folds of the sample, each trained on with the log-odds of the others.
+FOLDS = 5
 #: Steps of the embeddings against those of the network: large ones learn single documents by heart.
 TABLE_RATE = 0.05
 MEMO_WORDS, WINDOWS_AT_ONCE, WORDS_AT_ONCE = 300_000, 2048, 100_000
@@ -58,21 +60,15 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return whole.astype(np.int64), np.concatenate(grams).astype(np.int64), np.concatenate(whose)
 
 
-def _unrepeated(words: list[str]) -> list[str]:
-    """A word that follows itself over and over counts twice, or its run would fill windows."""
-    return words[:2] + [w for w, a, b in zip(words[2:], words[1:], words, strict=False) if w != a or a != b]
-
-
 def words_of(text: str) -> list[str]:
-    """Lower-cased words without their EDGES, runs of one word cut to two; longer ones than WORD_CHARS as their pieces."""
-    out = []
-    for w in _unrepeated(text.lower().split()):
+    """Lower-cased words without their EDGES; longer ones than WORD_CHARS as their pieces."""
+    out, overlap = [], CHAR_ORDERS[-1] - 1
+    for w in text.lower().split():
         w = w.strip(EDGES) or w
         if len(w) <= WORD_CHARS:
             out.append(w)
         else:
-            overlap = CHAR_ORDERS[-1] - 1
-            out += _unrepeated([w[k : k + WORD_CHARS] for k in range(0, len(w) - overlap, WORD_CHARS - overlap)])
+            out += [w[k : k + WORD_CHARS] for k in range(0, len(w) - overlap, WORD_CHARS - overlap)]
     return out
 
 
@@ -98,15 +94,28 @@ class Network:
             "look": draw(2 * h), "out": draw(2 * h), "bias": np.array([-1.0], np.float32),
         }
 
-    def start_from(self, features: list[tuple], toxic: np.ndarray) -> None:
-        """The first word and n-gram inputs start as log-odds of documents that have them."""
+    def start_from(self, features: list[tuple], toxic: np.ndarray, fold: np.ndarray) -> dict[str, np.ndarray]:
+        """The first word and n-gram inputs start as log-odds of documents that have them.
+
+        What is returned has those of all documents but a fold's, a row for each fold: a document whose own words made its
+        inputs would teach the network to trust them.
+        """
+        others = {}
         for name, pick in (("words", 0), ("chars", 1)):
-            size = len(self.p[name])
-            seen = np.full((2, size), 0.5)
-            for f, y in zip(features, toxic, strict=True):
-                seen[int(y), np.unique(f[pick])] += 1
-            odds = np.log(seen[1] / (toxic.sum() + 1)) - np.log(seen[0] / ((1 - toxic).sum() + 1))
-            self.p[name][:, 0] = np.where(seen.sum(0) >= 3, np.clip(odds, -2, 4) * (seen.sum(0) - 1) / (seen.sum(0) - 1 + DOUBT), 0) * 0.5
+            seen = np.zeros((FOLDS, 2, len(self.p[name])))
+            for f, y, k in zip(features, toxic, fold, strict=True):
+                seen[k, int(y), np.unique(f[pick])] += 1
+            sizes = np.array([[(1 - toxic[fold == k]).sum(), toxic[fold == k].sum()] for k in range(FOLDS)])
+            odds = [self._odds(seen.sum(0), sizes.sum(0)), *(self._odds(seen.sum(0) - seen[k], sizes.sum(0) - sizes[k]) for k in range(FOLDS))]
+            self.p[name][:, 0] = odds[0]
+            others[name] = np.stack(odds[1:]) - odds[0]
+        return others
+
+    @staticmethod
+    def _odds(seen: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        clean, bad = np.log((seen + 0.5) / (sizes[:, None] + 1))
+        n = seen.sum(0)
+        return np.where(n >= 2, np.clip(bad - clean, -2, 4) * n / (n + DOUBT) * 0.5, 0).astype(np.float32)
 
     def vectors(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         whole, grams, whose = word_features(words)
@@ -195,14 +204,17 @@ class Network:
         whole, grams, whose = word_features(names)
         by_word = np.split(grams[np.argsort(whose, kind="stable")], np.cumsum(np.bincount(whose, minlength=len(names)))[:-1])
         ids = [np.array([vocabulary[w] for w in d], np.int64) for d in docs]
-        self.start_from([(whole[i], np.concatenate([by_word[k] for k in np.unique(i)] or [np.zeros(0, np.int64)])) for i in ids], y)
         rng, moments, step = np.random.default_rng(5), {}, 0
+        fold = rng.permutation(len(docs)) % FOLDS
+        others = self.start_from([(whole[i], np.concatenate([by_word[k] for k in np.unique(i)] or [np.zeros(0, np.int64)])) for i in ids], y, fold)
         weight = np.where(y > 0, prior / y.mean(), (1 - prior) / (1 - y.mean())).astype(np.float32)
         weight = np.sqrt(weight / weight.mean())
         epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, len(docs) // DOCS_AT_ONCE)))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
-            for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // DOCS_AT_ONCE)):
+            for part, left_out in self._batches(rng, fold):
+                for name, change in others.items():
+                    self.p[name][:, 0] += change[left_out]
                 cut = [self._cut(ids[k]) for k in part]
                 used, local = np.unique(np.concatenate([c.ravel() for c in cut] + [np.zeros(1, np.int64)]), return_inverse=True)
                 vectors, (w_at, c_at, c_of, scale) = self.vectors([names[k] for k in used])
@@ -222,6 +234,8 @@ class Network:
                     total = np.zeros((len(touched), dx.shape[1]), np.float32)
                     np.add.at(total, inverse, dx)
                     self.p[name][touched] -= rate * TABLE_RATE * np.sign(total) * np.minimum(np.abs(total) * 200, 1) + 1e-5 * self.p[name][touched]
+                for name, change in others.items():
+                    self.p[name][:, 0] -= change[left_out]
                 step += 1
                 for name, dx in g.items():
                     m, v = moments.setdefault(name, [np.zeros_like(dx), np.zeros_like(dx)])
@@ -230,6 +244,15 @@ class Network:
                     self.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return self
 
+    @staticmethod
+    def _batches(rng: np.random.Generator, fold: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Batches of documents of one fold each, in random order."""
+        parts = []
+        for k in range(FOLDS):
+            mine = rng.permutation(np.flatnonzero(fold == k))
+            parts += [(part, k) for part in np.array_split(mine, max(1, len(mine) // DOCS_AT_ONCE)) if len(part)]
+        return [parts[k] for k in rng.permutation(len(parts))]
+
     @staticmethod
     def _cut(ids: np.ndarray) -> np.ndarray:
         """Windows of one text, padded with 0."""
