@@ -16,6 +16,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 #: What stands between two runs of digits joined by single spaces or hyphens.
 BETWEEN_DIGITS = r"[^0-9]{2,}|[^0-9\x20-]|\A[\x20-]|[\x20-]\z"
+#: Matches summed up at once, and code points of a block of text.
+CHUNK, BLOCK = 128, 4096
+PLACED = "array<struct<m:string,s:int,e:int>>"
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE_KINDS = KINDS[:4]
 #: Score of a confirmed span, what a context word adds, and how many code points before and after are looked at.
@@ -30,30 +33,48 @@ CONTEXT = {
 }
 
 
+def _chunks(items: Column) -> Column:
+    """An array cut in arrays of CHUNK."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(1), F.size(items), F.lit(CHUNK)), lambda i: F.slice(items, i, CHUNK)))
+
+
 def _placed(found: Column, gaps: Column) -> Column:
-    """array<struct<m, s, e>> of matches, of which gaps[i] stands before found[i]."""
-    kind = "array<struct<m:string,s:int,e:int>>"
+    """array<struct<m, s, e>> of matches, of which gaps[i] stands before found[i].
+
+    Running sums are taken within chunks and over chunks, since appending to an array copies it: this stays near linear
+    for texts with a great many matches.
+    """
     pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    none = F.array().cast(kind)
+    none = F.array().cast(PLACED)
+    width = lambda x: F.length(x["g"]) + F.length(x["m"])
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), start.alias("s"), end.alias("e"))).cast(kind)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), start.alias("s"), end.alias("e"))).cast(PLACED)).alias("out"))
 
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add)
-    return F.when(F.size(found) > 0, folded["out"]).otherwise(none)
+    def from_(at: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), add)["out"]
+
+    def next_(acc: Column, chunk: Column) -> Column:
+        start = F.element_at(acc, -1)
+        return F.concat(acc, F.array(start + F.aggregate(chunk, F.lit(0), lambda n, x: n + width(x))))
+
+    chunks = _chunks(pairs)
+    starts = F.aggregate(chunks, F.array(F.lit(0)), next_)
+    many = F.flatten(F.zip_with(F.slice(starts, 1, F.size(chunks)), chunks, from_))
+    return F.when(F.size(found) > CHUNK, many).when(F.size(found) > 0, from_(F.lit(0), pairs)).otherwise(none)
 
 
 def _matches(text: Column, pattern: str, hint: Column) -> Column:
-    none = F.array().cast("array<struct<m:string,s:int,e:int>>")
+    none = F.array().cast(PLACED)
     return F.when(hint, _placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))).otherwise(none)
 
 
 def _digit_runs(text: Column) -> Column:
     """Runs of 13 digits or more, digits joined by single spaces or hyphens."""
     found, gaps = F.split(text, BETWEEN_DIGITS, -1), F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(BETWEEN_DIGITS), F.lit(0)))
-    return F.when(text.rlike(r"[0-9][\x20-]?[0-9]"), F.filter(_placed(found, gaps), lambda x: F.length(x["m"]) >= 13)).otherwise(F.array().cast("array<struct<m:string,s:int,e:int>>"))
+    return F.when(text.rlike(r"[0-9][\x20-]?[0-9]"), F.filter(_placed(found, gaps), lambda x: F.length(x["m"]) >= 13)).otherwise(F.array().cast(PLACED))
 
 
 def digits_of(x: Column) -> Column:
@@ -86,7 +107,8 @@ def _small_part(x: Column) -> Column:
 
 
 def _with_spans(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with __text and an array __<kind> of confirmed matches (m, s, e) for each kind."""
+    """docs with __text, an array __<kind> of confirmed matches (m, s, e) for each kind, and __blocks of the text if there
+    are any."""
     x = F.col("__text")
     df = docs.withColumn("__text", F.coalesce(text, F.lit("")))
     has_digit = x.rlike("[0-9]")
@@ -97,44 +119,69 @@ def _with_spans(docs: DataFrame, text: Column) -> DataFrame:
         "__phone": F.filter(_matches(x, PHONE, F.contains(x, F.lit("+")) & has_digit), lambda m: F.length(digits_of(m["m"])).between(9, 15)),
         "__iban": F.filter(_matches(x, IBAN, has_digit & x.rlike("[A-Z]{2}[0-9]{2}")), lambda m: mod97(m["m"])),
     })
-    return df
+    found = sum((F.size(f"__{k}") for k in KINDS), F.lit(0)) > 0
+    return df.withColumn("__blocks", F.when(found, F.regexp_extract_all(x, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points [start, end) of a text in blocks; a whole text would be walked from its beginning for each piece."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * BLOCK + 1, end - start)
 
 
 def _scored(kind: str) -> Column:
     """array<struct<kind, s, e, score>> of a kind's matches."""
-    x = F.col("__text")
 
     def score(m: Column) -> Column:
-        begin = F.greatest(m["s"] - CONTEXT_REACH, F.lit(0))
-        near = F.substring(x, begin + 1, m["e"] - begin + CONTEXT_REACH)
+        near = _piece(F.col("__blocks"), F.greatest(m["s"] - CONTEXT_REACH, F.lit(0)), m["e"] + CONTEXT_REACH)
         return F.lit(CONFIRMED[kind]) + F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_ADDS)).otherwise(F.lit(0.0))
 
     return F.transform(F.col(f"__{kind}"), lambda m: F.struct(F.lit(kind).alias("kind"), m["s"].alias("start"), m["e"].alias("end"), F.least(score(m), F.lit(1.0)).alias("score")))
 
 
+def _spans(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __text, __blocks, and __spans of all kinds."""
+    df = _with_spans(docs, F.col(text))
+    return df.withColumn("__spans", F.concat(*(_scored(k) for k in KINDS))).drop(*(f"__{k}" for k in KINDS))
+
+
 def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column pii: array<struct<kind, start, end, score>>, by kind as in KINDS, then start.
 
     Places are code points, end exclusive. A null text counts as empty and has no span; a match that its validator
-    refuses gives none and is not tried again at another place. Spans of different kinds may overlap. Columns of docs
-    stay, but for one named pii, which is replaced.
+    refuses gives none and is not tried again at another place. Spans of different kinds may overlap. Repeated rows and
+    rows without an id are rows like others. Columns of docs stay, but for one named pii, which is replaced; names that
+    start with two underscores are the operator's own and may not occur.
     """
-    df = _with_spans(docs.drop("pii"), F.col(text))
-    return df.withColumn("pii", F.concat(*(_scored(k) for k in KINDS))).drop("__text", *(f"__{k}" for k in KINDS))
+    return _spans(docs.drop("pii"), text).withColumnRenamed("__spans", "pii").drop("__text", "__blocks")
 
 
 def masked(docs: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
-    """docs with each span of a score of `least` or more replaced by <KIND>; overlapping spans by the first's."""
-    x = F.coalesce(F.col(text), F.lit(""))
-    spans = F.array_sort(F.transform(F.filter(F.col("__spans"), lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    out = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(x, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(x, acc["at"] + 1, F.length(x))),
-    )
-    found = pii_spans(docs, text).withColumnRenamed("pii", "__spans")
-    return found.withColumn(text, F.when(F.size("__spans") > 0, out).otherwise(F.col(text))).drop("__spans")
+    """docs with each span of a score of `least` or more replaced by <KIND>; overlapping spans by the first's.
+
+    Null and empty texts stay as they are.
+    """
+    chosen = F.filter(F.col("__spans"), lambda s: s["score"] >= least)
+    spans = F.array_sort(F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    kind = "array<struct<start:int,end:int,kind:string>>"
+
+    def join(acc: Column, s: Column) -> Column:
+        """Regions so far, with a new one or the last one made longer."""
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        overlaps = (F.size(acc) > 0) & (s["start"] < F.when(F.size(acc) > 0, last["end"]).otherwise(F.lit(0)))
+        return F.when(overlaps, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer).cast(kind))).otherwise(F.concat(acc, F.array(s).cast(kind)))
+
+    regions = F.col("__regions")
+
+    def region(r: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.element_at(regions, F.greatest(k, F.lit(1)))["end"]).otherwise(F.lit(0))
+        return F.concat(_piece(F.col("__blocks"), before, r["start"]), F.lit("<"), F.upper(r["kind"]), F.lit(">"))
+
+    rest = _piece(F.col("__blocks"), F.element_at(regions, -1)["end"], F.length("__text"))
+    df = _spans(docs, text).withColumn("__regions", F.aggregate(spans, F.array().cast(kind), join))
+    out = F.when(F.size(regions) > 0, F.concat(F.array_join(F.transform(regions, region), ""), rest)).otherwise(F.col(text))
+    return df.withColumn(text, out).drop("__text", "__blocks", "__spans", "__regions")
 
 
 def _of(*kinds: str) -> Column:
