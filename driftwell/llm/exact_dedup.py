@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, skew_join, slices_of
+from .common import materialise, skew_join, slices_of, small_side
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -37,7 +37,7 @@ class CuckooIndex:
 
     @staticmethod
     def _parts(key: bytes) -> tuple[int, int]:
-        h = int.from_bytes(key[:8], "little") if len(key) >= 16 else int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little")
+        h = int.from_bytes(key[:8], "little") if len(key) == 32 else int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little")
         return h >> 16, (h & 0xFFFF) or 1
 
     def _other(self, bucket: int, mark: int) -> int:
@@ -107,33 +107,53 @@ class CuckooIndex:
 
 
 def normalised(text: str = "text"):
+    """The text with each run of white space made one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (digest, first, n) folded to one row per digest by one cuckoo index."""
-    index = CuckooIndex()
-    for rows in batches:
-        for digest, first, n in zip(rows["digest"], rows["first"], rows["n"], strict=True):
-            first = None if pd.isna(first) else int(first)
-            entry = index.insert(digest, [None, 0])[1]
-            entry[1] += n
-            if first is not None and (entry[0] is None or first < entry[0]):
-                entry[0] = first
+#: Digests that one index holds before a scan task passes on what it has folded, and that a shard gets or so.
+HELD = 250_000
+
+
+def _folded(index: CuckooIndex) -> Iterator[pd.DataFrame]:
     found = list(index.entries.values())
     for lo in range(0, len(found), 50_000):
         part = found[lo : lo + 50_000]
         yield pd.DataFrame({"digest": [k for k, _ in part], "first": pd.array([v[0] for _, v in part], "Int64"), "n": [v[1] for _, v in part]})
 
 
+def _fold(local: bool):
+    """Rows (digest, first, n) folded to one row per digest by a cuckoo index. A local one is passed on when it is full."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = CuckooIndex()
+        for rows in batches:
+            for digest, first, n in zip(rows["digest"], rows["first"], rows["n"], strict=True):
+                first = None if pd.isna(first) else int(first)
+                entry = index.insert(digest, [None, 0])[1]
+                entry[1] += n
+                if first is not None and (entry[0] is None or first < entry[0]):
+                    entry[0] = first
+            if local and len(index) > HELD:
+                yield from _folded(index)
+                index = CuckooIndex()
+        yield from _folded(index)
+
+    return run
+
+
 FOLDED = "digest binary, first long, n long"
 
 
+def _shards(spark, n_rows: int) -> int:
+    return max(slices_of(spark), n_rows // HELD)
+
+
 def digest_groups(digests: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size) of rows (doc_id, digest): local indexes first, then one index per shard."""
     rows = digests.select("digest", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("n"))
-    local = rows.mapInPandas(_fold, FOLDED)
-    shards = local.repartition(slices_of(digests.sparkSession), "digest").mapInPandas(_fold, FOLDED)
+    local = rows.mapInPandas(_fold(True), FOLDED)
+    shards = local.repartition(_shards(digests.sparkSession, digests.count()), "digest").mapInPandas(_fold(False), FOLDED)
     return shards.select("digest", F.col("first").alias("keep_id"), F.col("n").alias("group_size"))
 
 
@@ -145,7 +165,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     a group with only null ids keeps one of them with a null keep_id. Only doc_id and text are read, so extra columns
     may have any name. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     digests = materialise(docs.select("doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest")), "digests")
     n_rows = digests.count()
     groups = materialise(digest_groups(digests), "digest-groups")
@@ -155,38 +174,59 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns; repeated rows of one id and text leave one."""
-    keys = ["__id", "__digest"]
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest"))
-    marked = docs.withColumns({"__id": F.col("doc_id"), "__digest": F.sha2(normalised(), 256)})
+    """The rows of docs that stay, with their columns; repeated rows of one id and text leave one.
+
+    Only (doc_id, digest) rows are shuffled. Docs are joined with the ids of what goes; those without an id, or whose id
+    has several rows, are told apart by their digests.
+    """
+    marks = materialise(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "marks")
+    of_id = marks.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).filter("rows > 1 OR NOT kept OR doc_id IS NULL")
+    of_id = materialise(of_id.select(F.col("doc_id").alias("__id"), (F.col("rows") > 1).alias("__several")), "decided")
+    known = small_side(of_id.filter("__id IS NOT NULL"))
+    marked = docs.join(known, docs["doc_id"] == F.col("__id"), "left")
+    plain = marked.filter("doc_id IS NOT NULL AND __id IS NULL").select(docs.columns)
+    if of_id.filter("__several OR __id IS NULL").isEmpty():
+        return plain
+    odd = marked.filter("doc_id IS NULL OR __several").withColumns({"__id": F.col("doc_id"), "__digest": F.sha2(normalised(), 256)})
+    kept = marks.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest"))
     same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(keys).drop(*keys)
+    odd = odd.join(kept, same, "left_semi").dropDuplicates(["__id", "__digest"])
+    return plain.unionByName(odd.select(docs.columns))
 
 
 def update_index(live: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
-    """The live index (digest, keep_id, group_size) after a batch of insertions and deletions of (digest, doc_id).
+    """The live copies (digest, doc_id, n) after a batch of insertions and then deletions of (digest, doc_id).
 
-    Counts are live copies: a digest leaves the index when its last copy is deleted; keep_id stays that of the first
-    copy while any is left. Deleting an absent digest does nothing.
+    One entry of an index is one document's copies of a text, so a text with very many copies is many entries, dealt over
+    the shards. An entry leaves the index when its last copy is deleted; deleting more than there is, or what isn't
+    there, does nothing more. live_groups() gives the texts.
     """
-    rows = live.select("digest", F.col("keep_id").alias("first"), F.col("group_size").alias("n"), F.lit(0).alias("step")).unionByName(inserted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("step", F.lit(1))).unionByName(deleted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("step", F.lit(2)))
+    of = lambda df, step: df.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).withColumn("step", F.lit(step))
+    rows = live.select("digest", "doc_id", "n", F.lit(0).alias("step")).unionByName(of(inserted, 1)).unionByName(of(deleted, 2))
+    schema = "digest binary, doc_id long, n long"
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = CuckooIndex()
         for rows in batches:
-            for digest, first, n, step in zip(rows["digest"], rows["first"], rows["n"], rows["step"], strict=True):
+            for digest, doc_id, n, step in zip(rows["digest"], rows["doc_id"].astype("Int64"), rows["n"], rows["step"], strict=True):
+                doc = None if pd.isna(doc_id) else int(doc_id)
+                key = digest + (b"" if doc is None else doc.to_bytes(9, "big", signed=True))
                 if step < 2:
-                    entry = index.insert(digest, [first, 0])[1]
-                    entry[1] += n
-                elif entry := index.find(digest):
-                    entry[1][1] -= n
-                    if entry[1][1] <= 0:
-                        index.delete(digest)
-        found = list(index.entries.values())
-        yield pd.DataFrame({"digest": [k for k, _ in found], "first": pd.array([v[0] for _, v in found], "Int64"), "n": [v[1] for _, v in found]})
-
-    shards = rows.repartition(slices_of(live.sparkSession), "digest").sortWithinPartitions("step", "digest")
-    return shards.mapInPandas(apply, FOLDED).select("digest", F.col("first").alias("keep_id"), F.col("n").alias("group_size"))
+                    index.insert(key, [digest, doc, 0])[1][2] += n
+                elif entry := index.find(key):
+                    entry[1][2] -= n
+                    if entry[1][2] <= 0:
+                        index.delete(key)
+        found = [value for _, value in index.entries.values()]
+        yield pd.DataFrame({"digest": [v[0] for v in found], "doc_id": pd.array([v[1] for v in found], "Int64"), "n": pd.array([v[2] for v in found], "Int64")})
+
+    shards = rows.repartition(_shards(live.sparkSession, live.count()), "digest", "doc_id").sortWithinPartitions("step")
+    return shards.mapInPandas(apply, schema)
+
+
+def live_groups(live: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of the live copies."""
+    return live.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.llm import jaccard_join
-from driftwell.llm.exact_dedup import CuckooIndex, exact_dedup, keep_first, update_index
+from driftwell.llm.exact_dedup import CuckooIndex, exact_dedup, keep_first, live_groups, update_index
 from driftwell.llm.jaccard_join import jaccard_components, keep_one_of_each
 from driftwell.llm.suffix_dedup import remove_repeats
 
@@ -53,10 +53,11 @@ def test_exact_dedup_equals_brute_force(spark):
 def test_index_follows_insertions_and_deletions(spark):
     key = lambda k: hashlib.sha256(bytes([k])).digest()
     of = lambda pairs: spark.createDataFrame([(bytearray(key(k)), i) for k, i in pairs], "digest binary, doc_id long")
-    empty = spark.createDataFrame([], "digest binary, keep_id long, group_size long")
-    one = update_index(empty, of([(1, 5), (1, 4), (2, 9)]), of([]))
-    two = update_index(one, of([(3, 7)]), of([(1, 4), (2, 9), (8, 1)]))
-    assert {(bytes(r.digest), r.keep_id, r.group_size) for r in two.collect()} == {(key(1), 4, 1), (key(3), 7, 1)}
+    empty = spark.createDataFrame([], "digest binary, doc_id long, n long")
+    one = update_index(empty, of([(1, 5), (1, 4), (2, 9), (4, None), (4, None), (4, 6)]), of([]))
+    two = update_index(one, of([(3, 7), (5, 2)]), of([(1, 4), (2, 9), (8, 1), (4, None), (5, 2), (5, 2)]))
+    assert {(bytes(r.digest), r.doc_id, r.n) for r in two.collect()} == {(key(1), 5, 1), (key(3), 7, 1), (key(4), None, 1), (key(4), 6, 1)}
+    assert {(bytes(r.digest), r.keep_id, r.group_size) for r in live_groups(two).collect()} == {(key(1), 5, 1), (key(3), 7, 1), (key(4), 6, 2)}
 
 
 def _shingles(text):
