@@ -6,6 +6,7 @@ loads the dictionary, decodes one frame at a time and checks header fields, leng
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
@@ -23,7 +24,7 @@ from .common import materialise, scratch_path, skew_join
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Payload-Digest")
+REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
 LEAST_PAYLOAD = 100
 DICTIONARY_BYTES, SAMPLE_ROWS = 32_768, 256
@@ -53,34 +54,63 @@ def make_record(page_id, url: str | None, payload: bytes, digest: str, kind: str
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
 
 
+def _agrees(digest: str, payload: bytes) -> bool:
+    """Whether a labelled digest, in hex or base 32, is that of the payload; of an algorithm not known here, true."""
+    label, colon, value = digest.partition(":")
+    if not colon or label.lower() not in ("sha256", "sha1", "md5"):
+        return True
+    made = hashlib.new(label.lower(), payload).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
+def _number(fields: dict[str, str], name: str) -> int | None:
+    try:
+        return int(fields[name.lower()]) if name.lower() in fields else None
+    except ValueError as e:
+        raise ArchiveError(f"{name} isn't a number: {fields[name.lower()][:80]}") from e
+
+
 def parse_record(raw: bytes) -> dict:
-    """Fields of a record, its payload too; raises ArchiveError if the headers, lengths or digest don't agree."""
+    """Fields of a record, its payload too; raises ArchiveError if the headers, lengths or digest don't agree.
+
+    Names of fields are read in any case. A payload is what follows an HTTP head, or all of another kind of content. The
+    writer's own fields may be absent: page_id and refers_to are then null, payload_bytes is the payload's length, of a
+    revisit the one that its HTTP head states, and payload_digest, if none is given, is made from the payload.
+    """
     head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise ArchiveError("no WARC version line")
-    fields = {}
+    fields: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise ArchiveError(f"no field: {line[:80]}")
-        fields[name] = value.strip()
-    if lacking := [x for x in REQUIRED if x not in fields]:
+        fields[name.strip().lower()] = value.strip()
+    if lacking := [x for x in REQUIRED if x.lower() not in fields]:
         raise ArchiveError(f"fields lacking: {', '.join(lacking)}")
-    n = int(fields["Content-Length"])
+    n = _number(fields, "Content-Length")
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ArchiveError(f"Content-Length {n}, but {len(rest) - 4} bytes")
-    http, sep, payload = rest[:n].partition(b"\r\n\r\n")
-    if not sep:
-        raise ArchiveError("no HTTP head")
-    kind, length = fields["WARC-Type"], int(fields["Page-Payload-Length"])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    if kind == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
+    payload, kind, stated = rest[:n], fields["warc-type"].lower(), None
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, sep, payload = payload.partition(b"\r\n\r\n")
+        if not sep:
+            raise ArchiveError("no HTTP head")
+        heads = dict(x.lower().split(b":", 1) for x in http.split(b"\r\n")[1:] if b":" in x)
+        if heads.get(b"content-length", b"").strip().isdigit():
+            stated = int(heads[b"content-length"])
+    length, digest = _number(fields, "Page-Payload-Length"), fields.get("warc-payload-digest")
+    if kind == "revisit":
+        if payload or not ("warc-refers-to" in fields or "warc-refers-to-target-uri" in fields):
+            raise ArchiveError("a revisit with a payload or without its target")
+        length = stated if length is None else length
+    elif (length is not None and len(payload) != length) or (digest and not _agrees(digest, payload)):
         raise ArchiveError("payload isn't what its digest and length say")
-    if kind == "revisit" and (payload or "WARC-Refers-To" not in fields):
-        raise ArchiveError("a revisit with a payload or without its target")
-    of = lambda name: int(fields[name]) if name in fields else None
-    return {"page_id": of("Page-Id"), "url": fields.get("WARC-Target-URI"), "payload": payload, "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": of("Page-Refers-To")}
+    if length is None:
+        length = len(payload)
+    digest = digest.removeprefix("sha256:") if digest else hashlib.sha256(payload).hexdigest()
+    return {"page_id": _number(fields, "Page-Id"), "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": _number(fields, "Page-Refers-To")}
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
