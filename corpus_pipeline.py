@@ -19,8 +19,8 @@ from driftwell.llm.language_id import UNKNOWN, identify, learn
 from driftwell.llm.packing import pack
 from driftwell.llm.pii import masked
 
-#: A document whose best language has a lower score than this is in none of them.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document whose best language has a lower score than this is in none of them; a half is what no bit knows anything of.
+LEAST_LANGUAGE_SCORE = 0.45
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
