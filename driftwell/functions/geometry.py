@@ -61,6 +61,39 @@ def angular_distance(a: list[Column], b: list[Column]) -> Column:
     return F.degrees(2 * F.acos(F.least(F.lit(1.0), dot)))
 
 
+def unit(q: list[Column]) -> list[Column]:
+    norm = F.sqrt(sum((c * c for c in q), F.lit(0.0)))
+    return [c / norm for c in q]
+
+
+def from_array(values: Column, size: int) -> list[Column]:
+    """The entries of an array that must have `size` of them; another one fails the job."""
+    held = F.when(F.size(values) == size, values).otherwise(F.raise_error(F.lit(f"an array of {size} numbers is needed")).cast("array<double>"))
+    return [held[k] for k in range(size)]
+
+
+def matrix_columns(q: list[Column]) -> list[Column]:
+    """The nine entries, row by row, of a unit quaternion's rotation."""
+    w, x, y, z = q
+    return [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]
+
+
+def left_jacobian(v: list[Column]) -> list[Column]:
+    """The nine entries, row by row, of the left Jacobian of a rotation vector: a I + b [v] + c v v'."""
+    angle = F.sqrt(sum((c * c for c in v), F.lit(0.0)))
+    small = angle < SMALL
+    a = F.when(small, F.lit(1.0)).otherwise(F.sin(angle) / angle)
+    b = F.when(small, F.lit(0.5)).otherwise((1 - F.cos(angle)) / (angle * angle))
+    c = F.when(small, F.lit(0.0)).otherwise((1 - F.sin(angle) / angle) / (angle * angle))
+    x, y, z = v
+    cross = [F.lit(0.0), -z, y, z, F.lit(0.0), -x, -y, x, F.lit(0.0)]
+    return [(a if i == j else F.lit(0.0)) + b * cross[3 * i + j] + c * v[i] * v[j] for i in range(3) for j in range(3)]
+
+
+def right_jacobian(v: list[Column]) -> list[Column]:
+    return left_jacobian([-c for c in v])
+
+
 def yaw_degrees() -> Column:
     return F.degrees(F.atan2("y", "x"))
 

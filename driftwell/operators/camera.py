@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,42 @@ def bilinear(df: DataFrame, raster: DataFrame, key: str) -> DataFrame:
     return met.filter("n = 4").drop("n")
 
 
+def gradients(df: DataFrame, raster: DataFrame, key: str, reach: int = 4) -> DataFrame:
+    """(key, dx, dy) at places (key, frame, u, v): differences of the raster between its pixels at 1 to `reach` pixels on
+    both sides, over the sum of their distances. Places that reach over the edge are left out."""
+    steps = [(axis, k) for axis in "xy" for k in range(-reach, reach + 1) if k]
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.lit(k).alias("k")) for a, k in steps)))
+    asked = df.select(key, "frame", "u", "v", each.alias("s"))
+    moved = {c: F.col(c) + F.when(F.col("s.axis") == a, F.col("s.k")).otherwise(0) for c, a in (("u", "x"), ("v", "y"))}
+    found = bilinear(asked.withColumn("at", F.struct(key, "s")).withColumns(moved), raster, "at")
+    side = F.signum(F.col("at.s.k")) * F.col("value") / (reach * (reach + 1))
+    out = found.groupBy(F.col(f"at.{key}").alias(key)).agg(*(F.sum(F.when(F.col("at.s.axis") == a, side)).alias(f"d{a}") for a in "xy"), F.count("*").alias("n"))
+    return out.filter(F.col("n") == len(steps)).drop("n")
+
+
+#: Shares of the first, second and third channel in a grey value.
+GREY = (0.299, 0.587, 0.114)
+
+
+def grey(channels: list[Column]) -> Column:
+    return F.round(sum((F.lit(w) * c for w, c in zip(GREY, channels, strict=True)), F.lit(0.0))).cast("int")
+
+
+def new_tracks(candidates: DataFrame, tracked: DataFrame, frame: str, key: list[str], cell: float, most: int) -> DataFrame:
+    """Candidates (frame, key, u, v) to be tracked as well: not tracked yet, and in no cell of pixels that holds a tracked
+    point or an earlier candidate; `most` points are tracked in a frame at most."""
+    at = [F.floor(F.col(c) / cell).cast("int").alias(f"g{c}") for c in "uv"]
+    held = tracked.select(frame, *at)
+    fresh = candidates.join(tracked.select(frame, *key), [frame, *key], "left_anti").select("*", *at)
+    fresh = fresh.join(held.distinct(), [frame, "gu", "gv"], "left_anti")
+    rest = [c for c in fresh.columns if c not in (frame, "gu", "gv", *key)]
+    first = fresh.groupBy(frame, "gu", "gv").agg(F.min(F.struct(*key, *rest)).alias("__row")).select(frame, "__row.*")
+    counts = tracked.groupBy(frame).agg(F.count("*").alias("__held"))
+    place = F.row_number().over(Window.partitionBy(frame).orderBy(*key))
+    out = first.join(counts, frame, "left").withColumn("__place", place + F.coalesce("__held", F.lit(0)))
+    return out.filter(F.col("__place") <= most).drop("__place", "__held")
+
+
 def _shifted(raster: DataFrame, reach: int = 1) -> DataFrame:
     """Each pixel's value told to the pixels around it: (frame, row, col, dr, dc, value)."""
     span = range(-reach, reach + 1)
@@ -91,28 +128,45 @@ def flow(raster: DataFrame, least_eigenvalue: float = 1e-4) -> DataFrame:
 # -- masks ----------------------------------------------------------------------------------------------------
 
 
+def decoded_runs(texts: list[str]) -> list[np.ndarray]:
+    """The counts of masks' run-length texts, all texts at once: five bits a character from '0', 0x20 continues, 0x10 on
+    the last one is the sign; from the fourth number on each is a difference to the one two before. A number that a text
+    breaks off is left out."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).astype(np.int64) - 48
+    if not len(codes):
+        return [np.zeros(0, np.int64)] * len(texts)
+    last = np.cumsum(sizes[sizes > 0]) - 1
+    closed = (codes & 0x20) == 0
+    stop = closed.copy()
+    stop[last] = True
+    first = np.flatnonzero(np.append(True, stop[:-1]))
+    end = np.flatnonzero(stop)
+    number = np.repeat(np.arange(len(first)), end - first + 1)
+    place = np.arange(len(codes)) - first[number]
+    value = np.add.reduceat((codes & 0x1F) << (5 * place), first)
+    value -= np.where(codes[end] & 0x10, np.int64(1) << (5 * (end - first + 1)), 0)
+    text = np.repeat(np.arange(len(texts)), sizes)[end]
+    text, value = text[closed[end]], value[closed[end]]
+    starts = np.searchsorted(text, np.arange(len(texts) + 1))
+    k = np.arange(len(value)) - starts[text]
+    chain = 3 * text + np.where(k == 0, 0, 1 + (k % 2 == 0))
+    order = np.argsort(chain, kind="stable")
+    total = np.cumsum(value[order])
+    head = np.flatnonzero(np.diff(chain[order], prepend=-1))
+    total -= np.repeat((total - value[order])[head], np.diff(np.append(head, len(order))))
+    out = np.empty_like(value)
+    out[order] = total
+    return np.split(out, starts[1:-1])
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def run_lengths(text: pd.Series) -> pd.Series:
-    """The counts of a mask's run-length text: five bits a character from '0', 0x20 continues, 0x10 on the last one is the
-    sign; from the fourth number on each is a difference to the one two before."""
-
-    def decode(s: str | None) -> list[int] | None:
-        if s is None:
-            return None
-        out: list[int] = []
-        value = shift = 0
-        for c in s:
-            bits = ord(c) - 48
-            value |= (bits & 0x1F) << shift
-            shift += 5
-            if not bits & 0x20:
-                if bits & 0x10:
-                    value -= 1 << shift
-                out.append(value + (out[-2] if len(out) > 2 else 0))
-                value = shift = 0
-        return out
-
-    return text.map(decode, na_action=None)
+    """decoded_runs() of a column; null for null."""
+    known = text.notna()
+    out = pd.Series([None] * len(text), dtype=object)
+    out[known.to_numpy()] = pd.Series([x.tolist() for x in decoded_runs(text[known].tolist())], dtype=object).to_numpy()
+    return out
 
 
 def encode_runs(counts: list[int]) -> str:
@@ -131,14 +185,28 @@ def encode_runs(counts: list[int]) -> str:
 
 def mask_pixels(masks: DataFrame, keys: list[str]) -> DataFrame:
     """The set pixels (row, col) of masks (keys, h, w, counts): runs alternate unset and set, column by column; what runs
-    past the end is cut."""
-    runs = masks.select(*keys, "h", "w", F.posexplode("counts").alias("k", "n"), "counts")
-    start = F.aggregate(F.slice("counts", 1, F.col("k")), F.lit(0).cast("long"), lambda a, n: a + n)
-    runs = runs.withColumn("start", start).filter("k % 2 = 1 AND n > 0").withColumn("end", F.least(F.col("start") + F.col("n"), F.col("h") * F.col("w")))
+    past the end is cut. Starts of runs are one running sum over each mask's runs."""
+    runs = masks.select(*keys, "h", "w", F.posexplode("counts").alias("k", "n"))
+    before = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("k % 2 = 1 AND n > 0")
+    runs = runs.withColumn("end", F.least(F.col("start") + F.col("n"), F.col("h") * F.col("w")))
     at = F.explode(F.sequence(F.col("start"), F.col("end") - 1))
     return runs.filter("end > start").select(*keys, "h", at.alias("i")).select(*keys, (F.col("i") % F.col("h")).cast("int").alias("row"), F.floor(F.col("i") / F.col("h")).cast("int").alias("col"))
 
 
+def segmentation(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ordinal, label, instance, h, w, counts) of segmentation messages (keys, masks, ids, instances: arrays).
+
+    A mask is JSON text with its size and run-length counts; one that is empty, can't be read or has no id is skipped, and
+    the others keep their ordinals. Labels are ids from 1.
+    """
+    each = messages.select(*keys, F.posexplode(F.arrays_zip("masks", "ids", "instances")).alias("ordinal", "m"))
+    read = F.from_json("m.masks", "size array<int>, counts string")
+    each = each.select(*keys, "ordinal", (F.col("m.ids") + 1).alias("label"), F.col("m.instances").alias("instance"), read.alias("read"))
+    good = (F.size("read.size") == 2) & F.col("read.counts").isNotNull() & F.col("label").isNotNull()
+    return each.filter(good).select(*keys, "ordinal", "label", "instance", F.col("read.size")[0].alias("h"), F.col("read.size")[1].alias("w"), run_lengths("read.counts").alias("counts"))
+
+
 def first_mask(points: DataFrame, mask_pixels_: DataFrame, key: str) -> DataFrame:
     """(key, label) of points (frame, u, v): the first mask, by ordinal, that has the rounded pixel; label is that mask's."""
     at = points.withColumns({"row": F.round("v").cast("int"), "col": F.round("u").cast("int")})

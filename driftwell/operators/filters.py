@@ -73,3 +73,8 @@ def strikes_below(df: DataFrame, by: list[str], order: list, error: str, limit:
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("__drop", (run | (F.col(error) > 2 * limit)).cast("int"))
     return out.withColumn("__gone", F.max("__drop").over(upto)).filter("__gone = 0").drop("__drop", "__gone")
+
+
+def compacted(values: Column, status: Column) -> Column:
+    """The entries of a list whose status is set, in order."""
+    return F.transform(F.filter(F.arrays_zip(values.alias("v"), status.alias("s")), lambda x: x["s"]), lambda x: x["v"])

@@ -107,3 +107,21 @@ def erase(df: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two keyed tables hold the same rows, in any order."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def rendered(seen: DataFrame, raster: DataFrame, masks: DataFrame, key: str) -> DataFrame:
+    """Map points seen by frames, from (key, frame, u, v, distance), rasters (frame, row, col, value) and set mask pixels
+    (frame, row, col, label): key, colour (r, g, b), distance, n_rgb, label, n_semantic.
+
+    Colours are sampled between pixels and fused in order of frames; each seen frame's mask at the rounded pixel is a
+    vote. Points that no raster holds are left out; those that no mask holds have no label and no vote.
+    """
+    from . import camera
+
+    at = seen.withColumn("at", F.struct(key, "frame"))
+    level = camera.bilinear(at, raster, "at")
+    placed = at.join(level, "at").withColumns({"row": F.round("v").cast("int"), "col": F.round("u").cast("int")})
+    observed = placed.select(F.col(key), F.col("frame").cast("double").alias("ts"), F.col("frame").alias("obs_id"), *(F.col("value").alias(c) for c in "rgb"), "distance")
+    votes = placed.select(key, "frame", "row", "col").join(masks, ["frame", "row", "col"])
+    out = colour_fold(observed, key).join(majority(votes, key, "label"), key, "left")
+    return out.select(key, "r", "g", "b", "distance", "n_rgb", "label", F.coalesce("n_semantic", F.lit(0)).cast("long").alias("n_semantic"))

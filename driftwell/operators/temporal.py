@@ -103,3 +103,10 @@ def monotonic_faults(df: DataFrame, by: str, order: str, ts: str) -> DataFrame:
     """Rows that aren't later than the row before them in arrival order."""
     w = Window.partitionBy(by).orderBy(order)
     return df.withColumn("last_ts", F.lag(ts).over(w)).filter(F.col(ts) <= F.col("last_ts"))
+
+
+def ready(ends: DataFrame, samples: DataFrame, by: str = "user_id") -> DataFrame:
+    """Triggers that are newer than the oldest sample of their key, and older than its newest: older ones are dropped,
+    newer ones wait for more samples. One row of bounds per key is joined."""
+    bounds = samples.groupBy(by).agg(F.min("ts").alias("__oldest"), F.max("ts").alias("__newest"))
+    return ends.join(bounds, by).filter((F.col("end_ts") > F.col("__oldest")) & (F.col("end_ts") < F.col("__newest"))).drop("__oldest", "__newest")

@@ -18,7 +18,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: The streams of sources/tables.py, for the SQL side.
 STREAMS = """
-WITH pts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_quantity + 0 AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, epoch_us(l_shipdate) AS ts FROM lineitem),
+WITH RECURSIVE pts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_quantity + 0 AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, epoch_us(l_shipdate) AS ts FROM lineitem),
 vec AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
 ser AS (SELECT event_id, user_id, epoch_us(ts) AS ts, value, event_type FROM events WHERE event_type <> 'signup'),
 trg AS (SELECT DISTINCT user_id, epoch_us(ts) AS end_ts FROM events WHERE event_type = 'signup')
@@ -101,9 +101,11 @@ def constant_velocity(spark, sf_dir):
     return temporal.constant_velocity(series(spark, sf_dir), "user_id", "ts", "value").select("event_id", "user_id", r6("predicted").alias("predicted"))
 
 
-@query("SELECT event_id, user_id, ts, last_ts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS last_ts FROM ser) WHERE ts <= last_ts")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ts, last_ts FROM (SELECT *, lag(ts) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS last_ts FROM pts) WHERE ts <= last_ts")
 def monotonic_check(spark, sf_dir):
-    return temporal.monotonic_faults(series(spark, sf_dir), "user_id", "event_id", "ts").select("event_id", "user_id", "ts", "last_ts")
+    """Line items that ship no later than the one before them in their order."""
+    df = points(spark, sf_dir).withColumn("place", F.struct(*POINT_KEY[1:]))
+    return temporal.monotonic_faults(df, "l_orderkey", "place", "ts").select(*POINT_KEY[:4], "ts", "last_ts")
 
 
 # -- points ---------------------------------------------------------------------------------------------------
@@ -302,9 +304,11 @@ def insert_if_absent(spark, sf_dir):
     return folds.insert_if_absent(series(spark, sf_dir).select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts"]).select("user_id", "event_id", "value")
 
 
-@query("SELECT DISTINCT s.user_id, s.event_id FROM ser s WHERE NOT EXISTS (SELECT 1 FROM trg t WHERE t.user_id = s.user_id)")
+@query("SELECT s.user_id, s.event_id FROM ser s WHERE NOT EXISTS (SELECT 1 FROM trg t WHERE t.user_id = s.user_id AND t.end_ts // 86400000000 = s.ts // 86400000000)")
 def anti_new(spark, sf_dir):
-    return folds.erase(series(spark, sf_dir).select("user_id", "event_id"), triggers(spark, sf_dir), ["user_id"])
+    """Samples of days without a trigger of their user."""
+    day = lambda df, ts: df.withColumn("day", F.floor(F.col(ts) / temporal.DAY_US))
+    return folds.erase(day(series(spark, sf_dir), "ts"), day(triggers(spark, sf_dir), "end_ts"), ["user_id", "day"]).select("user_id", "event_id")
 
 
 @query("SELECT s.user_id, s.event_id FROM ser s WHERE EXISTS (SELECT 1 FROM trg t WHERE t.user_id = s.user_id)")
@@ -480,6 +484,9 @@ def hourly_windows(spark, sf_dir):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+from . import frame_queries  # noqa: E402, F401  registers its queries here
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples aligned to sweeps, then each sweep's majority label."""
     swept = temporal.assign_sweeps(series(spark, sf_dir), triggers(spark, sf_dir)).filter("end_ts IS NOT NULL")

@@ -79,26 +79,59 @@ def valid_point() -> Column:
     return (F.abs("x") <= LARGEST_COORDINATE) & (F.abs("y") <= LARGEST_COORDINATE) & (F.abs("z") <= LARGEST_COORDINATE)
 
 
-def normalise(raw: DataFrame, cfg: CloudConfig) -> DataFrame:
-    """Points (msg_id, ts, relative_ms, x, y, z, point_id) of vendor records (msg_id, msg_ts, idx and the vendor's fields).
+#: Which field of a vendor's record holds the time within its message.
+OFFSETS = {"livox": "offset_time", "velodyne": "time", "ouster": "t", "robosense": "timestamp"}
 
+
+def with_clock_offset(df: DataFrame, ts: str, offset_s: Column, enabled: bool = True, least_s: float = 0.1) -> DataFrame:
+    """Times (microseconds) moved by a clock's offset in seconds, if it is over `least_s` either way and is to be used."""
+    moved = F.col(ts) + F.round(offset_s * 1e6).cast("long")
+    return df.withColumn(ts, F.when(F.abs(offset_s) > least_s, moved).otherwise(F.col(ts))) if enabled else df
+
+
+def interval_s(rate_hz: float) -> float:
+    """Seconds of a sweep."""
+    return 1.0 / rate_hz
+
+
+def _turned(raw: DataFrame, cfg: CloudConfig, by: list[str]) -> DataFrame:
+    """raw with `turn_ms`: the time since a ring's first point, from the angle turned since, at a little over the nominal
+    rate."""
+    from ..functions import geometry
+    from ..operators import filters
+
+    yaw = geometry.yaw_degrees()
+    first = F.first(yaw).over(filters.window_of([*by, "ring"], ["idx"]))
+    turn = first - yaw
+    return raw.withColumn("turn_ms", F.when(yaw > first, turn + 360.0).otherwise(turn) / (0.361 * cfg.rate_hz))
+
+
+def normalise(raw: DataFrame, cfg: CloudConfig, sensor: str | None = None) -> DataFrame:
+    """Points (msg_id, ts, relative_ms, x, y, z, point_id) of vendor records (msg_id, msg_ts in seconds, idx and the vendor's
+    fields); with `sensor`, a column of the sensors that messages are told apart by.
+
+    A message of a turning sensor whose last record has no time gets its times from the angles. Points no later than the
+    end of their sensor's message before are left out, with all of that message's records deciding where it ended.
     Raises KeyError for an unknown lidar_type.
     """
-    from ..operators import filters
+    from ..operators import filters, temporal
 
-    unit = UNIT_MS[cfg.time_unit]
-    offset = {"livox": "offset_time", "velodyne": "time", "ouster": "t", "robosense": "timestamp"}[cfg.lidar_type]
+    offset, by = F.col(OFFSETS[cfg.lidar_type]).cast("double") * UNIT_MS[cfg.time_unit], [*([sensor] if sensor else []), "msg_id"]
+    whole = filters.window_of(by, [])
     if cfg.lidar_type == "livox":
-        kept = filters.moved(raw, ["msg_id"], ["idx"]).filter(valid_point() & (F.col("line") < cfg.n_scans) & (F.col("x") > 0.7) & filters.tag_ok("tag", "x"))
+        kept = filters.moved(raw, by, ["idx"]).filter(valid_point() & (F.col("line") < cfg.n_scans) & (F.col("x") > 0.7) & filters.tag_ok("tag", "x"))
+        kept = kept.withColumn("relative_ms", offset)
     else:
-        kept = raw.filter(valid_point())
-    relative = F.col(offset).cast("double") * unit
-    if cfg.lidar_type == "robosense":
-        first = F.min(relative).over(filters.window_of(["msg_id"], []))
-        relative = relative - first
-    kept = kept.withColumn("relative_ms", relative)
-    kept = filters.every_nth(kept, ["msg_id"], ["relative_ms", "idx"], cfg.filter_num, base=1 if cfg.lidar_type == "livox" else 0)
+        timed = F.max_by(offset, "idx").over(whole) > 0
+        since = offset - F.min(offset).over(whole) if cfg.lidar_type == "robosense" else offset
+        kept = _turned(raw, cfg, by).withColumns({"timed": timed, "given_ms": since})
+        kept = kept.withColumn("relative_ms", F.when(F.col("timed"), F.col("given_ms")).otherwise(F.col("turn_ms")))
+    ends = kept.groupBy(*by, "msg_ts").agg((F.col("msg_ts") + F.max("relative_ms") / 1000).alias("end_s"))
+    kept = filters.every_nth(kept, by, ["relative_ms", "idx"], cfg.filter_num, base=1 if cfg.lidar_type == "livox" else 0)
     kept = kept.filter(filters.beyond(cfg.blind)).withColumn("ts", F.col("msg_ts") + F.col("relative_ms") / 1000)
     if cfg.lidar_type != "livox":
-        kept = filters.not_late(kept, "msg_id", "ts")
-    return kept.select("msg_id", "ts", "relative_ms", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.struct("msg_id", "idx").alias("point_id"))
+        key = sensor or "__sensor"
+        at = ends.withColumns({"at": F.round(F.col("msg_ts") * 1e6).cast("long"), **({} if sensor else {key: F.lit(0)})})
+        before = temporal.asof(at.select(key, "msg_id", "at"), at.select(key, F.col("at").alias("before_at"), F.col("end_s").alias("before_s")), key, "at", "before_at", forward=False, strict=True)
+        kept = kept.join(before.select(*by, "before_s"), by).filter(F.col("before_s").isNull() | (F.col("ts") > F.col("before_s")))
+    return kept.select(*by, "ts", "relative_ms", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.struct("msg_id", "idx").alias("point_id"))

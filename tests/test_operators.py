@@ -194,3 +194,43 @@ def test_logs_and_maps(spark, tmp_path):
     white = sinks.coloured(spark.createDataFrame([(0,), (1,), (151,)], "label int")).collect()
     by = {r.label: (r.red, r.green, r.blue) for r in white}
     assert by[0] == sinks.WHITE and by[1] == by[151]
+
+
+def test_run_lengths_of_many_texts_at_once():
+    counts = [[5, 3, 2, 900, 1], [], [0, 0, 0, 7], [70_000]]
+    texts = [camera.encode_runs(c) for c in counts]
+    assert [x.tolist() for x in camera.decoded_runs(texts)] == counts
+    # a number that a text breaks off is left out
+    assert [x.tolist() for x in camera.decoded_runs([texts[0] + "P", "", texts[2]])] == [counts[0], [], counts[2]]
+    assert camera.decoded_runs([]) == []
+
+
+def test_spaced_insertion_takes_what_a_refused_point_would_hide(spark):
+    """Points at 0, 0.45 and 0.55 in this order, at least 0.5 apart: the second is refused, the third is not."""
+    rows = [(k, x, y, 0.1) for k, (x, y) in enumerate([(0.1, 0.0), (0.1, 0.45), (0.1, 0.55), (0.1, 1.2), (0.1, 0.58)])]
+    found = voxel.insert_spaced(spark.createDataFrame(rows, "id long, x double, y double, z double"), 4.0, 20, 0.5, ["id"])
+    assert sorted(r.id for r in found.collect()) == [0, 2, 3]
+
+
+def test_rotation_columns_undo_each_other(spark):
+    import numpy as np
+
+    from driftwell.functions import geometry
+    from driftwell.operators import frames
+
+    pose = geometry.exponential(frames.constants(0.3, -0.2, 0.9)), frames.constants(1, 2, 3)
+    there = frames.applied(pose, frames.constants(4, 5, 6))
+    back = frames.applied(frames.inverse(pose), there)
+    left, right = geometry.left_jacobian(frames.constants(0.3, -0.2, 0.9)), geometry.right_jacobian(frames.constants(0.3, -0.2, 0.9))
+    got = spark.range(1).select(*(c.alias(f"b{k}") for k, c in enumerate(back)), *(c.alias(f"l{k}") for k, c in enumerate(left)), *(c.alias(f"r{k}") for k, c in enumerate(right))).first()
+    assert np.allclose(got[:3], [4, 5, 6])
+    # the left one is the right one, turned
+    assert np.allclose(np.array(got[3:12]).reshape(3, 3), geometry.exp_matrix(np.array([0.3, -0.2, 0.9])) @ np.array(got[12:]).reshape(3, 3))
+
+
+def test_arrays_of_another_size_fail(spark):
+    from driftwell.functions import geometry
+
+    df = spark.createDataFrame([([1.0, 2.0],)], "a array<double>")
+    with pytest.raises(Exception, match="array of 3"):
+        df.select(*geometry.from_array(F.col("a"), 3)).collect()
