@@ -7,9 +7,9 @@
    rare shingles; what links gets one label, and labels are cut in blocks, the groups. The matrix says which rare shingles
    occur in which label and which group.
 4. A set meets the other labels, then the groups of those that can hold a link: how many rare shingles it shares bounds
-   its overlap with any member. A group that passes is given the set's shingles; its token union bounds the overlap again,
+   its overlap with any member. A group that passes is given the set's text; its token union bounds the overlap again,
    and only then is it opened and its members compared exactly.
-Components then come from the links, as distributed jobs. Shingles of a text are moved only for sets that are compared.
+Components then come from the links, as distributed jobs. Texts are moved only for sets that are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, in_small_batches, materialise, skew_join, slices_of, small_side
@@ -107,7 +107,10 @@ def _rare(sketch, hot_from: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, sid, hot) in that order, those whose token is hot or has another sid, each once."""
+    """(token, sid, weight) of rows (token, sid, hot) in that order: those whose token is hot or has another sid, each once.
+
+    weight counts the token's sets, as far as they stand in one batch: it only serves to choose leaders.
+    """
     held = None  # the last row so far, whose token may go on in the next batch, and whether it was given
     for batch in batches:
         token, hot = batch.column("token").to_numpy(), batch.column("hot").to_numpy(zero_copy_only=False)
@@ -130,7 +133,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last row stays held: if it was not given, a later row of its token will show that it is shared
         given = bool(give[first[-1] :].any() or (first[-1] == 0 and held is not None and held[3]))
         held = token[-1:], raw[-1:], hot[-1:], given
-        yield pa.RecordBatch.from_arrays([pa.array(token[give]), _id_column(np.ascontiguousarray(raw[give]).tobytes(), int(give.sum()))], ["token", "sid"])
+        weight = np.bincount(first[fresh], minlength=len(token))[first]
+        yield pa.RecordBatch.from_arrays([pa.array(token[give]), _id_column(np.ascontiguousarray(raw[give]).tobytes(), int(give.sum())), pa.array(weight[give].astype(np.int32))], ["token", "sid", "weight"])
 
 
 def _filter_part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -141,22 +145,23 @@ def _filter_part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _picked(flags, bits: int):
-    """(sid, shingles) of the rows (bit, text) that pass the filter, once per set and batch."""
+    """(sid, text) of the rows (bit, text) that pass the filter, once per set and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.frombuffer(flags.value, np.uint8)
         for batch in batches:
             bit = batch.column("bit").to_numpy()
             passed = np.flatnonzero(packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
-            found = {set_id(s): s.tobytes() for s in shingle_sets(batch.column("text").take(pa.array(passed)).to_pylist()) if len(s)}
+            texts = batch.column("text").take(pa.array(passed)).to_pylist()
+            found = {set_id(s): t for s, t in zip(shingle_sets(texts), texts, strict=True) if len(s)}
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["sid", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["sid", "text"])
 
     return run
 
 
-def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles) of the sets in `wanted` (sid, owner), and of some more; a set may come more than once.
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text) of the sets in `wanted` (sid, owner), and of some more; a set may come more than once.
 
     The filter of their owners' ids is all that is broadcast; its size is bounded, and with too many owners it only
     lets more rows pass.
@@ -168,19 +173,19 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = wanted.select(F.floor(place / width).cast("int").alias("part"), (place % width).cast("int").alias("bit"), F.lit(width).alias("width")).distinct()
     parts = {r.part: bytes(r.flags) for r in rows.groupBy("part").applyInPandas(_filter_part, "part int, flags binary").collect()}
     flags = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes(width // 8)) for k in range(FILTER_PARTS)))
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"), "text").mapInArrow(_picked(flags, bits), "sid binary, shingles binary")
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"), "text").mapInArrow(_picked(flags, bits), "sid binary, text string")
 
 
 def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of rows (group, block, salt, kind, sid, shingles) in that order: of a group the members (kind 0) come
+    """Links (a, b) of rows (group, block, salt, kind, sid, text) in that order: of a group the members (kind 0) come
     first, then the sets that ask. A group is opened if its union can hold enough of the set."""
     last, members, union = None, {}, None
     for batch in batches:
         found_a, found_b = [], []
-        for group, block, salt, kind, sid, raw in zip(*(batch.column(c).to_pylist() for c in ("group", "block", "salt", "kind", "sid", "shingles")), strict=True):
+        sets = shingle_sets(batch.column("text").to_pylist())
+        for group, block, salt, kind, sid, shingles in zip(*(batch.column(c).to_pylist() for c in ("group", "block", "salt", "kind", "sid")), sets, strict=True):
             if (group, block, salt) != last:
                 last, members, union = (group, block, salt), {}, None
-            shingles = np.frombuffer(raw, "<u8")
             if kind == 0:
                 members[sid] = shingles
                 continue
@@ -199,7 +204,8 @@ def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(docs: DataFrame, active: DataFrame, asked: DataFrame, members: DataFrame, tag: str) -> DataFrame:
     """Links (a, b) of `asked` (a, group, block), with `members` (sid, group, block) of all groups.
 
-    A group that many ask is repeated once for each ASKERS of them or so; shingles go only where they are asked for.
+    A group that many ask is repeated once for each ASKERS of them or so; texts go only where they are asked for, and are
+    smaller than their shingles.
     """
     weights = materialise(asked.groupBy("group", "block").agg(F.count("*").alias("weight")).select(F.struct("group", "block").alias("at"), "weight", F.ceil(F.col("weight") / ASKERS).cast("int").alias("salts")), f"{tag}-weights")
     of_group = members.select("sid", F.struct("group", "block").alias("at")).join(weights, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "sid")
@@ -207,7 +213,7 @@ def _verified(docs: DataFrame, active: DataFrame, asked: DataFrame, members: Dat
     asking = asking.select("at", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("a").alias("sid"))
     uses = materialise(of_group.unionByName(asking), f"{tag}-uses")
     wanted = materialise(uses.select("sid").distinct().join(active, "sid"), f"{tag}-wanted")
-    placed = uses.join(_shingles(docs, wanted), "sid").select("at.group", "at.block", "salt", "kind", "sid", "shingles")
+    placed = uses.join(_texts(docs, wanted), "sid").select("at.group", "at.block", "salt", "kind", "sid", "text")
     dealt = placed.repartition(slices_of(docs.sparkSession), "group", "block", "salt").sortWithinPartitions("group", "block", "salt", "kind")
     return materialise(dealt.mapInArrow(_open_groups, "a binary, b binary"), f"{tag}-links")
 
@@ -238,11 +244,10 @@ def _lead(matched: DataFrame, n_rows: int) -> DataFrame:
     Of the sets with a rare shingle the one leads whose shingles have the most sets; a set takes the leader with which it
     shares the most. In a group of near copies that is the one in the middle. Leaders save comparisons and decide nothing.
     """
-    weights = matched.groupBy("token").agg(F.count("*").alias("weight"))
-    score = skew_join(matched, weights.withColumn("w", F.col("weight")), "token", "sid", n_rows).groupBy("sid").agg(F.sum("w").alias("score"))
-    posted = materialise(matched.join(score, "sid"), "posted")
-    lead = posted.groupBy("token").agg(F.max(F.struct("score", F.xxhash64("sid").alias("h"), "sid")).alias("lead"), F.count("*").alias("weight"))
-    met = skew_join(posted, lead, "token", "sid", n_rows).select("sid", F.col("lead.sid").alias("lead")).filter("sid <> lead")
+    score = F.sum("weight").over(Window.partitionBy("sid"))
+    posted = materialise(matched.select("token", "sid", score.alias("score")), "posted")
+    lead = posted.groupBy("token").agg(F.max(F.struct("score", "sid")).alias("lead"), F.count("*").alias("weight"))
+    met = skew_join(posted.drop("score"), lead, "token", "sid", n_rows).select("sid", F.col("lead.sid").alias("lead")).filter("sid <> lead")
     counted = met.groupBy("sid", "lead").agg(F.count("*").alias("c")).withColumns({"n": _size_of("sid"), "m": _size_of("lead")})
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * 80) & (4 * F.col("c") >= _fewest_shared(F.col("n"), F.col("m")))
     best = counted.filter(near).groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best"))
@@ -262,7 +267,7 @@ def _labelled(active: DataFrame, links: DataFrame) -> DataFrame:
 
 def _asked(matched: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
     """(a, group, block): the groups of other labels that can hold a link, by the rare shingles that they share."""
-    posted = matched.join(groups, "sid")
+    posted = matched.drop("weight").join(groups, "sid")
     several = posted.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("weight")).filter("low <> high").select("token", "weight")
     posted = materialise(skew_join(posted, several, "token", "sid", n_rows).withColumn("n", _size_of("sid")), "mixed")
     span = (F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -298,7 +303,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rare = docs.mapInArrow(_rare(sketch, 2 * noise + 64 + rows.count() // HOT_SHINGLE), "token long, sid binary, hot boolean")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS)))
-    matched = rare.repartition(slices_of(spark), "token", salt).sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid binary")
+    matched = rare.repartition(slices_of(spark), "token", salt).sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid binary, weight int")
     matched = materialise(matched, "matched")
     n_rows = matched.count()
     owners = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("owner"))
