@@ -171,7 +171,15 @@ def affine_transform(spark, sf_dir):
     return points(spark, sf_dir).select(*POINT_KEY[:4], *(F.round(e, 4).alias(f"w{c}") for e, c in zip(geometry.affine(_TURN, _SHIFT), "xyz", strict=True)))
 
 
-@query()
+_SWEPT_TURN = np.array([0.02, -0.01, 0.3])
+_ANGLE = float(np.linalg.norm(_SWEPT_TURN))
+_AXIS = [f"({float(v / _ANGLE)!r}::DOUBLE)" for v in _SWEPT_TURN]
+_SLERP = f"""al AS (SELECT *, (l_linenumber - 1) / 6.0::DOUBLE AS alpha FROM pts),
+qu AS (SELECT *, cos(alpha * {_ANGLE!r}::DOUBLE / 2) AS w, {_AXIS[0]} * sin(alpha * {_ANGLE!r}::DOUBLE / 2) AS a, {_AXIS[1]} * sin(alpha * {_ANGLE!r}::DOUBLE / 2) AS b, {_AXIS[2]} * sin(alpha * {_ANGLE!r}::DOUBLE / 2) AS c FROM al),
+cr AS (SELECT *, b * z - c * y + w * x AS i, c * x - a * z + w * y AS j, a * y - b * x + w * z AS k FROM qu)"""
+
+
+@query(f"SELECT {ID}, round(x + 2 * (b * k - c * j) + 1.0 * alpha, 6) AS wx, round(y + 2 * (c * i - a * k) - 2.0 * alpha, 6) AS wy, round(z + 2 * (a * j - b * i) + 0.5 * alpha, 6) AS wz, round(degrees(2 * acos(least(1.0::DOUBLE, abs(w)))), 6) AS degrees FROM cr", _SLERP)
 def slerp_deskew(spark, sf_dir):
     """Points turned by their place in the sweep between the rotations at its ends (constant motion)."""
     a, b = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)], geometry.exponential([F.lit(v) for v in (0.02, -0.01, 0.3)])
@@ -200,7 +208,14 @@ def voxel_bounded_first_n(spark, sf_dir):
     return filters.first_n(voxel.with_cells(points(spark, sf_dir), 2.0), voxel.CELL, POINT_KEY, 20).select(*POINT_KEY[:4], *voxel.CELL)
 
 
-@query()
+_SPACED = """cl AS (SELECT *, trunc(x / 4.0)::INT AS kx, trunc(y / 4.0)::INT AS ky, trunc(z / 4.0)::INT AS kz FROM pts),
+ord AS (SELECT *, row_number() OVER (PARTITION BY kx, ky, kz ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS k FROM cl),
+walk AS (SELECT kx, ky, kz, k, [[x, y, z]] AS held, true AS took FROM ord WHERE k = 1 UNION ALL
+SELECT o.kx, o.ky, o.kz, o.k, CASE WHEN fits THEN list_append(w.held, [o.x, o.y, o.z]) ELSE w.held END, fits FROM walk w JOIN ord o ON o.kx = w.kx AND o.ky = w.ky AND o.kz = w.kz AND o.k = w.k + 1,
+LATERAL (SELECT len(w.held) < 20 AND len(list_filter(w.held, lambda h: (h[1] - o.x) * (h[1] - o.x) + (h[2] - o.y) * (h[2] - o.y) + (h[3] - o.z) * (h[3] - o.z) <= 0.25)) = 0 AS fits))"""
+
+
+@query(f"SELECT kx, ky, kz, {ID}, x, y, z FROM walk JOIN ord USING (kx, ky, kz, k) WHERE took", _SPACED)
 def voxel_min_distance_insert(spark, sf_dir):
     """The points a map takes: 20 a cell, spaced."""
     return voxel.insert_spaced(points(spark, sf_dir).drop("ts", "l_shipdate"), 4.0, 20, 0.5, [k for k in POINT_KEY if k != "l_shipdate"]).select(*voxel.CELL, *POINT_KEY[:4], "x", "y", "z")
@@ -282,10 +297,17 @@ def vote_histogram(spark, sf_dir):
     return h.select("user_id", F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("histogram"))
 
 
-@query()
+_FUSED = """seq AS (SELECT *, l_extendedprice / 1000 AS d, epoch_us(l_shipdate) / 1e6 AS t, (l_quantity * 5) % 256 AS c1, (l_extendedprice / 1000 * 2) % 256 AS c2, (l_discount * 100 * 25) % 256 AS c3, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS k FROM lineitem),
+fold AS (SELECT l_partkey, k, trunc(c1 + 0.5)::INT AS r, trunc(c2 + 0.5)::INT AS g, trunc(c3 + 0.5)::INT AS b, 15.0::DOUBLE AS s, d AS best, t AS last, 1 AS n FROM seq WHERE k = 1 UNION ALL
+SELECT q.l_partkey, q.k, CASE WHEN far THEN f.r ELSE trunc(t2 * (f.r / (w * w) + q.c1 / 225.0::DOUBLE))::INT END, CASE WHEN far THEN f.g ELSE trunc(t2 * (f.g / (w * w) + q.c2 / 225.0::DOUBLE))::INT END, CASE WHEN far THEN f.b ELSE trunc(t2 * (f.b / (w * w) + q.c3 / 225.0::DOUBLE))::INT END,
+  CASE WHEN far THEN f.s ELSE tight END, CASE WHEN far THEN f.best ELSE least(f.best, q.d) END, CASE WHEN far THEN f.last ELSE q.t END, CASE WHEN far THEN f.n ELSE f.n + 1 END
+FROM fold f JOIN seq q ON q.l_partkey = f.l_partkey AND q.k = f.k + 1, LATERAL (SELECT q.d > 1.2::DOUBLE * f.best AS far, f.s + 0.1::DOUBLE * (q.t - f.last) AS w), LATERAL (SELECT 1 / sqrt(1 / (w * w) + 1 / 225.0::DOUBLE) AS tight), LATERAL (SELECT tight * tight AS t2))"""
+
+
+@query("SELECT l_partkey AS point_id, arg_max(r, k) AS r, arg_max(g, k) AS g, arg_max(b, k) AS b, arg_max(best, k) AS distance, arg_max(n, k) AS n_rgb FROM fold GROUP BY l_partkey", _FUSED)
 def color_fold(spark, sf_dir):
     """Colours fused over each part's line items in order of shipping."""
-    obs = points(spark, sf_dir).select(F.col("l_partkey").alias("point_id"), (F.col("ts") / 1e6).alias("ts"), F.xxhash64(*POINT_KEY).alias("obs_id"), (F.col("x") * 5 % 256).alias("r"), (F.col("y") * 2 % 256).alias("g"), (F.col("z") * 25 % 256).alias("b"), F.col("y").alias("distance"))
+    obs = points(spark, sf_dir).select(F.col("l_partkey").alias("point_id"), (F.col("ts") / 1e6).alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_id"), (F.col("x") * 5 % 256).alias("r"), (F.col("y") * 2 % 256).alias("g"), (F.col("z") * 25 % 256).alias("b"), F.col("y").alias("distance"))
     return folds.colour_fold(obs)
 
 
@@ -408,11 +430,15 @@ def first_match_mask(spark, sf_dir):
 @query("SELECT p_partkey, label, CASE WHEN label > 0 THEN (label - 1) % 150 END::INT AS slot FROM (SELECT p_partkey, p_size - 5 AS label FROM part)")
 def palette_join(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 5).alias("label"))
-    slots = sinks.palette(parts).select("slot", (F.col("slot") + 1).alias("of"))
+    slots = sinks.palette(spark).select("slot", (F.col("slot") + 1).alias("of"))
     return parts.join(F.broadcast(slots), F.when(F.col("label") > 0, F.pmod(F.col("label") - 1, F.lit(150)) + 1) == F.col("of"), "left").select("p_partkey", "label", "slot")
 
 
-@query()
+_COLOURS = ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(sinks.PALETTE))
+
+
+@query("SELECT user_id, label, n_votes, n_semantic, coalesce(first_, 255)::INT AS first, coalesce(second_, 255)::INT AS second, coalesce(third_, 255)::INT AS third FROM won LEFT JOIN pal ON pal.slot = (label - 1) % 150 AND label > 0",
+_VOTES + f", won AS (SELECT user_id, arg_max(label, (c, -label)) AS label, max(c) AS n_votes, sum(c)::BIGINT AS n_semantic FROM (SELECT user_id, label, count(*) AS c FROM votes WHERE label <> 0 GROUP BY ALL) GROUP BY user_id), pal(slot, first_, second_, third_) AS (VALUES {_COLOURS})")
 def semantic_colours(spark, sf_dir):
     """Users' majority labels with their palette colours."""
     return sinks.coloured(folds.majority(_votes(spark, sf_dir), "user_id", "label"), "label")

@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Labels share so many palette entries; a label of 0 or less is white.
-PALETTE_SIZE = 150
+#: The colour of each label from 1, three channels in the order in which colours are held (see pcd_lines);
+#: labels beyond go round again, a label of 0 or less is white.
+PALETTE = [
+    (128, 128, 128), (180, 120, 120), (6, 230, 230), (80, 50, 50), (4, 200, 3),
+    (120, 120, 80), (140, 140, 140), (204, 5, 255), (230, 230, 230), (4, 250, 7),
+    (224, 5, 255), (235, 255, 7), (150, 5, 61), (120, 120, 70), (8, 255, 51),
+    (255, 6, 82), (143, 255, 140), (204, 255, 4), (255, 51, 7), (204, 70, 3),
+    (0, 102, 200), (61, 230, 250), (255, 6, 51), (11, 102, 255), (255, 7, 71),
+    (255, 9, 224), (9, 7, 230), (220, 220, 220), (255, 9, 92), (112, 9, 255),
+    (8, 255, 214), (7, 255, 224), (255, 184, 6), (10, 255, 71), (255, 41, 10),
+    (7, 255, 255), (224, 255, 8), (102, 8, 255), (255, 61, 6), (255, 194, 7),
+    (255, 122, 8), (0, 255, 20), (255, 8, 41), (255, 5, 153), (6, 51, 255),
+    (235, 12, 255), (160, 150, 20), (0, 163, 255), (140, 140, 140), (250, 10, 15),
+    (20, 255, 0), (31, 255, 0), (255, 31, 0), (255, 224, 0), (153, 255, 0),
+    (0, 0, 255), (255, 71, 0), (0, 235, 255), (0, 173, 255), (31, 0, 255),
+    (11, 200, 200), (255, 82, 0), (0, 255, 245), (0, 61, 255), (0, 255, 112),
+    (0, 255, 133), (255, 0, 0), (255, 163, 0), (255, 102, 0), (194, 255, 0),
+    (0, 143, 255), (51, 255, 0), (0, 82, 255), (0, 255, 41), (0, 255, 173),
+    (10, 0, 255), (173, 255, 0), (0, 255, 153), (255, 92, 0), (255, 0, 255),
+    (255, 0, 245), (255, 0, 102), (255, 173, 0), (255, 0, 20), (255, 184, 184),
+    (0, 31, 255), (0, 255, 61), (0, 71, 255), (255, 0, 204), (0, 255, 194),
+    (0, 255, 82), (0, 10, 255), (0, 112, 255), (51, 0, 255), (0, 194, 255),
+    (0, 122, 255), (0, 255, 163), (255, 153, 0), (0, 255, 10), (255, 112, 0),
+    (143, 255, 0), (82, 0, 255), (163, 255, 0), (255, 235, 0), (8, 184, 170),
+    (133, 0, 255), (0, 255, 92), (184, 0, 255), (255, 0, 31), (0, 184, 255),
+    (0, 214, 255), (255, 0, 112), (92, 255, 0), (0, 224, 255), (112, 224, 255),
+    (70, 184, 160), (163, 0, 255), (153, 0, 255), (71, 255, 0), (255, 0, 163),
+    (255, 204, 0), (255, 0, 143), (0, 255, 235), (133, 255, 0), (255, 0, 235),
+    (245, 0, 255), (255, 0, 122), (255, 245, 0), (10, 190, 212), (214, 255, 0),
+    (0, 204, 255), (20, 0, 255), (255, 255, 0), (0, 153, 255), (0, 41, 255),
+    (0, 255, 204), (41, 0, 255), (41, 255, 0), (173, 0, 255), (0, 245, 255),
+    (71, 0, 255), (122, 0, 255), (0, 255, 184), (0, 92, 255), (184, 255, 0),
+    (0, 133, 255), (255, 214, 0), (25, 194, 194), (102, 255, 0), (92, 0, 255),
+]
 WHITE = (255, 255, 255)
+PALETTE_SIZE = len(PALETTE)
+CHANNELS = ("first", "second", "third")
 
 
 def fixed_line(columns: list[str]) -> Column:
@@ -32,18 +66,16 @@ def path_poses(poses: DataFrame, by: str, order: str, each: int = 10) -> DataFra
     return poses.withColumn("place", place).filter(F.col("place") % each == 0)
 
 
-def palette(df: DataFrame, size: int = PALETTE_SIZE) -> DataFrame:
-    """(slot, red, green, blue) for slots from 0: hues around the circle in golden steps, by a rule."""
-    hue = (F.col("id") * 0.6180339887498949) % 1.0
-    channel = lambda k: F.round(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs((hue * 6 + k) % 6 - 3) - 1))).cast("int")
-    return df.sparkSession.range(size).select(F.col("id").cast("int").alias("slot"), channel(0).alias("red"), channel(4).alias("green"), channel(2).alias("blue"))
+def palette(spark: SparkSession) -> DataFrame:
+    """(slot, first, second, third) for slots from 0."""
+    return spark.createDataFrame([(k, *c) for k, c in enumerate(PALETTE)], "slot int, first int, second int, third int")
 
 
 def coloured(df: DataFrame, label: str = "label") -> DataFrame:
     """df with its label's colour; the palette has PALETTE_SIZE rows, so it is broadcast."""
     slot = F.when(F.col(label) > 0, F.pmod(F.col(label) - 1, F.lit(PALETTE_SIZE)).cast("int"))
-    out = df.withColumn("slot", slot).join(F.broadcast(palette(df)), "slot", "left").drop("slot")
-    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip(("red", "green", "blue"), WHITE, strict=True)})
+    out = df.withColumn("slot", slot).join(F.broadcast(palette(df.sparkSession)), "slot", "left").drop("slot")
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip(CHANNELS, WHITE, strict=True)})
 
 
 def write_map(df: DataFrame, path: str, min_views: int = 1, labelled: bool = False) -> None:
