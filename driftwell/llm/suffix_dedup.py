@@ -7,9 +7,10 @@ their counts, the parse is each document's sequence of them. A phrase that occur
 LENGTH bytes and needs no further look, which covers highly repetitive text. Only where phrases share a trigger but
 differ (the ends of repeated passages) are phrases cut again, in blocks of BLOCK string starts placed by the trigger:
 a block whose strings' common bytes occur once is unique, one that occurs twice as a whole repeats, and only the
-suffixes of the other blocks are put in corpus order. Since it
-matters only whether two suffixes share their first LENGTH bytes, that order is the one of a 64-bit hash of those
-bytes: equal suffixes become neighbours in it as in a lexicographic suffix array, and it can be dealt out evenly.
+suffixes of the other blocks are compared one by one. It matters only whether two suffixes share their first LENGTH
+bytes, so equal ones meet by a 128-bit hash of those bytes instead of standing side by side in a suffix array: counts
+combine before the shuffle, while a sorted array holds all suffixes of a passage that a third of the documents share in
+one range. Phrases and blocks are compared by 128-bit hashes, too; a trigger's 64 bits only say what is looked at.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, materialise, prefix_hashes, skew_join, span_hash
+from .common import BYTE_CODES, in_small_batches, materialise, prefix_hashes, skew_join, span_hash
 
 LENGTH, GRAM, BLOCK = 400, 48, 16
 #: String starts handled at once; places take the low bits of a trigger's rank.
@@ -30,14 +32,19 @@ STARTS_AT_ONCE, PLACE_BITS = 1 << 22, 24
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-PARSE = "key long, first int, last int, place int, trigger long, phrase long"
+PARSE = "key long, first int, last int, place int, trigger long, phrase binary"
+
+
+def _digests(raw: bytes, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> list[bytes]:
+    """128 bits for the bytes of the strings that start in [first, last], and for where the trigger stands in them."""
+    view, digest = memoryview(raw), xxhash.xxh3_128_digest
+    return [digest(view[lo : hi + LENGTH], seed=at) for lo, hi, at in zip(first.tolist(), last.tolist(), (place - first).tolist(), strict=True)]
 
 
 def phrases(raw: bytes) -> tuple[np.ndarray, ...]:
-    """(first start, last start, place of the trigger, its hash, phrase hash) of a document's phrases; none under
-    LENGTH bytes."""
+    """(first start, last start, place of the trigger, its hash) of a document's phrases; none under LENGTH bytes."""
     if len(raw) < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     codes, out = np.frombuffer(raw, np.uint8), []
     for lo in range(0, len(raw) - LENGTH + 1, STARTS_AT_ONCE):
         part = codes[lo : lo + STARTS_AT_ONCE + LENGTH - 1]
@@ -56,9 +63,7 @@ def phrases(raw: bytes) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.diff(place, prepend=-1))
         last = np.append(first[1:] - 1, n - 1)
         trigger = place[first]
-        with np.errstate(over="ignore"):
-            whole = span_hash(prefix, first, last + LENGTH) + (trigger - first).astype(np.uint64) * _ODD
-        out.append((first + lo, last + lo, trigger + lo, grams[trigger], whole))
+        out.append((first + lo, last + lo, trigger + lo, grams[trigger]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -72,10 +77,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, found, held = [], [], 0
         texts, ids = batch.column("text").to_pylist(), batch.column("key").to_pylist()
         for key, text in zip(ids, texts, strict=True):
-            cut = phrases(_encoded(text))
+            raw = _encoded(text)
+            cut = phrases(raw)
             if len(cut[0]):
                 keys.append(np.full(len(cut[0]), key))
-                found.append(cut)
+                found.append((*cut, _digests(raw, *cut[:3])))
                 held += len(cut[0])
             if held > 100_000:
                 yield _parse_rows(keys, found)
@@ -85,16 +91,17 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parse_rows(keys: list, found: list) -> pa.RecordBatch:
-    first, last, place, trigger, whole = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(x.astype(np.int32)) for x in (first, last, place)), *(pa.array(x.view(np.int64)) for x in (trigger, whole))], ["key", "first", "last", "place", "trigger", "phrase"])
+    *places, trigger, whole = zip(*found, strict=True)
+    phrase = pa.array([x for part in whole for x in part], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.concatenate(x).astype(np.int32)) for x in places), pa.array(np.concatenate(trigger).view(np.int64)), phrase], ["key", "first", "last", "place", "trigger", "phrase"])
 
 
-def _opened(batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, prefix hashes, first, last, place) of a document's open rows, some at a time."""
+def _opened(batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, bytes, first, last, place) of a document's open rows, some at a time."""
     for key, text, rows in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("open").to_pylist(), strict=True):
-        prefix = prefix_hashes(BYTE_CODES[np.frombuffer(_encoded(text), np.uint8)])
+        raw = _encoded(text)
         for lo in range(0, len(rows), at_once):
-            yield (key, prefix, *(np.array([r[c] for r in rows[lo : lo + at_once]], np.int64) for c in ("first", "last", "place")))
+            yield (key, raw, *(np.array([r[c] for r in rows[lo : lo + at_once]], np.int64) for c in ("first", "last", "place")))
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,22 +114,24 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """PARSE rows of the blocks of open phrases: the trigger is the bytes that all the block's strings have."""
     for batch in batches:
-        for key, prefix, first, last, place in _opened(batch, 1000):
+        last_raw, prefix = None, None
+        for key, raw, first, last, place in _opened(batch, 1000):
+            if raw is not last_raw:
+                last_raw, prefix = raw, prefix_hashes(BYTE_CODES[np.frombuffer(raw, np.uint8)])
             block, of = _ranges((place - last) // BLOCK, (place - first) // BLOCK)
             near = place[of] - BLOCK * block
             low, high = np.maximum(first[of], near - BLOCK + 1), np.minimum(last[of], near)
             with np.errstate(over="ignore"):
                 trigger = span_hash(prefix, near, near - BLOCK + 1 + LENGTH) + block.astype(np.uint64) * _ODD
-                whole = span_hash(prefix, low, high + LENGTH) + (place[of] - low).astype(np.uint64) * _ODD
-            yield _parse_rows([np.full(len(block), key)], [(low, high, place[of], trigger, whole)])
+            yield _parse_rows([np.full(len(block), key)], [(low, high, place[of], trigger, _digests(raw, low, high, place[of]))])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(suffix hash, key, start) of every string start in the open blocks of documents."""
     for batch in batches:
-        for key, prefix, first, last, _ in _opened(batch, 4000):
+        for key, raw, first, last, _ in _opened(batch, 4000):
             at, _ = _ranges(first, last)
-            yield pa.RecordBatch.from_arrays([pa.array(span_hash(prefix, at, at + LENGTH).view(np.int64)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], ["suffix", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(raw, at, at, at), pa.binary()), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], ["suffix", "key", "at"])
 
 
 def kept_bytes(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int, int]:
@@ -176,13 +185,14 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     cross rows. A null text counts as empty; texts under LENGTH bytes stay whole. Repeated rows repeat each other. Only
     doc_id and text are read; an empty table gives an empty result.
     """
+    in_small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     parse = materialise(keyed.select("key", "text").mapInArrow(_parse, PARSE), "parse")
     marks = materialise(keyed.select("key", "text").dropDuplicates(["key"]).join(_resolved(parse), "key"), "marks")
     blocks = materialise(marks.filter(F.size("open") > 0).select("key", "text", "open").mapInArrow(_blocks, PARSE), "blocks")
     inner = materialise(_resolved(blocks), "inner")
     texts = marks.select("key", "text")
-    suffixes = materialise(texts.join(inner.filter(F.size("open") > 0).select("key", "open"), "key").mapInArrow(_suffixes, "suffix long, key long, at int"), "suffixes")
+    suffixes = materialise(texts.join(inner.filter(F.size("open") > 0).select("key", "open"), "key").mapInArrow(_suffixes, "suffix binary, key long, at int"), "suffixes")
     repeated = materialise(suffixes.groupBy("suffix").agg(F.count("*").alias("weight")).filter("weight > 1"), "repeated")
     starts = skew_join(suffixes, repeated, "suffix", "key", suffixes.count()).groupBy("key").agg(F.collect_list("at").alias("starts"))
     more = inner.select("key", F.col("whole").alias("blocks")).join(starts, "key", "left")
