@@ -9,7 +9,7 @@ from ..functions import geometry
 from ..operators import camera, filters, folds, frames, temporal, voxel
 from ..sources import sinks
 from ..sources.tables import POINT_KEY, CloudConfig, normalise, points, series, table, triggers, vectors, with_clock_offset
-from .queries import ID, ORDER, query, r6
+from .queries import COLOURS, ID, ORDER, query, r6
 
 KEY = POINT_KEY[:4]
 
@@ -237,6 +237,20 @@ def labelled_cloud_in_sensor(spark, sf_dir):
     return cloud.select("l_partkey", "label", *(F.round(v, 4).alias(c) for c, v in zip("xyz", seen, strict=True)))
 
 
+@query("SELECT l_partkey, label, n_rgb, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, first_::INT AS first, second_::INT AS second, third_::INT AS third FROM cen JOIN lab USING (l_partkey) JOIN pal ON pal.slot = (label - 1) % 150 WHERE n_rgb >= 20",
+_LABELLED + f", pal(slot, first_, second_, third_) AS (VALUES {COLOURS})")
+def labelled_cloud(spark, sf_dir):
+    """The labelled map in the world, with its labels' colours."""
+    cloud = sinks.coloured(_labelled(spark, sf_dir))
+    return cloud.select("l_partkey", "label", "n_rgb", *(F.round(c, 4).alias(c) for c in "xyz"), *sinks.CHANNELS)
+
+
+@query(f"SELECT l_suppkey, page, count(*) AS n FROM (SELECT l_suppkey, floor((row_number() OVER (PARTITION BY l_suppkey ORDER BY {ORDER}) - 1) / floor(4.0::DOUBLE * pow(1.5::DOUBLE, steps)))::INT AS page FROM (SELECT *, greatest(0, floor(ln(count(*) OVER (PARTITION BY l_suppkey) / (4 * 44)) / ln(1.5::DOUBLE) - 1e-9) + 1) AS steps FROM pts)) GROUP BY ALL")
+def page_export_grown(spark, sf_dir):
+    """Pages of four points, grown until a supplier has fewer than 45."""
+    return sinks.with_grown_pages(points(spark, sf_dir), ["l_suppkey"], POINT_KEY, 4).groupBy("l_suppkey", "page").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id, user_id, ts, hour FROM (SELECT *, lag(hour) OVER (PARTITION BY user_id ORDER BY ts) AS before_ FROM (SELECT *, ts // 3600000000 AS hour FROM ser)) WHERE before_ IS NULL OR before_ <> hour")
 def changed_frames(spark, sf_dir):
     """What a change-driven publisher sends: samples whose frame (their hour) is another than the last one's."""
@@ -244,6 +258,13 @@ def changed_frames(spark, sf_dir):
     return frames.changed(df, "user_id", "ts", "hour").select("event_id", "user_id", "ts", "hour")
 
 
+@query("SELECT msg_id, idx, round(ms / 100, 6) AS alpha, ms AS relative_ms, x, y, z FROM (SELECT *, msg_id * 100000 + (ms * 1000)::BIGINT AS ts FROM scan) WHERE ts BETWEEN msg_id * 100000 AND (msg_id + 1) * 100000", SCAN)
+def point_projection(spark, sf_dir):
+    """Points of untimed clouds with their place in the sweep; those outside it are left out."""
+    df = _scan(spark, sf_dir).withColumns({"ts": F.col("msg_id") * 100_000 + (F.col("ms") * 1000).cast("long"), "begin_ts": F.col("msg_id") * 100_000, "end_ts": (F.col("msg_id") + 1) * 100_000})
+    return temporal.with_alpha(df, "begin_ts", "end_ts", clamp=False).select("msg_id", "idx", r6("alpha").alias("alpha"), "relative_ms", "x", "y", "z")
+
+
 # -- images and masks -----------------------------------------------------------------------------------------
 
 #: Four vectors make a raster of 16 by 16.

@@ -434,11 +434,11 @@ def palette_join(spark, sf_dir):
     return parts.join(F.broadcast(slots), F.when(F.col("label") > 0, F.pmod(F.col("label") - 1, F.lit(150)) + 1) == F.col("of"), "left").select("p_partkey", "label", "slot")
 
 
-_COLOURS = ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(sinks.PALETTE))
+COLOURS = ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(sinks.PALETTE))
 
 
 @query("SELECT user_id, label, n_votes, n_semantic, coalesce(first_, 255)::INT AS first, coalesce(second_, 255)::INT AS second, coalesce(third_, 255)::INT AS third FROM won LEFT JOIN pal ON pal.slot = (label - 1) % 150 AND label > 0",
-_VOTES + f", won AS (SELECT user_id, arg_max(label, (c, -label)) AS label, max(c) AS n_votes, sum(c)::BIGINT AS n_semantic FROM (SELECT user_id, label, count(*) AS c FROM votes WHERE label <> 0 GROUP BY ALL) GROUP BY user_id), pal(slot, first_, second_, third_) AS (VALUES {_COLOURS})")
+_VOTES + f", won AS (SELECT user_id, arg_max(label, (c, -label)) AS label, max(c) AS n_votes, sum(c)::BIGINT AS n_semantic FROM (SELECT user_id, label, count(*) AS c FROM votes WHERE label <> 0 GROUP BY ALL) GROUP BY user_id), pal(slot, first_, second_, third_) AS (VALUES {COLOURS})")
 def semantic_colours(spark, sf_dir):
     """Users' majority labels with their palette colours."""
     return sinks.coloured(folds.majority(_votes(spark, sf_dir), "user_id", "label"), "label")

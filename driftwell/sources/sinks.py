@@ -60,6 +60,20 @@ def with_pages(df: DataFrame, by: list[str], order: list[str], page: int = 1000)
     return df.withColumn("page", F.floor(place / page).cast("int"))
 
 
+def with_grown_pages(df: DataFrame, by: list[str], order: list[str], page: int = 1000, most: int = 45, growth: float = 1.5) -> DataFrame:
+    """with_pages(), of pages that grow by `growth` until a group has fewer than `most` of them."""
+    n = F.count("*").over(Window.partitionBy(*by))
+    steps = F.greatest(F.lit(0), F.floor(F.log(n / (page * (most - 1))) / F.log(F.lit(growth)) - 1e-9) + 1)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    size = F.floor(F.lit(float(page)) * F.pow(F.lit(growth), steps))
+    return df.withColumn("page", F.floor(place / size).cast("int"))
+
+
+def dump_sweeps(df: DataFrame, frame: str, path: str) -> None:
+    """Every sweep's points in a folder of its own."""
+    df.write.mode("overwrite").partitionBy(frame).parquet(path)
+
+
 def path_poses(poses: DataFrame, by: str, order: str, each: int = 10) -> DataFrame:
     """Every `each`-th pose of a trajectory: what a path shows."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(order))

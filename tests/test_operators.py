@@ -234,3 +234,19 @@ def test_arrays_of_another_size_fail(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "a array<double>")
     with pytest.raises(Exception, match="array of 3"):
         df.select(*geometry.from_array(F.col("a"), 3)).collect()
+
+
+def test_settings_take_known_keys_and_say_what_they_ignore(spark):
+    from driftwell.sources import settings
+
+    values = {"common": {"point_filter_num": 4, "image_type": "PNG"}, "lidar_parameter": {"lidar_type": 3, "time_unit": 3, "blind": "4"}, "map_options": {"add_point_step": None}, "other": 1}
+    found, ignored = settings.settings(values)
+    assert len(found) == 64 and found["common/image_type"] == "RGB8" and found["odometry_options/voxel_size"] == 0.5
+    assert ignored == ["common/image_type: PNG is not supported", "map_options/add_point_step: None is no int", "other: not known"]
+    assert settings.cloud_config(found) == tables.CloudConfig("ouster", "ns", 16, 4.0, 4, 10.0)
+    assert settings.as_frame(spark, found).filter("key = 'common/point_filter_num'").first().value == "4"
+
+
+def test_sweeps_are_dumped_in_folders(spark, tmp_path):
+    sinks.dump_sweeps(spark.range(10).withColumn("frame", F.col("id") % 3), "frame", f"{tmp_path}/sweeps")
+    assert sorted(p.name for p in (tmp_path / "sweeps").glob("frame=*")) == ["frame=0", "frame=1", "frame=2"]
