@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +33,44 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_decoding_equals_a_plain_one():
+    rng = random.Random(3)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst", "ee": "uvwxy", "ff": "abxyz", "gg": "cdwzk"}
+    text = lambda v: " ".join("".join(rng.choice(letters[v]) for _ in range(5)) for _ in range(30))
+    langs = [v for v in letters for _ in range(12)]
+    model = language_id.CodedClassifier.fit([text(v) for v in langs], langs)
+    tried = [text(v) for v in letters] + ["Some other words", "ÀÉ漢字 ok", "x", "abc" * 1000]
+    for t, (lang, score, _) in zip(tried, model.decode(tried), strict=True):
+        codes = [*(ord(c) for c in t.lower()), 0, 0]
+        plain = [c if c >= 128 or chr(c).isalpha() or c == 0 else 32 for c in codes]
+        margins = np.array(model.bias, float)
+        for order in language_id.ORDERS:
+            buckets = language_id._buckets(np.array(plain, np.uint32), order)[: len(t.lower())]
+            margins = margins + sum(model.weights[b].astype(float) for b in buckets) / (3 * len(t.lower()))
+        losses = [sum(w * np.log1p(np.exp(-c * m)) for w, c, m in zip(model.trust[k], model.code[k], margins, strict=True)) for k in range(len(model.langs))]
+        assert lang == model.langs[int(np.argmin(losses))]
+        assert score == pytest.approx(np.exp(-min(losses)), abs=1e-4)
+    assert [v for v, _, _ in model.decode([text(v) for v in letters])] == list(letters)
+
+
+def test_language_of_long_texts_is_that_of_their_parts(monkeypatch):
+    rng = random.Random(5)
+    texts = [words(rng, 300), "ab", "", "é" * 7, words(rng, 40)]
+    weights = np.random.default_rng(1).standard_normal((1 << language_id.BUCKET_BITS, 3))
+    whole = language_id.margins_of(texts, weights)
+    monkeypatch.setattr(language_id, "CHARS_AT_ONCE", 64)
+    assert np.allclose(language_id.margins_of(texts, weights), whole)
+    assert np.allclose(language_id.margins_of(texts[::-1], weights)[::-1], whole)
+
+
+def test_language_knows_as_many_languages_as_there_are():
+    langs = [f"l{k}" for k in range(70) for _ in range(3)]
+    texts = [f"{chr(0x4E00 + 50 * int(v[1:]))}{chr(0x4E01 + 50 * int(v[1:]))} " * 20 for v in langs]
+    model = language_id.CodedClassifier.fit(texts, langs)
+    assert len(model.langs) == 70
+    assert np.mean([lang == v for (lang, _, _), v in zip(model.decode(texts), langs, strict=True)]) > 0.9
+
+
 def test_language_of_odd_texts(spark):
     got = language_id.identify(frame(spark)).collect()
     assert len(got) == len(rows())
@@ -54,6 +94,17 @@ def test_toxic_words_are_found_wherever_they_stand():
     assert np.isfinite(scores).all() and scores[-1] >= 0.3
 
 
+def test_toxicity_of_held_out_documents(spark, sf_dir):
+    larger = Path(sf_dir).parent / "sf0.01"
+    if not larger.exists():
+        pytest.skip("no test data")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.op8_toxicity(spark, str(larger)).join(labels, "doc_id").filter("held_out AND toxic IS NOT NULL").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert np.mean([r.predicted for r in got if r.toxic]) > 0.6
+    assert np.mean([r.predicted for r in got if not r.toxic]) < 0.1
+
+
 def test_toxicity_reads_long_words_to_their_end():
     rng = random.Random(6)
     long = "".join(rng.choice("abcdefgh.,") for _ in range(1000))
@@ -122,6 +173,22 @@ def test_pii_kinds_places_and_masks(spark):
     assert len(KINDS) == 5
 
 
+def test_pii_of_long_texts_full_of_digits(spark):
+    """Each of these texts took minutes or never ended when places were summed up one after the other."""
+    n = 20_000
+    cases = [(1, "12x" * 300_000), (2, "4111 1111 1111 1111, " * n), (3, "a@b.org " * n), (4, "x" * 5000 + " 1.2.3.4 " + "é" * 5000 + " call +1 (212) 555-0100")]
+    docs = spark.createDataFrame(cases, "doc_id long, text string")
+    began = time.monotonic()
+    found = {r.doc_id: r.pii for r in pii_spans(docs).collect()}
+    hidden = {r.doc_id: r.text for r in masked(docs).collect()}
+    assert time.monotonic() - began < 120
+    assert found[1] == [] and hidden[1] == cases[0][1]
+    assert [(s.start, s.end) for s in found[2]] == [(21 * k, 21 * k + 19) for k in range(n)] and hidden[2] == "<CARD>, " * n
+    assert [(s.start, s.end) for s in found[3]] == [(8 * k, 8 * k + 7) for k in range(n)] and hidden[3] == "<EMAIL> " * n
+    assert hidden[4] == "x" * 5000 + " <IP> " + "é" * 5000 + " call <PHONE>"
+    assert [(s.kind, s.start, s.end, round(s.score, 1)) for s in found[4]] == [("ip", 5001, 5008, 0.5), ("phone", 10_015, 10_032, 0.8)]
+
+
 def test_pii_query_works_out_the_context_scores(spark, sf_dir):
     got = op6_pii(spark, sf_dir)
     plan = got._jdf.queryExecution().optimizedPlan().toString()

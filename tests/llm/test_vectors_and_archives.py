@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import struct
@@ -101,8 +102,25 @@ def test_reader_finds_what_is_wrong():
             list(warc.read_records(io.BytesIO(bad)))
 
 
+def test_reader_takes_archives_of_other_writers():
+    """Names in another case, no digest or one in base 32, no fields of our own, and records that hold no HTTP."""
+    body = b"HTTP/1.1 200 OK\r\ncontent-length: 5\r\n\r\nhello"
+    head = "WARC/1.0\r\nwarc-type: {}\r\nWARC-RECORD-ID: <urn:x>\r\nwarc-date: 2020-01-01T00:00:00Z\r\nContent-Type: {}\r\n{}content-length: {}\r\n\r\n"
+    record = lambda kind, content, more, raw: head.format(kind, content, more, len(raw)).encode() + raw + b"\r\n\r\n"
+    http, sha1 = "application/http; msgtype=response", base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    found = warc.parse_record(record("response", http, "", body))
+    assert (found["payload"], found["payload_bytes"], found["payload_digest"], found["page_id"]) == (b"hello", 5, hashlib.sha256(b"hello").hexdigest(), None)
+    assert warc.parse_record(record("response", http, f"WARC-Payload-Digest: sha1:{sha1}\r\n", body))["payload"] == b"hello"
+    assert warc.parse_record(record("warcinfo", "application/warc-fields", "", b"software: x"))["payload"] == b"software: x"
+    revisit = warc.parse_record(record("revisit", http, "WARC-Refers-To-Target-URI: http://a\r\n", body[:-5]))
+    assert (revisit["record_type"], revisit["payload_bytes"]) == ("revisit", 5)
+    for more in (f"WARC-Payload-Digest: sha1:{sha1[::-1]}\r\n", "Page-Id: one\r\n", "Page-Payload-Length: 6\r\n"):
+        with pytest.raises(warc.ArchiveError):
+            warc.parse_record(record("response", http, more, body))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), 100).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
-    assert components(spark.createDataFrame([], "a long, b long"), 0).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
