@@ -4,7 +4,8 @@ Vectors go to the cell of their nearest pivot; a cell's summary is its count, ra
 first meets its own cell and the best-placed others until k candidates are sure, which gives it a floor; then it is
 sent only to cells whose bound q.p + |q| r reaches that floor. A cell's vectors and the queries sent to it are both cut in
 blocks, so a crowded cell is many tasks, each of two bounded blocks.
-All arithmetic is on integers below 2**53 in doubles, so scores are exact.
+Scores are sums of whole numbers in doubles, exact below 2**53; where lengths allow more, a block is summed in whole numbers
+without a bound. Bounds leave room for the rounding of doubles.
 """
 
 from __future__ import annotations
@@ -43,6 +44,15 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact whatever their size."""
+    largest = np.sqrt((a * a).sum(1).max(initial=0) * (b * b).sum(1).max(initial=0))
+    if largest < 2.0**52:
+        return a @ b.T
+    whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+    return whole(a) @ whole(b).T
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of a row's k best scores, ties to smaller ids; ids ascend."""
     if len(scores) <= k:
@@ -62,11 +72,10 @@ def _solve(k: int, width: int):
             ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"].tolist(), width)
             for lo in range(0, len(queries), 256):
                 part = queries.iloc[lo : lo + 256]
-                scores = _matrix(part["v"].tolist(), width) @ x.T
+                scores = _products(_matrix(part["v"].tolist(), width), x)
                 for q, s in zip(part["vec_id"], scores, strict=True):
-                    s[ids == q] = -np.inf
-                    best = _best(s, ids, k)
-                    best = best[s[best] > -np.inf]
+                    others = np.flatnonzero(ids != q)
+                    best = others[_best(s[others], ids[others], k)]
                     found.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": s[best].astype(np.int64)}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
 
@@ -94,7 +103,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
     Both sides are (vec_id, v) of whole numbers as doubles; shorter vectors count as ended by zeros. Ties go to smaller
     ids. Fewer rows than k give fewer ranks; no vectors or no queries give an empty result. Repeated ids are
-    candidates each for itself.
+    candidates each for itself; as queries they share one ranking. A score must fit a long.
     """
     total = vectors.count()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -139,7 +148,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                     use = np.zeros(middle.shape, bool)
                     np.put_along_axis(use, order, before < k + 1, axis=1)
                 else:
-                    use = middle + reach + 1e-6 >= part["floor"].to_numpy()[:, None]
+                    use = middle + reach + 1e-6 + 1e-12 * (np.abs(middle) + reach) >= part["floor"].to_numpy()[:, None]
                     for row, tried in enumerate(part["tried"]):
                         use[row, np.isin(cells, tried)] = False
                 at, which = np.nonzero(use)

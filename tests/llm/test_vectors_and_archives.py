@@ -6,6 +6,7 @@ import io
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 
@@ -34,6 +35,13 @@ def test_top_k_equals_brute_force(spark):
     assert knn.top_k(vectors.filter("vec_id < 0"), vectors, 5).count() == 0
 
 
+def test_products_of_large_numbers_are_exact():
+    a, b = np.array([[2.0**40, 1.0], [3.0, -5.0]]), np.array([[2.0**20, 7.0], [2.0**20, 6.0], [-1.0, 2.0]])
+    assert knn._products(a, b).tolist() == [[2**60 + 7, 2**60 + 6, 2 - 2**40], [3 * 2**20 - 35, 3 * 2**20 - 30, -13]]
+    found = knn._solve(2, 2)((0, 0, 0), pd.DataFrame({"vec_id": [9], "v": [a[0]]}), pd.DataFrame({"vec_id": [1, 2, 9], "v": list(b)}))
+    assert found.values.tolist() == [[9, 1, 2**60 + 7], [9, 2, 2**60 + 6]]
+
+
 def test_top_k_joins_bounded_blocks(spark, monkeypatch):
     """One cell holds nearly all vectors and gets nearly all queries: no task may hold many of either."""
     monkeypatch.setattr(knn, "BLOCK_ROWS", 32)
