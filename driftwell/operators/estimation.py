@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import exp_matrix, skew
 from . import voxel
-from .folds import fold_sorted
 
 GRAVITY = 9.81
 #: Variances of the accelerometer, gyroscope and their biases.
@@ -67,17 +69,98 @@ class InertialFilter:
         return d
 
 
+#: Trajectories that one task steps side by side, or so.
+SIDE_BY_SIDE = 256
+
+
+def _rotations(v: np.ndarray) -> np.ndarray:
+    """exp_matrix() of rows."""
+    angle = np.linalg.norm(v, axis=1)
+    k = _crosses(v / np.where(angle < 1e-10, 1, angle)[:, None])
+    turned = np.eye(3) + np.sin(angle)[:, None, None] * k + (1 - np.cos(angle))[:, None, None] * (k @ k)
+    return np.where((angle < 1e-10)[:, None, None], np.eye(3) + _crosses(v), turned)
+
+
+def _crosses(v: np.ndarray) -> np.ndarray:
+    """skew() of rows."""
+    out = np.zeros((len(v), 3, 3))
+    out[:, [2, 0, 1], [1, 2, 0]], out[:, [1, 2, 0], [2, 0, 1]] = v, -v
+    return out
+
+
+class InertialFilters:
+    """InertialFilter.predict() of many trajectories side by side, with biases and gravity as they start."""
+
+    def __init__(self) -> None:
+        self.slots: dict = {}
+        self.state: dict[str, np.ndarray] = {}
+        self._grow(SIDE_BY_SIDE)
+
+    def _grow(self, size: int) -> None:
+        fresh = {"p": np.zeros((size, 3)), "v": np.zeros((size, 3)), "r": np.tile(np.eye(3), (size, 1, 1)), "cov": np.tile(np.eye(17) * 1e-2, (size, 1, 1)), "t": np.zeros(size), "acc": np.zeros((size, 3)), "gyr": np.zeros((size, 3)), "begun": np.zeros(size, bool)}
+        for name, held in self.state.items():
+            fresh[name][: len(held)] = held
+        self.state = fresh
+
+    def predict(self, keys: list, t: np.ndarray, acc: np.ndarray, gyr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, velocities and the covariances' traces after one sample of each of these trajectories."""
+        at = np.array([self.slots.setdefault(k, len(self.slots)) for k in keys])
+        if len(self.slots) > len(self.state["t"]):
+            self._grow(2 * len(self.slots))
+        s = self.state
+        on = at[s["begun"][at]]
+        if len(on):
+            mine = s["begun"][at]
+            dt = (t[mine] - s["t"][on])[:, None]
+            w, a, r = (s["gyr"][on] + gyr[mine]) / 2, (s["acc"][on] + acc[mine]) / 2, s["r"][on]
+            turn, still = _rotations(w * dt), InertialFilter()
+            f, n = np.tile(np.eye(17), (len(on), 1, 1)), np.zeros((len(on), 17, 12))
+            step = np.eye(3) * dt[:, :, None]
+            f[:, 0:3, 6:9] = n[:, 9:12, 6:9] = n[:, 12:15, 9:12] = step
+            f[:, 3:6, 3:6], f[:, 3:6, 12:15] = turn.transpose(0, 2, 1), -step
+            f[:, 6:9, 3:6], f[:, 6:9, 9:12] = -r @ _crosses(a) * dt[:, :, None], -r * dt[:, :, None]
+            f[:, 6:9, 15:17] = skew(still.g) @ still.tangent() * dt[:, :, None]
+            n[:, 6:9, 0:3], n[:, 3:6, 3:6] = -r * dt[:, :, None], -step
+            noisy = n * np.repeat(NOISE, 3)
+            s["cov"][on] = f @ s["cov"][on] @ f.transpose(0, 2, 1) + noisy @ n.transpose(0, 2, 1)
+            s["p"][on] += s["v"][on] * dt
+            s["v"][on] += (r @ a[:, :, None])[:, :, 0] * dt - still.g * dt
+            s["r"][on] = r @ turn
+        s["t"][at], s["acc"][at], s["gyr"][at], s["begun"][at] = t, acc, gyr, True
+        return s["p"][at], s["v"][at], np.trace(s["cov"][at], axis1=1, axis2=2)
+
+
 def trajectory(imu: DataFrame, by: str) -> DataFrame:
     """Positions and velocities after each sample (ts in seconds, ax..az, gx..gz) of each trajectory, in time order.
 
-    One fold streams through each trajectory; trajectories are dealt over the executors.
+    Trajectories are dealt over the executors; a task steps about SIDE_BY_SIDE of them at once, sample by sample, so it
+    holds as many states, and then the next ones.
     """
-
-    def step(state: InertialFilter, row):
-        state.predict(row.ts, np.array([row.ax, row.ay, row.az]), np.array([row.gx, row.gy, row.gz]))
-        return state, (row.ts, *map(float, state.p), *map(float, state.v), float(np.trace(state.cov)))
-
-    return fold_sorted(imu, [by], ["ts"], InertialFilter, step, f"{by} long, ts double, px double, py double, pz double, vx double, vy double, vz double, spread double")
+    spark = imu.sparkSession
+    n = imu.agg(F.approx_count_distinct(by)).first()[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    bunch = F.pmod(F.xxhash64(by, F.lit(1)), F.lit(max(1, n // (parts * SIDE_BY_SIDE)))).alias("__bunch")
+    sample = F.row_number().over(Window.partitionBy(by).orderBy("ts")).alias("__sample")
+    inputs = ["ax", "ay", "az", "gx", "gy", "gz"]
+    rows = imu.select(by, "ts", *inputs, sample, bunch).sortWithinPartitions("__bunch", "__sample")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bunch_, filters = None, InertialFilters()
+        for part in batches:
+            place = part[["__bunch", "__sample"]].to_numpy()
+            values, keys, times = part[inputs].to_numpy(float), part[by].tolist(), part["ts"].to_numpy(float)
+            out = np.empty((len(part), 7))
+            edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1), len(part)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                if place[lo, 0] != bunch_:
+                    bunch_, filters = place[lo, 0], InertialFilters()
+                p, v, spread = filters.predict(keys[lo:hi], times[lo:hi], values[lo:hi, :3], values[lo:hi, 3:])
+                out[lo:hi, :3], out[lo:hi, 3:6], out[lo:hi, 6] = p, v, spread
+            yield pd.DataFrame({by: part[by], "ts": times, **dict(zip(["px", "py", "pz", "vx", "vy", "vz", "spread"], out.T, strict=True))})
+
+    return rows.mapInPandas(run, f"{by} long, ts double, px double, py double, pz double, vx double, vy double, vz double, spread double")
 
 
 def initial_bias(imu: DataFrame, by: str) -> DataFrame:

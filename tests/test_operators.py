@@ -250,3 +250,21 @@ def test_settings_take_known_keys_and_say_what_they_ignore(spark):
 def test_sweeps_are_dumped_in_folders(spark, tmp_path):
     sinks.dump_sweeps(spark.range(10).withColumn("frame", F.col("id") % 3), "frame", f"{tmp_path}/sweeps")
     assert sorted(p.name for p in (tmp_path / "sweeps").glob("frame=*")) == ["frame=0", "frame=1", "frame=2"]
+
+
+def test_trajectories_side_by_side_equal_single_ones(spark):
+    rng = np.random.default_rng(4)
+    rows, expected = [], {}
+    for user in range(7):
+        state, t = estimation.InertialFilter(), 0.0
+        for _ in range(int(rng.integers(1, 25))):
+            t += float(rng.uniform(0.001, 0.1))
+            acc, gyr = rng.normal(0, 2, 3) + [0, 0, 9.8], rng.normal(0, 1, 3)
+            rows.append((user, t, *map(float, acc), *map(float, gyr)))
+            state.predict(t, acc, gyr)
+            expected[user, t] = [*state.p, *state.v, np.trace(state.cov)]
+    df = spark.createDataFrame(rows, "user_id long, ts double, ax double, ay double, az double, gx double, gy double, gz double").repartition(3)
+    got = {(r.user_id, r.ts): [r.px, r.py, r.pz, r.vx, r.vy, r.vz, r.spread] for r in estimation.trajectory(df, "user_id").collect()}
+    assert got.keys() == expected.keys()
+    assert all(np.allclose(got[k], expected[k]) for k in got)
+    assert estimation.trajectory(df.limit(0), "user_id").count() == 0
