@@ -49,11 +49,8 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_SIDE else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def slices_of(spark: SparkSession) -> int:
+    """Partitions that the session shuffles to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 

@@ -230,6 +230,7 @@ def live_groups(live: DataFrame) -> DataFrame:
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Who stays of every group of equal texts; see exact_dedup() for nulls and repeated rows."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

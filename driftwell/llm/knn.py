@@ -178,6 +178,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def op7_top_k(spark, sf_dir: str) -> DataFrame:
+    """The TOP best rows of every QUERY_EACH-th vector; see whole_vectors() and top_k() for nulls, ties and repeated ids."""
     vectors = materialise(whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
     return top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_EACH == 0))
 

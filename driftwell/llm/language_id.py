@@ -223,5 +223,6 @@ def identify(docs: DataFrame, model: CodedClassifier | None = None) -> DataFrame
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from rows that aren't held out; see identify() for nulls and odd texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs.select("doc_id", "text"), learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))

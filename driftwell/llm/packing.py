@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_small_batches, materialise
 from .tokens import WordTokens
 
 CAPACITY = 4096
@@ -122,6 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     longer than `capacity` are cut in pieces of that length; the last may be shorter. Repeated rows are packed each for
     itself. Only doc_id (may be null) and text are read, so extra columns may have any name; an empty table gives none.
     """
+    in_small_batches(docs.sparkSession)
     pieces = materialise(docs.select("doc_id", "text").mapInArrow(_tokenize_and_pack(tokenizer, capacity), PIECES), "pieces")
     bins = pieces.filter(F.col("offset") == 0).select("bin", "node", "load")
     nodes = (bins.agg(F.max("node")).first()[0] or 0) + 1
@@ -146,6 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
 
 
 def op9_pack(spark, sf_dir: str) -> DataFrame:
+    """All documents packed; see pack() for nulls, empty and long texts and repeated rows."""
     import public_tokenizers
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

@@ -226,6 +226,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Every document's ids and whether they decode to its text; see encode() for nulls and odd texts."""
     import public_tokenizers
 
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))

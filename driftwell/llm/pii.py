@@ -78,6 +78,7 @@ def _digit_runs(text: Column) -> Column:
 
 
 def digits_of(x: Column) -> Column:
+    """The digits of a text, without what stands between them; null for null."""
     return F.regexp_replace(x, "[^0-9]", "")
 
 

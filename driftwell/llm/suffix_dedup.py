@@ -206,4 +206,5 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What stays of every document; see remove_repeats() for nulls, short texts and repeated rows."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Windows of LENGTH words, a new one each STRIDE words.
 LENGTH, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
@@ -348,6 +350,7 @@ def toxicity(docs: DataFrame, model: Network, flag_from: float = FLAG_FROM) -> D
     A null text counts as empty; a text without words is scored as a window without words. Only text is an input.
     """
     docs = docs.drop("toxic_score", "toxic_pred")
+    in_small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +370,7 @@ def toxicity(docs: DataFrame, model: Network, flag_from: float = FLAG_FROM) -> D
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every whole text's score, learned from labels that aren't held out; see toxicity() for nulls and empty texts."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity(docs.select("doc_id", "text"), learn(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"))

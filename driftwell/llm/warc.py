@@ -259,6 +259,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page's record as read back; see with_record_types() for nulls, small payloads and repeated rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     manifest = write_archives(pages, scratch_path(spark, "warc"))
     return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
