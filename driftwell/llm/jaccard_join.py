@@ -106,35 +106,40 @@ def _rare(sketch, hot_from: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(sketch, noise: int):
     """(token, sid, weight) of rows (token, sid, hot) in that order: those whose token is hot or has another sid, each once.
 
-    weight counts the token's sets, as far as they stand in one batch: it only serves to choose leaders.
+    weight is how often the token occurs, by the sketch less its noise; it only serves to choose leaders.
     """
-    held = None  # the last row so far, whose token may go on in the next batch, and whether it was given
-    for batch in batches:
-        token, hot = batch.column("token").to_numpy(), batch.column("hot").to_numpy(zero_copy_only=False)
-        fixed = batch.column("sid").cast(SID)
-        raw = np.frombuffer(fixed.buffers()[1], "<u8")[2 * fixed.offset : 2 * (fixed.offset + len(fixed))].reshape(-1, 2)
-        if held is not None:
-            token, raw, hot = np.append(held[0], token), np.concatenate([held[1], raw]), np.append(held[2], hot)
-        if not len(token):
-            continue
-        same = token[1:] == token[:-1]
-        other = (raw[1:] != raw[:-1]).any(1)
-        fresh = np.append(True, ~same | other)
-        first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(token)), 0))
-        several = np.zeros(len(token), bool)
-        several[first[1:][same & other]] = True
-        give = fresh & (several[first] | hot)
-        if held is not None and held[3]:
-            give |= fresh & (first == 0)
-            give[0] = False
-        # the last row stays held: if it was not given, a later row of its token will show that it is shared
-        given = bool(give[first[-1] :].any() or (first[-1] == 0 and held is not None and held[3]))
-        held = token[-1:], raw[-1:], hot[-1:], given
-        weight = np.bincount(first[fresh], minlength=len(token))[first]
-        yield pa.RecordBatch.from_arrays([pa.array(token[give]), _id_column(np.ascontiguousarray(raw[give]).tobytes(), int(give.sum())), pa.array(weight[give].astype(np.int32))], ["token", "sid", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(zlib.decompress(sketch.value), "<u4")
+        held = None  # the last row so far, whose token may go on in the next batch, and whether it was given
+        for batch in batches:
+            token, hot = batch.column("token").to_numpy(), batch.column("hot").to_numpy(zero_copy_only=False)
+            fixed = batch.column("sid").cast(SID)
+            raw = np.frombuffer(fixed.buffers()[1], "<u8")[2 * fixed.offset : 2 * (fixed.offset + len(fixed))].reshape(-1, 2)
+            if held is not None:
+                token, raw, hot = np.append(held[0], token), np.concatenate([held[1], raw]), np.append(held[2], hot)
+            if not len(token):
+                continue
+            same = token[1:] == token[:-1]
+            other = (raw[1:] != raw[:-1]).any(1)
+            fresh = np.append(True, ~same | other)
+            first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(token)), 0))
+            several = np.zeros(len(token), bool)
+            several[first[1:][same & other]] = True
+            give = fresh & (several[first] | hot)
+            if held is not None and held[3]:
+                give |= fresh & (first == 0)
+                give[0] = False
+            # the last row stays held: if it was not given, a later row of its token will show that it is shared
+            given = bool(give[first[-1] :].any() or (first[-1] == 0 and held is not None and held[3]))
+            held = token[-1:], raw[-1:], hot[-1:], given
+            weight = np.maximum(counts[(token.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) - noise, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(token[give]), _id_column(np.ascontiguousarray(raw[give]).tobytes(), int(give.sum())), pa.array(weight[give])], ["token", "sid", "weight"])
+
+    return run
 
 
 def _filter_part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -213,7 +218,7 @@ def _verified(docs: DataFrame, active: DataFrame, asked: DataFrame, members: Dat
     asking = asking.select("at", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("a").alias("sid"))
     uses = materialise(of_group.unionByName(asking), f"{tag}-uses")
     wanted = materialise(uses.select("sid").distinct().join(active, "sid"), f"{tag}-wanted")
-    placed = uses.join(_texts(docs, wanted), "sid").select("at.group", "at.block", "salt", "kind", "sid", "text")
+    placed = _texts(docs, wanted).join(small_side(uses), "sid").select("at.group", "at.block", "salt", "kind", "sid", "text")
     dealt = placed.repartition(slices_of(docs.sparkSession), "group", "block", "salt").sortWithinPartitions("group", "block", "salt", "kind")
     return materialise(dealt.mapInArrow(_open_groups, "a binary, b binary"), f"{tag}-links")
 
@@ -267,7 +272,7 @@ def _labelled(active: DataFrame, links: DataFrame) -> DataFrame:
 
 def _asked(matched: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
     """(a, group, block): the groups of other labels that can hold a link, by the rare shingles that they share."""
-    posted = matched.drop("weight").join(groups, "sid")
+    posted = matched.drop("weight").join(small_side(groups), "sid")
     several = posted.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("weight")).filter("low <> high").select("token", "weight")
     posted = materialise(skew_join(posted, several, "token", "sid", n_rows).withColumn("n", _size_of("sid")), "mixed")
     span = (F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -303,7 +308,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rare = docs.mapInArrow(_rare(sketch, 2 * noise + 64 + rows.count() // HOT_SHINGLE), "token long, sid binary, hot boolean")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS)))
-    matched = rare.repartition(slices_of(spark), "token", salt).sortWithinPartitions("token", "sid").mapInArrow(_shared, "token long, sid binary, weight int")
+    matched = rare.repartition(slices_of(spark), "token", salt).sortWithinPartitions("token", "sid").mapInArrow(_shared(sketch, noise), "token long, sid binary, weight long")
     matched = materialise(matched, "matched")
     n_rows = matched.count()
     owners = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("owner"))
