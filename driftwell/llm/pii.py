@@ -33,9 +33,9 @@ CONTEXT = {
 }
 
 
-def _chunks(items: Column) -> Column:
-    """An array cut in arrays of CHUNK."""
-    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(1), F.size(items), F.lit(CHUNK)), lambda i: F.slice(items, i, CHUNK)))
+def _let(value: Column, use) -> Column:
+    """use(value), which is worked out once, also where lambdas use it for each of their items."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _placed(found: Column, gaps: Column) -> Column:
@@ -44,7 +44,6 @@ def _placed(found: Column, gaps: Column) -> Column:
     Running sums are taken within chunks and over chunks, since appending to an array copies it: this stays near linear
     for texts with a great many matches.
     """
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
     none = F.array().cast(PLACED)
     width = lambda x: F.length(x["g"]) + F.length(x["m"])
 
@@ -57,13 +56,17 @@ def _placed(found: Column, gaps: Column) -> Column:
         return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), add)["out"]
 
     def next_(acc: Column, chunk: Column) -> Column:
-        start = F.element_at(acc, -1)
-        return F.concat(acc, F.array(start + F.aggregate(chunk, F.lit(0), lambda n, x: n + width(x))))
+        return F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(chunk, F.lit(0), lambda n, x: n + width(x))))
 
-    chunks = _chunks(pairs)
-    starts = F.aggregate(chunks, F.array(F.lit(0)), next_)
-    many = F.flatten(F.zip_with(F.slice(starts, 1, F.size(chunks)), chunks, from_))
-    return F.when(F.size(found) > CHUNK, many).when(F.size(found) > 0, from_(F.lit(0), pairs)).otherwise(none)
+    def many(chunks: Column) -> Column:
+        starts = F.aggregate(chunks, F.array(F.lit(0)), next_)
+        return F.flatten(F.zip_with(F.slice(starts, 1, F.size(chunks)), chunks, from_))
+
+    def of_pairs(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(CHUNK)), lambda i: F.slice(pairs, i, CHUNK))
+        return F.when(F.size(pairs) > CHUNK, _let(chunks, many)).when(F.size(pairs) > 0, from_(F.lit(0), pairs)).otherwise(none)
+
+    return _let(found, lambda f: _let(F.arrays_zip(f.alias("m"), F.slice(gaps, 1, F.size(f)).alias("g")), of_pairs))
 
 
 def _matches(text: Column, pattern: str, hint: Column) -> Column:
