@@ -191,9 +191,9 @@ def test_logs_and_maps(spark, tmp_path):
     sinks.write_map(df, str(tmp_path / "map"), 1, labelled=True)
     assert spark.read.parquet(str(tmp_path / "map")).count() == 1
     assert sinks.pcd_lines(df).first().value == "1.500000 -2.000000 0.250000 66051"
-    white = sinks.coloured(spark.createDataFrame([(0,), (1,), (151,)], "label int")).collect()
-    by = {r.label: (r.red, r.green, r.blue) for r in white}
-    assert by[0] == sinks.WHITE and by[1] == by[151]
+    found = sinks.coloured(spark.createDataFrame([(0,), (1,), (150,), (151,)], "label int")).collect()
+    by = {r["label"]: tuple(r[c] for c in sinks.CHANNELS) for r in found}
+    assert by == {0: sinks.WHITE, 1: (128, 128, 128), 150: (92, 0, 255), 151: (128, 128, 128)}
 
 
 def test_run_lengths_of_many_texts_at_once():
