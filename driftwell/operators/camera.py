@@ -60,12 +60,13 @@ def gradients(df: DataFrame, raster: DataFrame, key: str, reach: int = 4) -> Dat
     return out.filter(F.col("n") == len(steps)).drop("n")
 
 
-#: Shares of the first, second and third channel in a grey value.
-GREY = (0.299, 0.587, 0.114)
+#: Thousandths of the first, second and third channel in a grey value.
+GREY = (299, 587, 114)
 
 
 def grey(channels: list[Column]) -> Column:
-    return F.round(sum((F.lit(w) * c for w, c in zip(GREY, channels, strict=True)), F.lit(0.0))).cast("int")
+    """The grey value of whole channels, rounded to the nearest, halves up; it is worked out in whole numbers."""
+    return F.floor((sum((w * c for w, c in zip(GREY, channels, strict=True)), F.lit(0)) + 500) / 1000).cast("int")
 
 
 def new_tracks(candidates: DataFrame, tracked: DataFrame, frame: str, key: list[str], cell: float, most: int) -> DataFrame:

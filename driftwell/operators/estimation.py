@@ -177,11 +177,13 @@ def register(points: DataFrame, target: DataFrame, size: float, k: int = 8, max_
     """The pose that lays points (id, x, y, z) on target (id, x, y, z): neighbours, planes and residual rows are one Spark job
     for each iteration, of which 28 sums come to the driver. Stops on small or on wild steps (over 100 units or degrees)."""
     state, used = InertialFilter(), 0
+    began = state.p
     for _ in range(iterations):
         moved = [sum((F.lit(float(state.r[i, j])) * F.col(c) for j, c in enumerate("xyz")), F.lit(float(state.p[i]))) for i in range(3)]
         at = points.select("id", *(m.alias(c) for m, c in zip(moved, "xyz", strict=True)))
         near = voxel.neighbours(at, target, "id", "id", size, 1, k)
-        rows = voxel.plane_residuals(at, near, voxel.planes(voxel.moments(near)), "id", max_distance, k)
+        last = [F.lit(float(v)) for v in began]
+        rows = voxel.plane_residuals(at.join(points.select("id", *(F.col(c).alias(f"b{c}") for c in "xyz")), "id"), near, voxel.planes(voxel.moments(near)), "id", max_distance, k, last, ["bx", "by", "bz"])
         sums = voxel.normal_equations(rows).first()
         if sums is None or not sums["n_residuals"]:
             break

@@ -5,6 +5,7 @@ Cells truncate toward zero, so those that touch zero are double width; this defi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,36 +95,89 @@ def moments(near: DataFrame, by: str = "query_id") -> DataFrame:
     return out.select(by, "n", *(v.alias(k) for k, v in means.items()), *(v.alias(k) for k, v in scatter.items()))
 
 
+#: Eigenvalues that differ by less than this share of the largest one count as equal.
+EQUAL = 1e-9
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return sum((p * q for p, q in zip(a, b, strict=True)), F.lit(0.0))
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _longest(vectors: list[list[Column]]) -> Column:
+    """The longest of three vectors, the first of those of one length, as an array."""
+    lengths = [_dot(v, v) for v in vectors]
+    most = F.greatest(*lengths)
+    return F.when(lengths[0] == most, F.array(*vectors[0])).when(lengths[1] == most, F.array(*vectors[1])).otherwise(F.array(*vectors[2]))
+
+
+def eigenvalues(df: DataFrame, parts: list[str], names: list[str]) -> DataFrame:
+    """df with the three eigenvalues, largest first, of symmetric 3 by 3 matrices (xx, xy, xz, yy, yz, zz), by the roots'
+    cosines. Each step is a column, so no expression is repeated within another."""
+    xx, xy, xz, yy, yz, zz = (F.col(c) for c in parts)
+    q = F.col("__q")
+    df = df.withColumn("__q", (xx + yy + zz) / 3)
+    df = df.withColumn("__p", F.sqrt((_dot([xx - q, yy - q, zz - q], [xx - q, yy - q, zz - q]) + 2 * _dot([xy, xz, yz], [xy, xz, yz])) / 6))
+    determinant = (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)
+    half = F.when(F.col("__p") > 0, determinant / (2 * F.col("__p") * F.col("__p") * F.col("__p"))).otherwise(F.lit(1.0))
+    df = df.withColumn("__phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3)
+    df = df.withColumns({names[0]: q + 2 * F.col("__p") * F.cos("__phi"), names[2]: q + 2 * F.col("__p") * F.cos(F.col("__phi") + 2 * math.pi / 3)})
+    return df.withColumn(names[1], 3 * q - F.col(names[0]) - F.col(names[2])).drop("__q", "__p", "__phi")
+
+
 def planes(scatters: DataFrame) -> DataFrame:
     """moments() rows with the unit normal (of the smallest eigenvalue, its largest part positive) and planarity
-    a2d = (s2 - s3) / s1 with s the square roots of the eigenvalues, 0 for a point cloud without spread."""
-
-    def fit(batches):
-        for rows in batches:
-            parts = rows[["cxx", "cxy", "cxz", "cxy", "cyy", "cyz", "cxz", "cyz", "czz"]].to_numpy(float).reshape(-1, 3, 3)
-            values, axes = np.linalg.eigh(parts)
-            normal = axes[:, :, 0]
-            largest = np.take_along_axis(normal, np.abs(normal).argmax(1)[:, None], 1)
-            normal = normal * np.where(largest < 0, -1, 1)
-            s = np.sqrt(np.abs(values))
-            spread = np.where(s[:, 2] > 0, s[:, 2], 1)
-            yield rows.assign(normal_x=normal[:, 0], normal_y=normal[:, 1], normal_z=normal[:, 2], a2d=np.where(s[:, 2] > 0, (s[:, 1] - s[:, 0]) / spread, 0.0))
+    a2d = (s2 - s3) / s1 with s the square roots of the eigenvalues, 0 for a point cloud without spread.
 
-    fields = ", ".join(f"{n} {t}" for n, t in scatters.dtypes)
-    return scatters.mapInPandas(fit, f"{fields}, normal_x double, normal_y double, normal_z double, a2d double")
+    Where the two smaller eigenvalues are equal (a line), any normal across the axis would do: it is the axis crossed with
+    the coordinate axis that it leans to least. Where all three are equal it is that of z.
+    """
+    xx, xy, xz, yy, yz, zz = (F.col(f"c{c}") for c in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    df = eigenvalues(scatters, ["cxx", "cxy", "cxz", "cyy", "cyz", "czz"], ["__l1", "__l2", "__l3"])
+    l1, l2, l3 = (F.col(f"__l{k}") for k in (1, 2, 3))
+    rows = [[xx - l3, xy, xz], [xy, yy - l3, yz], [xz, yz, zz - l3]]
+    df = df.withColumns({"__across": _longest([_cross(rows[a], rows[b]) for a, b in ((0, 1), (0, 2), (1, 2))]), "__axis": _longest(rows)})
+    axis = [F.col("__axis")[k] for k in range(3)]
+    zero = F.lit(0.0)
+    least = F.least(*(F.abs(a) for a in axis))
+    beside = F.when(F.abs(axis[0]) == least, F.array(zero, axis[2], -axis[1])).when(F.abs(axis[1]) == least, F.array(-axis[2], zero, axis[0])).otherwise(F.array(axis[1], -axis[0], zero))
+    round_, line = (l1 <= 0) | (l1 - l3 <= EQUAL * l1), l2 - l3 <= EQUAL * l1
+    df = df.withColumn("__n", F.when(round_, F.array(zero, zero, F.lit(1.0))).when(line, beside).otherwise(F.col("__across")))
+    n = [F.col("__n")[k] for k in range(3)]
+    most = F.greatest(*(F.abs(v) for v in n))
+    largest = F.when(F.abs(n[0]) == most, n[0]).when(F.abs(n[1]) == most, n[1]).otherwise(n[2])
+    df = df.withColumn("__length", F.sqrt(_dot(n, n)) * F.when(largest < 0, -1).otherwise(1))
+    s = [F.sqrt(F.abs(v)) for v in (l1, l2, l3)]
+    flat = {"a2d": F.when(s[0] > 0, (s[1] - s[2]) / s[0]).otherwise(zero)}
+    return df.withColumns({f"normal_{c}": v / F.col("__length") for c, v in zip("xyz", n, strict=True)} | flat).drop("__across", "__axis", "__n", "__length", "__l1", "__l2", "__l3")
+
+
+def facing(fitted: DataFrame, place: list[Column], body: list[Column]) -> DataFrame:
+    """planes() rows with the normal turned toward a place, seen from the point on the body: n (place - body) is not below
+    0."""
+    n = [F.col(f"normal_{c}") for c in "xyz"]
+    away = _dot(n, [p - b for p, b in zip(place, body, strict=True)]) < 0
+    return fitted.withColumn("__away", away).withColumns({f"normal_{c}": F.when(F.col("__away"), -v).otherwise(v) for c, v in zip("xyz", n, strict=True)}).drop("__away")
 
 
-def plane_residuals(queries: DataFrame, near: DataFrame, fitted: DataFrame, query_id: str, max_distance: float, least_neighbours: int, share: float = 0.9, power: float = 2.0) -> DataFrame:
+def plane_residuals(queries: DataFrame, near: DataFrame, fitted: DataFrame, query_id: str, max_distance: float, least_neighbours: int, last: list[Column], body: list[str] | None = None, share: float = 0.9, power: float = 2.0) -> DataFrame:
     """Point-to-plane rows: signed distance to the nearest neighbour's plane under the one-sided gate, weight and the six
-    Jacobian parts. The weight mixes planarity and nearness."""
+    Jacobian parts. The weight mixes planarity and nearness.
+
+    The gate is one-sided, so a normal's side matters: it looks toward `last`, the place of the pose before, from the
+    point on the body (columns `body` of queries; x, y, z where none are given).
+    """
     first = near.filter("rank = 1").select("query_id", "nx", "ny", "nz", "d2")
     rows = queries.withColumnRenamed(query_id, "query_id").join(fitted.filter(F.col("n") >= least_neighbours), "query_id").join(first, "query_id")
+    rows = facing(rows, last, [F.col(c) for c in body or "xyz"])
     n = [F.col(f"normal_{c}") for c in "xyz"]
-    distance = sum((n[k] * (F.col(c) - F.col(f"n{c}")) for k, c in enumerate("xyz")), F.lit(0.0))
+    distance = _dot(n, [F.col(c) - F.col(f"n{c}") for c in "xyz"])
     weight = share * F.pow("a2d", F.lit(power)) + (1 - share) * F.exp(-F.sqrt("d2") / (max_distance * least_neighbours))
     rows = rows.withColumns({"distance": distance, "weight": weight}).filter(F.col("distance") < max_distance)
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    turn = [y * n[2] - z * n[1], z * n[0] - x * n[2], x * n[1] - y * n[0]]
+    turn = _cross([F.col(c) for c in "xyz"], n)
     return rows.select("query_id", "distance", "weight", *((v * F.col("weight")).alias(f"j{k}") for k, v in enumerate([*n, *turn])))
 
 

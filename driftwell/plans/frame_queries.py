@@ -26,10 +26,10 @@ def _scan(spark, sf_dir) -> DataFrame:
     return df.withColumn("idx", F.row_number().over(Window.partitionBy("msg_id").orderBy(*POINT_KEY)) - 1)
 
 
-def _clouds(relative: str, base: int = 0, late: bool = True, where: str = "true") -> str:
-    """SQL of normalise(): every second point in time order, blind within 10, later than the message before."""
-    kept = f"""SELECT msg_id, idx, x, y, z, rel, msg_ts + rel / 1000 AS ts, before_s FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY rel, idx) - 1 + {base} AS k FROM rels WHERE {where})
-LEFT JOIN (SELECT msg_id, lag(e) OVER (ORDER BY msg_id) AS before_s FROM (SELECT msg_id, max(msg_ts + rel / 1000) AS e FROM rels GROUP BY msg_id)) USING (msg_id) WHERE k % 2 = 0 AND x * x + y * y + z * z > 100"""
+def _clouds(base: int = 0, late: bool = True, blind: bool = True) -> str:
+    """SQL of normalise(): every second point in time order, later than the message before; `blind` ones within 10 go."""
+    kept = f"""SELECT msg_id, idx, x, y, z, rel, msg_ts + rel / 1000 AS ts, before_s FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY rel, idx) - 1 + {base} AS k FROM rels)
+LEFT JOIN (SELECT msg_id, lag(e) OVER (ORDER BY msg_id) AS before_s FROM (SELECT msg_id, max(msg_ts + rel / 1000) AS e FROM rels GROUP BY msg_id)) USING (msg_id) WHERE k % 2 = 0""" + (" AND x * x + y * y + z * z > 100" if blind else "")
     return f"SELECT msg_id, idx, round(ts, 6) AS ts, round(rel, 6) AS relative_ms FROM ({kept})" + (" WHERE before_s IS NULL OR ts > before_s" if late else "")
 
 
@@ -40,24 +40,24 @@ def _normalised(raw: DataFrame, **cfg) -> DataFrame:
     return normalise(raw, CloudConfig(filter_num=2, blind=10.0, **cfg)).select("msg_id", F.col("point_id.idx").alias("idx"), r6("ts").alias("ts"), r6("relative_ms").alias("relative_ms"))
 
 
-@query(_clouds("ms"), f"{SCAN}, rels AS (SELECT *, ms + 1 AS rel FROM scan)")
+@query(_clouds(), f"{SCAN}, rels AS (SELECT *, ms + 1 AS rel FROM scan)")
 def velodyne_timed(spark, sf_dir):
     return _normalised(_scan(spark, sf_dir).withColumn("time", (F.col("ms") + 1) / 1000), lidar_type="velodyne", time_unit="s")
 
 
-@query(_clouds("turn"), f"{SCAN}, {_TURNED}")
+@query(_clouds(blind=False), f"{SCAN}, {_TURNED}")
 def ouster_untimed(spark, sf_dir):
     """Records without times: the angle turned gives them."""
     return _normalised(_scan(spark, sf_dir).withColumn("t", F.lit(0)), lidar_type="ouster", time_unit="ns")
 
 
-@query(_clouds("since"), f"{SCAN}, rels AS (SELECT *, (msg_ts + (ms + 1) / 1000) * 1e3 - min((msg_ts + (ms + 1) / 1000) * 1e3) OVER (PARTITION BY msg_id) AS rel FROM scan)")
+@query(_clouds(), f"{SCAN}, rels AS (SELECT *, (msg_ts + (ms + 1) / 1000) * 1e3 - min((msg_ts + (ms + 1) / 1000) * 1e3) OVER (PARTITION BY msg_id) AS rel FROM scan)")
 def robosense_absolute(spark, sf_dir):
     """Absolute times, which count from a message's first point."""
     return _normalised(_scan(spark, sf_dir).withColumn("timestamp", F.col("msg_ts") + (F.col("ms") + 1) / 1000), lidar_type="robosense", time_unit="s")
 
 
-@query(_clouds("ms", 1, False), f"""{SCAN}, rels AS (SELECT *, ms AS rel FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM scan WINDOW w AS (PARTITION BY msg_id ORDER BY idx))
+@query(_clouds(1, False), f"""{SCAN}, rels AS (SELECT *, ms AS rel FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM scan WINDOW w AS (PARTITION BY msg_id ORDER BY idx))
 WHERE (abs(x - px) > 1e-7 OR abs(y - py) > 1e-7 OR abs(z - pz) > 1e-7) AND abs(y) <= 1e8 AND ring < 3 AND x > 0.7 AND NOT (x > 2.0 AND (tag & 3 <> 0 OR tag & 12 <> 0)))""")
 def livox_points(spark, sf_dir):
     raw = _scan(spark, sf_dir).withColumns({"line": F.col("ring"), "offset_time": F.col("ms") * 1e6})

@@ -242,17 +242,37 @@ def knn_plane_moments(spark, sf_dir):
     return voxel.moments(_near(spark, sf_dir)).select("query_id", "n", *((r6(c) + 0.0).alias(c) for c in ("mx", "my", "mz", "cxx", "cxy", "czz")))
 
 
-@query()
+#: Eigenvalues and normals in closed form, step by step. Fixed value: the share under which eigenvalues count as equal.
+_PLANE_SQL = """mom AS (SELECT query_id, n, sx / n AS mx, sy / n AS my, sz / n AS mz, sxx - sx * sx / n AS cxx, sxy - sx * sy / n AS cxy, sxz - sx * sz / n AS cxz, syy - sy * sy / n AS cyy, syz - sy * sz / n AS cyz, szz - sz * sz / n AS czz
+FROM (SELECT query_id, count(*) AS n, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz, sum(nx * nx) AS sxx, sum(nx * ny) AS sxy, sum(nx * nz) AS sxz, sum(ny * ny) AS syy, sum(ny * nz) AS syz, sum(nz * nz) AS szz FROM near GROUP BY query_id)),
+roots AS (SELECT m.*, l1, l2, l3 FROM mom m, LATERAL (SELECT (cxx + cyy + czz) / 3 AS q), LATERAL (SELECT sqrt(((cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) AS p),
+LATERAL (SELECT acos(greatest(-1.0, least(1.0, CASE WHEN p > 0 THEN ((cxx - q) * ((cyy - q) * (czz - q) - cyz * cyz) - cxy * (cxy * (czz - q) - cyz * cxz) + cxz * (cxy * cyz - (cyy - q) * cxz)) / (2 * p * p * p) ELSE 1.0 END))) / 3 AS phi),
+LATERAL (SELECT q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3), LATERAL (SELECT 3 * q - l1 - l3 AS l2)),
+cand AS (SELECT r.*, [[cxx - l3, cxy, cxz], [cxy, cyy - l3, cyz], [cxz, cyz, czz - l3]] AS rows_, [[cxy * cyz - cxz * (cyy - l3), cxz * cxy - (cxx - l3) * cyz, (cxx - l3) * (cyy - l3) - cxy * cxy], [cxy * (czz - l3) - cxz * cyz, cxz * cxz - (cxx - l3) * (czz - l3), (cxx - l3) * cyz - cxy * cxz],
+  [(cyy - l3) * (czz - l3) - cyz * cyz, cyz * cxz - cxy * (czz - l3), cxy * cyz - (cyy - l3) * cxz]] AS across FROM roots r),
+picked AS (SELECT c.*, across[list_position(list_transform(across, lambda v: list_inner_product(v, v)), list_max(list_transform(across, lambda v: list_inner_product(v, v))))] AS w, rows_[list_position(list_transform(rows_, lambda v: list_inner_product(v, v)), list_max(list_transform(rows_, lambda v: list_inner_product(v, v))))] AS ax FROM cand c),
+side AS (SELECT p.*, CASE WHEN l1 <= 0 OR l1 - l3 <= 1e-9 * l1 THEN [0.0, 0.0, 1.0]::DOUBLE[] WHEN l2 - l3 > 1e-9 * l1 THEN w WHEN abs(ax[1]) = least(abs(ax[1]), abs(ax[2]), abs(ax[3])) THEN [0.0, ax[3], -ax[2]] WHEN abs(ax[2]) = least(abs(ax[1]), abs(ax[2]), abs(ax[3])) THEN [-ax[3], 0.0, ax[1]] ELSE [ax[2], -ax[1], 0.0] END AS v FROM picked p),
+fit AS (SELECT query_id, n, v[1] / len AS normal_x, v[2] / len AS normal_y, v[3] / len AS normal_z, CASE WHEN l1 > 0 THEN (sqrt(abs(l2)) - sqrt(abs(l3))) / sqrt(abs(l1)) ELSE 0 END AS a2d
+FROM side, LATERAL (SELECT greatest(abs(v[1]), abs(v[2]), abs(v[3])) AS most), LATERAL (SELECT sqrt(list_inner_product(v, v)) * CASE WHEN (CASE WHEN abs(v[1]) = most THEN v[1] WHEN abs(v[2]) = most THEN v[2] ELSE v[3] END) < 0 THEN -1 ELSE 1 END AS len))"""
+
+
+@query("SELECT query_id, n, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("normal_x", "normal_y", "normal_z", "a2d")) + " FROM fit", ", ".join((_CELLS_SQL, _KNN_SQL, _PLANE_SQL)))
 def plane_fit(spark, sf_dir):
     """Local planes of each vector's neighbours: normal and planarity."""
-    return voxel.planes(voxel.moments(_near(spark, sf_dir))).select("query_id", "n", *(r6(c).alias(c) for c in ("normal_x", "normal_y", "normal_z", "a2d")))
+    return voxel.planes(voxel.moments(_near(spark, sf_dir))).select("query_id", "n", *((F.round(c, 5) + 0.0).alias(c) for c in ("normal_x", "normal_y", "normal_z", "a2d")))
 
 
-@query()
+#: Where the pose before was.
+LAST_PLACE = (0.5, -0.4, 1.5)
+
+
+@query("""SELECT query_id, """ + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("distance", "weight", "j0", "j1", "j2", "j3", "j4", "j5")) + """ FROM (SELECT *, a * weight AS j0, b * weight AS j1, c * weight AS j2, (y * c - z * b) * weight AS j3, (z * a - x * c) * weight AS j4, (x * b - y * a) * weight AS j5
+FROM (SELECT f.query_id, q.x, q.y, q.z, a, b, c, a * (q.x - q.nx) + b * (q.y - q.ny) + c * (q.z - q.nz) AS distance, 0.9 * a2d * a2d + 0.1 * exp(-sqrt(q.d2) / 1.5) AS weight FROM fit f JOIN near q ON q.query_id = f.query_id AND q.rank = 1,
+LATERAL (SELECT CASE WHEN normal_x * (0.5 - q.x) + normal_y * (-0.4 - q.y) + normal_z * (1.5 - q.z) < 0 THEN -1 ELSE 1 END AS s), LATERAL (SELECT s * normal_x AS a, s * normal_y AS b, s * normal_z AS c) WHERE f.n >= 5) WHERE distance < 0.3)""", ", ".join((_CELLS_SQL, _KNN_SQL, _PLANE_SQL)))
 def plane_residual_rows(spark, sf_dir):
     df, near = vectors(spark, sf_dir), _near(spark, sf_dir)
-    rows = voxel.plane_residuals(df, near, voxel.planes(voxel.moments(near)), "vec_id", 0.3, 5)
-    return rows.select("query_id", *(r6(c).alias(c) for c in ("distance", "weight", "j0", "j1", "j2", "j3", "j4", "j5")))
+    rows = voxel.plane_residuals(df, near, voxel.planes(voxel.moments(near)), "vec_id", 0.3, 5, [F.lit(v) for v in LAST_PLACE])
+    return rows.select("query_id", *((F.round(c, 5) + 0.0).alias(c) for c in ("distance", "weight", "j0", "j1", "j2", "j3", "j4", "j5")))
 
 
 _J = ["x", "y", "z", "(y - z)", "(z - x)", "(x - y)"]

@@ -110,9 +110,9 @@ def normalise(raw: DataFrame, cfg: CloudConfig, sensor: str | None = None) -> Da
     """Points (msg_id, ts, relative_ms, x, y, z, point_id) of vendor records (msg_id, msg_ts in seconds, idx and the vendor's
     fields); with `sensor`, a column of the sensors that messages are told apart by.
 
-    A message of a turning sensor whose last record has no time gets its times from the angles. Points no later than the
-    end of their sensor's message before are left out, with all of that message's records deciding where it ended.
-    Raises KeyError for an unknown lidar_type.
+    A message of a turning sensor whose last record has no time gets its times from the angles; its blind points stay,
+    those of other messages go. Points no later than the end of their sensor's message before are left out, with all of
+    that message's records deciding where it ended. Raises KeyError for an unknown lidar_type.
     """
     from ..operators import filters, temporal
 
@@ -128,7 +128,8 @@ def normalise(raw: DataFrame, cfg: CloudConfig, sensor: str | None = None) -> Da
         kept = kept.withColumn("relative_ms", F.when(F.col("timed"), F.col("given_ms")).otherwise(F.col("turn_ms")))
     ends = kept.groupBy(*by, "msg_ts").agg((F.col("msg_ts") + F.max("relative_ms") / 1000).alias("end_s"))
     kept = filters.every_nth(kept, by, ["relative_ms", "idx"], cfg.filter_num, base=1 if cfg.lidar_type == "livox" else 0)
-    kept = kept.filter(filters.beyond(cfg.blind)).withColumn("ts", F.col("msg_ts") + F.col("relative_ms") / 1000)
+    seen = filters.beyond(cfg.blind) if cfg.lidar_type == "livox" else filters.beyond(cfg.blind) | ~F.col("timed")
+    kept = kept.filter(seen).withColumn("ts", F.col("msg_ts") + F.col("relative_ms") / 1000)
     if cfg.lidar_type != "livox":
         key = sensor or "__sensor"
         at = ends.withColumns({"at": F.round(F.col("msg_ts") * 1e6).cast("long"), **({} if sensor else {key: F.lit(0)})})

@@ -106,6 +106,46 @@ def test_planes_of_flat_neighbourhoods(spark):
     assert abs(r.normal_z) == pytest.approx(1) and r.a2d > 0.8
 
 
+def test_planes_equal_an_eigensolver(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(200, 3, 3)) * rng.choice([1e-3, 1.0, 50.0], (200, 1, 3))
+    sets = [m @ m.T for m in a] + [np.zeros((3, 3)), np.eye(3) * 4, np.diag([2.0, 0, 0]), np.diag([0, 3.0, 3.0]), np.outer([1, 2, 3.0], [1, 2, 3.0])]
+    rows = [(k, *(float(m[i, j]) for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))) for k, m in enumerate(sets)]
+    got = {r.id: r for r in voxel.planes(spark.createDataFrame(rows, "id long, cxx double, cxy double, cxz double, cyy double, cyz double, czz double")).collect()}
+    for k, m in enumerate(sets):
+        n, values = np.array([got[k].normal_x, got[k].normal_y, got[k].normal_z]), np.linalg.eigvalsh(m)
+        assert np.linalg.norm(n) == pytest.approx(1) and n[np.abs(n).argmax()] > 0
+        assert np.linalg.norm(m @ n - values[0] * n) <= 1e-6 * max(values[2], 1e-300)
+        s = np.sqrt(np.abs(values))
+        assert got[k].a2d == pytest.approx((s[1] - s[0]) / s[2] if s[2] else 0, abs=1e-5)
+    assert [got[201].normal_x, got[201].normal_y, got[201].normal_z] == [0, 0, 1]  # all equal
+    assert got[202].normal_x == 0 and got[202].normal_z == 1  # a line along x
+    assert got[203].normal_x == pytest.approx(1)  # the two larger ones are equal
+
+
+def test_a_plane_seen_from_both_sides(spark):
+    """The gate is one-sided: a point far above a plane passes from below, and not from above."""
+    cloud = spark.createDataFrame([(k, float(k % 5) / 5, float(k // 5) / 5, 0.0) for k in range(25)], "id long, x double, y double, z double")
+    point = spark.createDataFrame([(0, 0.5, 0.5, 0.45)], "id long, x double, y double, z double")
+    near = voxel.neighbours(point, cloud, "id", "id", 1.0, 1, 8)
+    rows = lambda z: voxel.plane_residuals(point, near, voxel.planes(voxel.moments(near)), "id", 0.3, 8, [F.lit(0.0), F.lit(0.0), F.lit(z)]).collect()
+    assert rows(5.0) == []
+    below = rows(-5.0)
+    assert below[0].distance == pytest.approx(-0.45) and below[0].j2 < 0
+
+
+def test_untimed_clouds_keep_blind_points(spark):
+    rows = [(1, 10.0, k, 0.1 if k == 1 else 3.0, 0.1 * k, 0.0, 0, t) for k in range(3) for t in (0,)] + [(2, 20.0, k, 0.1 if k == 1 else 3.0, 0.1 * k, 0.0, 0, 1_000_000 * (k + 1)) for k in range(3)]
+    df = spark.createDataFrame(rows, "msg_id long, msg_ts double, idx int, x double, y double, z double, ring int, t long")
+    got = tables.normalise(df, tables.CloudConfig("ouster", "ns", blind=1.0)).collect()
+    assert sorted((r.msg_id, r.point_id.idx) for r in got) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 2)]
+
+
+def test_greys_round_halves_up(spark):
+    df = spark.createDataFrame([(0, 0, 250), (500, 0, 0), (255, 255, 255), (1, 2, 3)], "a long, b long, c long")
+    assert [r[0] for r in df.select(camera.grey([F.col(c) for c in "abc"])).collect()] == [29, 150, 255, 2]
+
+
 def test_registration_recovers_a_known_pose(spark):
     rng = np.random.default_rng(4)
     walls = [np.insert(rng.uniform(0, 4, (700, 2)), k, 0.0, axis=1) for k in range(3)]
