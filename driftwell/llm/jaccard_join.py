@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, in_small_batches, materialise, skew_join, slices_of, small_side
 from .shingles import common, linked, set_id, shingle_sets
@@ -323,6 +324,22 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, links.unionByName(more)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, sid, component_id, keeper, n_connecting) of each row of docs; keeper: the component's smallest doc_id
+    is of this set, the smallest one where several sets have it."""
+    rows, links = set_links(docs)
+    n_rows = rows.count()
+    roots = components(links)
+    sets = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    rooted = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sid")).alias("first")
+    firsts = rooted.groupBy("root").agg(first, F.count("*").alias("weight"))
+    rooted = skew_join(rooted, firsts, "root", "sid", n_rows)
+    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_connecting"))
+    by_set = rooted.join(degree, "sid", "left").select("sid", F.col("first.least").alias("component_id"), (F.col("sid") == F.col("first.sid")).alias("keeper"), F.coalesce("n_connecting", F.lit(0)).alias("n_connecting"), F.col("copies").alias("weight"))
+    return skew_join(rows, materialise(by_set, "components"), "sid", "doc_id", n_rows, "left")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_connecting) of each row of docs.
 
@@ -332,26 +349,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     result. n_connecting counts the links of the document's set that the join needed to connect its component; pairs
     that these already connect aren't counted.
     """
-    rows, links = set_links(docs)
-    n_rows = rows.count()
-    roots = components(links)
-    sets = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    rooted = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
-    rooted = skew_join(rooted, least, "root", "sid", n_rows)
-    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_connecting"))
-    by_set = materialise(rooted.join(degree, "sid", "left").select("sid", "component_id", F.coalesce("n_connecting", F.lit(0)).alias("n_connecting"), F.col("copies").alias("weight")), "components")
-    out = skew_join(rows, by_set, "sid", "doc_id", n_rows, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_connecting", F.lit(0)).cast("long").alias("n_connecting"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), component, F.coalesce("n_connecting", F.lit(0)).cast("long").alias("n_connecting"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _set_ids(text: pd.Series) -> pd.Series:
+    """The sid of each text, null without words."""
+    return pd.Series([set_id(s) if len(s) else None for s in shingle_sets([None if pd.isna(t) else t for t in text])], dtype=object)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component the one with the smallest doc_id.
 
-    Rows without a doc_id or without words stay. Where several rows share a doc_id, all of them go if one of them does.
+    Rows without words stay. Rows that share a doc_id, or have none, are told apart by their sets: of a component's rows
+    with the smallest doc_id the one with the smallest set id stays, of several rows with that very id and set one. A null
+    doc_id stays only in a component without any id.
     """
-    gone = jaccard_components(docs).filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small_side(materialise(gone, "gone")), docs["doc_id"] == F.col("__gone"), "left_anti")
+    stays = (F.col("n") == 0) | (F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marks = materialise(_placed(docs).select("doc_id", "sid", stays.alias("stays")), "marks")
+    of_id = marks.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("stays").alias("stays")).filter("rows > 1 OR NOT stays OR doc_id IS NULL")
+    of_id = materialise(of_id.select(F.col("doc_id").alias("__id"), (F.col("rows") > 1).alias("__several")), "decided")
+    marked = docs.join(small_side(of_id.filter("__id IS NOT NULL")), docs["doc_id"] == F.col("__id"), "left")
+    plain = marked.filter("doc_id IS NOT NULL AND __id IS NULL").select(docs.columns)
+    if of_id.filter("__several OR __id IS NULL").isEmpty():
+        return plain
+    odd = materialise(marked.filter("doc_id IS NULL OR __several").withColumns({"__id": F.col("doc_id"), "__sid": _set_ids("text")}), "repeated-ids")
+    kept = marks.filter("stays AND sid IS NOT NULL").select(F.col("doc_id").alias("__kept_id"), F.col("sid").alias("__kept_sid")).distinct()
+    same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__sid") == F.col("__kept_sid"))
+    chosen = odd.filter("__sid IS NOT NULL").join(kept, same, "left_semi").dropDuplicates(["__id", "__sid"])
+    return plain.unionByName(odd.filter("__sid IS NULL").select(docs.columns)).unionByName(chosen.select(docs.columns))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, skew_join
+from .common import materialise, scratch_path, skew_join, small_side
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -150,6 +150,24 @@ def read_records(stream) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+#: Spark's names of file systems, and those that the tasks' library knows them by.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def located(spark, path: str) -> str:
+    """A folder's full address: one without a scheme is in Spark's default file system. Raises ArchiveError for a scheme that
+    tasks can't write to, before any of them starts."""
+    from pyspark.sql.utils import is_remote
+
+    if "://" not in path and not is_remote():
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    scheme, _, rest = path.partition(":")
+    if scheme not in SCHEMES:
+        raise ArchiveError(f"archives can't be written to {path}: {', '.join(SCHEMES)} are known")
+    return f"{SCHEMES[scheme]}://{rest.removeprefix('//')}"
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
@@ -208,18 +226,22 @@ def with_record_types(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with digest, record_type and refers_to.
 
     Of equal payloads of LEAST_PAYLOAD bytes or more the row with the smallest page_id is the response; repeated rows
-    of that id are responses too. Smaller payloads are responses. A null html counts as empty.
+    of that id are responses too. Smaller payloads are responses. A null html counts as empty. Only ids and digests are
+    grouped; pages meet what was found of them by page_id, which no payload makes hot.
     """
     digested = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
     keys = materialise(digested.filter(F.col("n") >= LEAST_PAYLOAD).select("page_id", "digest"), "payload-keys")
     groups = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("weight")).filter(F.col("weight") > 1)
-    joined = skew_join(digested, materialise(groups, "payload-groups"), "digest", "page_id", keys.count(), "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    found = skew_join(keys, materialise(groups, "payload-groups"), "digest", "page_id", keys.count())
+    revisits = found.filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct().withColumnsRenamed({"page_id": "__page", "digest": "__digest"})
+    joined = digested.join(small_side(materialise(revisits, "revisits")), F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left")
+    revisit = F.col("__digest").isNotNull()
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, root: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes pages to archives under root; the manifest (path, n_records, n_bytes) of what finished tasks wrote."""
+    root = located(pages.sparkSession, root)
     dictionary = trained_dictionary(pages)
     return materialise(with_record_types(pages).mapInPandas(_writer(root, dictionary, date), MANIFEST), "warc-manifest")
 

@@ -152,3 +152,16 @@ def test_repeats_equal_brute_force(spark, seed):
     assert sorted(got, key=repr) == sorted(_without_repeats(found), key=repr)
     assert sum(r[2] for r in got) > 0
     assert remove_repeats(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_kept_rows_where_ids_repeat(spark):
+    """Rows of one id are told apart by their sets; a null id stays only where no row of the component has an id."""
+    base, other, third = ("one two three four five six seven eight nine ten " * 3).strip() + " end", " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    found = [(1, base), (2, base + " x"), (2, other), (None, base), (3, other), (1, base), (None, third), (None, third + " y"), (7, None), (7, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in found], "doc_id long, text string, lang string, keeper string, n long").repartition(3)
+    got = jaccard_join.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted((k for k in kept if k[1] in (base, other)), key=repr) == [(1, base), (2, other)]
+    assert len([k for k in kept if (k[1] or "").startswith(third)]) == 1
+    assert {(7, None), (7, ""), (None, " ")} <= set(kept) and len(kept) == 6

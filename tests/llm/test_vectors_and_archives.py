@@ -91,6 +91,16 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(empty, scratch_path(spark, "warc"))).count() == 0
 
 
+def test_archives_in_a_folder_without_a_scheme(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES[:4], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, f"{tmp_path}/archives")
+    assert all(r.path.startswith(f"file:///{str(tmp_path)[1:]}/archives/part-") for r in manifest.collect())
+    assert warc.read_archives(manifest).count() == 4
+    assert warc.located(spark, "s3a://bucket/a") == "s3://bucket/a" and warc.located(spark, "hdfs://name:9000/a/b") == "hdfs://name:9000/a/b"
+    with pytest.raises(warc.ArchiveError):
+        warc.write_archives(pages, "ftp://host/a")
+
+
 def _archive(*records: bytes, dictionary: bytes = b"") -> bytes:
     return warc.dictionary_frame(dictionary) + b"".join(zstandard.ZstdCompressor().compress(r) for r in records)
 
