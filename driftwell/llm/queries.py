@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import OP12_SQL, op12_clusters
+from .divergence import OP11_SQL, op11_divergence
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .forest import op13_neighbours
 from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .knn import OP7_SQL, op7_top_k
 from .language_id import op1_language
@@ -28,5 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
+    "op11_divergence": op11_divergence,
+    "op12_clusters": op12_clusters,
+    "op13_neighbours": op13_neighbours,
 }
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_pii": OP6_SQL, "op7_top_k": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_pii": OP6_SQL, "op7_top_k": OP7_SQL, "op10_warc": OP10_SQL, "op11_divergence": OP11_SQL, "op12_clusters": OP12_SQL}
