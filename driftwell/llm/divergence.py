@@ -1,10 +1,11 @@
 """How each source's words differ from its language's, and from each other source's: single-pass in-memory indexing.
 
-1. Scan tasks count terms in memory, block by block: postings (lang, source, term, count, documents). A full block is passed
-   on as a run in the order of shards and terms, so memory holds one block whatever the input.
-2. Runs are cut by hash shard; a shard's task merges its runs with a heap into frequencies. Shards are by the whole posting,
-   so a term that all sources have is in many of them; their number follows from the postings written.
-3. Terms in few documents go. What is left, with each group's total, gives probabilities in whole billionths.
+1. Scan tasks count terms in memory, block by block: postings of (term, lang, source), with count and documents. A full block
+   is passed on as a run in the order of shards and terms, so memory holds one block whatever the input.
+2. Shards are by a hash of the term, and their number follows that of the documents. A shard's task merges its runs with a
+   heap into frequencies; a term has a posting for each source and run at most, however frequent it is. Terms in few
+   documents of a language go here.
+3. With each group's total, frequencies give probabilities in whole billionths.
 4. A pair of sources differs by what two sources without any of the words would, times the number of terms, plus a correction
    for each term that either has. Corrections are streamed term by term into one block of the matrix of pairs: blocks are of
    BLOCK by BLOCK sources and terms are dealt in chunks, so neither many sources nor a common language is one task.
@@ -13,9 +14,10 @@
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,50 +32,57 @@ LEAST_DOCS, TOP_TERMS = 10, 10
 BLOCK_POSTINGS, SHARD_DOCS = 250_000, 5_000
 #: Sources of a side of a block of pairs, and kept postings of a chunk of terms or so.
 BLOCK, CHUNK_POSTINGS = 256, 200_000
-#: The whole that probabilities are parts of, and the pattern of terms over bytes.
+#: The whole that probabilities are parts of, and what a byte of a term counts as: A to Z in lower case, other
+#: letters and bytes over 127 as they are, all else a space. Bytes over 127 are those of UTF-8's other characters.
 WHOLE = 1_000_000_000
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
-POSTING = "lang string, source string, term string, n long, docs long"
-RUN = "shard int, run long, langs array<string>, sources array<string>, terms array<string>, n array<long>, docs array<long>"
+KEPT = "lang string, source string, term string, term_id long, n long, in_lang long"
+RUN = "shard int, run long, langs array<string>, sources array<string>, terms binary, sizes binary, at binary, n binary, docs binary"
 
 
-def terms_of(text: str | None) -> list[str]:
-    """The terms of a text, A to Z in lower case, other letters as they are."""
-    return TERM.findall((text or "").translate(LOWER))
+def terms_of(text: str | None) -> list[bytes]:
+    """The terms of a text, in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(LETTERS).split()
 
 
 def _runs(shards: int, most: int):
-    """Rows (shard, run, postings as arrays) of rows (lang, source, text): each block of a task, of `most` postings or so, is
-    a run, sorted by term."""
+    """Runs of rows (lang, source, text): each block of a task, of `most` postings or so, sorted by shard, term and group. A row
+    is a shard's part of a run: its terms, how many postings each has, and the postings' groups and numbers."""
 
     def passed_on(block: dict, run: int) -> Iterator[pd.DataFrame]:
-        dealt: dict[int, list] = {}
-        for (lang, source), counts in block.items():
-            for term, (n, docs) in counts.items():
-                dealt.setdefault(zlib.crc32(f"{lang}\0{source}\0{term}".encode()) % shards, []).append((term, lang, source, n, docs))
-        for shard in sorted(dealt):
-            terms, langs, sources, n, docs = zip(*sorted(dealt[shard]), strict=True)
-            yield pd.DataFrame({"shard": [shard], "run": [run], "langs": [list(langs)], "sources": [list(sources)], "terms": [list(terms)], "n": [list(n)], "docs": [list(docs)]})
+        groups, terms = list(block), []
+        parts: list[tuple[np.ndarray, ...]] = []
+        for g, (n, docs) in enumerate(block.values()):
+            terms += n
+            parts.append((np.full(len(n), g), np.fromiter(n.values(), np.int64, len(n)), np.fromiter(map(docs.__getitem__, n), np.int64, len(n))))
+        if not terms:
+            return
+        distinct = sorted(set(terms))
+        rank = {t: k for k, t in enumerate(distinct)}
+        term = np.fromiter(map(rank.__getitem__, terms), np.int64, len(terms))
+        group, n, docs = (np.concatenate(p) for p in zip(*parts, strict=True))
+        shard = np.fromiter((zlib.crc32(t) % shards for t in distinct), np.int64, len(distinct))[term]
+        order = np.lexsort((group, term, shard))
+        group, n, docs, term, shard = group[order], n[order], docs[order], term[order], shard[order]
+        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        rows = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            mine, sizes = np.unique(term[lo:hi], return_counts=True)
+            used, at = np.unique(group[lo:hi], return_inverse=True)
+            names = [groups[g] for g in used]
+            rows.append((int(shard[lo]), run, [x[0] for x in names], [x[1] for x in names], b" ".join(distinct[t] for t in mine), *(x.tobytes() for x in (sizes.astype("<i4"), at.astype("<i4"), n[lo:hi].astype("<i8"), docs[lo:hi].astype("<i8")))))
+        yield pd.DataFrame(rows, columns=["shard", "run", "langs", "sources", "terms", "sizes", "at", "n", "docs"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, held, done = {}, 0, 0
         for rows in batches:
             for lang, source, text in zip(rows["lang"], rows["source"], rows["text"], strict=True):
-                counts = block.setdefault((lang, source), {})
-                mine: dict[str, int] = {}
-                for t in terms_of(text):
-                    mine[t] = mine.get(t, 0) + 1
-                before = len(counts)
-                for t, c in mine.items():
-                    entry = counts.get(t)
-                    if entry is None:
-                        counts[t] = [c, 1]
-                    else:
-                        entry[0] += c
-                        entry[1] += 1
-                held += len(counts) - before
+                n, docs = block.setdefault((lang, source), (Counter(), Counter()))
+                before, terms = len(n), terms_of(text)
+                n.update(terms)
+                docs.update(set(terms))
+                held += len(n) - before
                 if held >= most:
                     yield from passed_on(block, done)
                     block, held, done = {}, 0, done + 1
@@ -82,31 +91,58 @@ def _runs(shards: int, most: int):
     return run
 
 
-def _postings(langs, sources, terms, n, docs) -> Iterator[tuple]:
-    return zip(terms, langs, sources, n, docs, strict=True)
+def _merged(least: int):
+    """A shard's runs, merged by a heap in the order of terms: (lang, source, term, term_id, n, in_lang) of terms that are in
+    `least` documents of the language; in_lang: how often that has the term. Shards are by term, so all of it is here."""
+
+    def run(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[tuple, int] = {}
+        terms = [r.terms.split(b" ") for r in runs.itertuples(index=False)]
+        placed = [np.empty(len(t), np.int64) for t in terms]
+        distinct: list[bytes] = []
+        for term, k, at in heapq.merge(*(zip(t, repeat(k), range(len(t))) for k, t in enumerate(terms))):
+            if not distinct or term != distinct[-1]:
+                distinct.append(term)
+            placed[k][at] = len(distinct) - 1
+        term, group, n, docs = [], [], [], []
+        for p, r in zip(placed, runs.itertuples(index=False), strict=True):
+            number = np.array([groups.setdefault(g, len(groups)) for g in zip(r.langs, r.sources, strict=True)], np.int64)
+            term.append(np.repeat(p, np.frombuffer(r.sizes, "<i4")))
+            group.append(number[np.frombuffer(r.at, "<i4")])
+            n.append(np.frombuffer(r.n, "<i8"))
+            docs.append(np.frombuffer(r.docs, "<i8"))
+        term, group, n, docs = (np.concatenate(x) for x in (term, group, n, docs))
+        names = list(groups)
+        langs = sorted({g[0] for g in names})
+        lang_of = np.array([langs.index(g[0]) for g in names])
+
+        def added(by: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+            keys, at = np.unique(by, return_inverse=True)
+            sums = [np.zeros(len(keys), np.int64) for _ in values]
+            for s, v in zip(sums, values, strict=True):
+                np.add.at(s, at, v)
+            return keys, *sums
+
+        posting, n, docs = added(term * len(names) + group, n, docs)
+        term, group = posting // len(names), posting % len(names)
+        in_lang, at = np.unique(term * len(langs) + lang_of[group], return_inverse=True)
+        every, of = (np.zeros(len(in_lang), np.int64) for _ in range(2))
+        np.add.at(every, at, n)
+        np.add.at(of, at, docs)
+        stay = np.flatnonzero(of[at] >= least)
+        return pd.DataFrame({"lang": [names[g][0] for g in group[stay]], "source": [names[g][1] for g in group[stay]], "term": [distinct[t].decode("utf-8", "replace") for t in term[stay]], "term_id": (term[stay] << 24) + key[0], "n": n[stay], "in_lang": every[at][stay]})
 
-
-def _merged(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-    """A shard's runs, merged by a heap in the order of terms; postings of one term and group are added up."""
-    out: list[list] = []
-    streams = [_postings(r.langs, r.sources, r.terms, r.n, r.docs) for r in runs.itertuples(index=False)]
-    for term, lang, source, n, docs in heapq.merge(*streams):
-        if out and out[-1][2] == term and out[-1][0] == lang and out[-1][1] == source:
-            out[-1][3] += int(n)
-            out[-1][4] += int(docs)
-        else:
-            out.append([lang, source, term, int(n), int(docs)])
-    return pd.DataFrame(out, columns=["lang", "source", "term", "n", "docs"])
+    return run
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): how often and in how many documents each group has each of its terms."""
+def kept_frequencies(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+    """(lang, source, term, term_id, n, in_lang): how often each group has each of its terms, of those that `least` documents
+    of the language have, and how often the language has it."""
     spark = docs.sparkSession
     in_small_batches(spark)
-    slices = slices_of(spark)
-    shards = max(slices, docs.count() // SHARD_DOCS)
+    shards = min(1 << 24, max(slices_of(spark), docs.count() // SHARD_DOCS))
     runs = docs.select("lang", "source", "text").mapInPandas(_runs(shards, BLOCK_POSTINGS), RUN)
-    return runs.repartition(shards, "shard").groupBy("shard").applyInPandas(_merged, POSTING)
+    return runs.repartition(shards, "shard").groupBy("shard").applyInPandas(_merged(least), KEPT)
 
 
 def _share(n: str, total: str, kept: str) -> Column:
@@ -123,64 +159,87 @@ def differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
+#: Numbers of a block of terms by pairs of sources that are worked out at a time.
+AT_ONCE = 1 << 20
+
+
+class PairBlock:
+    """The sums of a block of pairs of sources: what terms add to the difference of two sources without any of them."""
+
+    def __init__(self, base_a: np.ndarray, base_b: np.ndarray) -> None:
+        self.a, self.b = base_a, base_b
+        self.base = differences(base_a[:, None], base_b[None, :])
+        self.total = np.zeros_like(self.base)
+
+    def add_sparse(self, at_a: np.ndarray, p_a: np.ndarray, at_b: np.ndarray, p_b: np.ndarray) -> None:
+        """One term that few sources have: only their rows and columns change."""
+        columns = self.b.copy()
+        columns[at_b] = p_b
+        self.total[at_a] += differences(p_a[:, None], columns[None, :]) - self.base[at_a]
+        absent = np.ones(len(self.a), bool)
+        absent[at_a] = False
+        rest = np.flatnonzero(absent)
+        if len(rest) and len(at_b):
+            self.total[np.ix_(rest, at_b)] += differences(self.a[rest][:, None], p_b[None, :]) - self.base[np.ix_(rest, at_b)]
+
+    def add_dense(self, n_terms: int, term: np.ndarray, side: np.ndarray, at: np.ndarray, p: np.ndarray) -> None:
+        """Postings of terms 0, 1, ... in order, many terms at a time."""
+        step = max(1, AT_ONCE // self.base.size)
+        left, right = side != 1, side != 0
+        for lo in range(0, n_terms, step):
+            n = min(step, n_terms - lo)
+            rows, columns = np.tile(self.a, (n, 1)), np.tile(self.b, (n, 1))
+            for grid, mine in ((rows, left), (columns, right)):
+                here = np.flatnonzero(mine & (term >= lo) & (term < lo + n))
+                grid[term[here] - lo, at[here]] = p[here]
+            self.total += differences(rows[:, :, None], columns[:, None, :]).sum(0) - n * self.base
+
+
 def _corrections(size: int):
     """(lang, a, b, value): what terms add to pairs of sources, in blocks of size by size. Rows are sorted by lang, block row,
-    block column and chunk; a header comes first, with the shares of words that the sources of both sides don't have, then
-    postings by term."""
+    block column and chunk; a header comes first (side 3), with the shares of words that the sources of both sides don't have,
+    then postings by term."""
+
+    def given(key: tuple, block: PairBlock) -> pd.DataFrame:
+        lang, i, j = key
+        a, b = np.nonzero(np.triu(block.total) if i == j else block.total)
+        return pd.DataFrame({"lang": lang, "a": a + i * size, "b": b + j * size, "value": block.total[a, b]})
+
+    def add(block: PairBlock, term: np.ndarray, side: np.ndarray, at: np.ndarray, p: np.ndarray) -> None:
+        if not len(term):
+            return
+        starts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        sizes = np.diff(np.append(starts, len(term)))
+        many = 4 * sizes >= len(block.a)
+        number = np.cumsum(many) - 1
+        dense = np.repeat(many, sizes)
+        block.add_dense(int(many.sum()), np.repeat(number, sizes)[dense], side[dense], at[dense], p[dense])
+        for s, n in zip(starts[~many], sizes[~many], strict=True):
+            left, right = side[s : s + n] != 1, side[s : s + n] != 0
+            block.add_sparse(at[s : s + n][left], p[s : s + n][left], at[s : s + n][right], p[s : s + n][right])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, None  # held: base shares of both sides, base differences, sums
-
-        def given() -> pd.DataFrame:
-            lang, i, j, _ = key
-            a, b = np.nonzero(np.triu(held[3]) if i == j else held[3])
-            return pd.DataFrame({"lang": lang, "a": a + i * size, "b": b + j * size, "value": held[3][a, b]})
-
-        def add(at_a, p_a, at_b, p_b) -> None:
-            base_a, base_b, base, total = held
-            columns = base_b.copy()
-            columns[at_b] = p_b
-            total[at_a] += differences(p_a[:, None], columns[None, :]) - base[at_a]
-            absent = np.ones(len(base_a), bool)
-            absent[at_a] = False
-            rest = np.flatnonzero(absent)
-            if len(rest) and len(at_b):
-                total[np.ix_(rest, at_b)] += differences(base_a[rest][:, None], p_b[None, :]) - base[np.ix_(rest, at_b)]
-
-        waiting: list = []  # the postings of the term that may go on in the next batch
-        term = None
-
-        def settle() -> None:
-            nonlocal waiting
-            if waiting:
-                side = np.array([w[0] for w in waiting])
-                at, p = np.array([w[1] for w in waiting], np.int64), np.array([w[2] for w in waiting], np.int64)
-                left, right = (side == 0) | (side == 2), side >= 1
-                add(at[left], p[left], at[right], p[right])
-                waiting = []
-
+        key, block, waiting = None, None, None  # waiting: the postings of the term that may go on in the next batch
         for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                mine = (r.lang, r.i, r.j, r.chunk)
-                if mine != key:
-                    settle()
-                    if key is not None:
-                        out.append(given())
-                    key, term = mine, None
-                if r.side == 3:
-                    a, b = np.array(r.base_a, np.int64), np.array(r.base_b, np.int64)
-                    held = (a, b, differences(a[:, None], b[None, :]), np.zeros((len(a), len(b)), np.int64))
-                    continue
-                if r.term != term:
-                    settle()
-                    term = r.term
-                waiting.append((r.side, r.at, r.p))
-            if out:
-                yield pd.concat(out)
-        settle()
-        if key is not None:
-            yield given()
+            side = rows["side"].to_numpy()
+            heads = [*np.flatnonzero(side == 3).tolist(), len(rows)]
+            columns = [rows[c].fillna(0).to_numpy().astype(np.int64) for c in ("term_id", "side", "at", "p")]
+            for lo, hi in zip([0, *heads[:-1]], heads, strict=True):
+                if lo in heads[:-1]:
+                    if block is not None:
+                        add(block, *waiting)
+                        yield given(key, block)
+                    r = rows.iloc[lo]
+                    key, block = (r.lang, int(r.i), int(r.j)), PairBlock(np.array(r.base_a, np.int64), np.array(r.base_b, np.int64))
+                    waiting, lo = [c[:0] for c in columns], lo + 1
+                if lo < hi:
+                    part = [np.concatenate([w, c[lo:hi]]) for w, c in zip(waiting, columns, strict=True)]
+                    last = np.searchsorted(part[0], part[0][-1])  # terms ascend
+                    add(block, *(c[:last] for c in part))
+                    waiting = [c[last:] for c in part]
+        if block is not None:
+            add(block, *waiting)
+            yield given(key, block)
 
     return run
 
@@ -188,24 +247,24 @@ def _corrections(size: int):
 def pair_differences(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value): the summed differences of each two sources of a language.
 
-    kept: (lang, source, term, p) of the terms that a group has; groups: (lang, source, n_terms, p0), p0 the share of a term
+    kept: (lang, source, term_id, p) of the terms that a group has; groups: (lang, source, n_terms, p0), p0 the share of a term
     that it doesn't have, null without terms.
     """
     spark = kept.sparkSession
     placed = materialise(groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1), "groups")
     sides = placed.select("lang", "source", "at", F.floor(F.col("at") / BLOCK).cast("int").alias("block"), F.max(F.floor(F.col("at") / BLOCK)).over(Window.partitionBy("lang")).cast("int").alias("last"))
     chunks = max(slices_of(spark), kept.count() // CHUNK_POSTINGS)
-    posted = kept.join(small_side(sides), ["lang", "source"]).withColumns({"chunk": F.pmod(F.xxhash64("term"), F.lit(chunks)).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("last")))})
+    posted = kept.join(small_side(sides), ["lang", "source"]).withColumns({"chunk": F.pmod(F.xxhash64("term_id"), F.lit(chunks)).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("last")))})
     # of two blocks the smaller is the row; within one block a posting stands for both sides
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    posted = posted.select("lang", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "chunk", "term", side.alias("side"), (F.col("at") % BLOCK).cast("int").alias("at"), "p")
+    posted = posted.select("lang", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "chunk", "term_id", side.alias("side"), (F.col("at") % BLOCK).cast("int").alias("at"), "p")
     bases = placed.filter("n_terms > 0").groupBy("lang", F.floor(F.col("at") / BLOCK).cast("int").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p0"))), lambda x: x["p0"]).alias("base"))
     other = bases.select("lang", F.col("block").alias("j"), F.col("base").alias("base_b"))
     heads = bases.select("lang", F.col("block").alias("i"), F.col("base").alias("base_a")).join(other, "lang").filter("i <= j")
     heads = heads.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("side", F.lit(3))
     rows = posted.unionByName(heads, allowMissingColumns=True)
     by = ["lang", "i", "j", "chunk"]
-    streamed = rows.repartition(chunks, *by).sortWithinPartitions(*by, F.col("side") != 3, "term")
+    streamed = rows.repartition(chunks, *by).sortWithinPartitions(*by, F.col("side") != 3, "term_id")
     found = streamed.mapInPandas(_corrections(BLOCK), "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     mine = placed.select("lang", "source", F.col("at").alias("a"), "n_terms", F.col("p0").alias("p"))
     theirs = placed.select("lang", F.col("source").alias("item"), F.col("at").alias("b"), F.col("p0").alias("q"))
@@ -224,21 +283,19 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     gives none. Repeated rows are documents of their own. Other columns aren't read; an empty table gives an empty result.
     """
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found = materialise(frequencies(docs), "frequencies")
-    kept_terms = materialise(found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("in_lang")).filter(F.col("docs") >= LEAST_DOCS), "kept-terms")
-    kept = materialise(found.join(kept_terms.select("lang", "term", "in_lang"), ["lang", "term"]).select("lang", "source", "term", "n", "in_lang"), "kept")
-    totals = kept_terms.groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("in_lang").alias("lang_total"))
+    kept = materialise(kept_frequencies(docs), "kept")
+    totals = kept.groupBy("lang", "term_id").agg(F.first("in_lang").alias("in_lang")).groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("in_lang").alias("lang_total"))
     counted = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select("lang", "source").distinct().join(counted, ["lang", "source"], "left").join(totals, "lang", "left")
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "n_terms", "lang_total")))
     groups = materialise(groups.withColumn("p0", _share("0", "total", "n_terms")), "sources")
     of_group = groups.select("lang", "source", "total", "n_terms", "lang_total")
-    shared = kept.join(small_side(of_group), ["lang", "source"]).select("lang", "source", "term", _share("n", "total", "n_terms").alias("p"), _share("in_lang", "lang_total", "n_terms").alias("q"))
+    shared = kept.join(small_side(of_group), ["lang", "source"]).select("lang", "source", "term", "term_id", _share("n", "total", "n_terms").alias("p"), _share("in_lang", "lang_total", "n_terms").alias("q"))
     shared = materialise(shared, "shares")
     more = shared.filter("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(DIFFERENCE).alias("value"))
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = more.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TOP_TERMS)
-    pairs = pair_differences(shared.drop("q"), groups.select("lang", "source", "n_terms", "p0")).withColumn("rank", F.row_number().over(by))
+    pairs = pair_differences(shared.drop("q", "term"), groups.select("lang", "source", "n_terms", "p0")).withColumn("rank", F.row_number().over(by))
     out = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(out).unionByName(terms.withColumn("part", F.lit("term")).select(out))
 

@@ -176,7 +176,7 @@ def _searched(k: int, width: int, share: float):
 def _met(vectors: DataFrame, queries: DataFrame, k: int, width: int, blocks: int, share: float) -> DataFrame:
     rows = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"))
     asking = queries.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"))
-    dealt = rows.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "side", "vec_id")
+    dealt = rows.unionByName(asking).repartitionById(blocks, "block").sortWithinPartitions("block", "side", "vec_id")
     return dealt.mapInPandas(_searched(k, width, share), FOUND)
 
 
