@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from datetime import UTC, datetime, timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
-from driftwell.operators import temporal
-from driftwell.sources.tables import micros, series, table, triggers
-from driftwell.streaming import align
+from driftwell.operators import temporal, voxel
+from driftwell.sources.tables import POINT_KEY, micros, points, series, table, triggers
+from driftwell.streaming import align, map_state
 
 
 def test_streamed_sweeps_equal_batch(spark, sf_dir, tmp_path):
@@ -33,3 +37,28 @@ def test_windows_close_by_watermark(spark, sf_dir, tmp_path):
     whole = events.groupBy(F.window("time", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     assert rows.count() > 0
     assert rows.join(whole.select(F.col("w.start").alias("start"), "event_type", F.col("n").alias("all")), ["start", "event_type"]).filter("n <> all").count() == 0
+
+
+@pytest.mark.parametrize("steps", [1, 3, 7])
+def test_streamed_map_equals_batch(spark, sf_dir, steps):
+    df = points(spark, sf_dir).withColumn("frame", F.floor(F.col("l_orderkey") / 100)).drop("ts", "l_shipdate")
+    order = ["frame", *(k for k in POINT_KEY if k != "l_shipdate")]
+    batch = voxel.insert_spaced(df, 8.0, 6, 2.0, order)
+    streamed = map_state.run_to_end(map_state.insert_spaced(map_state.as_sweeps(df, "frame", steps), 8.0, 6, 2.0, order))
+    assert streamed.columns == batch.columns or sorted(streamed.columns) == sorted(batch.columns)
+    got, expected = ([tuple(r) for r in x.select(sorted(batch.columns)).collect()] for x in (streamed, batch))
+    assert sorted(got) == sorted(expected) and len(got) > 100
+    assert max(r["count"] for r in streamed.groupBy(*voxel.CELL).count().collect()) <= 6
+
+
+def test_cells_that_nobody_visits_go(spark, tmp_path):
+    """A cell's state is dropped after its time; later points find it empty, and a visited cell stays full."""
+    schema = "id long, x double, y double, z double, time timestamp"
+    at = lambda s: datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=s)
+    steps = [[(1, 0.1, 0.1, 0.1, at(0)), (2, 5.1, 0.1, 0.1, at(0))], [(3, 5.2, 0.1, 0.1, at(60))], [(4, 5.3, 0.1, 0.1, at(100))], [(5, 0.2, 0.1, 0.1, at(130)), (6, 5.4, 0.1, 0.1, at(130))]]
+    for k, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1 if k < 3 else 0)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = map_state.run_to_end(map_state.insert_spaced(stream, 1.0, 1, 0.01, ["id"], keep="1 second", keep_ms=70_000))
+    assert sorted(r.id for r in out.collect()) == [1, 2, 5]
