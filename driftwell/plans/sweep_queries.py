@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import voxel
-from ..sources.tables import POINT_KEY, points
+from ..operators import registration, voxel
+from ..sources.tables import POINT_KEY, points, vectors
 from ..streaming import map_state
-from .queries import ID, _SPACED, query
+from .queries import _CELLS_SQL, _PLANE_SQL, _SPACED, ID, query
 
 #: Steps that the table is streamed in.
 STEPS = 4
@@ -21,3 +21,48 @@ def streamed_map_insert(spark, sf_dir) -> DataFrame:
     order = ["frame", *(k for k in POINT_KEY if k != "l_shipdate")]
     taken = map_state.run_to_end(map_state.insert_spaced(map_state.as_sweeps(df, "frame", STEPS), 4.0, 20, 0.5, order))
     return taken.select(*voxel.CELL, *POINT_KEY[:4], "frame", "x", "y", "z")
+
+
+# -- registration ---------------------------------------------------------------------------------------------
+
+#: A sweep for each label, and the pose before it.
+BEFORE = (0.5, -0.4, 1.5)
+OPTIONS = registration.Options(size=0.1, neighbours=5, least_neighbours=5, early_frames=0, rounds=3, small_degrees=0.01)
+
+
+def _sweeps(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors as body points of a sweep for each label, the map of all vectors, and the sweeps' first poses: slow turns
+    about z, and shifts."""
+    found = vectors(spark, sf_dir)
+    a, zero = F.col("sweep") * 0.004, F.lit(0.0)
+    rest = [zero] * 9 + [zero, zero, F.lit(9.81)]
+    pose = F.array(F.cos(a), -F.sin(a), zero, F.sin(a), F.cos(a), zero, zero, zero, F.lit(1.0), F.col("sweep") * 0.002, F.col("sweep") * -0.001, F.col("sweep") * 0.0015, *rest)
+    cov = F.array(*(F.lit(v) for v in registration.starting_covariance()))
+    sweeps = found.select(F.col("label").cast("long").alias("sweep")).distinct().select("sweep", (F.col("sweep") + 30).alias("number"), pose.alias("pose"), cov.alias("cov"), F.array(*(F.lit(v) for v in BEFORE)).alias("last"))
+    return found.select(F.col("label").cast("long").alias("sweep"), F.col("vec_id").alias("id"), *"xyz"), found.select(F.col("vec_id").alias("id"), *"xyz"), registration.started(sweeps)
+
+
+_SWEPT = """wq AS (SELECT vec_id, label::BIGINT AS sweep, x AS bx, y AS by_, z AS bz, cos(label * 0.004) * x - sin(label * 0.004) * y + label * 0.002 AS x, sin(label * 0.004) * x + cos(label * 0.004) * y + label * -0.001 AS y, z + label * 0.0015 AS z FROM vec),
+wc AS (SELECT *, trunc(x / 0.1)::INT AS kx, trunc(y / 0.1)::INT AS ky, trunc(z / 0.1)::INT AS kz FROM wq),
+near AS (SELECT * FROM (SELECT q.vec_id AS query_id, q.sweep, q.bx, q.by_, q.bz, p.vec_id, p.x AS nx, p.y AS ny, p.z AS nz, q.x, q.y, q.z, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) AS d2,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z), p.vec_id)::INT AS rank FROM wc q JOIN c p ON p.kx BETWEEN q.kx - 1 AND q.kx + 1 AND p.ky BETWEEN q.ky - 1 AND q.ky + 1 AND p.kz BETWEEN q.kz - 1 AND q.kz + 1) WHERE rank <= 5)"""
+_ROWS = """res AS (SELECT *, a * w AS j0, b * w AS j1, c * w AS j2, (by_ * tz - bz * ty) * w AS j3, (bz * tx - bx * tz) * w AS j4, (bx * ty - by_ * tx) * w AS j5 FROM (SELECT q.sweep, q.bx, q.by_, q.bz, a, b, c, cos(q.sweep * 0.004) * a + sin(q.sweep * 0.004) * b AS tx, cos(q.sweep * 0.004) * b - sin(q.sweep * 0.004) * a AS ty, c AS tz,
+a * (q.x - q.nx) + b * (q.y - q.ny) + c * (q.z - q.nz) AS d, 0.9 * a2d * a2d + 0.1 * exp(-sqrt(q.d2) / 1.5) AS w FROM fit f JOIN near q ON q.query_id = f.query_id AND q.rank = 1,
+LATERAL (SELECT CASE WHEN normal_x * (0.5 - q.bx) + normal_y * (-0.4 - q.by_) + normal_z * (1.5 - q.bz) < 0 THEN -1 ELSE 1 END AS s), LATERAL (SELECT s * normal_x AS a, s * normal_y AS b, s * normal_z AS c) WHERE f.n >= 5) WHERE d < 0.3)"""
+_SUMS = [*(f"h{a}{b}" for a in range(6) for b in range(a, 6)), *(f"g{a}" for a in range(6)), "loss"]
+
+
+@query("SELECT sweep, count(*) AS n_residuals, " + ", ".join([*(f"round(sum(j{a} * j{b}), 4) + 0.0 AS h{a}{b}" for a in range(6) for b in range(a, 6)), *(f"round(sum(j{a} * d * w), 4) + 0.0 AS g{a}" for a in range(6)), "round(sum(d * d), 4) + 0.0 AS loss"]) + " FROM res GROUP BY sweep", ", ".join((_CELLS_SQL, _SWEPT, _PLANE_SQL, _ROWS)))
+def sweep_normal_equations(spark, sf_dir) -> DataFrame:
+    """One round's sums of every sweep: neighbours, planes, gate and normal equations at the sweeps' poses."""
+    found, target, states = _sweeps(spark, sf_dir)
+    sums = registration.sweep_sums(found, states, target, OPTIONS)
+    return sums.select("sweep", "n_residuals", *((F.round(c, 4) + 0.0).alias(c) for c in _SUMS))
+
+
+@query()
+def register_sweeps(spark, sf_dir) -> DataFrame:
+    """All sweeps registered to the map: status, rounds and pose."""
+    found, target, states = _sweeps(spark, sf_dir)
+    out = registration.register(found, target, states, OPTIONS)
+    return out.select("sweep", "status", "rounds", "n_residuals", F.round("loss", 4).alias("loss"), *(F.round(F.col("pose")[9 + k], 4).alias(f"t{c}") for k, c in enumerate("xyz")))
