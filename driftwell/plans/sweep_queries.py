@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import registration, voxel
-from ..sources.tables import POINT_KEY, points, vectors
-from ..streaming import map_state
+from ..sources.tables import POINT_KEY, micros, points, table, vectors
+from ..streaming import align, map_state
 from .queries import _CELLS_SQL, _PLANE_SQL, _SPACED, ID, query
 
-#: Steps that the table is streamed in.
-STEPS = 4
+#: Steps that the table is streamed in; milliseconds that rows wait for their sweep's end, longer than the table spans.
+STEPS, LONGEST_MS = 4, 10**12
 
 
 @query(f"SELECT kx, ky, kz, {ID}, frame, x, y, z FROM (SELECT *, l_orderkey // 100 AS frame FROM walk JOIN ord USING (kx, ky, kz, k)) WHERE took", _SPACED)
@@ -23,6 +23,19 @@ def streamed_map_insert(spark, sf_dir) -> DataFrame:
     return taken.select(*voxel.CELL, *POINT_KEY[:4], "frame", "x", "y", "z")
 
 
+@query("SELECT s.user_id, s.id, s.ts, s.value, CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS kind, e.end_ts FROM ev s ASOF JOIN ends e ON s.user_id = e.user_id AND s.ts < e.end_ts WHERE s.event_type <> 'signup'",
+"""ev AS (SELECT user_id, event_id AS id, epoch_us(ts) AS ts, value, event_type FROM events),
+came AS (SELECT least(max(CASE WHEN event_type IN ('view', 'click') THEN ts END), max(CASE WHEN event_type IN ('purchase', 'error') THEN ts END), max(CASE WHEN event_type = 'signup' THEN ts END)) // 1000 * 1000 AS w FROM ev),
+ends AS (SELECT DISTINCT t.user_id, t.ts AS end_ts FROM ev t JOIN (SELECT user_id, min(ts) AS oldest FROM ev WHERE event_type IN ('purchase', 'error') GROUP BY user_id) o ON o.user_id = t.user_id, came WHERE t.event_type = 'signup' AND t.ts > oldest AND t.ts <= w)""")
+def streamed_alignment(spark, sf_dir) -> DataFrame:
+    """Points (views and clicks) and samples (purchases and errors) of each sweep, from three streams by their least
+    watermark; triggers (signups) that come before the user's first sample end no sweep."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), micros("ts").alias("ts"), "value", "event_type")
+    parts = [events.filter(F.col("event_type").isin(*k)).drop("event_type") for k in (("view", "click"), ("purchase", "error"), ("signup",))]
+    streams = [map_state.as_sweeps(df, "ts", STEPS) for df in parts]
+    return map_state.run_to_end(align.align_sweeps(*streams, longest_ms=LONGEST_MS))
+
+
 # -- registration ---------------------------------------------------------------------------------------------
 
 #: A sweep for each label, and the pose before it.

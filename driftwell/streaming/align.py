@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def replay(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
@@ -15,31 +17,81 @@ def replay(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-ASSIGNED = "user_id long, event_id long, ts long, value double, end_ts long"
-STATE = "ids array<long>, times array<long>, values array<double>"
+#: What a row of an aligned stream is; samples decide with points how far time has come, triggers end sweeps.
+POINT, SAMPLE, TRIGGER = 0, 1, 2
+ROW = "user_id long, id long, ts long, value double, kind int"
+ALIGNED = f"{ROW}, end_ts long"
+WAITING = "ids array<long>, times array<long>, values array<double>, kinds array<int>, ends array<long>, oldest long"
 
 
-def assign_sweeps(events: DataFrame) -> DataFrame:
-    """Samples with the end of their sweep, from one stream of events (user_id, event_id, ts, value, is_end).
+class SweepAligner(StatefulProcessor):
+    """One user's points and samples wait for the first trigger later than them; a trigger is used once the watermark, which is
+    the least of all inputs', has passed it, so nothing older can come any more.
 
-    A user's samples wait in state until an end later than them comes; a sample at an end waits for the next. Events of
-    a user must come in time order, across steps; within one they are sorted.
+    Triggers no later than the user's oldest sample are left out. Rows that no trigger has ended longest_ms after them are
+    dropped; a user without waiting rows and triggers has no state but its oldest sample, and after as long none at all.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times, values = state.get if state.exists else ([], [], [])
-        waiting = pd.DataFrame({"event_id": list(ids), "ts": list(times), "value": list(values)}).astype({"event_id": "int64", "ts": "int64", "value": "float64"})
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        ends = rows.loc[rows["is_end"], "ts"].drop_duplicates()
-        waiting = pd.concat([waiting, rows.loc[~rows["is_end"], ["event_id", "ts", "value"]]]).sort_values(["ts", "event_id"])
-        place = ends.searchsorted(waiting["ts"], side="right")
-        done = place < len(ends)
-        out = waiting[done].assign(user_id=key[0], end_ts=ends.to_numpy()[place[done]] if done.any() else pd.Series([], dtype="int64"))
+    def __init__(self, longest_ms: int) -> None:
+        self.longest_ms = longest_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", WAITING)
+
+    def _read(self) -> tuple[pd.DataFrame, list[int], int | None]:
+        s = self.held.get() if self.held.exists() else ([], [], [], [], [], None)
+        rows = pd.DataFrame({"id": list(s[0]), "ts": list(s[1]), "value": list(s[2]), "kind": list(s[3])})
+        return rows.astype({"id": "int64", "ts": "int64", "value": "float64", "kind": "int32"}), list(s[4]), s[5]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        waiting, ends, oldest = self._read()
+        fresh = pd.concat([part[["id", "ts", "value", "kind"]] for part in rows])
+        samples = fresh.loc[fresh["kind"] == SAMPLE, "ts"]
+        if len(samples):
+            oldest = int(samples.min()) if oldest is None else min(oldest, int(samples.min()))
+        new = fresh.loc[fresh["kind"] == TRIGGER, "ts"].drop_duplicates().tolist()
+        fresh = fresh[fresh["kind"] != TRIGGER]
+        waiting = pd.concat([waiting, fresh]) if len(waiting) else fresh
+        self._write(waiting, sorted({*ends, *new}), oldest)
+        for end in new:
+            self.handle.registerTimer(-(-end // 1000))
+        latest = max([*fresh["ts"].tolist(), *new], default=None)
+        if latest is not None:
+            self.handle.registerTimer(-(-latest // 1000) + self.longest_ms)
+        return iter(())
+
+    def _write(self, waiting: pd.DataFrame, ends: list[int], oldest: int | None) -> None:
+        self.held.update((*(waiting[c].tolist() for c in ("id", "ts", "value", "kind")), ends, oldest))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting, ends, oldest = self._read()
+        now = timerValues.getCurrentWatermarkInMs()
+        due = [e for e in ends if -(-e // 1000) <= now]
+        used = np.array([e for e in due if oldest is not None and e > oldest], np.int64)
+        place = np.searchsorted(used, waiting["ts"].to_numpy(), side="right")
+        done = place < len(used)
+        out = waiting[done].assign(user_id=key[0], end_ts=used[place[done]])
         left = waiting[~done]
-        state.update((left["event_id"].tolist(), left["ts"].tolist(), left["value"].tolist()))
-        yield out[["user_id", "event_id", "ts", "value", "end_ts"]]
+        left = left[left["ts"] // 1000 + self.longest_ms >= now]
+        ends = ends[len(due) :]
+        if len(left) or ends or expiredTimerInfo.getExpiryTimeInMs() + self.longest_ms > now and oldest is not None and oldest // 1000 + self.longest_ms >= now:
+            self._write(left, ends, oldest)
+        else:
+            self.held.clear()
+        yield out[["user_id", "id", "ts", "value", "kind", "end_ts"]]
+
+    def close(self) -> None:
+        pass
+
 
-    return events.groupBy("user_id").applyInPandasWithState(step, ASSIGNED, STATE, "append", GroupStateTimeout.NoTimeout)
+def align_sweeps(points: DataFrame, samples: DataFrame, triggers: DataFrame, longest_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """Points and samples with the end of their sweep, from three streams (user_id, id, ts in microseconds, value), each with its
+    own watermark; see SweepAligner. Late rows, older than the watermark, are dropped. Equals `temporal.assign_sweeps` with the
+    triggers of `temporal.ready`, as far as the watermark has come."""
+    time = F.timestamp_micros("ts").alias("time")
+    parts = [df.select("user_id", "id", "ts", F.col("value").cast("double").alias("value"), F.lit(kind).alias("kind"), time).withWatermark("time", delay) for kind, df in enumerate((points, samples, triggers))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("user_id").transformWithStateInPandas(SweepAligner(longest_ms), ALIGNED, "Append", "eventTime")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

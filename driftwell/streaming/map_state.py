@@ -35,7 +35,7 @@ class CellInserter(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", HELD)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.held.get() if self.held.exists() else None
         held = [np.array(p) for p in zip(state[0], state[1], state[2], strict=True)] if state else []
         waiting, newest = [], state[3] if state else 0
@@ -57,7 +57,7 @@ class CellInserter(StatefulProcessor):
         if taken is not None:
             yield taken[self.columns]
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()
         return iter(())
 

@@ -13,18 +13,37 @@ from driftwell.sources.tables import POINT_KEY, micros, points, series, table, t
 from driftwell.streaming import align, map_state
 
 
-def test_streamed_sweeps_equal_batch(spark, sf_dir, tmp_path):
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", micros("ts").alias("ts"), "value", (F.col("event_type") == "signup").alias("is_end"))
-    for k, part in enumerate((0, 1, 2)):  # three files, in time order
-        cut = events.approxQuantile("ts", [0.33, 0.66], 0.0)
-        lo, hi = [float("-inf"), *cut][part], [*cut, float("inf")][part]
-        events.filter((F.col("ts") > lo) & (F.col("ts") <= hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = align.assign_sweeps(align.replay(spark, str(tmp_path / "in")))
-    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.user_id, r.event_id, r.end_ts) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    batch = temporal.assign_sweeps(series(spark, sf_dir), triggers(spark, sf_dir)).filter("end_ts IS NOT NULL")
-    assert got == {(r.user_id, r.event_id, r.end_ts) for r in batch.collect()}
+def _inputs(rows, steps):
+    return [map_state.as_sweeps(df, "ts", steps) for df in rows]
+
+
+def test_aligned_streams_equal_batch(spark, sf_dir):
+    """Three streams in steps; sweeps that the least watermark has passed are those of the batch operators."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), micros("ts").alias("ts"), "value", "event_type")
+    kinds = ("view", "click"), ("purchase", "error"), ("signup",)
+    rows = [events.filter(F.col("event_type").isin(*k)).drop("event_type") for k in kinds]
+    reached = min(df.agg(F.max("ts")).first()[0] for df in rows) // 1000 * 1000
+    samples = rows[1].withColumnRenamed("id", "sample_id")
+    oldest = samples.groupBy("user_id").agg(F.min("ts").alias("oldest"))
+    ends = rows[2].select("user_id", F.col("ts").alias("end_ts")).join(oldest, "user_id").filter((F.col("end_ts") > F.col("oldest")) & (F.col("end_ts") <= reached))
+    batch = temporal.assign_sweeps(rows[0].unionByName(rows[1]), ends.select("user_id", "end_ts")).filter("end_ts IS NOT NULL")
+    expected = sorted((r.user_id, r.id, r.end_ts) for r in batch.collect())
+    for steps in (1, 4):
+        out = map_state.run_to_end(align.align_sweeps(*_inputs(rows, steps), longest_ms=10**11))
+        assert sorted((r.user_id, r.id, r.end_ts) for r in out.collect()) == expected and len(expected) > 100
+
+
+def test_alignment_leaves_no_state(spark, tmp_path):
+    """After rows far in the future, what waited in vain is gone; a point at a sweep's end belongs to the next one."""
+    schema, second = "user_id long, id long, ts long, value double", 1_000_000
+    points = [(1, 1, 5 * second, 1.0), (1, 2, 10 * second, 1.0), (1, 3, 25 * second, 1.0), (2, 4, 7 * second, 1.0), (9, 90, 1000 * second, 0.0), (9, 91, 5000 * second, 0.0)]
+    samples = [(1, 11, 4 * second, 1.0), (1, 12, 12 * second, 1.0), (2, 13, 9 * second, 1.0), (9, 92, 1000 * second, 0.0), (9, 93, 5000 * second, 0.0)]
+    triggers = [(1, 21, 3 * second, 0.0), (1, 22, 10 * second, 0.0), (1, 23, 20 * second, 0.0), (2, 24, 8 * second, 0.0), (9, 94, 1000 * second, 0.0), (9, 95, 5000 * second, 0.0)]
+    streams = _inputs([spark.createDataFrame(x, schema) for x in (points, samples, triggers)], 3)
+    out = map_state.run_to_end(align.align_sweeps(*streams, longest_ms=60_000))
+    assert sorted((r.id, r.end_ts // second) for r in out.collect() if r.user_id < 9) == [(1, 10), (2, 20), (11, 10), (12, 20)]
+    state = spark.read.format("statestore").option("stateVarName", "held").load(out.inputFiles()[0].rsplit("/rows/", 1)[0] + "/state")
+    assert {r.key.user_id for r in state.collect()} <= {9}
 
 
 def test_windows_close_by_watermark(spark, sf_dir, tmp_path):
