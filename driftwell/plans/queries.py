@@ -530,7 +530,7 @@ def hourly_windows(spark, sf_dir):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-from . import frame_queries, sweep_queries  # noqa: E402, F401  register their queries here
+from . import frame_queries, image_queries, sweep_queries  # noqa: E402, F401  register their queries here
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
