@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import images, mapping, voxel
-from ..sources.tables import POINT_KEY, points, vectors
+from ..operators import filters, images, mapping, voxel
+from ..sources.tables import POINT_KEY, points, series, vectors
 from .frame_queries import _WIDE, _framed, _wide
 from .queries import ID, ORDER, query
 
@@ -46,6 +46,13 @@ def projection_choice(spark, sf_dir):
     return out.select("shown", "gu", "gv", *KEY, F.round("u", 3).alias("u"), F.round("v", 3).alias("v"))
 
 
+@query("""SELECT user_id, event_id FROM (SELECT *, min(CASE WHEN e > 2 * 5 OR (e > 5 AND before_ > 5) THEN ts END) OVER (PARTITION BY user_id) AS out_ FROM (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY ts) AS before_ FROM (SELECT *, event_id % 13 AS e FROM ser))) WHERE out_ IS NULL OR ts < out_""")
+def tracked_until_strikes(spark, sf_dir):
+    """Features (users) until their error is over the limit twice running, or over twice the limit."""
+    df = series(spark, sf_dir).withColumn("error", (F.col("event_id") % 13).cast("double"))
+    return filters.strikes_below(df, ["user_id"], ["ts"], "error", 5.0).select("user_id", "event_id")
+
+
 # -- lenses and colours ---------------------------------------------------------------------------------------
 
 LENS = (-0.1, 0.03, 0.002, -0.001, 0.004)
