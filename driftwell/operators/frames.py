@@ -1,7 +1,7 @@
 """One sweep from raw records to world points: state before it, de-skew, sampling, transforms, map increments.
 
-Poses are columns: a quaternion (w, x, y, z) and a shift, as lists of four and three Columns. All steps are expressions but
-for sampling, which is one minimum per frame and cell.
+Poses are columns: a quaternion (w, x, y, z) and a shift, as lists of four and three Columns. All steps are expressions, bound
+to columns between them, but for sampling, which is one minimum per frame and cell and comes before the rotations.
 """
 
 from __future__ import annotations
@@ -34,25 +34,40 @@ def inverse(pose: Pose) -> Pose:
     return q, [-c for c in geometry.rotate(q, pose[1])]
 
 
+def bound(df: DataFrame, name: str, values: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """df with values as columns of their own, and these columns: what follows names them and doesn't repeat how they came
+    about, so expressions of several steps stay short."""
+    names = [f"__{name}{k}" for k in range(len(values))]
+    return df.withColumns(dict(zip(names, values, strict=True))), [F.col(n) for n in names]
+
+
 def inside(t: Column, begin: Column, end: Column) -> Column:
     """A time (seconds) that lies at an end of an interval, moved just inside it."""
     return F.when(F.abs(t - begin) < EDGE_S, begin + EDGE_S).when(F.abs(t - end) < EDGE_S, end - EDGE_S).otherwise(t)
 
 
-def deskewed_steadily(p: list[Column], t: Column, begin: Column, end: Column, first: Pose, last: Pose) -> list[Column]:
-    """A body point at time t of a sweep, laid out by motion of constant speed between the poses at the sweep's ends."""
+def deskewed_steadily(df: DataFrame, p: list[Column], t: Column, begin: Column, end: Column, first: Pose, last: Pose) -> tuple[DataFrame, list[Column]]:
+    """A body point at time t of a sweep, laid out by motion of constant speed between the poses at the sweep's ends: df
+    with the steps' columns (their names begin with two underscores), and the place."""
     alpha = (inside(t, begin, end) - begin) / (end - begin)
-    alpha = F.least(F.lit(1.0), F.greatest(F.lit(0.0), alpha))
-    shift = [(1 - alpha) * a + alpha * b for a, b in zip(first[1], last[1], strict=True)]
-    return applied((geometry.slerp(first[0], last[0], alpha), shift), p)
-
-
-def deskewed_inertially(p: list[Column], dt: Column, start: Pose, speed: list[Column], acceleration: list[Column], turn: list[Column]) -> list[Column]:
-    """A body point dt seconds into an inertial segment: its start's pose, carried on by constant acceleration and turn."""
-    q = geometry.quaternion_product(start[0], geometry.exponential([c * dt for c in turn]))
-    norm = F.sqrt(sum((c * c for c in q), F.lit(0.0)))
-    shift = [t + v * dt + 0.5 * a * dt * dt for t, v, a in zip(start[1], speed, acceleration, strict=True)]
-    return applied(([c / norm for c in q], shift), p)
+    df, (alpha,) = bound(df, "steady", [F.least(F.lit(1.0), F.greatest(F.lit(0.0), alpha))])
+    df, a = bound(df, "first", [*first[0], *first[1]])
+    df, b = bound(df, "last", [*last[0], *last[1]])
+    df, p = bound(df, "body", p)
+    df, q = bound(df, "turn", geometry.slerp(a[:4], b[:4], alpha))
+    shift = [(1 - alpha) * u + alpha * v for u, v in zip(a[4:], b[4:], strict=True)]
+    return bound(df, "laid", applied((q, shift), p))
+
+
+def deskewed_inertially(df: DataFrame, p: list[Column], dt: Column, start: Pose, speed: list[Column], acceleration: list[Column], turn: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """A body point dt seconds into an inertial segment: its start's pose, carried on by constant acceleration and turn. df
+    with the steps' columns, and the place."""
+    df, a = bound(df, "start", start[0])
+    df, b = bound(df, "carried", geometry.exponential([c * dt for c in turn]))
+    df, q = bound(df, "product", geometry.quaternion_product(a, b))
+    df, q = bound(df, "unit", geometry.unit(q))
+    shift = [t + v * dt + 0.5 * c * dt * dt for t, v, c in zip(start[1], speed, acceleration, strict=True)]
+    return bound(df, "laid", applied((q, shift), p))
 
 
 def in_segments(points: DataFrame, states: DataFrame, by: str) -> DataFrame:
@@ -93,16 +108,16 @@ def build_frame(points: DataFrame, frame: str, key: list[str], first: Pose, last
     pose on the body. Columns: frame, key, alpha, x, y, z (in the sensor at the end), wx, wy, wz.
     """
     xyz = [F.col(c) for c in "xyz"]
-    body = deskewed_steadily(applied(mount, xyz), F.col("ts"), F.col("begin_ts"), F.col("end_ts"), first, last)
     span = (F.col("ts") - F.col("begin_ts")) / (F.col("end_ts") - F.col("begin_ts"))
     alpha = F.when(early, F.lit(1.0)).when(span > 1, 1 - 1e-5).otherwise(span)
     # cells are those of the raw points, as the sensor saw them
-    df = points.withColumns({"alpha": alpha, **{f"i{c}": v for c, v in zip("xyz", body, strict=True)}})
-    df = sampled(df, frame, size, key)
-    back = applied(inverse(mount), applied(inverse(last), [F.col(f"i{c}") for c in "xyz"]))
-    df = df.withColumns(dict(zip("xyz", back, strict=True)))
-    on_body = applied(mount, xyz)
-    world = [F.when(early, b).otherwise(w) for b, w in zip(on_body, applied(state, on_body), strict=True)]
+    df = sampled(points.withColumn("alpha", alpha), frame, size, key)
+    df, laid = deskewed_steadily(df, applied(mount, xyz), F.col("ts"), F.col("begin_ts"), F.col("end_ts"), first, last)
+    df, on_body = bound(df, "back", applied(inverse(last), laid))
+    df = df.withColumns(dict(zip("xyz", applied(inverse(mount), on_body), strict=True)))
+    df, on_body = bound(df, "again", applied(mount, xyz))
+    df, pose = bound(df, "state", [*state[0], *state[1]])
+    world = [F.when(early, b).otherwise(w) for b, w in zip(on_body, applied((pose[:4], pose[4:]), on_body), strict=True)]
     return df.select(frame, *key, "alpha", *"xyz", *(w.alias(f"w{c}") for c, w in zip("xyz", world, strict=True)))
 
 

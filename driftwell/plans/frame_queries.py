@@ -154,7 +154,7 @@ def deskew_inertial(spark, sf_dir):
     moments = triggers(spark, sf_dir).distinct().withColumnRenamed("end_ts", "ts")
     met = frames.in_segments(moments, states, "user_id").withColumn("dt", (F.col("ts") - F.col("seg_start")) / 1e10)
     zero, v = F.lit(0.0), F.col("state.v")
-    out = frames.deskewed_inertially(frames.constants(2, 3, 1), F.col("dt"), _about_z(F.col("state.a"), [zero] * 3), [v, -v, zero], [F.col("after.acc"), zero, zero], [zero, zero, F.col("after.w")])
+    met, out = frames.deskewed_inertially(met, frames.constants(2, 3, 1), F.col("dt"), _about_z(F.col("state.a"), [zero] * 3), [v, -v, zero], [F.col("after.acc"), zero, zero], [zero, zero, F.col("after.w")])
     return met.select("user_id", "ts", *((F.round(c, 4) + 0.0).alias(f"w{n}") for n, c in zip("xyz", out, strict=True)))
 
 
