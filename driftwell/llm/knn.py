@@ -1,6 +1,6 @@
 """Exact top-k by inner product: a Voronoi join.
 
-Vectors go to the cell of their nearest pivot; a cell's summary is its count, radius and largest squared norm. A query
+Vectors go to the cell of their nearest pivot; a cell's summary is its count and radius. A query
 first meets its own cell and the best-placed others until k candidates are sure, which gives it a floor; then it is
 sent only to cells whose bound q.p + |q| r reaches that floor. A cell's vectors and the queries sent to it are both cut in
 blocks, so a crowded cell is many tasks, each of two bounded blocks.
