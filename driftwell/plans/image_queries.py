@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import filters, images, mapping, voxel
+from ..operators import filters, flow, images, mapping, voxel
 from ..sources.tables import POINT_KEY, points, series, vectors
 from .frame_queries import _WIDE, _framed, _wide
 from .queries import ID, ORDER, query
@@ -110,3 +110,84 @@ def tiled_equalise(spark, sf_dir):
     """Tiled equalisation with a clip, of rasters whose sides the tiles don't divide."""
     grey = _wide(spark, sf_dir).withColumn("value", F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 300 * F.col("value")))).cast("int"))
     return images.tiled_equalised(grey, 16, 16, (3, 5), 3.0).select("frame", "row", "col", "level")
+
+
+# -- flow of features -----------------------------------------------------------------------------------------
+
+#: Windows of five pixels on pictures of 16 by 16 and the level of 8 by 8 above them.
+FLOW = flow.Options(window=5, levels=1, steps=3, least_square=0.0025)
+_GREY = "least(255, greatest(0, floor(128 + 300 * value)))"
+
+
+def _mirror_sql(place: str, n: int) -> str:
+    return f"({n - 1} - abs({n - 1} - abs({place})))"
+
+
+def _slopes_sql(level: int, n: int) -> str:
+    """Pixels of a level with derivatives, mirrored at the edges."""
+    return f"""sl{level} AS MATERIALIZED (SELECT t.frame, t.row, t.col, t.value, sum(o.b * CASE WHEN o.a = 0 THEN 10 ELSE 3 END * w.value) / 32 AS dx, sum(o.a * CASE WHEN o.b = 0 THEN 10 ELSE 3 END * w.value) / 32 AS dy
+FROM lv{level} t CROSS JOIN three o JOIN lv{level} w ON w.frame = t.frame AND w.row = {_mirror_sql("t.row + o.a", n)} AND w.col = {_mirror_sql("t.col + o.b", n)} GROUP BY ALL)"""
+
+
+def _corner_sql(u: str, v: str, more: str, source: str) -> str:
+    return f"SELECT *, floor({u} - 2)::INT AS iu, floor({v} - 2)::INT AS iv, {u} - 2 - floor({u} - 2) AS fu, {v} - 2 - floor({v} - 2) AS fv{more} FROM {source}"
+
+
+_SHARE = "CASE WHEN o.a = 1 THEN fv ELSE 1 - fv END * CASE WHEN o.b = 1 THEN fu ELSE 1 - fu END"
+
+
+def _level_sql(level: int, n: int, start: str) -> list[str]:
+    """A level's windows, sums of products, and steps one after the other; the last table is st{level}_{steps}."""
+    row, col = _mirror_sql("f.iv + k + o.a", n), _mirror_sql("f.iu + i + o.b", n)
+    reach = f"iu BETWEEN -5 AND {n - 1} AND iv BETWEEN -5 AND {n - 1}"
+    lost = "still" if level else "lost"
+    out = [
+        f"""wi{level} AS MATERIALIZED (SELECT vec_id, k, i, sum({_SHARE} * w.value) AS value, sum({_SHARE} * coalesce(d.dx, 0)) AS gx, sum({_SHARE} * coalesce(d.dy, 0)) AS gy FROM ({_corner_sql(f"u / {2**level}", f"v / {2**level}", "", "feats")}) f CROSS JOIN five CROSS JOIN four o
+JOIN sl{level} w ON w.frame = f.frame AND w.row = {row} AND w.col = {col} LEFT JOIN sl{level} d ON d.frame = f.frame AND d.row = f.iv + k + o.a AND d.col = f.iu + i + o.b WHERE {reach} GROUP BY ALL)""",
+        f"su{level} AS (SELECT vec_id, sum(gx * gx) AS a, sum(gx * gy) AS b, sum(gy * gy) AS c, sum(value * gx) AS p0, sum(value * gy) AS q0 FROM wi{level} GROUP BY vec_id)",
+        f"""st{level}_0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS su, 0.0::DOUBLE AS sv, CASE WHEN eigenvalue >= 1e-4 AND (a * c - b * b) / 1048576 >= power(2, -23) THEN 'moving' ELSE '{lost}' END AS status FROM (SELECT s.*, a, b, c, p0, q0, (a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 51200 AS eigenvalue FROM ({start}) s LEFT JOIN su{level} USING (vec_id)))""",
+    ]
+    for k in range(FLOW.steps):
+        turning = "abs(du + su) < 0.01 AND abs(dv + sv) < 0.01" if k else "false"
+        out += [
+            f"at{level}_{k} AS MATERIALIZED (SELECT * EXCLUDE (status), CASE WHEN status = 'moving' AND NOT ({reach}) THEN '{lost}' ELSE status END AS status FROM ({_corner_sql('nu', 'nv', '', f'st{level}_{k}')}))",
+            f"""me{level}_{k} AS (SELECT f.vec_id, sum({_SHARE} * w.value * gx) AS p, sum({_SHARE} * w.value * gy) AS q FROM at{level}_{k} f JOIN wi{level} USING (vec_id) CROSS JOIN four o JOIN sl{level} w ON w.frame = f.frame + 1 AND w.row = {row} AND w.col = {col} WHERE status = 'moving' GROUP BY f.vec_id)""",
+            f"""st{level}_{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (nu, nv, su, sv, du, dv, short, turning, status, iu, iv, fu, fv), CASE WHEN status = 'moving' THEN nu + share * du ELSE nu END AS nu, CASE WHEN status = 'moving' THEN nv + share * dv ELSE nv END AS nv, du AS su, dv AS sv, CASE WHEN status = 'moving' AND (short OR turning) THEN 'still' ELSE status END AS status
+FROM (SELECT *, CASE WHEN NOT short AND turning THEN 0.5 ELSE 1 END AS share FROM (SELECT *, du * du + dv * dv <= 0.0025 AS short, {turning} AS turning FROM (SELECT t.*, (b * (q - q0) - c * (p - p0)) / (a * c - b * b) AS du, (b * (p - p0) - a * (q - q0)) / (a * c - b * b) AS dv FROM at{level}_{k} t LEFT JOIN me{level}_{k} USING (vec_id)))))""".replace("EXCLUDE (nu,", "EXCLUDE (share, nu,"),
+        ]
+    return out
+
+
+#: Each picture twice: as it is, and moved by half a pixel to the right and a quarter down.
+_FLOW_SQL = ", ".join([
+    _WIDE,
+    f"gr AS MATERIALIZED (SELECT frame, row, col, {_GREY}::INT AS value FROM wide)",
+    "two AS (SELECT unnest([0, 1]) AS e)",
+    "three AS (SELECT unnest([-1, 0, 1]) AS a, b FROM (SELECT unnest([-1, 0, 1]) AS b))",
+    "four AS (SELECT x.e AS a, y.e AS b FROM two x, two y)",
+    "five AS (SELECT unnest(range(5))::INT AS k, i FROM (SELECT unnest(range(5))::INT AS i))",
+    "taps AS (SELECT unnest([{'d': -2, 'w': 1}, {'d': -1, 'w': 4}, {'d': 0, 'w': 6}, {'d': 1, 'w': 4}, {'d': 2, 'w': 1}]) AS t)",
+    """lv0 AS MATERIALIZED (SELECT 2 * frame AS frame, row, col, value::DOUBLE AS value FROM gr
+UNION ALL SELECT 2 * g.frame + 1, g.row, g.col, (3 * (g.value + l.value) + u.value + x.value + 4) // 8 FROM gr g JOIN gr l ON l.frame = g.frame AND l.row = g.row AND l.col = greatest(g.col - 1, 0) JOIN gr u ON u.frame = g.frame AND u.row = greatest(g.row - 1, 0) AND u.col = g.col JOIN gr x ON x.frame = g.frame AND x.row = greatest(g.row - 1, 0) AND x.col = greatest(g.col - 1, 0))""",
+    f"lv1 AS MATERIALIZED (SELECT frame, r AS row, c AS col, floor((sum(a.t.w * b.t.w * value) + 128) / 256) AS value FROM (SELECT unnest(range(8))::INT AS r, c FROM (SELECT unnest(range(8))::INT AS c)) CROSS JOIN taps a CROSS JOIN taps b JOIN lv0 w ON w.row = {_mirror_sql('2 * r + a.t.d', 16)} AND w.col = {_mirror_sql('2 * c + b.t.d', 16)} GROUP BY ALL)",
+    _slopes_sql(0, 16), _slopes_sql(1, 8),
+    "feats AS MATERIALIZED (SELECT 2 * (vec_id // 4) AS frame, vec_id, 8 + 40 * x AS u, 8 + 40 * y AS v FROM vec)",
+    *_level_sql(1, 8, "SELECT frame, vec_id, u / 2 AS nu, v / 2 AS nv FROM feats"),
+    *_level_sql(0, 16, f"SELECT frame, vec_id, nu * 2 AS nu, nv * 2 AS nv FROM st1_{FLOW.steps}"),
+])
+
+
+@query(f"SELECT vec_id, round(nu, 4) + 0.0 AS u, round(nv, 4) + 0.0 AS v, status <> 'lost' AS found, round(eigenvalue, 6) AS eigenvalue FROM st0_{FLOW.steps}", _FLOW_SQL)
+def feature_flow(spark, sf_dir):
+    """Features of each picture, found again on the picture moved by half and a quarter of a pixel, over two levels."""
+    grey = _wide(spark, sf_dir).withColumn("value", F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 300 * F.col("value")))).cast("int"))
+    #: A pixel tells itself and those to its right and below; those on the first row and column tell themselves twice.
+    told = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in ((0, 0, 3), (0, 1, 3), (1, 0, 1), (1, 1, 1)))))
+    to = lambda c, o: F.explode(F.when((F.col(c) == 0) & (o == 1), F.array(F.lit(0), F.lit(1))).when(F.col(c) + o < 16, F.array(F.col(c) + o)))
+    parts = grey.withColumn("o", told).withColumn("to_row", to("row", F.col("o.a"))).withColumn("to_col", to("col", F.col("o.b")))
+    moved = parts.groupBy("frame", F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.floor((F.sum(F.col("o.w") * F.col("value")) + 4) / 8).alias("value"))
+    both = grey.select((2 * F.col("frame")).alias("frame"), "row", "col", F.col("value").cast("double")).unionByName(moved.select((2 * F.col("frame") + 1).alias("frame"), "row", "col", F.col("value").cast("double")))
+    at = (2 * F.floor(F.col("vec_id") / 4)).alias("frame")
+    features = vectors(spark, sf_dir).select(at, F.col("vec_id").alias("key"), (8 + 40 * F.col("x")).alias("u"), (8 + 40 * F.col("y")).alias("v")).withColumn("to", F.col("frame") + 1)
+    out = flow.tracked(features, flow.pyramid(both, 16, 16, FLOW), 16, 16, FLOW)
+    return out.select(F.col("key").alias("vec_id"), (F.round("u", 4) + 0.0).alias("u"), (F.round("v", 4) + 0.0).alias("v"), "found", F.round("eigenvalue", 6).alias("eigenvalue"))
