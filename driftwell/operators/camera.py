@@ -37,13 +37,13 @@ def lookup(df: DataFrame, raster: DataFrame) -> DataFrame:
     return df.withColumns({"row": F.floor("v").cast("int"), "col": F.floor("u").cast("int")}).join(raster, ["frame", "row", "col"]).drop("row", "col")
 
 
-def bilinear(df: DataFrame, raster: DataFrame, key: str) -> DataFrame:
-    """(key, value): the raster between its pixels; places whose four pixels aren't all there are left out."""
+def bilinear(df: DataFrame, raster: DataFrame, key: str, values: tuple[str, ...] = ("value",)) -> DataFrame:
+    """(key, values): the raster between its pixels; places whose four pixels aren't all there are left out."""
     corners = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
     asked = df.select(key, "frame", "u", "v", corners.alias("o")).select(key, "frame", (F.floor("v") + F.col("o.a")).cast("int").alias("row"), (F.floor("u") + F.col("o.b")).cast("int").alias("col"), "u", "v", "o")
     du, dv = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
     weight = F.when(F.col("o.b") == 1, du).otherwise(1 - du) * F.when(F.col("o.a") == 1, dv).otherwise(1 - dv)
-    met = asked.join(raster, ["frame", "row", "col"]).groupBy(key).agg(F.sum(weight * F.col("value")).alias("value"), F.count("*").alias("n"))
+    met = asked.join(raster, ["frame", "row", "col"]).groupBy(key).agg(*(F.sum(weight * F.col(c)).alias(c) for c in values), F.count("*").alias("n"))
     return met.filter("n = 4").drop("n")
 
 

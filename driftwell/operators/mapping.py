@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import camera, voxel
+from . import camera, folds, voxel
 
 FINE = ["fx", "fy", "fz"]
+#: Regions that a scan of the stored map is narrowed to by name; of more, all are read and the join sorts them out.
+MOST_REGIONS = 4096
 
 
 def every_nth_of_frames(points: DataFrame, frame: str, order: list[str], step: int) -> DataFrame:
@@ -35,10 +37,15 @@ def stored(points: DataFrame, frame: str, order: list[str], size: float, fine: f
     return held.join(first, FINE).withColumn("registered", mine == F.col("__first")).drop("__first", *FINE)
 
 
+def visited_cells(points: DataFrame, frame: str, order: list[str], size: float, step: int = 1) -> DataFrame:
+    """(cell, shown): the coarse cells that each frame's points lie in."""
+    return voxel.with_cells(every_nth_of_frames(points, frame, order, step), size).select(*voxel.CELL, F.col(frame).alias("shown")).distinct()
+
+
 def latest_of_visited(points: DataFrame, held: DataFrame, frame: str, order: list[str], size: float, step: int = 1) -> DataFrame:
     """(at, frame, order, x, y, z): for each frame (`shown`) and coarse cell that it visits, the point that the cell took last, up
     to and with that frame. Cells are followed over frames by a window on one row for each cell and frame."""
-    visits = voxel.with_cells(every_nth_of_frames(points, frame, order, step), size).select(*voxel.CELL, F.col(frame).alias("shown")).distinct()
+    visits = visited_cells(points, frame, order, size, step)
     row = F.struct(frame, *order, "x", "y", "z")
     taken = held.groupBy(*voxel.CELL, F.col(frame).alias("shown")).agg(F.max(row).alias("row"))
     both = visits.join(taken, [*voxel.CELL, "shown"], "left")
@@ -60,3 +67,42 @@ def projected(candidates: DataFrame, order: list[str], world: list[Column], eye:
     cell = [F.round(F.col(c) / grid).cast("int").alias(f"g{c}") for c in "uv"]
     best = seen.groupBy("shown", *cell).agg(F.min(F.struct("depth", *order, "u", "v")).alias("__row"))
     return best.select("shown", "gu", "gv", "__row.*")
+
+
+# -- rendering of the cells that a frame visits ---------------------------------------------------------------
+
+
+def with_region(df: DataFrame, side: int) -> DataFrame:
+    """df with the name of the block of side by side by side cells that its cell is in."""
+    return df.withColumn("region", F.concat_ws("_", *(F.floor(F.col(k) / side).cast("string") for k in voxel.CELL)))
+
+
+def save_regions(held: DataFrame, path: str, side: int) -> None:
+    """Writes the map's points, with their cells, in a folder for each region; a region is bounded by its cells' room."""
+    with_region(held, side).repartition("region").sortWithinPartitions("region", *voxel.CELL).write.partitionBy("region").parquet(path)
+
+
+def regions_of(path_table: DataFrame, visits: DataFrame, side: int, most: int = MOST_REGIONS) -> DataFrame:
+    """The stored map, narrowed to the regions of visited cells, whose folders alone are read."""
+    names = [r.region for r in with_region(visits, side).select("region").distinct().limit(most + 1).collect()]
+    return path_table.filter(F.col("region").isin(names)) if len(names) <= most else path_table
+
+
+def rendered_recent(held: DataFrame, visits: DataFrame, rasters: DataFrame, frame: str, order: list[str], world: list[Column], eye: list[Column], intrinsics: tuple[float, float, float, float], cols: int, rows: int, margin: float = 0.005) -> DataFrame:
+    """(order, r, g, b, distance, n_rgb): map points fused with the colours of the frames that visit their cells.
+
+    held: the map's points with their cells and the frame that stored them; visits: visited_cells(); rasters: (frame, row, col,
+    r, g, b); world, eye: as in projected(). A frame renders the points that its visited cells hold by then, itself included:
+    those in its image, from between the pixels, in order of frames. Points behind the camera, outside the image or without
+    all four pixels around them aren't seen; a point that no frame sees gives no row.
+    """
+    met = visits.join(held.select(*voxel.CELL, F.col(frame).alias("__since"), *order, *"xyz"), voxel.CELL).filter(F.col("__since") <= F.col("shown"))
+    away = [F.col(c) - e for c, e in zip("xyz", eye, strict=True)]
+    distance = F.sqrt(sum((a * a for a in away), F.lit(0.0)))
+    seen = met.select("shown", *order, distance.alias("distance"), *(w.alias(c) for w, c in zip(world, "xyz", strict=True)))
+    seen = camera.project(seen, *intrinsics).filter(camera.in_image(F.col("u"), F.col("v"), cols, rows, margin))
+    at = seen.select(F.struct("shown", *order, "distance").alias("at"), F.col("shown").alias("frame"), "u", "v")
+    sampled = camera.bilinear(at, rasters, "at", ("r", "g", "b"))
+    observed = sampled.select(*(F.col(f"at.{c}").alias(c) for c in (*order, "distance")), F.col("at.shown").cast("double").alias("ts"), *"rgb")
+    kinds = ", ".join(f"{c} {observed.schema[c].dataType.simpleString()}" for c in order)
+    return folds.fold_sorted(observed, order, ["ts"], lambda: ((0, 0, 0), (0.0,) * 3, 0.0, 0.0, 0), folds.colour_step, f"{kinds}, r int, g int, b int, distance double, n_rgb int", last_only=True)

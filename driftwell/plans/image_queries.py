@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import filters, flow, images, mapping, voxel
-from ..sources.tables import POINT_KEY, points, series, vectors
+from ..operators import camera, filters, flow, images, mapping, voxel
+from ..sources.scratch import shared_path
+from ..sources.tables import POINT_KEY, points, series, table, vectors
 from .frame_queries import _WIDE, _framed, _wide
 from .queries import ID, ORDER, query
 
@@ -46,6 +47,35 @@ def projection_choice(spark, sf_dir):
     return out.select("shown", "gu", "gv", *KEY, F.round("u", 3).alias("u"), F.round("v", 3).alias("v"))
 
 
+#: Frames' cameras see eight by eight pixels, the vector of that number in three shades.
+_RECENT = f"""chan AS (SELECT vec_id AS frame, ((i - 1) // 8)::INT AS row, ((i - 1) % 8)::INT AS col, 128 + 400 * value AS r, 128 - 400 * value AS g, 128 + 200 * value AS b FROM (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS value FROM embeddings)),
+num AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS pid FROM held),
+eyed AS (SELECT pid, v.shown, x - (20 + 0.01::DOUBLE * v.shown) AS px, y - 50.0::DOUBLE AS py, z + 4.0::DOUBLE AS pz FROM (SELECT DISTINCT kx, ky, kz, frame AS shown FROM coarse) v JOIN num h ON h.kx = v.kx AND h.ky = v.ky AND h.kz = v.kz AND h.frame <= v.shown),
+placed AS (SELECT pid, shown, sqrt(px * px + py * py + pz * pz) AS distance, 2.5 * px / pz + 4 AS u, 2.5 * py / pz + 4 AS v FROM eyed WHERE pz >= 0.001),
+taken AS (SELECT p.pid, p.shown, any_value(distance) AS distance, {", ".join(f"sum(CASE WHEN o.y = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END * CASE WHEN o.x = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * c.{k}) AS {k}" for k in "rgb")} FROM placed p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(y, x) JOIN chan c ON c.frame = p.shown AND c.row = floor(v)::INT + o.y AND c.col = floor(u)::INT + o.x
+WHERE u >= 0.005 * 8 + 1 AND ceil(u) < 0.995 * 8 AND v >= 0.005 * 8 + 1 AND ceil(v) < 0.995 * 8 GROUP BY p.pid, p.shown HAVING count(*) = 4),
+turn AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY shown) AS k FROM taken),
+blend AS (SELECT pid, k, {", ".join(f"floor({c} + 0.5)::INT AS {c}" for c in "rgb")}, 15.0::DOUBLE AS s, distance AS best, shown::DOUBLE AS last, 1 AS n FROM turn WHERE k = 1 UNION ALL
+SELECT q.pid, q.k, {", ".join(f"CASE WHEN far THEN f.{c} ELSE trunc(t2 * (f.{c} / (g_ * g_) + q.{c} / 225.0))::INT END" for c in "rgb")}, CASE WHEN far THEN f.s ELSE sqrt(t2) END, CASE WHEN far THEN f.best ELSE least(f.best, q.distance) END, CASE WHEN far THEN f.last ELSE q.shown END, CASE WHEN far THEN f.n ELSE f.n + 1 END
+FROM blend f JOIN turn q ON q.pid = f.pid AND q.k = f.k + 1, LATERAL (SELECT q.distance > 1.2 * f.best AS far, f.s + 0.1 * (q.shown - f.last) AS g_), LATERAL (SELECT 1 / (1 / (g_ * g_) + 1 / 225.0) AS t2))"""
+
+
+@query(f"SELECT {ID}, e.r, e.g, e.b, e.n AS n_rgb, round(e.best, 6) AS distance FROM num JOIN (SELECT pid, {', '.join(f'arg_max({c}, k) AS {c}' for c in ('r', 'g', 'b', 'n', 'best'))} FROM blend GROUP BY pid) e USING (pid)", _STORED + ", " + _RECENT)
+def render_recent_cells(spark, sf_dir):
+    """The stored map, coloured by each frame in the cells that it visits; the map is read by regions of four cells."""
+    path = shared_path(spark, "map")
+    mapping.save_regions(_stored(spark, sf_dir).select("frame", *POINT_KEY, *"xyz", *voxel.CELL), path, 4)
+    visits = mapping.visited_cells(_framed(spark, sf_dir), "frame", POINT_KEY, 4.0, 4)
+    eye = [20 + 0.01 * F.col("shown"), F.lit(50.0), F.lit(-4.0)]
+    world = [F.col(c) - e for c, e in zip("xyz", eye, strict=True)]
+    shade = F.col("value")
+    raster = camera.pixels(table(spark, sf_dir, "embeddings").withColumn("image", F.transform("embedding", lambda x: x.cast("double"))), "vec_id", "image", 8)
+    raster = raster.select("frame", "row", "col", (128 + 400 * shade).alias("r"), (128 - 400 * shade).alias("g"), (128 + 200 * shade).alias("b"))
+    held = mapping.regions_of(spark.read.parquet(path), visits, 4)
+    out = mapping.rendered_recent(held, visits, raster, "frame", POINT_KEY, world, eye, (2.5, 2.5, 4.0, 4.0), 8, 8)
+    return out.select(*KEY, *"rgb", "n_rgb", F.round("distance", 6).alias("distance"))
+
+
 @query("""SELECT user_id, event_id FROM (SELECT *, min(CASE WHEN e > 2 * 5 OR (e > 5 AND before_ > 5) THEN ts END) OVER (PARTITION BY user_id) AS out_ FROM (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY ts) AS before_ FROM (SELECT *, event_id % 13 AS e FROM ser))) WHERE out_ IS NULL OR ts < out_""")
 def tracked_until_strikes(spark, sf_dir):
     """Features (users) until their error is over the limit twice running, or over twice the limit."""
