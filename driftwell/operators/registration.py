@@ -91,7 +91,7 @@ def residual_rows(at: DataFrame, target: DataFrame, o: Options) -> DataFrame:
     faces the pose before, under the one-sided gate; parts of a step of the place and of a turn on the body's side."""
     early = at.filter(F.col("number") < o.early_frames)
     later = at.filter(F.col("number") >= o.early_frames)
-    found = [voxel.neighbours(q, target, "point", "id", o.size, reach, o.neighbours, least) for q, reach, least in ((early, EARLY_REACH, 1), (later, o.reach, o.least_in_cell))]
+    found = [voxel.neighbours(q, target, "point", "id", o.size, reach, o.neighbours, least, None) for q, reach, least in ((early, EARLY_REACH, 1), (later, o.reach, o.least_in_cell))]
     near = found[0].unionByName(found[1])
     first = F.min_by(F.struct("nx", "ny", "nz", "d2"), "rank").alias("first")
     fitted = voxel.planes(voxel.moments(near)).filter(F.col("n") >= o.least_neighbours).join(near.groupBy("query_id").agg(first), "query_id")
@@ -189,7 +189,7 @@ def _round(o: Options):
 def register(points: DataFrame, target: DataFrame, states: DataFrame, o: Options | None = None) -> DataFrame:
     """States (see STATE) of all sweeps, each registered to the map.
 
-    points: (sweep, id, x, y, z) on the body; target: the map's (id, x, y, z); states: started(). status is `converged`,
+    points: (sweep, id, x, y, z) on the body; target: the map's (id, x, y, z), whose cells have little room; states: started(). status is `converged`,
     `stopped` after the last round, or `failed` with fewer residuals than least_neighbours, in which case the pose stays
     where it was. Wild steps are left out, and their round counts. Frames 0 and 1 never count as converged. A sweep
     without points fails; points of unknown sweeps aren't read. The covariance is that of the last step.

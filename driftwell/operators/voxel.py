@@ -69,19 +69,27 @@ def _offsets(reach: int) -> Column:
     return F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in span for b in span for c in span))
 
 
-def neighbours(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, size: float, reach: int, k: int, least_in_cell: int = 1) -> DataFrame:
+def neighbours(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, size: float, reach: int, k: int, least_in_cell: int = 1, crowd: int | None = 4096) -> DataFrame:
     """(query_id, rank, point_id, d2, and the point's nx, ny, nz): the k nearest points in the cells around each query.
 
     Queries are repeated for each cell in reach and joined on cells; cells under `least_in_cell` points are left out.
-    Ties go to the smaller id. The cell join is the index; distance is only computed within it.
+    Ties go to the smaller id. The cell join is the index; distance is only computed within it. Cells of over `crowd` points
+    are split into parts by the ids' hash, which their queries meet one by one; each part's k nearest go on before they
+    are merged. None: points whose cells are known to have little room aren't counted for that.
     """
     held = with_cells(points, size).select(*CELL, F.col(point_id), *(F.col(c).alias(f"n{c}") for c in "xyz"))
-    if least_in_cell > 1:
-        held = held.join(held.groupBy(*CELL).count().filter(F.col("count") >= least_in_cell).select(*CELL), CELL, "left_semi")
     asked = with_cells(queries, size).select(F.col(query_id).alias("query_id"), *"xyz", *CELL, F.explode(_offsets(reach)).alias("o"))
     asked = asked.select("query_id", *"xyz", *((F.col(c) + F.col(f"o.{o}")).alias(c) for c, o in zip(CELL, "abc", strict=True)))
+    on = CELL
+    if least_in_cell > 1 or crowd:
+        counts = held.groupBy(*CELL).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least_in_cell)
+        counts = counts.select(*CELL, F.ceil(F.col("__n") / (crowd or 1)).alias("__parts"))
+        held = held.join(counts, CELL, "left_semi") if not crowd else held.join(counts, CELL).withColumn("__part", F.pmod(F.xxhash64(point_id), "__parts"))
+        if crowd:
+            asked = asked.join(counts, CELL).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+            held, on = held.drop("__parts"), [*CELL, "__part"]
     d2 = sum(((F.col(c) - F.col(f"n{c}")) * (F.col(c) - F.col(f"n{c}")) for c in "xyz"), F.lit(0.0))
-    met = asked.join(held, CELL).withColumn("d2", d2)
+    met = asked.join(held, on).withColumn("d2", d2)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", point_id))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", point_id, "d2", "nx", "ny", "nz")
 

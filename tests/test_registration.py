@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.functions import geometry as G
-from driftwell.operators import estimation, registration
+from driftwell.operators import estimation, registration, voxel
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,23 @@ def test_a_still_start_shrinks_the_covariance(spark):
     imu = spark.createDataFrame([(1, k * 0.5, 0.0, 0.0, 9.7, 0.01, 0.0, 0.0) for k in range(20)], "u long, ts double, ax double, ay double, az double, gx double, gy double, gz double")
     start = estimation.initial_bias(imu, "u").first()
     assert start.gz == pytest.approx(estimation.GRAVITY) and start.bx == pytest.approx(0.01)
+
+
+def test_crowded_cells_are_split_without_loss(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.uniform(0.1, 0.9, (700, 3))
+    others = rng.uniform(-3, 3, (200, 3))
+    where = np.concatenate([hot, others, hot[:5]])  # five places twice: ties go to the smaller id
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(where)], "id long, x double, y double, z double")
+    queries = points.filter("id % 9 = 0 OR id < 5")
+    plain = voxel.neighbours(queries, points, "id", "id", 1.0, 1, 6, crowd=None)
+    split = voxel.neighbours(queries, points, "id", "id", 1.0, 1, 6, crowd=50)
+    rows = sorted(split.select("query_id", "rank", "id", "d2").collect())
+    assert rows == sorted(plain.select("query_id", "rank", "id", "d2").collect()) and len(rows) > 400
+    few = voxel.neighbours(queries, points, "id", "id", 1.0, 1, 6, 8, 50)
+    assert sorted(few.select("query_id", "id").collect()) == sorted(voxel.neighbours(queries, points, "id", "id", 1.0, 1, 6, 8, None).select("query_id", "id").collect())
+    ids = np.arange(len(where))
+    for q in (0, 9, 702):
+        near = (np.abs(np.trunc(where).astype(int) - np.trunc(where[q]).astype(int)) <= 1).all(1)
+        want = sorted((float(((where[i] - where[q]) ** 2).sum()), int(i)) for i in ids[near])[:6]
+        assert [i for _, i in want] == [r.id for r in rows if r.query_id == q]
