@@ -15,8 +15,15 @@ from . import voxel
 GRAVITY = 9.81
 #: Variances of the accelerometer, gyroscope and their biases.
 NOISE = (0.1, 0.1, 1e-4, 1e-4)
-#: Initialisation wants more samples, a longer time, and noise norms below these.
+#: Initialisation wants so many samples, a longer time, and variances whose norms are no larger.
 INIT_SAMPLES, INIT_SECONDS, MOST_GYR_NOISE, MOST_ACC_NOISE = 10, 3.0, 0.5, 0.6
+#: Variances at the start: place, rotation and velocity; the accelerometer's bias; the gyroscope's; gravity's two parts.
+START_VARIANCES = (1.0, 1e-3, 1e-4, 1e-5)
+
+
+def initial_covariance() -> np.ndarray:
+    """The covariance of a trajectory that has just been initialised."""
+    return np.diag(np.repeat(START_VARIANCES, (9, 3, 3, 2)))
 
 
 class InertialFilter:
@@ -25,7 +32,7 @@ class InertialFilter:
     def __init__(self) -> None:
         self.p, self.v, self.ba, self.bg = (np.zeros(3) for _ in range(4))
         self.r, self.g = np.eye(3), np.array([0, 0, GRAVITY])
-        self.cov = np.eye(17) * 1e-2
+        self.cov = initial_covariance()
         self.last: tuple | None = None
 
     def tangent(self) -> np.ndarray:
@@ -97,7 +104,7 @@ class InertialFilters:
         self._grow(SIDE_BY_SIDE)
 
     def _grow(self, size: int) -> None:
-        fresh = {"p": np.zeros((size, 3)), "v": np.zeros((size, 3)), "r": np.tile(np.eye(3), (size, 1, 1)), "cov": np.tile(np.eye(17) * 1e-2, (size, 1, 1)), "t": np.zeros(size), "acc": np.zeros((size, 3)), "gyr": np.zeros((size, 3)), "begun": np.zeros(size, bool)}
+        fresh = {"p": np.zeros((size, 3)), "v": np.zeros((size, 3)), "r": np.tile(np.eye(3), (size, 1, 1)), "cov": np.tile(initial_covariance(), (size, 1, 1)), "t": np.zeros(size), "acc": np.zeros((size, 3)), "gyr": np.zeros((size, 3)), "begun": np.zeros(size, bool)}
         for name, held in self.state.items():
             fresh[name][: len(held)] = held
         self.state = fresh
@@ -164,12 +171,21 @@ def trajectory(imu: DataFrame, by: str) -> DataFrame:
 
 
 def initial_bias(imu: DataFrame, by: str) -> DataFrame:
-    """Of trajectories long and still enough: mean gyroscope (bias), gravity (mean accelerometer scaled to its norm)."""
-    parts = [f(c).alias(f"{n}_{c}") for c in ("ax", "ay", "az", "gx", "gy", "gz") for n, f in (("m", F.avg), ("v", F.var_pop))]
-    out = imu.groupBy(by).agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("seconds"), *parts)
+    """Of trajectories long and still enough: mean gyroscope (bias), gravity (mean accelerometer scaled to its norm).
+
+    Stillness is judged by running variances in order of ts, v += ((x - m)^2 (n-1)/n - v) / n with the mean m that x already
+    is part of; those of the accelerometer are scaled as its mean is. n v telescopes to a sum over the samples.
+    """
+    inputs = ["ax", "ay", "az", "gx", "gy", "gz"]
+    upto = Window.partitionBy(by).orderBy("ts", *inputs).rowsBetween(Window.unboundedPreceding, 0)
+    rows = imu.select(by, "ts", *inputs, F.count("*").over(upto).alias("__k"), *(F.avg(c).over(upto).alias(f"__m{c}") for c in inputs))
+    off = lambda c: (F.col(c) - F.col(f"__m{c}")) * (F.col(c) - F.col(f"__m{c}")) * (F.col("__k") - 1) / F.col("__k")
+    parts = [v for c in inputs for v in (F.avg(c).alias(f"m_{c}"), F.avg(off(c)).alias(f"v_{c}"))]
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("seconds"), *parts)
     norm = lambda *c: F.sqrt(sum((F.col(x) * F.col(x) for x in c), F.lit(0.0)))
-    still = (F.col("n") > INIT_SAMPLES) & (F.col("seconds") > INIT_SECONDS) & (norm("v_gx", "v_gy", "v_gz") <= MOST_GYR_NOISE) & (norm("v_ax", "v_ay", "v_az") <= MOST_ACC_NOISE)
-    scale = GRAVITY / norm("m_ax", "m_ay", "m_az")
+    out = out.withColumn("__scale", GRAVITY / norm("m_ax", "m_ay", "m_az"))
+    scale = F.col("__scale")
+    still = (F.col("n") >= INIT_SAMPLES) & (F.col("seconds") > INIT_SECONDS) & (norm("v_gx", "v_gy", "v_gz") <= MOST_GYR_NOISE) & (norm("v_ax", "v_ay", "v_az") * scale * scale <= MOST_ACC_NOISE)
     return out.filter(still).select(by, "n", *(F.col(f"m_g{c}").alias(f"b{c}") for c in "xyz"), *((F.col(f"m_a{c}") * scale).alias(f"g{c}") for c in "xyz"))
 
 

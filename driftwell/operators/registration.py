@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import exp_matrix, log_matrix, skew
 from ..sources.scratch import written
 from . import voxel
-from .estimation import GRAVITY, InertialFilter
+from .estimation import GRAVITY, InertialFilter, initial_covariance
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,6 @@ class Options:
 EARLY_REACH, EARLY_ROUNDS = 2, 15
 #: Steps beyond these (units, degrees) are left out.
 WILD_SHIFT, WILD_DEGREES = 100.0, 100.0
-#: What the covariances of the accelerometer's bias, the gyroscope's and gravity are scaled by once they are set.
-SHRUNK = (1e-3, 1e-4, 1e-5)
 #: Poses of so many sweeps are broadcast (about 200 bytes each); more are joined by a shuffle.
 FEW_SWEEPS = 100_000
 
@@ -64,10 +62,7 @@ def packed(r: np.ndarray, p: np.ndarray, v=None, ba=None, bg=None, g=None) -> li
 
 def starting_covariance(scale: float = 1.0) -> list[float]:
     """The covariance once biases and gravity are set from a still start: theirs are shrunk."""
-    cov = np.eye(17) * scale
-    for lo, hi, by in ((9, 12, SHRUNK[0]), (12, 15, SHRUNK[1]), (15, 17, SHRUNK[2])):
-        cov[lo:hi, lo:hi] *= by
-    return cov.ravel().tolist()
+    return (initial_covariance() * scale).ravel().tolist()
 
 
 def started(sweeps: DataFrame) -> DataFrame:

@@ -96,3 +96,30 @@ def test_crowded_cells_are_split_without_loss(spark):
         near = (np.abs(np.trunc(where).astype(int) - np.trunc(where[q]).astype(int)) <= 1).all(1)
         want = sorted((float(((where[i] - where[q]) ** 2).sum()), int(i)) for i in ids[near])[:6]
         assert [i for _, i in want] == [r.id for r in rows if r.query_id == q]
+
+
+def test_initialisation_by_running_variances(spark):
+    def variance(x):
+        mean, var = 0.0, 0.0
+        for k, v in enumerate(x, 1):
+            mean += (v - mean) / k
+            var = var * (k - 1) / k + (v - mean) ** 2 * (k - 1) / k**2
+        return var
+
+    rng = np.random.default_rng(2)
+    rows, kept = [], set()
+    for u in range(40):
+        n = 10 + u % 3 - 1
+        acc = np.array([0.4, 0.2, 4.9 if u % 2 else 9.8]) + rng.normal(0, 0.25 + u / 80, (n, 3))
+        gyr = 0.02 + rng.normal(0, 0.1 + u / 60, (n, 3))
+        scale = 9.81 / np.linalg.norm(acc.mean(0))
+        noise = [np.linalg.norm([variance(x[:, k]) for k in range(3)]) for x in (gyr, acc)]
+        if n >= 10 and noise[0] <= 0.5 and noise[1] * scale**2 <= 0.6:
+            kept.add(u)
+        rows += [(u, 0.4 * k, *map(float, acc[k]), *map(float, gyr[k])) for k in range(n)]
+    df = spark.createDataFrame(rows, "u long, ts double, ax double, ay double, az double, gx double, gy double, gz double")
+    found = {r.u: r for r in estimation.initial_bias(df.repartition(5), "u").collect()}
+    assert set(found) == kept and 5 < len(kept) < 26
+    assert all(np.linalg.norm([r.gx, r.gy, r.gz]) == pytest.approx(9.81) for r in found.values())
+    spread = np.diag(estimation.InertialFilter().cov)
+    assert spread[0] == spread[8] == 1 and spread[9] == 1e-3 and spread[12] == 1e-4 and spread[16] == 1e-5
