@@ -94,6 +94,44 @@ def test_toxic_words_are_found_wherever_they_stand():
     assert np.isfinite(scores).all() and scores[-1] >= 0.3
 
 
+def _plain_score(network: toxicity.Network, text: str) -> float:
+    """Both recurrent passes and the pooling of each window, word by word; the worst window counts."""
+    p, h = network.p, toxicity.HIDDEN
+    words = toxicity.words_of(text)
+    inputs = {w: network.vectors([w])[0][0].astype(float) for w in set(words)}
+    gate = {(w, way): x @ p["inputs"][way] + p["offset"][way, 0] for w, x in inputs.items() for way in (0, 1)}
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    worst = -np.inf
+    for start in range(0, max(1, len(words) - toxicity.LENGTH + toxicity.STRIDE), toxicity.STRIDE):
+        part = words[start : start + toxicity.LENGTH]
+        states = []
+        for way, line in ((0, part), (1, part[::-1])):
+            state, passed = np.zeros(h), []
+            for w in line:
+                x, u = gate[w, way], state @ p["state"][way]
+                z, r = squash(x[:h] + u[:h]), squash(x[h : 2 * h] + u[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * u[2 * h :])
+                passed.append(state)
+            states.append(passed if way == 0 else passed[::-1])
+        seen = np.array([np.concatenate(pair) for pair in zip(*states, strict=True)])
+        share = np.exp(seen @ p["look"] - (seen @ p["look"]).max())
+        worst = max(worst, float((share / share.sum()) @ seen @ p["out"] + p["bias"][0]))
+    return float(squash(worst))
+
+
+def test_toxicity_scores_equal_a_plain_network(monkeypatch):
+    rng = np.random.default_rng(12)
+    network = toxicity.Network(seed=4)
+    for name in ("words", "chars"):
+        network.p[name] *= 20  # states far from 0
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[k] for k in rng.integers(0, 400, n)) for n in (1, 2, 47, 48, 49, 72, 73, 500, 20_000)]
+    scores = toxicity.Scorer(network).score(texts)
+    assert np.allclose(scores, [_plain_score(network, t) for t in texts], atol=2e-4) and np.ptp(scores) > 0.05
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 700)  # long texts go in many parts
+    assert np.allclose(toxicity.Scorer(network).score(texts), scores, atol=1e-5)
+
+
 def test_toxicity_of_held_out_documents(spark, sf_dir):
     larger = Path(sf_dir).parent / "sf0.01"
     if not larger.exists():
