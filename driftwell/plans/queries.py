@@ -516,13 +516,13 @@ def eskf_trajectory(spark, sf_dir):
     return estimation.trajectory(_imu(spark, sf_dir), "user_id")
 
 
-@query("""SELECT user_id, n, round(bz, 6) AS bz, round(mx * 9.81 / len, 6) AS gx, round(9.81 * 9.81 / len, 6) AS gz FROM (SELECT *, sqrt(mx * mx + my * my + 9.81 * 9.81) AS len FROM (SELECT user_id, count(*) AS n, avg(w) AS bz, avg(a) AS mx, avg(b) AS my, max(ts) / 1e6 - min(ts) / 1e6 AS seconds,
+@query("""SELECT user_id, n, round(bz, 6) + 0.0 AS bz, round(mx * 9.81 / len, 6) + 0.0 AS gx, round(9.81 * 9.81 / len, 6) AS gz FROM (SELECT *, sqrt(mx * mx + my * my + 9.81 * 9.81) AS len FROM (SELECT user_id, count(*) AS n, avg(w) AS bz, avg(a) AS mx, avg(b) AS my, max(ts) / 1e6 - min(ts) / 1e6 AS seconds,
 sum((w - mw) * (w - mw) * (k - 1) / k) / count(*) AS vw, sum((a - ma) * (a - ma) * (k - 1) / k) / count(*) AS va, sum((b - mb) * (b - mb) * (k - 1) / k) / count(*) AS vb
 FROM (SELECT *, count(*) OVER run AS k, avg(w) OVER run AS mw, avg(a) OVER run AS ma, avg(b) OVER run AS mb FROM (SELECT user_id, ts, value / 1000 AS a, (event_id % 7) / 100 AS b, (event_id % 11 - 5) / 100 AS w FROM ser) WINDOW run AS (PARTITION BY user_id ORDER BY ts, a, b, w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY user_id))
 WHERE n + 1 > 10 AND seconds > 3 AND vw <= 0.5 AND sqrt(va * va + vb * vb) * (9.81 / len) * (9.81 / len) <= 0.6""")
 def imu_init(spark, sf_dir):
     imu = _imu(spark, sf_dir).withColumn("ts", F.col("ts") * 1e6)
-    return estimation.initial_bias(imu, "user_id").select("user_id", "n", r6("bz").alias("bz"), r6("gx").alias("gx"), r6("gz").alias("gz"))
+    return estimation.initial_bias(imu, "user_id").select("user_id", "n", (r6("bz") + 0.0).alias("bz"), (r6("gx") + 0.0).alias("gx"), r6("gz").alias("gz"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
