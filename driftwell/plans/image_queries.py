@@ -191,7 +191,7 @@ FROM (SELECT *, CASE WHEN NOT short AND turning THEN 0.5 ELSE 1 END AS share FRO
 #: Each picture twice: as it is, and moved by half a pixel to the right and a quarter down.
 _FLOW_SQL = ", ".join([
     _WIDE,
-    f"gr AS MATERIALIZED (SELECT frame, row, col, {_GREY}::INT AS value FROM wide)",
+    f"gr AS MATERIALIZED (SELECT f.frame, r.row, c.col, coalesce({_GREY}, 0)::INT AS value FROM (SELECT DISTINCT frame FROM wide) f CROSS JOIN (SELECT unnest(range(16))::INT AS row) r CROSS JOIN (SELECT unnest(range(16))::INT AS col) c LEFT JOIN wide w ON w.frame = f.frame AND w.row = r.row AND w.col = c.col)",
     "two AS (SELECT unnest([0, 1]) AS e)",
     "three AS (SELECT unnest([-1, 0, 1]) AS a, b FROM (SELECT unnest([-1, 0, 1]) AS b))",
     "four AS (SELECT x.e AS a, y.e AS b FROM two x, two y)",
@@ -209,8 +209,11 @@ UNION ALL SELECT 2 * g.frame + 1, g.row, g.col, (3 * (g.value + l.value) + u.val
 
 @query(f"SELECT vec_id, round(nu, 4) + 0.0 AS u, round(nv, 4) + 0.0 AS v, status <> 'lost' AS found, round(eigenvalue, 6) AS eigenvalue FROM st0_{FLOW.steps}", _FLOW_SQL)
 def feature_flow(spark, sf_dir):
-    """Features of each picture, found again on the picture moved by half and a quarter of a pixel, over two levels."""
-    grey = _wide(spark, sf_dir).withColumn("value", F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 300 * F.col("value")))).cast("int"))
+    """Features of each picture, found again on the picture moved by half and a quarter of a pixel, over two levels. What the
+    last picture lacks of its four vectors is black."""
+    wide = _wide(spark, sf_dir)
+    grid = wide.select("frame").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    grey = grid.join(wide, ["frame", "row", "col"], "left").withColumn("value", F.when(F.col("value").isNull(), 0).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 300 * F.col("value"))))).cast("int"))
     #: A pixel tells itself and those to its right and below; those on the first row and column tell themselves twice.
     told = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in ((0, 0, 3), (0, 1, 3), (1, 0, 1), (1, 1, 1)))))
     to = lambda c, o: F.explode(F.when((F.col(c) == 0) & (o == 1), F.array(F.lit(0), F.lit(1))).when(F.col(c) + o < 16, F.array(F.col(c) + o)))

@@ -137,3 +137,20 @@ def test_no_features_and_no_pictures(spark):
     assert flow.tracked(none, flow.pyramid(raster, 8, 9, o), 8, 9, o).count() == 0
     one = spark.createDataFrame([(1, 2, 0, 4.0, 4.0)], none.schema)
     assert [r.found for r in flow.tracked(one, flow.pyramid(raster.limit(0), 8, 9, o), 8, 9, o).collect()] == [False]
+
+
+def test_the_query_completes_its_last_picture(spark, sf_dir, tmp_path):
+    import duckdb
+
+    from driftwell.plans.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * FROM '{sf_dir}/embeddings.parquet' WHERE vec_id < 14) TO '{tmp_path}/embeddings.parquet'")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    for t in ("lineitem", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = QUERIES["feature_flow"](spark, str(tmp_path))
+    want = con.sql(ORACLE_SQL["feature_flow"])
+    order = [want.columns.index(c) for c in df.columns]
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(tuple(r[k] for k in order) for r in want.fetchall()) and len(got) == 14
