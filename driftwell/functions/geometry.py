@@ -37,12 +37,19 @@ def exponential(v: list[Column]) -> list[Column]:
 
 
 def logarithm(q: list[Column]) -> list[Column]:
-    """The rotation vector of a unit quaternion, with the angle's cosine kept in [-1, 1]."""
-    half = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), q[0])))
-    scale = F.when(F.sin(half) < SMALL, F.lit(2.0)).otherwise(2 * half / F.sin(half))
+    """The rotation vector of a unit quaternion, at most half a turn; q and -q give the same, cosines are kept in [0, 1]."""
+    half = F.acos(F.least(F.lit(1.0), F.abs(q[0])))
+    scale = F.when(F.sin(half) < SMALL, F.lit(2.0)).otherwise(2 * half / F.sin(half)) * F.when(q[0] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     return [c * scale for c in q[1:]]
 
 
+def rotation_vector(r: list[Column]) -> list[Column]:
+    """The rotation vector of a rotation's nine entries; under SMALL the axis isn't scaled."""
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (r[0] + r[4] + r[8] - 1) / 2)))
+    scale = F.when(angle < SMALL, F.lit(0.5)).otherwise(angle / (2 * F.sin(angle)))
+    return [(r[7] - r[5]) * scale, (r[2] - r[6]) * scale, (r[3] - r[1]) * scale]
+
+
 def slerp(a: list[Column], b: list[Column], alpha: Column) -> list[Column]:
     """Between two unit quaternions the short way; alpha is kept in [0, 1]."""
     alpha = F.least(F.lit(1.0), F.greatest(F.lit(0.0), alpha))
@@ -94,6 +101,44 @@ def right_jacobian(v: list[Column]) -> list[Column]:
     return left_jacobian([-c for c in v])
 
 
+def inverse_left_jacobian(v: list[Column]) -> list[Column]:
+    """The nine entries of the left Jacobian's inverse: a I + c v v' - [v] / 2."""
+    angle = F.sqrt(sum((c * c for c in v), F.lit(0.0)))
+    small, half = angle < SMALL, angle / 2
+    a = F.when(small, F.cos(half)).otherwise(half / F.tan(half))
+    c = F.when(small, F.lit(0.125)).otherwise((1 - half / F.tan(half)) / (angle * angle))
+    x, y, z = v
+    cross = [F.lit(0.0), -z, y, z, F.lit(0.0), -x, -y, x, F.lit(0.0)]
+    return [(a if i == j else F.lit(0.0)) + c * v[i] * v[j] - cross[3 * i + j] / 2 for i in range(3) for j in range(3)]
+
+
+def inverse_right_jacobian(v: list[Column]) -> list[Column]:
+    return inverse_left_jacobian([-c for c in v])
+
+
+def sphere_basis(g: list[Column]) -> list[Column]:
+    """The six entries, row by row, of the two vectors across g that moving along the sphere from the top would carry there:
+    e1 and e2 less what leans to g. At the very bottom, where that isn't defined, e1 and -e2."""
+    norm = F.sqrt(sum((c * c for c in g), F.lit(0.0)))
+    x, y, z = (c / norm for c in g)
+    bottom = z <= -1 + 1e-12
+    part = lambda value, there: F.when(bottom, F.lit(there)).otherwise(value)
+    return [part(1 - x * x / (1 + z), 1.0), part(-x * y / (1 + z), 0.0), part(-x * y / (1 + z), 0.0), part(1 - y * y / (1 + z), -1.0), part(-x, 0.0), part(-y, 0.0)]
+
+
+def upright_basis(g: list[Column]) -> list[Column]:
+    """The six entries, row by row, of two vectors across g: what of the vertical (for a vertical g, of the first axis) is
+    across it, and the one that completes them."""
+    norm = F.sqrt(sum((c * c for c in g), F.lit(0.0)))
+    a = [c / norm for c in g]
+    up = (g[0] == 0) & (g[1] == 0)
+    across = [F.when(up, F.lit(one)).otherwise(e - c * a[2]) for one, e, c in zip((1.0, 0.0, 0.0), (0.0, 0.0, 1.0), a, strict=True)]
+    size = F.when(up, F.lit(1.0)).otherwise(F.sqrt(sum((c * c for c in across), F.lit(0.0))))
+    b = [c / size for c in across]
+    c = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    return [e for pair in zip(b, c, strict=True) for e in pair]
+
+
 def yaw_degrees() -> Column:
     return F.degrees(F.atan2("y", "x"))
 

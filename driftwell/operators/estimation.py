@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..functions.geometry import exp_matrix, skew
 from . import voxel
 
@@ -36,11 +37,11 @@ class InertialFilter:
         self.last: tuple | None = None
 
     def tangent(self) -> np.ndarray:
-        """Two unit vectors across gravity, as columns."""
-        g = self.g / np.linalg.norm(self.g)
-        a = np.cross(g, [1.0, 0, 0] if abs(g[0]) < 0.9 else [0, 1.0, 0])
-        a /= np.linalg.norm(a)
-        return np.stack([a, np.cross(g, a)], axis=1)
+        """Two unit vectors across gravity, as columns: geometry.sphere_basis()."""
+        x, y, z = self.g / np.linalg.norm(self.g)
+        if z <= -1 + 1e-12:
+            return np.array([[1.0, 0], [0, -1], [0, 0]])
+        return np.array([[1 - x * x / (1 + z), -x * y / (1 + z)], [-x * y / (1 + z), 1 - y * y / (1 + z)], [-x, -y]])
 
     def predict(self, t: float, acc: np.ndarray, gyr: np.ndarray) -> None:
         if self.last is not None:
@@ -49,7 +50,7 @@ class InertialFilter:
             turn = exp_matrix(w * dt)
             f, n = np.eye(17), np.zeros((17, 12))
             f[0:3, 6:9] = np.eye(3) * dt
-            f[3:6, 3:6], f[3:6, 12:15] = turn.T, -np.eye(3) * dt
+            f[3:6, 3:6], f[3:6, 12:15] = np.eye(3) - skew(w * dt), -np.eye(3) * dt
             f[6:9, 3:6], f[6:9, 9:12], f[6:9, 15:17] = -self.r @ skew(a) * dt, -self.r * dt, skew(self.g) @ self.tangent() * dt
             n[6:9, 0:3], n[3:6, 3:6], n[9:12, 6:9], n[12:15, 9:12] = -self.r * dt, -np.eye(3) * dt, np.eye(3) * dt, np.eye(3) * dt
             self.cov = f @ self.cov @ f.T + n @ np.diag(np.repeat(NOISE, 3)) @ n.T
@@ -124,7 +125,7 @@ class InertialFilters:
             f, n = np.tile(np.eye(17), (len(on), 1, 1)), np.zeros((len(on), 17, 12))
             step = np.eye(3) * dt[:, :, None]
             f[:, 0:3, 6:9] = n[:, 9:12, 6:9] = n[:, 12:15, 9:12] = step
-            f[:, 3:6, 3:6], f[:, 3:6, 12:15] = turn.transpose(0, 2, 1), -step
+            f[:, 3:6, 3:6], f[:, 3:6, 12:15] = np.eye(3) - _crosses(w * dt), -step
             f[:, 6:9, 3:6], f[:, 6:9, 9:12] = -r @ _crosses(a) * dt[:, :, None], -r * dt[:, :, None]
             f[:, 6:9, 15:17] = skew(still.g) @ still.tangent() * dt[:, :, None]
             n[:, 6:9, 0:3], n[:, 3:6, 3:6] = -r * dt[:, :, None], -step
@@ -170,6 +171,91 @@ def trajectory(imu: DataFrame, by: str) -> DataFrame:
     return rows.mapInPandas(run, f"{by} long, ts double, px double, py double, pz double, vx double, vy double, vz double, spread double")
 
 
+def corrected(states: DataFrame, by: str) -> DataFrame:
+    """states (p, q, v, ba, bg, g as arrays) after their corrections of 17 numbers in `by`: q turns on the right and stays of
+    unit length, g turns about the vector that the last two numbers name in the sphere's basis."""
+    at = lambda name, n=3, first=0: [F.col(name)[first + k] for k in range(n)]
+    basis = geometry.sphere_basis(at("g"))
+    lean = [basis[2 * k] * F.col(by)[15] + basis[2 * k + 1] * F.col(by)[16] for k in range(3)]
+    out = states.withColumns({"__turn": F.array(*geometry.exponential(at(by, 3, 3))), "__lean": F.array(*lean)})
+    out = out.withColumns({"__lean": F.array(*geometry.exponential(at("__lean"))), "q": F.array(*geometry.quaternion_product(at("q", 4), at("__turn", 4)))})
+    moved = {name: F.array(*(s + d for s, d in zip(at(name), at(by, 3, first), strict=True))) for name, first in (("p", 0), ("v", 6), ("ba", 9), ("bg", 12))}
+    return out.withColumns({"q": F.array(*geometry.unit(at("q", 4))), "g": F.array(*geometry.rotate(at("__lean", 4), at("g"))), **moved}).drop("__turn", "__lean")
+
+
+def _vectors_of(q: np.ndarray) -> np.ndarray:
+    """geometry.logarithm() of rows."""
+    half = np.arccos(np.minimum(1, np.abs(q[:, 0])))
+    small = np.sin(half) < geometry.SMALL
+    return q[:, 1:] * (np.where(small, 2.0, 2 * half / np.where(small, 1, np.sin(half))) * np.where(q[:, 0] < 0, -1, 1))[:, None]
+
+
+def _quaternions(v: np.ndarray) -> np.ndarray:
+    """geometry.exponential() of rows, of unit length."""
+    angle = np.linalg.norm(v, axis=1)
+    small = angle < geometry.SMALL
+    q = np.column_stack([np.where(small, 1.0, np.cos(angle / 2)), v * np.where(small, 0.5, np.sin(angle / 2) / np.where(small, 1, angle))[:, None]])
+    return q / np.linalg.norm(q, axis=1)[:, None]
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """geometry.quaternion_product() of rows."""
+    return np.column_stack(geometry.quaternion_product(list(a.T), list(b.T)))
+
+
+def _upright(g: np.ndarray) -> np.ndarray:
+    """geometry.upright_basis() of rows, as 3 by 2 matrices."""
+    a = g / np.linalg.norm(g, axis=1)[:, None]
+    up = (g[:, 0] == 0) & (g[:, 1] == 0)
+    b = np.where(up[:, None], [1.0, 0, 0], [0, 0, 1.0] - a * a[:, 2:])
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    return np.stack([b, np.cross(a, b)], axis=2)
+
+
+def pose_gain(p: np.ndarray, q: np.ndarray, cov: np.ndarray, place: np.ndarray, turn: np.ndarray, variances: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Corrections of 17 numbers and covariances of rows whose pose was observed as (place, turn).
+
+    The turn's residual is taken by the inverse right Jacobian of the rotation held; gain K = P H' (H P H' + V)^-1.
+    """
+    v = _vectors_of(q)
+    angle = np.linalg.norm(v, axis=1)
+    small = angle < geometry.SMALL
+    safe = np.where(small, 1, angle)
+    along = np.where(small, np.cos(angle / 2), safe / 2 / np.tan(safe / 2))
+    outer = np.where(small, 0.125, (1 - along) / safe**2)
+    h = np.zeros((len(p), 6, 17))
+    h[:, :3, :3] = np.eye(3)
+    h[:, 3:, 3:6] = along[:, None, None] * np.eye(3) + outer[:, None, None] * v[:, :, None] * v[:, None, :] + _crosses(v) / 2
+    seen = h @ cov
+    gain = np.linalg.solve(seen @ h.transpose(0, 2, 1) + np.diag(np.repeat(variances, 3)), seen).transpose(0, 2, 1)
+    off = np.concatenate([place - p, _vectors_of(_products(q * [1, -1, -1, -1], turn))], axis=1)
+    d = (gain @ off[:, :, None])[:, :, 0]
+    reset = np.tile(np.eye(17), (len(p), 1, 1))
+    reset[:, 3:6, 3:6] -= _crosses(d[:, 3:6]) / 2
+    return d, reset @ (np.eye(17) - gain @ h) @ cov @ reset.transpose(0, 2, 1)
+
+
+def observe_poses(states: DataFrame, place: str, turn: str, variances: tuple[float, float]) -> DataFrame:
+    """states (p, q, v, ba, bg, g and the covariance cov's 289 entries, as arrays) once their poses are observed as `place`
+    and the unit quaternion `turn`. Gravity moves in its upright basis; the covariance is carried to the new rotation.
+
+    Each row is on its own: any number of trajectories, batch by batch, without a shuffle. Other columns stay.
+    """
+    names = ["p", "q", "v", "ba", "bg", "g", "cov"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if not len(part):
+                continue
+            s = {n: np.stack(part[n].to_list()).astype(float) for n in (*names, place, turn)}
+            d, cov = pose_gain(s["p"], s["q"], s["cov"].reshape(-1, 17, 17), s[place], s[turn], variances)
+            g = s["g"] + (_upright(s["g"]) @ d[:, 15:, None])[:, :, 0]
+            new = {"p": s["p"] + d[:, :3], "q": _products(s["q"], _quaternions(d[:, 3:6])), "v": s["v"] + d[:, 6:9], "ba": s["ba"] + d[:, 9:12], "bg": s["bg"] + d[:, 12:15], "g": g, "cov": cov.reshape(-1, 289)}
+            yield part.assign(**{n: list(v) for n, v in new.items()})
+
+    return states.mapInPandas(run, states.schema)
+
+
 def initial_bias(imu: DataFrame, by: str) -> DataFrame:
     """Of trajectories long and still enough: mean gyroscope (bias), gravity (mean accelerometer scaled to its norm).
 

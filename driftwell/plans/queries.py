@@ -510,10 +510,38 @@ def _imu(spark, sf_dir) -> DataFrame:
     return series(spark, sf_dir).select("user_id", (F.col("ts") / 1e12).alias("ts"), (F.col("value") / 1000).alias("ax"), ((e % 7) / 100).alias("ay"), F.lit(estimation.GRAVITY).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), ((e % 11 - 5) / 100).alias("gz"))
 
 
-@query()
+def _predicted() -> str:
+    """SQL of the filter's steps: place, velocity and rotation, and the covariance F P F' with its noise on the diagonal.
+
+    F by its formulas at zero biases and gravity straight up: the identity but for what is listed.
+    """
+    f = {(i, i): "1.0" for i in range(17)}
+    f |= {(i, 6 + i): "dt" for i in range(3)} | {(3 + i, 12 + i): "-dt" for i in range(3)}
+    cross = lambda v: [["0.0", f"-{v}[3]", f"{v}[2]"], [f"{v}[3]", "0.0", f"-{v}[1]"], [f"-{v}[2]", f"{v}[1]", "0.0"]]
+    f |= {(3 + i, 3 + j): f"{'1.0' if i == j else '0.0'} - ({cross('m')[i][j]}) * dt" for i in range(3) for j in range(3)}
+    f |= {(6 + i, 3 + j): "-(" + " + ".join(f"r[{i + 1}][{k + 1}] * ({cross('c')[k][j]})" for k in range(3)) + ") * dt" for i in range(3) for j in range(3)}
+    f |= {(6 + i, 9 + j): f"-r[{i + 1}][{j + 1}] * dt" for i in range(3) for j in range(3)}
+    f |= {(6, 16): "-9.81 * dt", (7, 15): "9.81 * dt"}
+    rows = ", ".join("[" + ", ".join(f.get((i, j), "0.0") for j in range(17)) + "]" for i in range(17))
+    noise = "[" + ", ".join(f"{n} * dt * dt" for n in ["0.0"] * 3 + ["0.1"] * 6 + ["0.0001"] * 6 + ["0.0"] * 2) + "]"
+    start = [1.0] * 9 + [1e-3] * 3 + [1e-4] * 3 + [1e-5] * 2
+    first = "[" + ", ".join("[" + ", ".join(str(v) if i == j else "0.0" for j in range(17)) + "]" for i, v in enumerate(start)) + "]::DOUBLE[][]"
+    turned = ", ".join("[" + ", ".join(e) + "]" for e in (("1 - 2 * (q[3] * q[3] + q[4] * q[4])", "2 * (q[2] * q[3] - q[1] * q[4])", "2 * (q[2] * q[4] + q[1] * q[3])"), ("2 * (q[2] * q[3] + q[1] * q[4])", "1 - 2 * (q[2] * q[2] + q[4] * q[4])", "2 * (q[3] * q[4] - q[1] * q[2])"), ("2 * (q[2] * q[4] - q[1] * q[3])", "2 * (q[3] * q[4] + q[1] * q[2])", "1 - 2 * (q[2] * q[2] + q[3] * q[3])")))
+    return f"""smp AS (SELECT user_id, ts / 1e12 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, [value / 1000, (event_id % 7) / 100, 9.81]::DOUBLE[] AS a, [0, 0, (event_id % 11 - 5) / 100]::DOUBLE[] AS w FROM ser),
+roll AS (SELECT user_id, k, t, a, w, [0, 0, 0]::DOUBLE[] AS p, [0, 0, 0]::DOUBLE[] AS v, [1, 0, 0, 0]::DOUBLE[] AS q, {first} AS cov FROM smp WHERE k = 1
+UNION ALL SELECT s.user_id, s.k, s.t, s.a, s.w, list_transform([1, 2, 3], lambda i: o.p[i] + o.v[i] * dt), list_transform([1, 2, 3], lambda i: o.v[i] + list_inner_product(r[i], c) * dt - CASE WHEN i = 3 THEN 9.81 ELSE 0 END * dt),
+[q[1] * d[1] - q[2] * d[2] - q[3] * d[3] - q[4] * d[4], q[1] * d[2] + q[2] * d[1] + q[3] * d[4] - q[4] * d[3], q[1] * d[3] - q[2] * d[4] + q[3] * d[1] + q[4] * d[2], q[1] * d[4] + q[2] * d[3] - q[3] * d[2] + q[4] * d[1]],
+list_transform(fp, lambda x, i: list_transform(f, lambda y, j: list_inner_product(x, y) + CASE WHEN i = j THEN noise[i] ELSE 0 END))
+FROM roll o JOIN smp s ON s.user_id = o.user_id AND s.k = o.k + 1, LATERAL (SELECT s.t - o.t AS dt), LATERAL (SELECT list_transform([1, 2, 3], lambda i: (o.w[i] + s.w[i]) / 2) AS m, list_transform([1, 2, 3], lambda i: (o.a[i] + s.a[i]) / 2) AS c, [{turned}] AS r),
+LATERAL (SELECT sqrt(list_inner_product(m, m)) * dt AS th), LATERAL (SELECT CASE WHEN th < 1e-4 THEN 0.5 ELSE sin(th / 2) / th END * dt AS half), LATERAL (SELECT [CASE WHEN th < 1e-4 THEN 1 ELSE cos(th / 2) END, m[1] * half, m[2] * half, m[3] * half] AS d),
+LATERAL (SELECT [{rows}] AS f, {noise} AS noise), LATERAL (SELECT list_transform(f, lambda x: list_transform(o.cov, lambda y: list_inner_product(x, y))) AS fp))"""
+
+
+@query("SELECT user_id, round(t, 6) AS ts, " + ", ".join(f"round({n}[{k}], 6) + 0.0 AS {n}{c}" for n in "pv" for k, c in enumerate("xyz", 1)) + ", round(list_sum(list_transform(range(1, 18), lambda i: cov[i][i])), 3) AS spread FROM roll", _predicted())
 def eskf_trajectory(spark, sf_dir):
     """The inertial filter's prediction along each user's series."""
-    return estimation.trajectory(_imu(spark, sf_dir), "user_id")
+    out = estimation.trajectory(_imu(spark, sf_dir), "user_id")
+    return out.select("user_id", r6("ts").alias("ts"), *((r6(f"{n}{c}") + 0.0).alias(f"{n}{c}") for n in "pv" for c in "xyz"), F.round("spread", 3).alias("spread"))
 
 
 @query("""SELECT user_id, n, round(bz, 6) + 0.0 AS bz, round(mx * 9.81 / len, 6) + 0.0 AS gx, round(9.81 * 9.81 / len, 6) AS gz FROM (SELECT *, sqrt(mx * mx + my * my + 9.81 * 9.81) AS len FROM (SELECT user_id, count(*) AS n, avg(w) AS bz, avg(a) AS mx, avg(b) AS my, max(ts) / 1e6 - min(ts) / 1e6 AS seconds,
@@ -532,7 +560,7 @@ def hourly_windows(spark, sf_dir):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-from . import frame_queries, image_queries, sweep_queries  # noqa: E402, F401  register their queries here
+from . import filter_queries, frame_queries, image_queries, sweep_queries  # noqa: E402, F401  register their queries here
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,49 @@ def write_map(df: DataFrame, path: str, min_views: int = 1, labelled: bool = Fal
     (kept.filter("n_semantic > 0") if labelled else kept).write.mode("overwrite").parquet(path)
 
 
-def pcd_lines(df: DataFrame) -> DataFrame:
-    """Lines of an ASCII point cloud body: x y z and the colour packed in one number. Colours are held blue first."""
+def pcd_lines_column() -> Column:
+    """A line of an ASCII point cloud body: x y z and the colour packed in one number. Colours are held blue first."""
     packed = F.shiftleft(F.col("r").cast("int"), 16) + F.shiftleft(F.col("g").cast("int"), 8) + F.col("b").cast("int")
-    return df.select(F.concat_ws(" ", fixed_line(["x", "y", "z"]), packed.cast("string")).alias("value"))
+    return F.concat_ws(" ", fixed_line(["x", "y", "z"]), packed.cast("string"))
+
+
+def pcd_lines(df: DataFrame) -> DataFrame:
+    """pcd_lines_column() of each point."""
+    return df.select(pcd_lines_column().alias("value"))
+
+
+#: The header of an ASCII point cloud file, with the number of points to be put in.
+CLOUD_HEADER = [
+    "VERSION 0.7", "FIELDS x y z rgb", "SIZE 4 4 4 4", "TYPE F F F U", "COUNT 1 1 1 1",
+    "WIDTH %d", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", "POINTS %d", "DATA ascii",
+]
+CLOUD_WORDS = "VERSION|FIELDS|SIZE|TYPE|COUNT|WIDTH|HEIGHT|VIEWPOINT|POINTS|DATA|#"
+
+
+def write_clouds(df: DataFrame, path: str, key: list[str], points_a_file: int = 1_000_000) -> None:
+    """df (x, y, z, r, g, b) as ASCII point cloud files of about points_a_file points each, every one in a folder of its own.
+
+    Points are dealt by a hash of `key`; a file's header is counted from its points, and one task writes a whole file. An
+    empty df gives an empty folder.
+    """
+    files = max(1, -(-df.count() // points_a_file))
+    body = df.withColumn("file", F.pmod(F.xxhash64(*key), F.lit(files)).cast("int"))
+    lines = body.select("file", F.lit(len(CLOUD_HEADER)).alias("line"), pcd_lines_column().alias("value"))
+    header = F.array(*(F.format_string(h, "n") if "%d" in h else F.lit(h) for h in CLOUD_HEADER))
+    heads = body.groupBy("file").agg(F.count("*").alias("n")).select("file", F.posexplode(header).alias("line", "value"))
+    whole = heads.unionByName(lines).repartition(files, "file").sortWithinPartitions("file", "line")
+    whole.select("file", "value").write.mode("overwrite").partitionBy("file").option("maxRecordsPerFile", 0).text(path)
+
+
+def read_clouds(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """The points of all ASCII point cloud files under path, of their fields those asked for, as doubles. A file without one
+    of these fields, with a row too short, or with other than as many points as its header says fails the job."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.rlike("value", F.lit(f"^({CLOUD_WORDS})")).alias("head"))
+    said = lambda word: F.max(F.when(F.col("head") & F.startswith("value", F.lit(word + " ")), F.split("value", " +")))
+    heads = raw.groupBy("file").agg(said("FIELDS").alias("names"), said("POINTS")[1].cast("long").alias("n"), F.count_if(~F.col("head") & (F.trim("value") != "")).alias("held"))
+    lacks = F.raise_error(F.format_string("%s lacks a field of " + ", ".join(fields), "file")).cast("array<string>")
+    miscounted = F.raise_error(F.format_string("%s says %s points and holds %s", "file", "n", "held")).cast("array<string>")
+    named = F.when(F.size(F.array_except(F.array(*map(F.lit, fields)), "names")) == 0, F.slice("names", 2, F.size("names"))).otherwise(lacks)
+    heads = heads.withColumn("names", F.when(F.col("n") == F.col("held"), named).otherwise(miscounted))
+    parts = raw.filter(~F.col("head") & (F.trim("value") != "")).select("file", F.split(F.trim("value"), " +").alias("parts")).join(heads.select("file", "names"), "file")
+    return parts.select(*(F.element_at("parts", F.array_position("names", F.lit(f)).cast("int")).cast("double").alias(f) for f in fields))
