@@ -167,7 +167,8 @@ def _remove(with_bytes: bool):
 
 def _resolved(parse: DataFrame) -> DataFrame:
     """(key, whole, open) of the documents with rows whose trigger occurs twice: rows that repeat as a whole, and rows
-    to be looked at. Of equal rows that repeat beside others with their trigger, one is looked at for all."""
+    to be looked at. Of equal rows that repeat beside others with their trigger, one is looked at for all. Rows of repeated
+    documents share a key and count each, but a key's lists hold a place once."""
     n_rows = parse.count()
     dictionary = materialise(parse.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("model")), "dictionary")
     triggers = dictionary.groupBy("trigger").agg(F.count("*").alias("weight"), F.sum("n").alias("total")).filter("total > 1").withColumn("kinds", F.col("weight"))
@@ -175,7 +176,7 @@ def _resolved(parse: DataFrame) -> DataFrame:
     marked = skew_join(parse.select("key", "first", "last", "place", "phrase"), materialise(known, "known"), "phrase", "key", n_rows)
     is_model = (F.col("key") == F.col("model.key")) & (F.col("first") == F.col("model.first"))
     row = F.struct("first", "last", "place")
-    return marked.groupBy("key").agg(F.collect_list(F.when(F.col("repeats"), row)).alias("whole"), F.collect_list(F.when(F.col("mixed") & (~F.col("repeats") | is_model), row)).alias("open"))
+    return marked.groupBy("key").agg(F.collect_set(F.when(F.col("repeats"), row)).alias("whole"), F.collect_set(F.when(F.col("mixed") & (~F.col("repeats") | is_model), row)).alias("open"))
 
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:

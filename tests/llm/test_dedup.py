@@ -8,7 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.llm import jaccard_join
+from driftwell.llm import jaccard_join, suffix_dedup
+from driftwell.llm.common import materialise
 from driftwell.llm.exact_dedup import CuckooIndex, exact_dedup, keep_first, live_groups, update_index
 from driftwell.llm.jaccard_join import jaccard_components, keep_one_of_each
 from driftwell.llm.suffix_dedup import remove_repeats
@@ -154,6 +155,21 @@ def test_repeats_equal_brute_force(spark, seed):
     assert remove_repeats(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
+def test_lists_dont_grow_with_a_row_repeated_10000_times(spark):
+    """A row's copies share a key: they count each, its lists hold a place once, and one that shares its middle loses that."""
+    text = " ".join(hashlib.sha256(str(k).encode()).hexdigest()[:9] for k in range(200))
+    other = "x" + text[600:1200] + "y"
+    copies = spark.range(10_000, numPartitions=8).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = copies.unionByName(spark.createDataFrame([(6, other)], "doc_id long, text string"))
+    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("key"))
+    parse = materialise(keyed.select("key", "text").mapInArrow(suffix_dedup._parse, suffix_dedup.PARSE), "parse")
+    marks = suffix_dedup._resolved(parse).collect()
+    n_phrases = len(suffix_dedup.phrases(text.encode())[0])
+    assert n_phrases > 3 and max(len(r.whole) for r in marks) == n_phrases and max(len(r.open) for r in marks) <= n_phrases
+    got = remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, got)) == [(5, len(text), len(text), 1, 10_000), (6, 602, 600, 1, 1)]
+
+
 def test_kept_rows_where_ids_repeat(spark):
     """Rows of one id are told apart by their sets; a null id stays only where no row of the component has an id."""
     base, other, third = ("one two three four five six seven eight nine ten " * 3).strip() + " end", " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
