@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 COLOUR_SIGMA, NOISE_A_SECOND, GATE = 15.0, 0.1, 1.2
 
 
-def fold_sorted(df: DataFrame, by: list[str], order: list[str], start: Callable, step: Callable, schema: str, last_only: bool = False) -> DataFrame:
+def fold_sorted(df: DataFrame, by: list[str], order: list[str], start: Callable, step: Callable, schema: str, last_only: bool = False, read: list[str] | None = None) -> DataFrame:
     """An ordered fold of each key. Rows are sorted within partitions of keys and streamed, so memory holds one state.
 
     step(state, row) gives (state, output tuple); outputs have the key's columns before them. With `last_only`, each key
-    gives its last output.
+    gives its last output. Steps see the columns in `read`, all if none are given.
     """
     columns = [part.split()[0] for part in schema.split(", ")]
 
@@ -41,7 +42,8 @@ def fold_sorted(df: DataFrame, by: list[str], order: list[str], start: Callable,
         if pending is not None:
             yield pd.DataFrame([pending], columns=columns)
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    rows = df.repartition(*by).sortWithinPartitions(*by, *order)
+    return (rows.select(*by, *read) if read else rows).mapInPandas(run, schema)
 
 
 def colour_step(state, row):
@@ -54,15 +56,17 @@ def colour_step(state, row):
         state = (tuple(int(c + 0.5) for c in colour), (COLOUR_SIGMA,) * 3, row.distance, row.ts, 1)
     else:
         grown = [s + NOISE_A_SECOND * (row.ts - last) for s in sigma]
-        tight = [1 / (1 / s**2 + 1 / COLOUR_SIGMA**2) ** 0.5 for s in grown]
-        mixed = tuple(int(t * t * (c / g**2 + o / COLOUR_SIGMA**2)) for t, c, g, o in zip(tight, seen, grown, colour, strict=True))
+        # products and sqrt round right; ** need not, and a colour that is cut off shows it
+        tight = [1 / math.sqrt(1 / (s * s) + 1 / (COLOUR_SIGMA * COLOUR_SIGMA)) for s in grown]
+        mixed = tuple(int(t * t * (c / (g * g) + o / (COLOUR_SIGMA * COLOUR_SIGMA))) for t, c, g, o in zip(tight, seen, grown, colour, strict=True))
         state = (mixed, tuple(tight), min(best, row.distance), row.ts, n + 1)
     return state, (*state[0], state[2], state[4])
 
 
 def colour_fold(observations: DataFrame, key: str = "point_id") -> DataFrame:
-    """Each point's fused colour (r, g, b), best distance and accepted observations, by time and then obs_id."""
-    return fold_sorted(observations, [key], ["ts", "obs_id"], lambda: ((0, 0, 0), (0.0,) * 3, 0.0, 0.0, 0), colour_step, f"{key} long, r int, g int, b int, distance double, n_rgb int", last_only=True)
+    """Each point's fused colour (r, g, b), best distance and accepted observations, by time and then obs_id, which
+    may be a struct."""
+    return fold_sorted(observations, [key], ["ts", "obs_id"], lambda: ((0, 0, 0), (0.0,) * 3, 0.0, 0.0, 0), colour_step, f"{key} long, r int, g int, b int, distance double, n_rgb int", last_only=True, read=["r", "g", "b", "distance", "ts"])
 
 
 def running_noise(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:

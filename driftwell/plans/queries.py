@@ -327,7 +327,7 @@ FROM fold f JOIN seq q ON q.l_partkey = f.l_partkey AND q.k = f.k + 1, LATERAL (
 @query("SELECT l_partkey AS point_id, arg_max(r, k) AS r, arg_max(g, k) AS g, arg_max(b, k) AS b, arg_max(best, k) AS distance, arg_max(n, k) AS n_rgb FROM fold GROUP BY l_partkey", _FUSED)
 def color_fold(spark, sf_dir):
     """Colours fused over each part's line items in order of shipping."""
-    obs = points(spark, sf_dir).select(F.col("l_partkey").alias("point_id"), (F.col("ts") / 1e6).alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_id"), (F.col("x") * 5 % 256).alias("r"), (F.col("y") * 2 % 256).alias("g"), (F.col("z") * 25 % 256).alias("b"), F.col("y").alias("distance"))
+    obs = points(spark, sf_dir).select(F.col("l_partkey").alias("point_id"), (F.col("ts") / 1e6).alias("ts"), F.struct(*(c for c in POINT_KEY if c not in ("l_partkey", "l_shipdate"))).alias("obs_id"), (F.col("x") * 5 % 256).alias("r"), (F.col("y") * 2 % 256).alias("g"), (F.col("z") * 25 % 256).alias("b"), F.col("y").alias("distance"))
     return folds.colour_fold(obs)
 
 

@@ -168,6 +168,19 @@ def test_inertial_filter_on_constant_motion(spark):
     assert start.gz == pytest.approx(estimation.GRAVITY) and start.bx == 0
 
 
+def test_colours_fuse_by_order_then_line(spark, tmp_path):
+    """Lines numbered 10 and up don't pass the next order's, and equal times go by order, then line."""
+    from datetime import datetime
+
+    from driftwell.plans import queries
+
+    at = datetime(1995, 1, 1)
+    rows = [(2, 1, 7, 1, 10.0, 20_000.0, 0.01, at), (1, 12, 7, 1, 20.0, 25_000.0, 0.02, at), (1, 3, 7, 1, 30.0, 22_000.0, 0.03, at)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert queries.color_fold(spark, str(tmp_path)).select("distance", "n_rgb").collect() == [(20.0, 3)]
+
+
 def test_colour_fold_is_the_same_however_it_is_dealt(spark):
     rng = np.random.default_rng(5)
     rows = [(int(k % 7), float(k // 7), k, *map(float, rng.uniform(0, 255, 3)), float(rng.uniform(1, 3))) for k in range(140)]
