@@ -20,6 +20,7 @@ from ..functions.geometry import exp_matrix, log_matrix, skew
 from ..sources.scratch import written
 from . import voxel
 from .estimation import GRAVITY, InertialFilter, initial_covariance
+from .regions import Regions, regions
 
 
 @dataclass(frozen=True)
@@ -81,16 +82,18 @@ def placed(points: DataFrame, states: DataFrame) -> DataFrame:
     return met.select("sweep", "number", F.struct("sweep", "id").alias("point"), *(b.alias(f"b{c}") for c, b in zip("xyz", body, strict=True)), *(w.alias(c) for c, w in zip("xyz", world, strict=True)), "pose", "last")
 
 
-def residual_rows(at: DataFrame, target: DataFrame, o: Options) -> DataFrame:
+def residual_rows(at: DataFrame, target: DataFrame, o: Options, tree: Regions | None = None) -> DataFrame:
     """(sweep, point, distance, weight, j0 to j5) of placed points: signed distance to the nearest neighbour's plane, which
     faces the pose before, under the one-sided gate; parts of a step of the place and of a turn on the body's side."""
-    early = at.filter(F.col("number") < o.early_frames)
-    later = at.filter(F.col("number") >= o.early_frames)
-    found = [voxel.neighbours(q, target, "point", "id", o.size, reach, o.neighbours, least, None) for q, reach, least in ((early, EARLY_REACH, 1), (later, o.reach, o.least_in_cell))]
-    near = found[0].unionByName(found[1])
+    tree = tree or regions(target)
     first = F.min_by(F.struct("nx", "ny", "nz", "d2"), "rank").alias("first")
-    fitted = voxel.planes(voxel.moments(near)).filter(F.col("n") >= o.least_neighbours).join(near.groupBy("query_id").agg(first), "query_id")
-    rows = at.withColumnRenamed("point", "query_id").join(fitted, "query_id").select("*", "first.*")
+
+    def fitted(asked: DataFrame, reach: int, least: int) -> DataFrame:
+        near = voxel.neighbours(asked, target, "point", "id", o.size, reach, o.neighbours, least, tree=tree)
+        planes = voxel.planes(voxel.moments(near, more=[first])).filter(F.col("n") >= o.least_neighbours)
+        return asked.withColumnRenamed("point", "query_id").join(planes, "query_id").select("*", "first.*")
+
+    rows = fitted(at.filter(F.col("number") < o.early_frames), EARLY_REACH, 1).unionByName(fitted(at.filter(F.col("number") >= o.early_frames), o.reach, o.least_in_cell))
     rows = voxel.facing(rows, [F.col("last")[k] for k in range(3)], [F.col(f"b{c}") for c in "xyz"])
     n = [F.col(f"normal_{c}") for c in "xyz"]
     share = o.weight_planarity / (o.weight_planarity + o.weight_nearness)
@@ -105,9 +108,9 @@ def residual_rows(at: DataFrame, target: DataFrame, o: Options) -> DataFrame:
     return rows.select("sweep", F.col("query_id").alias("point"), "distance", "weight", *((v * F.col("weight")).alias(f"j{k}") for k, v in enumerate([*n, *turn])))
 
 
-def sweep_sums(points: DataFrame, states: DataFrame, target: DataFrame, o: Options) -> DataFrame:
+def sweep_sums(points: DataFrame, states: DataFrame, target: DataFrame, o: Options, tree: Regions | None = None) -> DataFrame:
     """A round's sums of each sweep, as voxel.normal_equations()."""
-    return voxel.normal_equations(residual_rows(placed(points, states), target, o), ["sweep"])
+    return voxel.normal_equations(residual_rows(placed(points, states), target, o, tree), ["sweep"])
 
 
 def _tangent(g: np.ndarray) -> np.ndarray:
@@ -184,17 +187,17 @@ def _round(o: Options):
 def register(points: DataFrame, target: DataFrame, states: DataFrame, o: Options | None = None) -> DataFrame:
     """States (see STATE) of all sweeps, each registered to the map.
 
-    points: (sweep, id, x, y, z) on the body; target: the map's (id, x, y, z), whose cells have little room; states: started(). status is `converged`,
+    points: (sweep, id, x, y, z) on the body; target: the map's (id, x, y, z); states: started(). status is `converged`,
     `stopped` after the last round, or `failed` with fewer residuals than least_neighbours, in which case the pose stays
     where it was. Wild steps are left out, and their round counts. Frames 0 and 1 never count as converged. A sweep
     without points fails; points of unknown sweeps aren't read. The covariance is that of the last step.
     """
     o = o or Options()
-    states = written(states.selectExpr(*(x.split()[0] for x in STATE.split(", "))), "states")
+    states, tree = written(states.selectExpr(*(x.split()[0] for x in STATE.split(", "))), "states"), regions(target)
     for _ in range(max(EARLY_ROUNDS, o.rounds) + 1):
         active = states.filter("status = 'active'")
         if active.isEmpty():
             break
-        sums = sweep_sums(points, active, target, o).withColumnsRenamed({"n_residuals": "found", "loss": "new_loss"})
+        sums = sweep_sums(points, active, target, o, tree).withColumnsRenamed({"n_residuals": "found", "loss": "new_loss"})
         states = written(states.join(sums, "sweep", "left").mapInPandas(_round(o), STATE), "states")
     return states

@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from . import regions
+
 CELL = ["kx", "ky", "kz"]
 
 
@@ -64,43 +67,36 @@ def insert_spaced(df: DataFrame, size: float, capacity: int, least_distance: flo
     return cells.mapInPandas(run, cells.schema)
 
 
-def _offsets(reach: int) -> Column:
-    span = range(-reach, reach + 1)
-    return F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in span for b in span for c in span))
-
-
-def neighbours(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, size: float, reach: int, k: int, least_in_cell: int = 1, crowd: int | None = 4096) -> DataFrame:
+def neighbours(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, size: float, reach: int, k: int, least_in_cell: int = 1, crowd: int | None = None, tree: regions.Regions | None = None) -> DataFrame:
     """(query_id, rank, point_id, d2, and the point's nx, ny, nz): the k nearest points in the cells around each query.
 
-    Queries are repeated for each cell in reach and joined on cells; cells under `least_in_cell` points are left out.
-    Ties go to the smaller id. The cell join is the index; distance is only computed within it. Cells of over `crowd` points
-    are split into parts by the ids' hash, which their queries meet one by one; each part's k nearest go on before they
-    are merged. None: points whose cells are known to have little room aren't counted for that.
+    Cells under `least_in_cell` points are left out. Ties go to the smaller id, a number or a string; of points in one place
+    the k first are enough. Points and queries meet by regions of about `crowd` points (see regions.py), so neither crowded
+    cells nor copies make pairs; bounds are written between the two meetings. tree: regions of these points or of others
+    that lie alike, to be used again.
     """
-    held = with_cells(points, size).select(*CELL, F.col(point_id), *(F.col(c).alias(f"n{c}") for c in "xyz"))
-    asked = with_cells(queries, size).select(F.col(query_id).alias("query_id"), *"xyz", *CELL, F.explode(_offsets(reach)).alias("o"))
-    asked = asked.select("query_id", *"xyz", *((F.col(c) + F.col(f"o.{o}")).alias(c) for c, o in zip(CELL, "abc", strict=True)))
-    on = CELL
-    if least_in_cell > 1 or crowd:
-        counts = held.groupBy(*CELL).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least_in_cell)
-        counts = counts.select(*CELL, F.ceil(F.col("__n") / (crowd or 1)).alias("__parts"))
-        held = held.join(counts, CELL, "left_semi") if not crowd else held.join(counts, CELL).withColumn("__part", F.pmod(F.xxhash64(point_id), "__parts"))
-        if crowd:
-            asked = asked.join(counts, CELL).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
-            held, on = held.drop("__parts"), [*CELL, "__part"]
-    d2 = sum(((F.col(c) - F.col(f"n{c}")) * (F.col(c) - F.col(f"n{c}")) for c in "xyz"), F.lit(0.0))
-    met = asked.join(held, on).withColumn("d2", d2)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", point_id))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", point_id, "d2", "nx", "ny", "nz")
-
-
-def moments(near: DataFrame, by: str = "query_id") -> DataFrame:
-    """Count, barycentre and scatter (not divided by the count) of each query's neighbours, from sums."""
+    tree = tree or regions.regions(points, crowd or regions.POINTS)
+    held = with_cells(points.select(F.col(point_id).alias("point"), *(F.col(c).cast("double").alias(c) for c in "xyz")), size).dropna(subset=CELL)
+    if least_in_cell > 1:
+        held = held.join(held.groupBy(*CELL).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least_in_cell), CELL, "left_semi")
+    place = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("point"))
+    held = regions.dealt(held.withColumn("__place", place).filter(F.col("__place") <= k).drop("__place"), tree)
+    held = held.select("region", "point", *(F.col(c).alias(f"n{c}") for c in (*"xyz", *CELL)))
+    asked = with_cells(queries.select(F.col(query_id).alias("query_id"), *(F.col(c).cast("double").alias(c) for c in "xyz")), size).dropna(subset=CELL)
+    bound = written(regions.bounds(regions.dealt(asked, tree), held, CELL, reach, k), "bounds")
+    met = regions.nearest(regions.visits(bound, tree, CELL, size, reach), held, CELL, reach, k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "point"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("point").alias(point_id), "d2", "nx", "ny", "nz")
+
+
+def moments(near: DataFrame, by: str = "query_id", more: list[Column] | None = None) -> DataFrame:
+    """Count, barycentre and scatter (not divided by the count) of each query's neighbours, from sums; and `more`
+    aggregates, by their names."""
     sums = {"n": F.count("*")} | {f"s{c}": F.sum(f"n{c}") for c in "xyz"} | {f"s{a}{b}": F.sum(F.col(f"n{a}") * F.col(f"n{b}")) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
-    out = near.groupBy(by).agg(*(v.alias(k) for k, v in sums.items()))
+    out = near.groupBy(by).agg(*(v.alias(k) for k, v in sums.items()), *(more or []))
     means = {f"m{c}": F.col(f"s{c}") / F.col("n") for c in "xyz"}
     scatter = {f"c{a}{b}": F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("n") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
-    return out.select(by, "n", *(v.alias(k) for k, v in means.items()), *(v.alias(k) for k, v in scatter.items()))
+    return out.select(by, "n", *(v.alias(k) for k, v in means.items()), *(v.alias(k) for k, v in scatter.items()), *out.columns[1 + len(sums) :])
 
 
 #: Eigenvalues that differ by less than this share of the largest one count as equal.

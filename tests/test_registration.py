@@ -123,3 +123,22 @@ def test_initialisation_by_running_variances(spark):
     assert all(np.linalg.norm([r.gx, r.gy, r.gz]) == pytest.approx(9.81) for r in found.values())
     spread = np.diag(estimation.InertialFilter().cov)
     assert spread[0] == spread[8] == 1 and spread[9] == 1e-3 and spread[12] == 1e-4 and spread[16] == 1e-5
+
+
+def test_copies_and_crowds_make_no_pairs(spark):
+    """Neighbours by regions are those of brute force, ties by id; what is kept between regions stays small when points repeat."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.1, (300, 3)), rng.uniform(-3, 3, (150, 3)), np.round(rng.uniform(-1, 1, (150, 3)), 1), np.tile([[0.05, 0.05, 0.05]], (2000, 1))])
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "id long, x double, y double, z double")
+    asked = df.filter("id < 600 or id % 500 = 0")
+    got = {}
+    for r in voxel.neighbours(asked, df, "id", "id", 0.5, 1, 5, crowd=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.d2))
+    cells = np.trunc(x / 0.5)
+    for q in [r.id for r in asked.select("id").collect()]:
+        near = np.flatnonzero((np.abs(cells - cells[q]) <= 1).all(1))
+        d2 = ((x[q] - x[near]) ** 2)[:, 0] + ((x[q] - x[near]) ** 2)[:, 1] + ((x[q] - x[near]) ** 2)[:, 2]
+        best = np.lexsort((near, d2))[:5]
+        assert got[q] == list(zip(near[best].tolist(), d2[best].tolist(), strict=True))
+    plan = voxel.neighbours(df, df, "id", "id", 0.5, 1, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # cells aren't joined any more: that made a pair of each two points near each other
