@@ -21,6 +21,7 @@ def replay(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
 POINT, SAMPLE, TRIGGER = 0, 1, 2
 ROW = "user_id long, id long, ts long, value double, kind int"
 ALIGNED = f"{ROW}, end_ts long"
+KINDS = "int64", "int64", "float64", "int32"
 WAITING = "ids array<long>, times array<long>, values array<double>, kinds array<int>, ends array<long>, oldest long"
 
 
@@ -39,47 +40,47 @@ class SweepAligner(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", WAITING)
 
-    def _read(self) -> tuple[pd.DataFrame, list[int], int | None]:
-        s = self.held.get() if self.held.exists() else ([], [], [], [], [], None)
-        rows = pd.DataFrame({"id": list(s[0]), "ts": list(s[1]), "value": list(s[2]), "kind": list(s[3])})
-        return rows.astype({"id": "int64", "ts": "int64", "value": "float64", "kind": "int32"}), list(s[4]), s[5]
+    def _read(self) -> tuple[list[np.ndarray], list[int], int | None]:
+        """What waits (ids, times, values, kinds), the triggers to come in order, and the oldest sample."""
+        s = self.held.get() or ([], [], [], [], [], None)
+        return [np.array(list(c), kind) for c, kind in zip(s[:4], KINDS, strict=True)], list(s[4]), s[5]
+
+    def _write(self, waiting: list[np.ndarray], ends: list[int], oldest: int | None) -> None:
+        self.held.update((*(c.tolist() for c in waiting), ends, oldest))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         waiting, ends, oldest = self._read()
-        fresh = pd.concat([part[["id", "ts", "value", "kind"]] for part in rows])
-        samples = fresh.loc[fresh["kind"] == SAMPLE, "ts"]
+        parts = [[part[c].to_numpy() for c in ("id", "ts", "value", "kind")] for part in rows]
+        fresh = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        samples, new = fresh[1][fresh[3] == SAMPLE], np.unique(fresh[1][fresh[3] == TRIGGER]).tolist()
         if len(samples):
             oldest = int(samples.min()) if oldest is None else min(oldest, int(samples.min()))
-        new = fresh.loc[fresh["kind"] == TRIGGER, "ts"].drop_duplicates().tolist()
-        fresh = fresh[fresh["kind"] != TRIGGER]
-        waiting = pd.concat([waiting, fresh]) if len(waiting) else fresh
-        self._write(waiting, sorted({*ends, *new}), oldest)
-        for end in new:
-            self.handle.registerTimer(-(-end // 1000))
-        latest = max([*fresh["ts"].tolist(), *new], default=None)
-        if latest is not None:
-            self.handle.registerTimer(-(-latest // 1000) + self.longest_ms)
+        latest = int(fresh[1].max())
+        kept = fresh[3] != TRIGGER
+        self._write([np.concatenate([w, f[kept]]) for w, f in zip(waiting, fresh, strict=True)], sorted({*ends, *new}), oldest)
+        if new and (not ends or new[0] < ends[0]):  # the next trigger's timer alone: it takes all that are due
+            self.handle.registerTimer(-(-new[0] // 1000))
+        self.handle.registerTimer(-(-latest // 1000) + self.longest_ms)
         return iter(())
 
-    def _write(self, waiting: pd.DataFrame, ends: list[int], oldest: int | None) -> None:
-        self.held.update((*(waiting[c].tolist() for c in ("id", "ts", "value", "kind")), ends, oldest))
-
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         waiting, ends, oldest = self._read()
         now = timerValues.getCurrentWatermarkInMs()
         due = [e for e in ends if -(-e // 1000) <= now]
         used = np.array([e for e in due if oldest is not None and e > oldest], np.int64)
-        place = np.searchsorted(used, waiting["ts"].to_numpy(), side="right")
+        place = np.searchsorted(used, waiting[1], side="right")
         done = place < len(used)
-        out = waiting[done].assign(user_id=key[0], end_ts=used[place[done]])
-        left = waiting[~done]
-        left = left[left["ts"] // 1000 + self.longest_ms >= now]
+        out = dict(zip(("id", "ts", "value", "kind"), (c[done] for c in waiting), strict=True))
+        left = ~done & (waiting[1] // 1000 + self.longest_ms >= now)
         ends = ends[len(due) :]
-        if len(left) or ends or expiredTimerInfo.getExpiryTimeInMs() + self.longest_ms > now and oldest is not None and oldest // 1000 + self.longest_ms >= now:
-            self._write(left, ends, oldest)
+        if ends and due:
+            self.handle.registerTimer(-(-ends[0] // 1000))
+        if left.any() or ends or expiredTimerInfo.getExpiryTimeInMs() + self.longest_ms > now and oldest is not None and oldest // 1000 + self.longest_ms >= now:
+            self._write([c[left] for c in waiting], ends, oldest)
         else:
             self.held.clear()
-        yield out[["user_id", "id", "ts", "value", "kind", "end_ts"]]
+        if done.any():
+            yield pd.DataFrame({"user_id": np.full(done.sum(), key[0]), **out, "end_ts": used[place[done]]})
 
     def close(self) -> None:
         pass

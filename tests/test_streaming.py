@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,33 @@ def test_cells_that_nobody_visits_go(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = map_state.run_to_end(map_state.insert_spaced(stream, 1.0, 1, 0.01, ["id"], keep="1 second", keep_ms=70_000))
     assert sorted(r.id for r in out.collect()) == [1, 2, 5]
+
+
+def test_steps_of_many_files(spark, sf_dir):
+    """A step is written and read by many tasks, and still comes whole and in order, small steps too."""
+    df = points(spark, sf_dir).withColumn("frame", F.when(F.col("l_orderkey") < 30, 0).when(F.col("l_orderkey") < 40, 1).otherwise(2)).drop("ts", "l_shipdate")
+    order = ["frame", *(k for k in POINT_KEY if k != "l_shipdate")]
+    stream = map_state.as_sweeps(df, "frame", 3, file_rows=500)
+    streamed = map_state.run_to_end(map_state.insert_spaced(stream, 8.0, 6, 2.0, order))
+    batch = voxel.insert_spaced(df, 8.0, 6, 2.0, order)
+    got, expected = (sorted(tuple(r) for r in x.select(sorted(batch.columns)).collect()) for x in (streamed, batch))
+    assert got == expected and len(got) > 100
+
+
+def test_one_timer_takes_all_due_triggers():
+    """A user's triggers have one timer, that of the next one."""
+
+    class Held:
+        value = None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    class Handle:
+        timers: list = []
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    aligner = align.SweepAligner(10**9)
+    aligner.handle, aligner.held = Handle(), Held()
+    rows = pd.DataFrame({"id": range(6), "ts": [1000, 2000, 3000, 4000, 5000, 6000], "value": 0.0, "kind": [align.SAMPLE] + [align.TRIGGER] * 5})
+    list(aligner.handleInputRows((1,), iter([rows]), None))
+    assert sorted(Handle.timers) == [2, 6 + 10**9]
