@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distortion: two radial parts, two tangential ones, and the third radial one.
@@ -84,7 +84,8 @@ def tiled_equalised(raster: DataFrame, rows: int, cols: int, tiles: tuple[int, i
     A tile's counts over the limit (clip times the mean count, 1 at least) are cut; what is cut is dealt to all levels alike,
     and the rest one each to levels at even steps. Where the tiles don't divide the sides, both sides are first continued
     by their mirror image, without its edge, up to the next multiple beyond. All is worked out in whole numbers, halves up.
-    Raises ValueError if a side is too short for its continuation.
+    Raises ValueError if a side is too short for its continuation. Frames are dealt whole, once; a tile holds its counts, and
+    a level's rank is summed from them where a pixel asks for it.
     """
     down, across = tiles
     both = rows % down == 0 and cols % across == 0
@@ -99,19 +100,18 @@ def tiled_equalised(raster: DataFrame, rows: int, cols: int, tiles: tuple[int, i
         mirror = 2 * (n - 1) - F.col(c)
         return F.explode(F.when(mirror.between(n, n + more - 1), F.array(F.col(c), mirror)).otherwise(F.array(F.col(c))))
 
+    raster = raster.repartition("frame")  # the only shuffle: tiles, lookups and sums are all within frames
     whole = raster.withColumn("__r", places("row", rows, more_rows)).withColumn("__c", places("col", cols, more_cols))
     tile = [F.floor(F.col("__r") / high).cast("int").alias("ty"), F.floor(F.col("__c") / wide).cast("int").alias("tx")]
     counts = whole.groupBy("frame", *tile, "value").agg(F.count("*").alias("n"))
-    of_tile = Window.partitionBy("frame", "ty", "tx")
-    every = counts.select("frame", "ty", "tx").distinct().withColumn("value", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    full = every.join(counts, ["frame", "ty", "tx", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    full = full.withColumn("over", F.sum(F.greatest(F.col("n") - limit, F.lit(0))).over(of_tile))
-    rest = F.col("over") % levels
-    step = F.greatest(F.floor(F.lit(levels) / F.greatest(rest, F.lit(1))), F.lit(1))
-    one = (F.col("value") % step == 0) & (F.floor(F.col("value") / step) < rest)
-    dealt = F.least(F.col("n"), F.lit(limit)) + F.floor(F.col("over") / levels) + F.when(one, 1).otherwise(0)
-    upto = full.withColumn("dealt", dealt).withColumn("upto", F.sum("dealt").over(of_tile.orderBy("value")))
-    table = upto.select("frame", "ty", "tx", "value", F.least(F.lit(levels - 1), F.floor((2 * (levels - 1) * F.col("upto") + total) / (2 * total))).alias("mapped"))
+    real = F.col("value").between(0, levels - 1)
+    kept = F.when(real, F.struct("value", F.least(F.col("n"), F.lit(limit)).alias("n")))
+    table = counts.groupBy("frame", "ty", "tx").agg(F.collect_list(kept).alias("kept"), F.sum(F.when(real, F.greatest(F.col("n") - limit, F.lit(0))).otherwise(0)).alias("over"))
+    value, over = F.col("value"), F.col("over")
+    step = F.greatest(F.floor(F.lit(levels) / F.greatest(over % levels, F.lit(1))), F.lit(1))
+    below = F.aggregate("kept", F.lit(0).cast("long"), lambda s, e: s + F.when(e["value"] <= value, e["n"]).otherwise(0))
+    upto = below + (value + 1) * F.floor(over / levels) + F.least(over % levels, F.floor(value / step) + 1)
+    mapped = F.least(F.lit(levels - 1), F.floor((2 * (levels - 1) * upto + total) / (2 * total)))
 
     def between(c: str, side: int, n: int) -> tuple[Column, Column]:
         """The tiles on both sides of a pixel, and how near it is to the second, in 2 side parts."""
@@ -121,8 +121,8 @@ def tiled_equalised(raster: DataFrame, rows: int, cols: int, tiles: tuple[int, i
         pair = F.array(F.struct(F.greatest(first, F.lit(0)).cast("int").alias("t"), (2 * side - near).alias("w")), F.struct(F.least(first + 1, F.lit(n - 1)).cast("int").alias("t"), near.alias("w")))
         return F.explode(pair)
 
-    asked = raster.withColumn("a", between("row", high, down)).withColumn("b", between("col", wide, across))
+    asked = raster.filter(real).withColumn("a", between("row", high, down)).withColumn("b", between("col", wide, across))
     asked = asked.select("frame", "row", "col", "value", F.col("a.t").alias("ty"), F.col("b.t").alias("tx"), (F.col("a.w") * F.col("b.w")).alias("w"))
     parts = 4 * total
-    met = asked.join(table, ["frame", "ty", "tx", "value"]).groupBy("frame", "row", "col").agg(F.sum(F.col("w") * F.col("mapped")).alias("s"))
+    met = asked.join(table, ["frame", "ty", "tx"]).groupBy("frame", "row", "col").agg(F.sum(F.col("w") * mapped).alias("s"))
     return met.select("frame", "row", "col", F.floor((2 * F.col("s") + parts) / (2 * parts)).cast("int").alias("level"))

@@ -141,3 +141,12 @@ def test_projected_points_equal_a_replay(spark):
             if cell not in best or depth < best[cell][0]:
                 best[cell] = (depth, k)
     assert {(r.shown, r.gu, r.gv): r.id for r in got.collect()} == {c: k for c, (_, k) in best.items()} and len(best) > 50
+
+
+def test_tiled_equalisation_shuffles_by_frame_alone(spark):
+    import re
+
+    grey = spark.range(2 * 36).selectExpr("id div 36 AS frame", "cast(id % 36 div 6 AS int) AS row", "cast(id % 6 AS int) AS col", "cast(id * 7 % 256 AS int) AS value")
+    plan = images.tiled_equalised(grey, 6, 6, (2, 2), 2.0)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"frame#\d+L?", k) for k in keys)
