@@ -72,9 +72,9 @@ def _tokenize_and_pack(tokenizer: str, capacity: int):
         tokens, rows = WordTokens.of(tokenizer), []
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 512):
-                for doc, ids in zip(docs[lo : lo + 512], tokens.ids(texts[lo : lo + 512]), strict=True):
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                for doc, ids in zip(some.column("doc_id").to_pylist(), tokens.ids(some.column("text").to_pylist()), strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import time
 import zlib
 from pathlib import Path
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from driftwell.llm import language_id, packing, pieces, toxicity
+from driftwell.llm import language_id, packing, pieces, tokens, toxicity
 from driftwell.llm.pii import CONTEXT, KINDS, masked, op6_pii, pii_spans
 
 from .data import COLUMNS, frame, rows, words
@@ -274,6 +275,18 @@ def _sequences(leaves: list[list[int]], capacity: int, carried: int | None) -> i
     return done + len(nodes[0])
 
 
+def test_a_full_memo_keeps_its_first_words_and_stays_small(monkeypatch):
+    t, most = tokens.WordTokens(WORDS), tokens.MEMO_WORDS
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 2000)
+    monkeypatch.setattr(tokens, "STAYING_WORDS", 1000, raising=False)
+    for k in range(12):
+        texts = [" ".join(["frequent", "Words,", *(f"w{k}x{n}y{i}" for i in range(30))]) for n in range(20)]
+        assert t.ids(texts) == [t.whole(x) for x in texts]
+        assert len(t.memo) <= 2000 and "frequent" in t.memo and "words," in t.memo
+    each = (sys.getsizeof(t.memo) + sum(sys.getsizeof(x) for kv in t.memo.items() for x in kv)) / len(t.memo)
+    assert each * most < 128e6
+
+
 def test_nodes_pass_on_all_that_is_of_use():
     rng = random.Random(1)
     for _ in range(400):
