@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,23 @@ def test_repeats_equal_brute_force(spark, seed):
     assert remove_repeats(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
+def test_text_that_stays_after_repeats(spark):
+    """The query's text is that of the bytes that stay; characters cut by a run's end go whole and don't join; copies keep their rows."""
+    rng = random.Random(8)
+    shared, first, second, third, short = words(rng, 150), words(rng, 40), words(rng, 40), words(rng, 40), words(rng, 51)[:390]
+    # é is C3 A9, è is C3 A8, © is C2 A9: the first byte is shared by the first two texts, the last one by é and ©.
+    found = [(1, first + "é" + shared + "é" + first[::-1]), (2, second + "©" + shared + "è" + second[::-1]), (3, third + short), (4, first[::-1] + short), (5, None), (6, ""), (7, "ä" * 500), (7, "ä" * 500), (None, third + shared)]
+    docs = frame(spark, found)
+    got = [(r.doc_id, r.n_removed, r.text, r.kept_sha256) for r in remove_repeats(docs).collect()]
+    removed = {(i, sha): gone for i, _, gone, _, sha, _ in _without_repeats(found)}
+    assert sorted(((i, sha), n) for i, n, _, sha in got if i) == sorted((k, n) for k, n in removed.items() for _ in range(1 + (k[0] == 7)) if k[0])
+    text = sorted(((i or 0, t) for i, _, t, _ in got), key=repr)
+    assert text == sorted([(0, third), (1, first + first[::-1]), (2, second + second[::-1]), (3, third + short), (4, first[::-1] + short), (5, None), (6, ""), (7, ""), (7, "")], key=repr)
+    raw = "aéè".encode()
+    assert suffix_dedup.kept_text(raw, np.array([False, False, True, True, False])) == "a"
+    assert suffix_dedup.kept_text(raw, np.zeros(5, bool)) == "aéè" and suffix_dedup.kept_text(b"", np.zeros(0, bool)) == ""
+
+
 def test_lists_dont_grow_with_a_row_repeated_10000_times(spark):
     """A row's copies share a key: they count each, its lists hold a place once, and one that shares its middle loses that."""
     text = " ".join(hashlib.sha256(str(k).encode()).hexdigest()[:9] for k in range(200))
