@@ -186,7 +186,8 @@ def learn(docs: DataFrame) -> CodedClassifier:
     if not sizes:
         return CodedClassifier.fit([], [])
     each = max(LEAST_DOCS, min(DOCS_PER_LANG, SAMPLE_ROWS // len(sizes)))
-    size = F.broadcast(docs.sparkSession.createDataFrame(sorted(sizes.items()), "lang string, size long"))
+    # from an Arrow table, since a list of rows starts Python workers of another kind, which then stay beside the others
+    size = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"lang": list(sizes), "size": list(sizes.values())})))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - CHARS_PER_DOC, F.lit(0)) + 1) + 1
     picked = seen.join(size, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.col("size")) < each)
     rows = picked.select(F.substring("text", start.cast("int"), F.lit(CHARS_PER_DOC)).alias("text"), "lang").limit(2 * each * len(sizes)).collect()

@@ -10,7 +10,7 @@ import xxhash
 from .common import BYTE_CODES, mixed, prefix_hashes, span_hash
 
 WORDS = 5
-BYTES_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 1 << 17
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

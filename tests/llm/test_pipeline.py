@@ -6,9 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from driftwell.llm.common import TEXT_BYTES_AT_ONCE, in_small_batches
 
 from .data import frame
 
@@ -91,3 +94,17 @@ def test_stages_on_nothing(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """40 texts of 250 KB, as a group of long near copies has them: one batch of 10 MB by the number of rows alone."""
+    in_small_batches(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("word "), 50_000).alias("text"))
+    found = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in found) == 40
+    assert max(r.bytes for r in found) <= TEXT_BYTES_AT_ONCE + 260_000
