@@ -73,6 +73,71 @@ def test_top_k_joins_bounded_blocks(spark, monkeypatch):
         assert sorted(ranks) == [(n, k, int(scores[k])) for n, k in enumerate(order, 1)]
 
 
+def test_top_k_sends_few_vectors_at_a_time(spark, monkeypatch):
+    """A task passes on a bounded number of vectors at a time, however many cells its queries meet."""
+    monkeypatch.setattr(knn, "AT_ONCE", 1 << 13)
+    monkeypatch.setattr(knn, "SPAN_LEAST", 64, raising=False)
+
+    def watched(mapped):
+        def run(df, f, *a, **b):
+            def checked(batches):
+                for out in f(batches):
+                    n = len(out) if isinstance(out, pd.DataFrame) else out.num_rows
+                    names = list(out.columns) if isinstance(out, pd.DataFrame) else out.schema.names
+                    assert "v" not in names or n * 16 <= 1 << 13, f"{n} vectors"
+                    yield out
+
+            return mapped(df, checked, *a, **b)
+
+        return run
+
+    rng = np.random.default_rng(5)
+    whole = np.floor(rng.standard_normal((1500, 16)) * 9)
+    vectors = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(whole)], "vec_id long, v array<double>").coalesce(1)
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(type(vectors), name, watched(getattr(type(vectors), name)))
+    got = knn.top_k(vectors, vectors, 3).toPandas().sort_values(["query_id", "rank"])
+    scores = (whole @ whole.T - 1e9 * np.eye(1500)).astype(int)
+    best = np.lexsort((np.broadcast_to(np.arange(1500), scores.shape), -scores))[:, :3]
+    assert got["vec_id"].tolist() == best.ravel().tolist()
+    assert got["score"].tolist() == np.take_along_axis(scores, best, 1).ravel().tolist()
+
+
+@pytest.mark.parametrize("scale", [1, 100, 2**20, 2**40])
+def test_top_k_in_many_tasks(spark, monkeypatch, scale):
+    """Many spans, some of one cell, each for several tasks; lengths that need each of the number types; repeated ids on both sides."""
+    for name, value in {"PIVOTS": 16, "SPAN_LEAST": 20, "SPAN_MOST": 60, "TASK_QUERIES": 16, "BLOCK_ROWS": 16, "BLOCK_QUERIES": 8}.items():
+        monkeypatch.setattr(knn, name, value, raising=False)
+    rng = np.random.default_rng(scale)
+    whole = np.floor(rng.standard_normal((400, 5)) * 4 + 30 * rng.integers(0, 2, (400, 5))) * (scale if scale <= 2**20 else 2**10)
+    whole[:150] = whole[0] + rng.integers(0, 2, (150, 5))
+    whole[:, 0] += rng.integers(0, 2, 400)
+    if scale > 2**20:  # rows that are no queries, whose products with themselves don't fit a long
+        whole[1:380:2, 0] *= scale / 2**15
+    ids = np.arange(400)
+    ids[380:] = rng.choice(np.arange(0, 40, 4), 20)
+    rows = [(int(k), [float(x) for x in v]) for k, v in zip(ids, whole, strict=True)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    got = {}
+    for r in knn.top_k(vectors, vectors.filter("vec_id % 4 = 0"), 6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == sorted({k for k, _ in rows if k % 4 == 0})
+    exact = [(k, [int(x) for x in v]) for k, v in rows]
+    for q, ranks in got.items():
+        found = [(-sum(a * b for a, b in zip(v, w, strict=True)), n) for k, v in exact if k == q for n, w in exact if n != q]
+        assert sorted(ranks) == [(n, k, -s) for n, (s, k) in enumerate(sorted(found)[:6], 1)]
+
+
+def test_top_k_of_lengths_that_differ(spark):
+    """Shorter vectors end in zeros, queries may be longer than all rows; empty ones score 0."""
+    rows = [(1, [3.0]), (2, []), (3, [-1.0, 2.0]), (4, [5.0, 300.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    queries = spark.createDataFrame([(9, [2.0, 1.0, 7.0]), (4, [1.0])], "vec_id long, v array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(vectors, queries, 3).collect()]
+    assert sorted(got) == [(4, 1, 1, 3), (4, 2, 2, 0), (4, 3, 3, -1), (9, 1, 4, 310), (9, 2, 1, 6), (9, 3, 2, 0)]
+    assert knn.top_k(vectors, queries.filter("vec_id < 0"), 3).count() == 0
+
+
 PAGES = [(1, "http://a", "x" * 150), (2, "http://b\r\n", "x" * 150), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", "é😀" * 60), (9, "u", "é😀" * 60), (8, "u", "é😀" * 60), (None, "u", "x" * 150), (10, "u", "big" * 200_000), (10, "u", "big" * 200_000)]
 
 
